@@ -86,5 +86,28 @@ def exact_quantile(df: DataFrame, value: str, q: float, keys: list[str] | tuple
     return ranked.agg(*_pick(q, value)).select(_interp(out))
 
 
+def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys: list[str] | tuple = (),
+                    names: list[str] | None = None) -> DataFrame:
+    """Several exact quantiles per group in one ranking pass (grouped case)."""
+    keys = list(keys)
+    names = names or [f"q{int(round(q * 100)):02d}" for q in qs]
+    if not keys:
+        out = None
+        for q, nm in zip(qs, names):
+            one = exact_quantile(df, value, q, out=nm)
+            out = one if out is None else out.crossJoin(one)
+        return out
+    counted = df.where(_clean(df, value)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(_C))
+    w_run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn(_END, F.sum(_C).over(w_run)).withColumn(_N, F.sum(_C).over(Window.partitionBy(*keys)))
+    aggs, cols = [], []
+    for i, q in enumerate(qs):
+        lo_, hi_, fr_ = _pick(q, value)
+        aggs += [lo_.alias(f"_lo{i}"), hi_.alias(f"_hi{i}"), fr_.alias(f"_fr{i}")]
+        lo, hi, fr = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_fr{i}")
+        cols.append((lo + (hi - lo) * fr).alias(names[i]))
+    return ranked.groupBy(*keys).agg(*aggs).select(*keys, *cols)
+
+
 def exact_median(df: DataFrame, value: str, keys: list[str] | tuple = (), out: str = "median") -> DataFrame:
     return exact_quantile(df, value, 0.5, keys, out)

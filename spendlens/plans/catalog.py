@@ -67,3 +67,151 @@ GROUP BY client_id""")
 def q_user_agg(spark: SparkSession, d: str) -> DataFrame:
     """G1, G6, G7, G8, C12, C13, C20, C21, J1."""
     return rounded(A.user_aggregate(AD.txn(spark, d)), STD6)
+
+
+def _user_agg_body(rnd: bool = True) -> str:
+    std = O.mstd("amount_usd") if rnd else "stddev_samp(amount_usd)"
+    med = "round(median(amount_usd), 6)" if rnd else "median(amount_usd)"
+    return f"""
+SELECT client_id AS user_id,
+       coalesce({O.msum('amount_usd')}, 0) AS amount_sum, {O.mmean('amount_usd')} AS amount_mean,
+       {std} AS amount_std, {med} AS amount_median,
+       min(amount_usd) AS amount_min, max(amount_usd) AS amount_max,
+       min(date) AS first_txn_date, max(date) AS last_txn_date, count(*) AS txn_count,
+       date_sub('day', min(date), max(date)) AS txn_span_days,
+       count(*) / (date_sub('day', min(date), max(date)) + 1) AS txn_frequency,
+       (CAST(count(errors) AS DOUBLE) / count(*)) * 100 AS error_rate_pct,
+       (CAST(count_if(coalesce(contains(lower(transaction_type), 'chip'), false)) AS DOUBLE) / count(*)) * 100
+           AS chip_usage_pct,
+       count(DISTINCT merchant_id) AS unique_merchants
+FROM txn WHERE client_id IS NOT NULL GROUP BY client_id"""
+
+
+CARD_AGG_BODY = f"""
+SELECT client_id AS user_id, {O.mmean('credit_limit_usd')} AS avg_credit_limit, count(*) AS num_cards
+FROM cards WHERE client_id IS NOT NULL GROUP BY client_id"""
+
+
+def _enriched_body(rnd: bool = True) -> str:
+    return f"""
+SELECT ua.*, u.current_age, u.gender, u.credit_score, u.per_capita_income, u.yearly_income, u.total_debt,
+       u.num_credit_cards, ca.avg_credit_limit, ca.num_cards
+FROM ({_user_agg_body(rnd)}) ua
+LEFT JOIN users u ON ua.user_id = u.id
+LEFT JOIN ({CARD_AGG_BODY}) ca ON ua.user_id = ca.user_id"""
+
+
+def enriched_user_agg(spark: SparkSession, d: str) -> DataFrame:
+    return A.user_aggregate(AD.txn(spark, d), AD.users(spark, d), AD.cards(spark, d))
+
+
+@register("user_agg_enriched", O.with_(["txn", "users", "cards"], _enriched_body()))
+def q_user_agg_enriched(spark, d):
+    """G1 + J2 + J3 + G9."""
+    return rounded(enriched_user_agg(spark, d), STD6)
+
+
+@register("daily_agg", O.with_(["txn"], f"""
+SELECT CAST(date AS DATE) AS date, count(*) AS txn_count,
+       coalesce({O.msum('amount_usd')}, 0) AS amount_sum, {O.mmean('amount_usd')} AS amount_mean,
+       {O.mstd('amount_usd')} AS amount_std,
+       (CAST(count(errors) AS DOUBLE) / count(*)) * 100 AS error_rate_pct
+FROM txn WHERE date IS NOT NULL GROUP BY CAST(date AS DATE)"""))
+def q_daily_agg(spark, d):
+    """G2, C8."""
+    return rounded(A.daily_aggregate(AD.txn(spark, d, ["date", "amount_usd", "errors"])), STD6)
+
+
+MODE_CITY_BODY = """
+SELECT merchant_id, merchant_city FROM (
+  SELECT merchant_id, merchant_city,
+         row_number() OVER (PARTITION BY merchant_id ORDER BY n DESC, merchant_city) AS rn
+  FROM (SELECT merchant_id, merchant_city, count(*) AS n FROM txn
+        WHERE merchant_id IS NOT NULL AND merchant_city IS NOT NULL GROUP BY 1, 2)) WHERE rn = 1"""
+
+MERCHANT_BODY = f"""
+SELECT m.*, c.merchant_city FROM (
+  SELECT merchant_id, coalesce({O.msum('amount_usd')}, 0) AS amount_sum, {O.mmean('amount_usd')} AS amount_mean,
+         {O.mstd('amount_usd')} AS amount_std, count(DISTINCT client_id) AS unique_customers,
+         count(DISTINCT card_id) AS unique_cards, count(*) AS txn_count
+  FROM txn WHERE merchant_id IS NOT NULL GROUP BY merchant_id) m
+LEFT JOIN ({MODE_CITY_BODY}) c ON m.merchant_id = c.merchant_id"""
+
+MERCHANT_COLS = ["merchant_id", "client_id", "card_id", "amount_usd", "merchant_city"]
+
+
+@register("merchant_agg", O.with_(["txn"], MERCHANT_BODY))
+def q_merchant_agg(spark, d):
+    """G3 (+G4 folded), G8."""
+    return rounded(A.merchant_aggregate(AD.txn(spark, d, MERCHANT_COLS)), STD6)
+
+
+@register("merchant_mode_city", O.with_(["txn"], MODE_CITY_BODY))
+def q_merchant_mode_city(spark, d):
+    """Most frequent city per merchant, ties to the smallest name."""
+    return A.mode_per_group(AD.txn(spark, d, ["merchant_id", "merchant_city"]), "merchant_id", "merchant_city")
+
+
+MCC_BODY = f"""
+SELECT mcc, coalesce({O.msum('amount_usd')}, 0) AS amount_sum, {O.mmean('amount_usd')} AS amount_mean,
+       {O.mstd('amount_usd')} AS amount_std, count(DISTINCT client_id) AS unique_customers, count(*) AS txn_count
+FROM txn WHERE mcc IS NOT NULL GROUP BY mcc"""
+
+
+@register("mcc_agg", O.with_(["txn"], MCC_BODY))
+def q_mcc_agg(spark, d):
+    """G5."""
+    return rounded(A.mcc_aggregate(AD.txn(spark, d, ["mcc", "client_id", "amount_usd"])), STD6)
+
+
+@register("card_agg", O.with_(["cards"], CARD_AGG_BODY))
+def q_card_agg(spark, d):
+    """G9 (J4 folded)."""
+    return A.card_aggregate(AD.cards(spark, d))
+
+
+@register("risk_metrics", O.with_(["txn", "users", "cards"], f"""
+, e AS ({_enriched_body(False)}),
+q AS (SELECT quantile_cont(error_rate_pct, 0.75) AS q75 FROM e)
+SELECT e.* EXCLUDE (amount_std, amount_median), round(e.amount_std, 6) AS amount_std,
+       round(e.amount_median, 6) AS amount_median,
+       round(coalesce(e.amount_std / (e.amount_mean + 1e-6), 0), 6) AS amount_volatility,
+       coalesce(e.total_debt / (e.yearly_income + 1e-6), 0) AS debt_to_income,
+       coalesce(e.num_cards, 0) AS cards_per_user,
+       coalesce(e.error_rate_pct > q.q75, false) AS high_error_rate,
+       coalesce(e.current_age > 65, false) AS is_senior
+FROM e, q""".replace("\n, e AS", ", e AS", 1)))
+def q_risk_metrics(spark, d):
+    """G10, G11, C22, C24, C25."""
+    return rounded(A.risk_metrics(enriched_user_agg(spark, d)), {**STD6, "amount_volatility": 6})
+
+
+SQL_STYLE_BODY = f"""
+, t AS (SELECT *, CASE WHEN lower(transaction_type) LIKE '%chip%' THEN 1 ELSE 0 END AS used_chip,
+              CASE WHEN errors IS NOT NULL THEN 1 ELSE 0 END AS has_error
+        FROM txn WHERE client_id IS NOT NULL AND card_id IS NOT NULL AND amount_usd IS NOT NULL
+                   AND date IS NOT NULL),
+ub AS (
+SELECT t.client_id AS user_id, count(*) AS txn_count, {O.mmean('t.amount_usd')} AS avg_amount,
+       CAST(sum(t.has_error) AS BIGINT) AS total_errors, avg(t.used_chip) AS chip_ratio,
+       u.credit_score, u.yearly_income, u.total_debt, u.per_capita_income, u.num_credit_cards, u.current_age,
+       u.retirement_age, {O.mmean('c.credit_limit_usd')} AS avg_credit_limit,
+       max(CASE WHEN c.card_on_dark_web THEN 1 ELSE 0 END) AS has_dark_web_card
+FROM t JOIN users u ON t.client_id = u.id
+JOIN cards c ON t.card_id = c.card_id AND t.client_id = c.client_id
+GROUP BY t.client_id, u.credit_score, u.yearly_income, u.total_debt, u.per_capita_income, u.num_credit_cards,
+         u.current_age, u.retirement_age)"""
+
+
+def _with_sql_style(body: str) -> str:
+    return O.with_(["txn", "users", "cards"], body).replace(")\n, t AS", "),\nt AS", 1)
+
+
+def sql_style_user_agg(spark, d):
+    return A.user_aggregate_inner(AD.txn(spark, d), AD.users(spark, d), AD.cards(spark, d))
+
+
+@register("user_agg_sql_style", _with_sql_style(SQL_STYLE_BODY + "\nSELECT * FROM ub"))
+def q_user_agg_sql_style(spark, d):
+    """G20, J5, G7b, F1, D5."""
+    return sql_style_user_agg(spark, d)
