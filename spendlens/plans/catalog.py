@@ -215,3 +215,162 @@ def sql_style_user_agg(spark, d):
 def q_user_agg_sql_style(spark, d):
     """G20, J5, G7b, F1, D5."""
     return sql_style_user_agg(spark, d)
+
+
+# ---------------------------------------------------------------- reports
+
+from ..operators import reports as R  # noqa: E402
+
+SUMMARY_METRICS = [
+    ("transactions", "total_transactions", "CAST(count(*) AS DOUBLE)"),
+    ("transactions", "unique_users", "CAST(count(DISTINCT client_id) AS DOUBLE)"),
+    ("transactions", "unique_cards", "CAST(count(DISTINCT card_id) AS DOUBLE)"),
+    ("amount", "mean", O.mmean("amount_usd")),
+    ("amount", "median", "median(amount_usd)"),
+    ("amount", "std", "stddev_samp(amount_usd)"),
+    ("amount", "min", "min(amount_usd)"),
+    ("amount", "max", "max(amount_usd)"),
+    ("merchants", "unique_merchants", "CAST(count(DISTINCT merchant_id) AS DOUBLE)"),
+    ("mcc", "unique_mcc", "CAST(count(DISTINCT mcc) AS DOUBLE)"),
+]
+
+
+def _summary_sql() -> str:
+    parts = [f"SELECT '{s}' AS section, '{m}' AS metric, round(CAST({e} AS DOUBLE), 6) AS value FROM txn"
+             for s, m, e in SUMMARY_METRICS]
+    pu = "(SELECT client_id, count(*) AS n FROM txn WHERE client_id IS NOT NULL GROUP BY client_id)"
+    parts += [
+        f"SELECT 'users', 'total_users', round(CAST(count(*) AS DOUBLE), 6) FROM {pu}",
+        f"SELECT 'users', 'avg_txns_per_user', round(avg(n), 6) FROM {pu}",
+        f"SELECT 'users', 'median_txns_per_user', round(CAST(median(n) AS DOUBLE), 6) FROM {pu}",
+        f"SELECT 'users', 'max_txns_per_user', round(CAST(max(n) AS DOUBLE), 6) FROM {pu}",
+        "SELECT 'merchants', 'top_merchant_txn_count', round(CAST(max(n) AS DOUBLE), 6) FROM "
+        "(SELECT merchant_id, count(*) AS n FROM txn WHERE merchant_id IS NOT NULL GROUP BY 1)",
+        "SELECT 'mcc', 'top_mcc_txn_count', round(CAST(max(n) AS DOUBLE), 6) FROM "
+        "(SELECT mcc, count(*) AS n FROM txn WHERE mcc IS NOT NULL GROUP BY 1)",
+    ]
+    return O.with_(["txn"], "\nUNION ALL\n".join(parts))
+
+
+@register("dataset_summary", _summary_sql())
+def q_dataset_summary(spark, d):
+    """G12 (print_summary_statistics as a table)."""
+    cols = ["client_id", "card_id", "merchant_id", "mcc", "amount_usd"]
+    return rounded(R.dataset_summary(AD.txn(spark, d, cols)), {"value": 6})
+
+
+@register("dataset_summary_sql_style", _with_sql_style(SQL_STYLE_BODY + """
+SELECT 'transactions' AS section, 'total_transactions' AS metric, round(CAST(count(*) AS DOUBLE), 6) AS value FROM t
+UNION ALL SELECT 'transactions', 'avg_amount', round(CAST(sum(CAST(amount_usd AS DECIMAL(18,2))) AS DOUBLE)
+                 / count(amount_usd), 6) FROM t
+UNION ALL SELECT 'transactions', 'median_amount', round(median(amount_usd), 6) FROM t
+UNION ALL SELECT 'errors', 'transactions_with_error', round(CAST(sum(has_error) AS DOUBLE), 6) FROM t
+UNION ALL SELECT 'errors', 'error_pct', round(avg(has_error) * 100.0, 6) FROM t
+UNION ALL SELECT 'cards', 'cards_on_dark_web', round(CAST(count(*) AS DOUBLE), 6) FROM cards WHERE card_on_dark_web
+UNION ALL SELECT 'users', 'unique_users', round(CAST(count(DISTINCT user_id) AS DOUBLE), 6) FROM ub"""))
+def q_dataset_summary_sql_style(spark, d):
+    """G13, F7, G35 (summary() without the optional anomaly rows)."""
+    t = A.sql_style_transactions(AD.txn(spark, d))
+    return rounded(R.dataset_summary_sql_style(t, AD.cards(spark, d), sql_style_user_agg(spark, d)), {"value": 6})
+
+
+@register("monthly_volume", O.with_(["txn"], f"""
+SELECT CAST(date_trunc('month', date) AS DATE) AS period, count(transaction_id) AS txn_count,
+       {O.mmean('amount_usd')} AS avg_amount
+FROM txn WHERE date IS NOT NULL GROUP BY 1"""))
+def q_monthly_volume(spark, d):
+    """G14, C17."""
+    return R.monthly_volume(AD.txn(spark, d, ["transaction_id", "date", "amount_usd"]))
+
+
+@register("monthly_median", O.with_(["txn"], f"""
+SELECT CAST(year(date) AS INT) AS txn_year, CAST(month(date) AS INT) AS txn_month, count(*) AS txn_count,
+       {O.mmean('amount_usd')} AS avg_amount, round(median(amount_usd), 6) AS median_amount,
+       make_date(CAST(year(date) AS INT), CAST(month(date) AS INT), 1) AS period
+FROM txn GROUP BY 1, 2"""))
+def q_monthly_median(spark, d):
+    """G15, C14, C18."""
+    return rounded(R.monthly_median(AD.txn(spark, d, ["date", "amount_usd"])), {"median_amount": 6})
+
+
+@register("hour_counts", O.with_(["event_txn"], """
+SELECT CAST(hour(date) AS INT) AS txn_hour, count(*) AS txn_count FROM event_txn WHERE date IS NOT NULL GROUP BY 1"""))
+def q_hour_counts(spark, d):
+    """G16 (by hour)."""
+    return R.hour_counts(AD.event_txn(spark, d))
+
+
+@register("weekday_counts", O.with_(["event_txn"], """
+SELECT CAST(isodow(date) - 1 AS INT) AS txn_dow, count(*) AS txn_count,
+       (['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'])[isodow(date)] AS dow_label
+FROM event_txn WHERE date IS NOT NULL GROUP BY 1, 3"""))
+def q_weekday_counts(spark, d):
+    """G16 (by weekday), C15, C16."""
+    return R.weekday_counts(AD.event_txn(spark, d))
+
+
+@register("hour_weekday_table", O.with_(["event_txn"], f"""
+SELECT CAST(hour(date) AS INT) AS txn_hour, CAST(isodow(date) - 1 AS INT) AS txn_dow, count(*) AS txn_count,
+       {O.mmean('amount_usd')} AS avg_amount,
+       CAST(sum(CASE WHEN errors IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS error_count
+FROM event_txn GROUP BY 1, 2"""))
+def q_hour_weekday_table(spark, d):
+    """G17 base table."""
+    return R.hour_weekday_table(AD.event_txn(spark, d))
+
+
+@register("hour_rollup", O.with_(["event_txn"], """
+SELECT CAST(hour(date) AS INT) AS txn_hour, CAST(count(*) AS BIGINT) AS txn_count FROM event_txn GROUP BY 1"""))
+def q_hour_rollup(spark, d):
+    """G17 second level: hour x weekday counts re-summed per hour."""
+    return R.rollup_counts(R.hour_weekday_table(AD.event_txn(spark, d)), "txn_hour")
+
+
+@register("top_errors", O.with_(["txn"], """
+SELECT errors, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, errors) AS INT) AS rank
+FROM txn WHERE errors IS NOT NULL GROUP BY errors ORDER BY n DESC, errors LIMIT 10"""))
+def q_top_errors(spark, d):
+    """G18, K4, F5."""
+    return R.top_errors(AD.txn(spark, d, ["errors"]))
+
+
+@register("dark_web_share", O.with_(["cards"], """
+SELECT card_on_dark_web, count(*) AS n, CAST(count(*) AS DOUBLE) * 100.0 / sum(count(*)) OVER () AS pct
+FROM cards GROUP BY 1"""))
+def q_dark_web_share(spark, d):
+    """G19, C31."""
+    return R.dark_web_share(AD.cards(spark, d))
+
+
+@register("top_merchants", O.with_(["txn"], f"""
+SELECT merchant_id, count(*) AS txn_count, {O.mmean('amount_usd')} AS amount_mean,
+       CAST(row_number() OVER (ORDER BY count(*) DESC, merchant_id) AS INT) AS rank
+FROM txn WHERE merchant_id IS NOT NULL GROUP BY merchant_id ORDER BY txn_count DESC, merchant_id LIMIT 15"""))
+def q_top_merchants(spark, d):
+    """K1, K2, K6 (plot_top_merchants, top_n=15)."""
+    m = A.merchant_aggregate(AD.txn(spark, d, ["merchant_id", "client_id", "card_id", "amount_usd"]))
+    return R.top_n(m, "txn_count", "merchant_id", 15).select("merchant_id", "txn_count", "amount_mean", "rank")
+
+
+@register("top_mcc", O.with_(["txn"], """
+SELECT mcc, count(*) AS txn_count, count(DISTINCT client_id) AS unique_customers,
+       CAST(row_number() OVER (ORDER BY count(*) DESC, mcc) AS INT) AS rank
+FROM txn WHERE mcc IS NOT NULL GROUP BY mcc ORDER BY txn_count DESC, mcc LIMIT 15"""))
+def q_top_mcc(spark, d):
+    """K1, K2, K6 (plot_top_mcc, top_n=15)."""
+    m = A.mcc_aggregate(AD.txn(spark, d, ["mcc", "client_id", "amount_usd"]))
+    return R.top_n(m, "txn_count", "mcc", 15).select("mcc", "txn_count", "unique_customers", "rank")
+
+
+@register("top_users", O.with_(["txn"], f"""
+SELECT client_id AS user_id, count(*) AS txn_count, coalesce({O.msum('amount_usd')}, 0) AS amount_sum,
+       CAST(row_number() OVER (ORDER BY count(*) DESC, client_id) AS INT) AS rank
+FROM txn WHERE client_id IS NOT NULL GROUP BY client_id ORDER BY txn_count DESC, user_id LIMIT 10"""))
+def q_top_users(spark, d):
+    """K1, K2, K6 (print_top_items n=10, users)."""
+    t = AD.txn(spark, d, ["client_id", "amount_usd"])
+    g = t.where(F.col("client_id").isNotNull()).groupBy("client_id").agg(
+        F.count(F.lit(1)).alias("txn_count"), F.sum(F.col("amount_usd").cast("decimal(18,2)")).alias("_s"))
+    g = g.select(F.col("client_id").alias("user_id"), "txn_count",
+                 F.coalesce(F.col("_s").cast("double"), F.lit(0.0)).alias("amount_sum"))
+    return R.top_n(g, "txn_count", "user_id", 10)
