@@ -67,28 +67,28 @@ def _bounds(lo, hi):
 def histograms(df: DataFrame, cols: list[str], bins: int) -> DataFrame:
     """Equal-width histograms of several columns in one pass.
 
-    Returns (column, bin, lo, hi, frequency); every bin of every column is
+    Returns (feature, bin, lo, hi, frequency); every bin of every column is
     present, empty bins with frequency 0.  NULL/NaN values are ignored.
     """
     spark = df.sparkSession
     long_ = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _finite(F.col(c).cast("double")).alias("x"))
+        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), _finite(F.col(c).cast("double")).alias("x"))
                             for c in cols])).alias("_p")
-    ).select("_p.column", "_p.x").where(F.col("x").isNotNull())
+    ).select("_p.feature", "_p.x").where(F.col("x").isNotNull())
     # one row per column: bounded by the column list, broadcast
-    b = long_.groupBy("column").agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+    b = long_.groupBy("feature").agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
     lo, hi = _bounds(F.col("_lo"), F.col("_hi"))
-    b = b.select("column", lo.alias("_lo"), hi.alias("_hi"))
+    b = b.select("feature", lo.alias("_lo"), hi.alias("_hi"))
     counted = (
-        long_.join(F.broadcast(b), "column")
-        .select("column", _bin_index(F.col("x"), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
-        .groupBy("column", "bin")
+        long_.join(F.broadcast(b), "feature")
+        .select("feature", _bin_index(F.col("x"), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
+        .groupBy("feature", "bin")
         .agg(F.count(F.lit(1)).alias("frequency"))
     )
     grid = F.broadcast(b.crossJoin(spark.range(bins).select(F.col("id").cast("int").alias("bin"))))
     step = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    return grid.join(counted, ["column", "bin"], "left").select(
-        "column",
+    return grid.join(counted, ["feature", "bin"], "left").select(
+        "feature",
         "bin",
         (F.col("bin").cast("double") * step + F.col("_lo")).alias("lo"),
         F.when(F.col("bin") == bins - 1, F.col("_hi"))
@@ -106,7 +106,7 @@ def histogram(df: DataFrame, col: str, bins: int = 80, *, log1p: bool = False, p
         d = d.where(F.col("_v") > 0)
     if log1p:
         d = d.select(F.log1p("_v").alias("_v"))
-    return histograms(d, ["_v"], bins).drop("column")
+    return histograms(d, ["_v"], bins).drop("feature")
 
 
 # ---------------------------------------------------------------- equal-width bins (pd.cut)
@@ -174,44 +174,79 @@ def kde(df: DataFrame, value: str, by: str | None = None, grid: int = 200, cut:
 
 # ---------------------------------------------------------------- correlation
 
+# Relative spread below which a column counts as constant (floating-point noise).
+CONSTANT_RTOL = 1e-10
+
+
+def _pair_moments(cols: list[str], means: list[float]):
+    """Per-partition sufficient statistics of every column pair (pairwise-complete)."""
+    import numpy as np
+    import pandas as pd
+
+    k = len(cols)
+    mu = np.asarray(means, dtype="float64")
+
+    def run(batches):
+        n = np.zeros((k, k))
+        sa = np.zeros((k, k))
+        saa = np.zeros((k, k))
+        sab = np.zeros((k, k))
+        for pdf in batches:
+            x = pdf[cols].to_numpy(dtype="float64", na_value=np.nan) - mu
+            m = ~np.isnan(x)
+            xz = np.where(m, x, 0.0)
+            mf = m.astype("float64")
+            n += mf.T @ mf
+            sa += xz.T @ mf
+            saa += (xz * xz).T @ mf
+            sab += xz.T @ xz
+        ii, jj = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
+        yield pd.DataFrame({
+            "i": ii.ravel().astype("int32"), "j": jj.ravel().astype("int32"), "n": n.ravel(), "sa": sa.ravel(),
+            "sb": sa.T.ravel(), "saa": saa.ravel(), "sbb": saa.T.ravel(), "sab": sab.ravel(),
+        })
+
+    return run
+
+
 def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson matrix in long form (col_a, col_b, r, n).
 
+    Pass 1 is a one-row aggregate of column means (k numbers).  Pass 2 runs
+    per partition with NumPy on mean-centred values and emits k x k partial
+    moment sums (pairwise non-null masks), which a ``groupBy(i, j)`` adds up:
+    the shuffle carries k^2 rows per partition whatever the row count.
     ``r`` is NULL where a column is constant over the rows shared with its
-    partner (pandas/DuckDB give NaN there; plain ``corr`` raises under ANSI).
+    partner (spread below ``CONSTANT_RTOL`` of its magnitude); plain ``corr``
+    would raise under ANSI or return rounding noise there.
     """
     cols = cols or numeric_columns(df)
     spark = df.sparkSession
-    x = {c: _finite(F.col(c).cast("double")) for c in cols}
-    aggs = []
-    for i, a in enumerate(cols):
-        aggs.append(F.count(x[a]).alias(f"n_{i}_{i}"))
-        aggs.append(F.stddev_pop(x[a]).alias(f"s_{i}"))
-        for j in range(i + 1, len(cols)):
-            b = cols[j]
-            both = x[a].isNotNull() & x[b].isNotNull()
-            am, bm = F.when(both, x[a]), F.when(both, x[b])
-            aggs += [
-                F.count(am).alias(f"n_{i}_{j}"),
-                F.covar_pop(am, bm).alias(f"c_{i}_{j}"),
-                F.stddev_pop(am).alias(f"sa_{i}_{j}"),
-                F.stddev_pop(bm).alias(f"sb_{i}_{j}"),
-            ]
-    wide = df.agg(*aggs)
-    cells = []
-    for i, a in enumerate(cols):
-        diag = F.when(F.col(f"s_{i}") > 0, F.lit(1.0))
-        cells.append(F.struct(F.lit(a).alias("col_a"), F.lit(a).alias("col_b"), diag.alias("r"),
-                              F.col(f"n_{i}_{i}").alias("n")))
-        for j in range(i + 1, len(cols)):
-            den = F.col(f"sa_{i}_{j}") * F.col(f"sb_{i}_{j}")
-            r = F.col(f"c_{i}_{j}") / F.when(den != 0, den)
-            r = F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))
-            n = F.col(f"n_{i}_{j}")
-            cells.append(F.struct(F.lit(a).alias("col_a"), F.lit(cols[j]).alias("col_b"), r.alias("r"), n.alias("n")))
-            cells.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(a).alias("col_b"), r.alias("r"), n.alias("n")))
-    del spark
-    return wide.select(F.explode(F.array(*cells)).alias("_c")).select("_c.col_a", "_c.col_b", "_c.r", "_c.n")
+    k = len(cols)
+    x = df.select(*[_finite(F.col(c).cast("double")).alias(c) for c in cols])
+    row = x.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    means = [row[c] if row[c] is not None else 0.0 for c in cols]
+    schema = "i int, j int, n double, sa double, sb double, saa double, sbb double, sab double"
+    parts = x.mapInPandas(_pair_moments(cols, means), schema)
+    m = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    n = F.col("n")
+    ma, mb = F.col("sa") / n, F.col("sb") / n
+    va = F.greatest(F.col("saa") / n - ma * ma, F.lit(0.0))
+    vb = F.greatest(F.col("sbb") / n - mb * mb, F.lit(0.0))
+    cov = F.col("sab") / n - ma * mb
+    # magnitudes of the uncentred values: centre shift + pair mean
+    names = spark.createDataFrame([(i, c, float(means[i])) for i, c in enumerate(cols)], "idx int, name string, mu double")
+    a_ = F.broadcast(names.select(F.col("idx").alias("i"), F.col("name").alias("col_a"), F.col("mu").alias("mu_a")))
+    b_ = F.broadcast(names.select(F.col("idx").alias("j"), F.col("name").alias("col_b"), F.col("mu").alias("mu_b")))
+    j = m.join(a_, "i").join(b_, "j")
+    sda, sdb = F.sqrt(va), F.sqrt(vb)
+    const_a = (n == 0) | (sda <= F.lit(CONSTANT_RTOL) * F.abs(ma + F.col("mu_a")))
+    const_b = (n == 0) | (sdb <= F.lit(CONSTANT_RTOL) * F.abs(mb + F.col("mu_b")))
+    r = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(
+        F.least(F.greatest(cov / (sda * sdb), F.lit(-1.0)), F.lit(1.0)))
+    r = F.when(const_a | const_b | (sda == 0) | (sdb == 0), F.lit(None).cast("double")).otherwise(r)
+    del k
+    return j.select("col_a", "col_b", r.alias("r"), n.cast("long").alias("n"))
 
 
 # ---------------------------------------------------------------- M1 standardisation

@@ -374,3 +374,247 @@ def q_top_users(spark, d):
     g = g.select(F.col("client_id").alias("user_id"), "txn_count",
                  F.coalesce(F.col("_s").cast("double"), F.lit(0.0)).alias("amount_sum"))
     return R.top_n(g, "txn_count", "user_id", 10)
+
+
+# ---------------------------------------------------------------- statistics
+
+from ..operators import geo as G  # noqa: E402
+from ..operators import stats as ST  # noqa: E402
+
+
+def _hist_sql(src: str, x: str, bins: int, col_name: str | None = None) -> str:
+    """NumPy histogram in SQL: bin by floor + edge corrections, all bins present."""
+    step = f"((b.hi - b.lo) / {float(bins)})"
+
+    def edge(i: str) -> str:
+        return f"(CASE WHEN {i} >= {bins} THEN b.hi ELSE CAST({i} AS DOUBLE) * {step} + b.lo END)"
+
+    label = f"'{col_name}' AS feature, " if col_name else ""
+    return f"""(
+WITH v AS (SELECT CAST({x} AS DOUBLE) AS x FROM {src} WHERE {x} IS NOT NULL AND NOT isnan(CAST({x} AS DOUBLE))),
+b0 AS (SELECT min(x) AS lo, max(x) AS hi FROM v),
+b AS (SELECT CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi
+      FROM b0),
+i0 AS (SELECT x, least(CAST(trunc((x - b.lo) / (b.hi - b.lo) * {float(bins)}) AS INT), {bins - 1}) AS i FROM v, b),
+i1 AS (SELECT x, CASE WHEN x < {edge('i')} THEN i - 1 ELSE i END AS i FROM i0, b),
+i2 AS (SELECT CASE WHEN x >= {edge('(i + 1)')} AND i <> {bins - 1} THEN i + 1 ELSE i END AS bin FROM i1, b),
+c AS (SELECT bin, count(*) AS n FROM i2 GROUP BY bin)
+SELECT {label}CAST(g.bin AS INT) AS bin, CAST(g.bin AS DOUBLE) * {step} + b.lo AS lo,
+       CASE WHEN g.bin = {bins - 1} THEN b.hi ELSE CAST(g.bin + 1 AS DOUBLE) * {step} + b.lo END AS hi,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS frequency
+FROM (SELECT range AS bin FROM range({bins})) g CROSS JOIN b LEFT JOIN c ON c.bin = g.bin)"""
+
+
+@register("amount_histogram", O.with_(["txn"], "SELECT * FROM " + _hist_sql(
+    "(SELECT amount_usd FROM txn WHERE amount_usd > 0)", "amount_usd", 80)))
+def q_amount_histogram(spark, d):
+    """G22, F2 (80 equal-width bins of positive amounts)."""
+    return ST.histogram(AD.txn(spark, d, ["amount_usd"]), "amount_usd", 80, positive=True)
+
+
+@register("log_amount_histogram", O.with_(["txn"], """
+SELECT bin, round(lo, 9) AS lo, round(hi, 9) AS hi, frequency FROM """ + _hist_sql(
+    "(SELECT ln(1 + amount_usd) AS la FROM txn WHERE amount_usd > 0)", "la", 80)))
+def q_log_amount_histogram(spark, d):
+    """G22, C19, D20 (bins in log(1+x) space)."""
+    h = ST.histogram(AD.txn(spark, d, ["amount_usd"]), "amount_usd", 80, positive=True, log1p=True)
+    return rounded(h, {"lo": 9, "hi": 9})
+
+
+USER_HIST_COLS = ["txn_count", "amount_sum", "amount_mean", "txn_frequency"]
+
+
+@register("user_histograms", O.with_(["txn"], ", ua AS (" + _user_agg_body() + ")\n" + "\nUNION ALL\n".join(
+    f"SELECT feature, bin, round(lo, 6) AS lo, round(hi, 6) AS hi, frequency FROM {_hist_sql('ua', c, 50, c)}"
+    for c in USER_HIST_COLS)).replace(")\n, ua AS", "),\nua AS", 1))
+def q_user_histograms(spark, d):
+    """Four 50-bin histograms of the user aggregate in one pass."""
+    ua = A.user_aggregate(AD.txn(spark, d, ["client_id", "amount_usd", "date", "merchant_id"]))
+    return rounded(ST.histograms(ua, USER_HIST_COLS, 50), {"lo": 6, "hi": 6})
+
+
+@register("credit_score_kde", O.with_(["users"], """
+, v AS (SELECT gender, CAST(credit_score AS DOUBLE) AS x FROM users WHERE credit_score IS NOT NULL AND gender IS NOT NULL),
+s AS (SELECT gender, count(*) AS n, stddev_samp(x) AS sd, min(x) AS mn, max(x) AS mx FROM v GROUP BY gender),
+k AS (SELECT gender, n, sqrt(sd * sd * pow(CAST(n AS DOUBLE), -0.2) * pow(CAST(n AS DOUBLE), -0.2)) AS bw, mn, mx
+      FROM s),
+g AS (SELECT gender, n, bw, CAST(p.range AS INT) AS point,
+             CASE WHEN p.range = 199 THEN mx + bw * 3.0
+                  ELSE CAST(p.range AS DOUBLE) * ((mx + bw * 3.0 - (mn - bw * 3.0)) / 199.0) + (mn - bw * 3.0) END AS x
+      FROM k, range(200) p WHERE bw > 0)
+SELECT g.gender, g.point, round(g.x, 6) AS x,
+       round(sum(exp(-0.5 * ((g.x - v.x) / g.bw) * ((g.x - v.x) / g.bw))) / (g.n * g.bw * sqrt(2 * pi())), 10)
+           AS density
+FROM g JOIN v ON g.gender = v.gender GROUP BY g.gender, g.point, g.x, g.n, g.bw""".replace("\n, v AS", ", v AS", 1)))
+def q_credit_score_kde(spark, d):
+    """Credit-score density per gender on a 200-point grid."""
+    u = AD.users(spark, d).where(F.col("credit_score").isNotNull())
+    return rounded(ST.kde(u, "credit_score", "gender"), {"x": 6, "density": 10})
+
+
+CORR_COLS = ["amount_sum", "amount_mean", "amount_median", "amount_std", "amount_min", "amount_max", "txn_count",
+             "txn_span_days", "txn_frequency", "error_rate_pct", "chip_usage_pct", "unique_merchants", "current_age",
+             "credit_score", "per_capita_income", "yearly_income", "total_debt", "num_credit_cards",
+             "avg_credit_limit", "num_cards"]
+
+
+def _corr_sql(src: str, cols: list[str]) -> str:
+    """Pairwise-complete Pearson; a column that is constant (to 1e-10 relative) on the pair's rows gives NULL."""
+    def const(a: str, b: str) -> str:
+        m = f"CASE WHEN {b} IS NOT NULL THEN {a} END"
+        return f"(count({m}) = 0 OR stddev_pop({m}) <= 1e-10 * abs(avg({m})) OR stddev_pop({m}) = 0)"
+
+    parts = []
+    for a in cols:
+        for b in cols:
+            if a == b:
+                r = f"CASE WHEN {const(a, a)} THEN NULL ELSE 1.0 END"
+                n = f"count({a})"
+            else:
+                r = f"CASE WHEN {const(a, b)} OR {const(b, a)} THEN NULL ELSE round(corr({a}, {b}), 9) END"
+                n = f"count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END)"
+            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, CAST({r} AS DOUBLE) AS r, {n} AS n FROM {src}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("correlation_matrix", O.with_(["txn", "users", "cards"], ", e AS (" + _enriched_body(False) + ")\n"
+                                        + _corr_sql("e", CORR_COLS)).replace(")\n, e AS", "),\ne AS", 1))
+def q_correlation_matrix(spark, d):
+    """Pairwise-complete Pearson over the numeric user features."""
+    ua = enriched_user_agg(spark, d)
+    return rounded(ST.correlation(ua, ST.numeric_columns(ua)), {"r": 9})
+
+
+SELECTED_COLS = ["avg_amount", "credit_score", "yearly_income", "total_debt", "per_capita_income", "avg_credit_limit",
+                 "num_credit_cards", "debt_to_income", "current_age", "txn_count", "total_errors", "chip_ratio",
+                 "has_dark_web_card"]
+
+
+@register("correlation_selected", _with_sql_style(SQL_STYLE_BODY + """,
+f AS (SELECT *, total_debt / CASE WHEN yearly_income <> 0 THEN yearly_income END AS debt_to_income,
+             yearly_income / CASE WHEN num_credit_cards <> 0 THEN num_credit_cards END AS income_per_card FROM ub)
+""" + _corr_sql("f", SELECTED_COLS)))
+def q_correlation_selected(spark, d):
+    """Correlation of 13 named features incl. two derived ratios."""
+    from ..functions import columns as C
+
+    ub = sql_style_user_agg(spark, d).withColumns({
+        "debt_to_income": C.nullif_ratio("total_debt", "yearly_income"),
+        "income_per_card": C.nullif_ratio("yearly_income", "num_credit_cards"),
+    })
+    return rounded(ST.correlation(ub, SELECTED_COLS), {"r": 9})
+
+
+@register("gender_mean", O.with_(["txn", "users", "cards"], f"""
+SELECT gender, avg(txn_count) AS mean_txn_count FROM ({_enriched_body()}) WHERE gender IS NOT NULL GROUP BY gender"""))
+def q_gender_mean(spark, d):
+    """G28."""
+    return R.gender_mean(enriched_user_agg(spark, d))
+
+
+@register("cards_mean_spend", O.with_(["txn", "users", "cards"], f"""
+SELECT num_credit_cards, {O.mmean('amount_sum')} AS mean_amount_sum FROM ({_enriched_body()})
+WHERE num_credit_cards IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 10"""))
+def q_cards_mean_spend(spark, d):
+    """G30, K5."""
+    return R.cards_mean_spend(enriched_user_agg(spark, d))
+
+
+def _cut_sql(src: str, by: str, value: str, bins: int) -> str:
+    interior = " + ".join(
+        f"CASE WHEN CAST({i} AS DOUBLE) * ((b.hi - b.lo) / {float(bins)}) + b.lo < x THEN 1 ELSE 0 END"
+        for i in range(1, bins))
+    return f"""
+, v AS (SELECT CAST({by} AS DOUBLE) AS x, CAST({value} AS DOUBLE) AS y FROM {src} WHERE {by} IS NOT NULL),
+b0 AS (SELECT min(x) AS mn, max(x) AS mx FROM v),
+b AS (SELECT CASE WHEN mn = mx THEN mn - (CASE WHEN mn <> 0 THEN abs(mn) * 0.001 ELSE 0.001 END) ELSE mn END AS lo,
+             CASE WHEN mn = mx THEN mx + (CASE WHEN mn <> 0 THEN abs(mn) * 0.001 ELSE 0.001 END) ELSE mx END AS hi,
+             mn = mx AS same, (mx - mn) * 0.001 AS adj FROM b0),
+k AS (SELECT ({interior}) AS bin, y FROM v, b)
+SELECT CAST(k.bin AS INT) AS bin,
+       round(CASE WHEN k.bin = 0 AND NOT b.same THEN b.lo - b.adj
+                  ELSE CAST(k.bin AS DOUBLE) * ((b.hi - b.lo) / {float(bins)}) + b.lo END, 6) AS lo,
+       round(CASE WHEN k.bin = {bins - 1} THEN b.hi
+                  ELSE CAST(k.bin + 1 AS DOUBLE) * ((b.hi - b.lo) / {float(bins)}) + b.lo END, 6) AS hi,
+       round(avg(k.y), 6) AS mean, count(k.y) AS n
+FROM k, b GROUP BY k.bin, b.lo, b.hi, b.same, b.adj"""
+
+
+@register("score_bin_mean", O.with_(["txn", "users", "cards"], ", ua AS (" + _enriched_body() + ")"
+                                    + _cut_sql("ua", "credit_score", "amount_mean", 5)).replace(
+    ")\n, ua AS", "),\nua AS", 1))
+def q_score_bin_mean(spark, d):
+    """Mean amount per credit-score bin (pd.cut, 5 bins)."""
+    return rounded(R.score_bin_mean(enriched_user_agg(spark, d)), {"lo": 6, "hi": 6, "mean": 6})
+
+
+@register("age_bin_mean", O.with_(["txn", "users", "cards"], ", ua AS (" + _enriched_body() + ")"
+                                  + _cut_sql("ua", "current_age", "amount_mean", 6)).replace(
+    ")\n, ua AS", "),\nua AS", 1))
+def q_age_bin_mean(spark, d):
+    """Mean amount per age bin (pd.cut, 6 bins)."""
+    return rounded(R.age_bin_mean(enriched_user_agg(spark, d)), {"lo": 6, "hi": 6, "mean": 6})
+
+
+# ---------------------------------------------------------------- geography
+
+LOC_BODY = f"""
+SELECT merchant_city, merchant_state, count(amount_usd) AS txn_count, {O.mmean('amount_usd')} AS avg_amount
+FROM txn WHERE merchant_city IS NOT NULL AND merchant_state IS NOT NULL AND amount_usd IS NOT NULL
+GROUP BY 1, 2"""
+
+
+@register("location_agg", O.with_(["txn"], LOC_BODY))
+def q_location_agg(spark, d):
+    """G21, F3."""
+    return A.location_aggregate(AD.txn(spark, d, ["merchant_city", "merchant_state", "amount_usd"]))
+
+
+GEO_SQL = O.with_(["txn", "city_coords", "state_coords"], f"""
+, top AS ({LOC_BODY} ORDER BY txn_count DESC, merchant_city, merchant_state LIMIT 300),
+cc AS (SELECT city_state, min({{'lat': lat, 'lon': lon}}) AS p FROM city_coords GROUP BY 1),
+sc AS (SELECT upper(trim(state)) AS state, min({{'lat': lat, 'lon': lon}}) AS p FROM state_coords GROUP BY 1),
+g AS (SELECT top.*, coalesce(cc.p.lat, sc.p.lat, 39.5) AS lat, coalesce(cc.p.lon, sc.p.lon, -98.4) AS lon,
+             CASE WHEN cc.p IS NOT NULL THEN 'city' WHEN sc.p IS NOT NULL THEN 'state' ELSE 'default' END AS geo_level
+      FROM top
+      LEFT JOIN cc ON cc.city_state = upper(trim(merchant_city)) || '|' || upper(trim(merchant_state))
+      LEFT JOIN sc ON sc.state = upper(trim(merchant_state))),
+box AS (SELECT * FROM g WHERE lat BETWEEN 24 AND 50 AND lon BETWEEN -125 AND -66),
+r AS (SELECT min(sqrt(txn_count)) AS c_lo, max(sqrt(txn_count)) AS c_hi,
+             min(sqrt(avg_amount)) AS a_lo, max(sqrt(avg_amount)) AS a_hi FROM box)
+""".replace("\n, top AS", ", top AS", 1))
+
+
+@register("merchant_locations", GEO_SQL + """
+SELECT box.*,
+  round(CASE WHEN c_hi = c_lo THEN 410.0 ELSE 20.0 + (sqrt(txn_count) - c_lo) / (c_hi - c_lo) * 780.0 END, 6)
+      AS size_count,
+  round(CASE WHEN a_hi = a_lo THEN 410.0 ELSE 20.0 + (sqrt(avg_amount) - a_lo) / (a_hi - a_lo) * 780.0 END, 6)
+      AS size_amount
+FROM box, r""")
+def q_merchant_locations(spark, d):
+    """Geocoded top-300 locations with bubble sizes."""
+    t = AD.txn(spark, d, ["merchant_city", "merchant_state", "amount_usd"])
+    out = G.merchant_locations(t, AD.city_coords(spark, d), AD.state_coords(spark, d))
+    return rounded(out, {"size_count": 6, "size_amount": 6})
+
+
+@register("bubble_legend", GEO_SQL.replace("r AS (SELECT min(sqrt(txn_count))", "r0 AS (SELECT min(sqrt(txn_count))")
+          + """
+, r AS (SELECT CAST(min(txn_count) AS DOUBLE) AS c_lo, CAST(max(txn_count) AS DOUBLE) AS c_hi,
+               min(avg_amount) AS a_lo, max(avg_amount) AS a_hi FROM box),
+s AS (SELECT 'txn_count' AS metric, 'min' AS stop, c_lo AS value, c_lo AS lo, c_hi AS hi FROM r
+      UNION ALL SELECT 'txn_count', 'mid', (c_lo + c_hi) / 2, c_lo, c_hi FROM r
+      UNION ALL SELECT 'txn_count', 'max', c_hi, c_lo, c_hi FROM r
+      UNION ALL SELECT 'avg_amount', 'min', a_lo, a_lo, a_hi FROM r
+      UNION ALL SELECT 'avg_amount', 'mid', (a_lo + a_hi) / 2, a_lo, a_hi FROM r
+      UNION ALL SELECT 'avg_amount', 'max', a_hi, a_lo, a_hi FROM r)
+SELECT metric, stop, round(value, 6) AS value,
+       round(CASE WHEN sqrt(hi) = sqrt(lo) THEN 410.0
+                  ELSE 20.0 + (sqrt(value) - sqrt(lo)) / (sqrt(hi) - sqrt(lo)) * 780.0 END, 6) AS size
+FROM s WHERE value IS NOT NULL""")
+def q_bubble_legend(spark, d):
+    """Size-legend stops of the location report."""
+    t = AD.txn(spark, d, ["merchant_city", "merchant_state", "amount_usd"])
+    locs = G.merchant_locations(t, AD.city_coords(spark, d), AD.state_coords(spark, d))
+    return rounded(G.bubble_legend(locs), {"value": 6, "size": 6})
