@@ -60,9 +60,7 @@ def parse_zip(c: str | Column) -> Column:
 
 def parse_month_year(c: str | Column) -> Column:
     """``M/yyyy`` -> first day of that month (DATE); bad text -> NULL."""
-    return F.try_to_date(col_(c), F.lit("M/yyyy")) if hasattr(F, "try_to_date") else F.expr(
-        f"try_to_date({col_(c)._jc.toString()}, 'M/yyyy')"
-    )
+    return F.try_to_date(col_(c), "M/yyyy")
 
 
 def parse_yes_no(c: str | Column) -> Column:

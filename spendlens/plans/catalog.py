@@ -618,3 +618,249 @@ def q_bubble_legend(spark, d):
     t = AD.txn(spark, d, ["merchant_city", "merchant_state", "amount_usd"])
     locs = G.merchant_locations(t, AD.city_coords(spark, d), AD.state_coords(spark, d))
     return rounded(G.bubble_legend(locs), {"value": 6, "size": 6})
+
+
+# ---------------------------------------------------------------- scalar functions
+
+from ..functions import columns as C  # noqa: E402
+from ..operators import iforest as IF  # noqa: E402
+from ..operators import ml as ML  # noqa: E402
+from ..operators import quality as QL  # noqa: E402
+
+
+@register("parse_currency", O.with_(["raw_cards"], """
+SELECT id, amount,
+       CAST(CAST(trim(regexp_replace(amount, '[$,]', '', 'g')) AS DECIMAL(12,2)) AS DOUBLE) AS amount_usd
+FROM raw_cards"""))
+def q_parse_currency(spark, d):
+    """Currency text to exact DECIMAL(12,2) (shown as DOUBLE)."""
+    r = AD.raw_cards(spark, d)
+    return r.select("id", "amount", C.parse_currency("amount").cast("double").alias("amount_usd"))
+
+
+@register("parse_zip", O.with_(["raw_cards"], """
+SELECT id, CASE WHEN length(z) < 5 THEN lpad(z, 5, '0') ELSE z END AS zip
+FROM (SELECT id, regexp_replace(zip, '\\.\\d+$', '') AS z FROM raw_cards)"""))
+def q_parse_zip(spark, d):
+    """C5."""
+    return AD.raw_cards(spark, d).select("id", C.parse_zip("zip").alias("zip"))
+
+
+@register("parse_month_year", O.with_(["raw_cards"], """
+SELECT id, CAST(try_strptime(expires, '%m/%Y') AS DATE) AS expires FROM raw_cards"""))
+def q_parse_month_year(spark, d):
+    """C6."""
+    return AD.raw_cards(spark, d).select("id", C.parse_month_year("expires").alias("expires"))
+
+
+@register("parse_yes_no", O.with_(["raw_cards"], """
+SELECT id, CASE upper(trim(has_chip)) WHEN 'YES' THEN true WHEN 'NO' THEN false END AS has_chip FROM raw_cards"""))
+def q_parse_yes_no(spark, d):
+    """C7."""
+    return AD.raw_cards(spark, d).select("id", C.parse_yes_no("has_chip").alias("has_chip"))
+
+
+@register("lenient_number", O.with_(["raw_cards"], """
+SELECT id, TRY_CAST(zip AS DOUBLE) AS zip_number, TRY_CAST(amount AS DOUBLE) AS amount_number FROM raw_cards"""))
+def q_lenient_number(spark, d):
+    """C11: text to number, unparseable -> NULL."""
+    r = AD.raw_cards(spark, d)
+    return r.select("id", C.lenient_number("zip").alias("zip_number"), C.lenient_number("amount").alias("amount_number"))
+
+
+@register("lenient_timestamp", O.with_(["raw_cards"], """
+SELECT id, TRY_CAST(opened AS TIMESTAMP) AS opened_at FROM raw_cards"""))
+def q_lenient_timestamp(spark, d):
+    """C2 (C2b is the strict twin): text to naive timestamp, garbage -> NULL."""
+    return AD.raw_cards(spark, d).select("id", C.lenient_timestamp("opened").alias("opened_at"))
+
+
+@register("make_birth_date", """
+SELECT c_custkey AS id, make_date(CAST(1940 + c_custkey % 60 AS INT), CAST(1 + c_custkey % 12 AS INT), 1) AS birth_date,
+       c_name FROM customer""")
+def q_make_birth_date(spark, d):
+    """Year + month columns -> birth_date in place of the year, month dropped."""
+    c = AD.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), (F.lit(1940) + F.col("c_custkey") % 60).cast("int").alias("birth_year"),
+        (F.lit(1) + F.col("c_custkey") % 12).cast("int").alias("birth_month"), "c_name")
+    return C.join_year_month(c, "birth_year", "birth_month", "birth_date")
+
+
+@register("date_parts", O.with_(["event_txn"], """
+SELECT transaction_id, CAST(year(date) AS INT) AS txn_year, CAST(month(date) AS INT) AS txn_month,
+       CAST(hour(date) AS INT) AS txn_hour, CAST(isodow(date) - 1 AS INT) AS txn_dow,
+       CAST(dayofweek(date) AS INT) AS txn_dow_sun0,
+       (['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'])[isodow(date)] AS dow_label,
+       CAST(date_trunc('month', date) AS DATE) AS period, CAST(date AS DATE) AS day
+FROM event_txn"""))
+def q_date_parts(spark, d):
+    """C8, C14, C15, C15b, C16, C17."""
+    e = AD.event_txn(spark, d)
+    return e.select(
+        "transaction_id", F.year("date").alias("txn_year"), F.month("date").alias("txn_month"),
+        F.hour("date").alias("txn_hour"), C.weekday_mon0("date").alias("txn_dow"),
+        C.weekday_sun0("date").alias("txn_dow_sun0"), C.weekday_label("date").alias("dow_label"),
+        C.month_start("date").alias("period"), C.to_date("date").alias("day"))
+
+
+@register("safe_ratios", O.with_(["users"], """
+SELECT id, coalesce(total_debt / (yearly_income + 1e-6), 0) AS debt_to_income_eps,
+       total_debt / CASE WHEN yearly_income <> 0 THEN yearly_income END AS debt_to_income,
+       yearly_income / CASE WHEN num_credit_cards <> 0 THEN num_credit_cards END AS income_per_card
+FROM users"""))
+def q_safe_ratios(spark, d):
+    """C22, C23, C24."""
+    u = AD.users(spark, d)
+    return u.select("id", C.eps_ratio("total_debt", "yearly_income").alias("debt_to_income_eps"),
+                    C.nullif_ratio("total_debt", "yearly_income").alias("debt_to_income"),
+                    C.nullif_ratio("yearly_income", "num_credit_cards").alias("income_per_card"))
+
+
+@register("impute_errors", O.with_(["txn"], """
+SELECT transaction_id, card_id, coalesce(errors, 'No error') AS errors FROM txn"""))
+def q_impute_errors(spark, d):
+    """C9."""
+    t = AD.txn(spark, d, ["transaction_id", "card_id", "errors"])
+    return t.select("transaction_id", "card_id", C.impute_errors("errors").alias("errors"))
+
+
+@register("required_keys_filter", O.with_(["txn"], """
+SELECT merchant_state, count(*) AS txn_count FROM txn
+WHERE client_id IS NOT NULL AND card_id IS NOT NULL AND amount_usd IS NOT NULL AND date IS NOT NULL
+  AND merchant_state IS NOT NULL
+GROUP BY merchant_state"""))
+def q_required_keys_filter(spark, d):
+    """F1 (required keys) then F8 (NULL group keys dropped)."""
+    t = AD.txn(spark, d, ["client_id", "card_id", "amount_usd", "date", "merchant_state"])
+    t = t.dropna(subset=["client_id", "card_id", "amount_usd", "date"])
+    return t.where(F.col("merchant_state").isNotNull()).groupBy("merchant_state").agg(
+        F.count(F.lit(1)).alias("txn_count"))
+
+
+# ---------------------------------------------------------------- quality
+
+def _missing_sql() -> str:
+    cols = list(AD.TXN_COLUMNS)
+    parts = []
+    for i, c in enumerate(cols):
+        nan = f" OR isnan({c})" if c == "amount_usd" else ""
+        parts.append(f"SELECT '{c}' AS column, {i} AS position, CAST(count_if({c} IS NULL{nan}) AS BIGINT) AS missing FROM txn")
+    return O.with_(["txn"], "\nUNION ALL\n".join(parts)).replace(" AS column,", ' AS "column",')
+
+
+@register("missing_report", _missing_sql())
+def q_missing_report(spark, d):
+    """Missing values per column of the transactions."""
+    return QL.missing_report(AD.txn(spark, d))
+
+
+PROFILE_TYPES = {"transaction_id": "bigint", "date": "timestamp_ntz", "client_id": "bigint", "card_id": "bigint",
+                 "amount_usd": "double", "transaction_type": "string", "merchant_id": "bigint",
+                 "merchant_city": "string", "merchant_state": "string", "mcc": "int", "errors": "string"}
+
+
+@register("table_profile", O.with_(["txn"], "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", '{t}' AS type, count({c}) AS non_null FROM txn" for c, t in PROFILE_TYPES.items())))
+def q_table_profile(spark, d):
+    """Column, type, non-null count."""
+    return QL.profile(AD.txn(spark, d))
+
+
+# ---------------------------------------------------------------- joins
+
+@register("label_join", O.with_(["txn", "labels_in"], """
+SELECT t.transaction_id, t.card_id, t.amount_usd, l.fraud
+FROM txn t LEFT JOIN labels_in l ON t.card_id = l.id"""))
+def q_label_join(spark, d):
+    """J7 (labels keyed by card id, as transaction ids repeat in the adapter)."""
+    t = AD.txn(spark, d, ["transaction_id", "card_id", "amount_usd"])
+    return ML.label_join(t, AD.labels_in(spark, d), txn_key="card_id")
+
+
+@register("mcc_lookup", O.with_(["txn", "mcc_codes"], f"""
+SELECT m.*, c.description FROM ({MCC_BODY}) m LEFT JOIN mcc_codes c ON m.mcc = c.id"""))
+def q_mcc_lookup(spark, d):
+    """J8 + G5."""
+    t = AD.txn(spark, d, ["mcc", "client_id", "amount_usd"])
+    return rounded(A.mcc_aggregate(t, AD.mcc_codes(spark, d)), STD6)
+
+
+# ---------------------------------------------------------------- models
+
+def _user_features(spark, d):
+    ua = enriched_user_agg(spark, d)
+    return ua, ML.feature_columns(ua)
+
+
+def _z_sql() -> str:
+    cols = ML.DEFAULT_FEATURES
+    z = ",\n       ".join(
+        f"round(CASE WHEN stddev_pop({c}) OVER () = 0 THEN 0.0 ELSE ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () "
+        f"END, 6) AS {c}" for c in cols)
+    return O.with_(["txn", "users", "cards"], f"SELECT user_id,\n       {z}\nFROM ({_enriched_body(False)})")
+
+
+@register("standardised_features", _z_sql())
+def q_standardised_features(spark, d):
+    """M1: z-scores of the model features (population std, as scikit-learn)."""
+    ua, cols = _user_features(spark, d)
+    z = ST.standardise(ua.select("user_id", *cols), cols)
+    return rounded(z, {c: 6 for c in cols})
+
+
+def _impute_sql() -> str:
+    cols = ML.DEFAULT_FEATURES
+    z = ",\n       ".join(f"round(CAST(coalesce({c}, avg({c}) OVER ()) AS DOUBLE), 6) AS {c}" for c in cols)
+    return O.with_(["txn", "users", "cards"], f"SELECT user_id,\n       {z}\nFROM ({_enriched_body(False)})")
+
+
+@register("imputed_features", _impute_sql())
+def q_imputed_features(spark, d):
+    """M4: mean imputation of the model features."""
+    ua, cols = _user_features(spark, d)
+    return rounded(ML.impute(ua.select("user_id", *cols), cols, "mean"), {c: 6 for c in cols})
+
+
+@register("pca_projection")
+def q_pca_projection(spark, d):
+    """M5: first two principal components of the standardised features."""
+    ua, cols = _user_features(spark, d)
+    return ML.pca_projection(ua, cols, "user_id", 2)
+
+
+@register("kmeans_clusters")
+def q_kmeans_clusters(spark, d):
+    """M6: k-means (k=4) cluster per user."""
+    ua, cols = _user_features(spark, d)
+    return ML.kmeans_clusters(ua, cols, "user_id", 4)
+
+
+def anomaly_frame(spark, d) -> DataFrame:
+    ua, cols = _user_features(spark, d)
+    model = IF.IsolationForest(num_trees=200, sample_size=256, contamination=0.02, seed=42).fit(ua, cols, "user_id")
+    return model.transform(ua.select("user_id", "amount_mean", *[c for c in cols if c != "amount_mean"]))
+
+
+@register("anomaly_scores")
+def q_anomaly_scores(spark, d):
+    """M2, M3: isolation-forest decision score and label per user."""
+    return anomaly_frame(spark, d).select("user_id", "anomaly_score", "anomaly")
+
+
+@register("anomaly_summary")
+def q_anomaly_summary(spark, d):
+    """G33."""
+    return IF.anomaly_summary(anomaly_frame(spark, d))
+
+
+@register("anomaly_amount_by_label")
+def q_anomaly_amount_by_label(spark, d):
+    """Quartiles of the mean amount per anomaly label (violin body in kde form elsewhere)."""
+    a = anomaly_frame(spark, d).withColumn("label", C.anomaly_label("anomaly"))
+    return ST.describe_by(a, "amount_mean", "label")
+
+
+@register("anomaly_histogram")
+def q_anomaly_histogram(spark, d):
+    """60-bin histogram of the decision scores."""
+    return ST.histogram(anomaly_frame(spark, d), "anomaly_score", 60)
