@@ -83,6 +83,17 @@ def user_attributes(users: DataFrame, names: tuple = USER_ATTRS) -> DataFrame:
 
 # ---------------------------------------------------------------- G1 user aggregate
 
+def median_per_group(df: DataFrame, key: str, value: str, out: str, strategy: str = "builtin") -> DataFrame:
+    """Exact (``builtin``: per-group value map; ``distributed``: window over distinct values) or
+    ``approx`` (fixed-size sketch) median of ``value`` per ``key``; NULL keys dropped."""
+    d = df.where(F.col(key).isNotNull()).select(key, F.col(value).cast("double").alias(value))
+    if strategy == "distributed":
+        return exact_quantile(d, value, 0.5, [key], out)
+    if strategy == "approx":
+        return d.groupBy(key).agg(F.percentile_approx(value, 0.5, 10000).cast("double").alias(out))
+    return d.groupBy(key).agg(F.median(value).alias(out))
+
+
 def user_aggregate(txn: DataFrame, users: DataFrame | None = None, cards: DataFrame | None = None, *,
                    median: str = "builtin", approx_distinct: bool = False, sort: bool = False) -> DataFrame:
     """G1 (+G6, G7, G8, C12, C20, C21, J2, J3, G9).
@@ -106,19 +117,17 @@ def user_aggregate(txn: DataFrame, users: DataFrame | None = None, cards: DataFr
             "unique_merchants"
         ),
     ]
-    if median == "builtin":
-        aggs.append(F.median(F.col(amt).cast("double")).alias("amount_median"))
-    elif median == "approx":
-        aggs.append(F.percentile_approx(F.col(amt).cast("double"), 0.5, 10000).cast("double").alias("amount_median"))
     if has_err:
         aggs.append(F.count("errors").alias("_nerr"))
     if chip:
         aggs.append(F.count_if(C.contains_chip(chip)).alias("_nchip"))
+    # Sums, counts and the distinct count stay in one codegen'd HashAggregate (Spark plans the
+    # distinct as a (user, merchant) pre-aggregation).  The median needs a value map per
+    # group; kept in the same aggregate it would be pushed down to every (user, merchant)
+    # pair, so it runs as its own aggregation and is joined back on the user key (both
+    # sides are already hash-partitioned by it).
     g = t.groupBy("client_id").agg(*aggs)
-    if median == "distributed":
-        med = exact_quantile(t.select("client_id", F.col(amt).cast("double").alias(amt)), amt, 0.5,
-                             ["client_id"], "amount_median")
-        g = g.join(med, "client_id", "left")
+    g = g.join(median_per_group(t, "client_id", amt, "amount_median", median), "client_id", "left")
     span = C.whole_days_between("first_txn_date", "last_txn_date")
     cols = [
         F.col("client_id").alias("user_id"),
@@ -170,16 +179,32 @@ def mode_per_group(df: DataFrame, key: str, value: str, out: str | None = None)
     return counts.groupBy(key).agg(best.getField("v").alias(out or value))
 
 
+def distinct_count(df: DataFrame, key: str, col: str, out: str, approx: bool = False) -> DataFrame:
+    """Distinct non-null ``col`` values per ``key``: dedupe (key, col) pairs, then count.
+
+    The pairs shuffle on (key, col), so a hot key is spread over many tasks;
+    the final count is partially aggregated."""
+    d = df.where(F.col(key).isNotNull())
+    if approx:
+        return d.groupBy(key).agg(F.approx_count_distinct(col).alias(out))
+    pairs = d.where(F.col(col).isNotNull()).select(key, col).distinct()
+    return pairs.groupBy(key).agg(F.count(F.lit(1)).alias(out))
+
+
 def merchant_aggregate(txn: DataFrame, *, approx_distinct: bool = False, sort: bool = False) -> DataFrame:
+    """G3 (+G4, G8).  Two distinct counts as separate pair aggregations rather than one
+    ``Expand`` that would triple every row before the shuffle; all parts come out
+    hash-partitioned by merchant and are joined without another exchange."""
     t = txn.where(F.col("merchant_id").isNotNull())
-    nd = F.approx_count_distinct if approx_distinct else F.countDistinct
-    g = t.groupBy("merchant_id").agg(
-        *_money_aggs("amount_usd"),
-        nd("client_id").alias("unique_customers"),
-        nd("card_id").alias("unique_cards"),
-        F.count(F.lit(1)).alias("txn_count"),
-    )
-    out = g.select("merchant_id", *_money_cols(), "unique_customers", "unique_cards", "txn_count")
+    g = t.groupBy("merchant_id").agg(*_money_aggs("amount_usd"), F.count(F.lit(1)).alias("txn_count"))
+    out = g.select("merchant_id", *_money_cols(), "txn_count")
+    out = out.join(distinct_count(t, "merchant_id", "client_id", "unique_customers", approx_distinct),
+                   "merchant_id", "left")
+    out = out.join(distinct_count(t, "merchant_id", "card_id", "unique_cards", approx_distinct),
+                   "merchant_id", "left")
+    out = out.select("merchant_id", "amount_sum", "amount_mean", "amount_std",
+                     F.coalesce("unique_customers", F.lit(0)).alias("unique_customers"),
+                     F.coalesce("unique_cards", F.lit(0)).alias("unique_cards"), "txn_count")
     if "merchant_city" in t.columns:
         out = out.join(mode_per_group(t, "merchant_id", "merchant_city"), "merchant_id", "left")
     return out.orderBy(F.desc("txn_count"), "merchant_id") if sort else out

@@ -35,7 +35,6 @@ from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
-from .ml import impute
 from .quantiles import exact_quantile
 
 EULER_GAMMA = 0.5772156649015329
@@ -194,34 +193,49 @@ class IsolationForest:
         self.contamination = contamination
         self.seed = seed
 
-    def fit(self, df: DataFrame, features: list[str], key: str) -> IsolationForestModel:
-        x = df.select(key, *[F.col(c).cast("double").alias(c) for c in features])
+    def _prepare(self, df: DataFrame, features: list[str], key: str, keep: list[str]) -> DataFrame:
+        """Project the features once and write them to the checkpoint folder: every later pass
+        (moments, sampling, scoring, offset) reads that copy instead of re-running the upstream
+        plan, lineage is cut, and a lost executor only loses re-readable blocks."""
+        ensure_checkpoint_dir(df.sparkSession)
+        extra = [c for c in keep if c not in features and c != key]
+        return df.select(key, *extra, *[F.col(c).cast("double").alias(c) for c in features]).checkpoint()
+
+    def _fit(self, x: DataFrame, features: list[str], key: str) -> IsolationForestModel:
         stats = x.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in features]).first()
         n = int(stats["_n"])
         if n == 0:
             raise ValueError("cannot fit on an empty DataFrame")
         means = [float(stats[c]) if stats[c] is not None else 0.0 for c in features]
-        # the feature table feeds four passes (sampling, scoring, quantile); write it to the
-        # shared checkpoint folder once: cuts lineage and survives lost executors
-        ensure_checkpoint_dir(df.sparkSession)
-        x = impute(x, features, "mean").checkpoint()
         psi = min(self.sample_size, n)
         max_depth = int(math.ceil(math.log2(max(psi, 2))))
         # expected candidates per tree: 1.5 psi + 10 standard deviations of slack
         p = min(1.0, (1.5 * psi + 10.0 * math.sqrt(psi)) / n)
         trees = F.filter(F.sequence(F.lit(0), F.lit(self.num_trees - 1)),
                          lambda t: _uniform(F.col(key), t, self.seed) < F.lit(p))
-        cand = x.select("*", F.explode(trees).alias("tree_id")).withColumn(
+        filled = x.select(key, *[F.coalesce(F.col(c), F.lit(m)).alias(c) for c, m in zip(features, means)])
+        cand = filled.select("*", F.explode(trees).alias("tree_id")).withColumn(
             "_u", _uniform(F.col(key), F.col("tree_id"), self.seed)).withColumn("_key", F.col(key).cast("string"))
         nodes = cand.groupBy("tree_id").applyInPandas(_builder(features, psi, max_depth, self.seed), NODE_SCHEMA)
         nodes_pd = nodes.toPandas()  # bounded: <= num_trees x (2 psi - 1) rows
         model = IsolationForestModel(nodes_pd, list(features), means, psi, self.num_trees,
                                      contamination=self.contamination)
         scored = model.score_samples(x.select(key, *features))
-        q = exact_quantile(scored, "score", self.contamination, out="offset").first()
+        # scores are continuous (nearly all distinct): rank rows directly, no value pre-count
+        q = exact_quantile(scored, "score", self.contamination, out="offset", dedupe=False).first()
         model.offset = float(q["offset"])
         return model
 
+    def fit(self, df: DataFrame, features: list[str], key: str) -> IsolationForestModel:
+        return self._fit(self._prepare(df, features, key, []), features, key)
+
+    def fit_transform(self, df: DataFrame, features: list[str], key: str, keep: list[str] = ()
+                      ) -> tuple[IsolationForestModel, DataFrame]:
+        """Fit and label the training rows from one checkpointed copy; ``keep`` carries extra columns."""
+        x = self._prepare(df, features, key, list(keep))
+        model = self._fit(x, features, key)
+        return model, model.transform(x)
+
 
 def anomaly_summary(scored: DataFrame) -> DataFrame:
     """Number and share (%) of rows labelled -1."""

@@ -11,10 +11,10 @@ DataFrame steps:
 * grouped case: a running sum of the counts over ``Window.partitionBy(keys)``
   ordered by value gives each distinct value its rank range; the window works
   on *distinct* values (bounded by the value domain, e.g. cents) and spills;
-* global case: the distinct values are range-partitioned, per-partition totals
-  (one row per partition: a proven bound) are turned into offsets and
-  broadcast, and running sums are taken per partition - no single task ever
-  sees all values.
+* global case: values are put into range buckets (boundaries from a
+  fixed-size sketch), per-bucket totals (one row per bucket: a proven bound)
+  are turned into offsets and broadcast, and running sums are taken per
+  bucket - no single task ever sees all values.
 """
 
 from __future__ import annotations
@@ -53,15 +53,21 @@ def _interp(out: str):
 
 
 def exact_quantile(df: DataFrame, value: str, q: float, keys: list[str] | tuple = (), out: str = "quantile",
-                   partitions: int | None = None) -> DataFrame:
+                   partitions: int | None = None, dedupe: bool = True) -> DataFrame:
     """Exact ``q``-quantile of ``value`` per ``keys`` (one row per group; one row overall if no keys).
 
     Nulls/NaN are ignored; an empty input gives NULL (global) or no row (grouped).
+    ``dedupe`` first counts repeated values (money: many repeats); pass False for
+    continuous values, where the pre-count would only add a shuffle.
     """
     if not 0.0 <= q <= 1.0:
         raise ValueError("q must be in [0, 1]")
     keys = list(keys)
-    counted = df.where(_clean(df, value)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(_C))
+    clean = df.where(_clean(df, value))
+    if dedupe:
+        counted = clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(_C))
+    else:
+        counted = clean.select(*keys, value, F.lit(1).cast("long").alias(_C))
     if keys:
         w_run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         w_all = Window.partitionBy(*keys)
@@ -70,10 +76,16 @@ def exact_quantile(df: DataFrame, value: str, q: float, keys: list[str] | tuple
 
     spark = df.sparkSession
     nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counted.repartitionByRange(nparts, value).withColumn("_q_pid", F.spark_partition_id())
+    # Bucket = number of approximate range boundaries below the value: a pure function of
+    # the value (stable under retries and AQE), monotone, so buckets hold contiguous ranges.
+    # The boundaries are one row of nparts-1 numbers (bounded), broadcast.
+    fracs = [i / nparts for i in range(1, nparts)] or [0.5]
+    bounds = clean.agg(F.percentile_approx(F.col(value).cast("double"), fracs, 10000).alias("_q_b"))
+    ranged = counted.crossJoin(F.broadcast(bounds)).withColumn(
+        "_q_pid", F.size(F.filter("_q_b", lambda b: b < F.col(value).cast("double")))).drop("_q_b")
     per_part = ranged.groupBy("_q_pid").agg(F.sum(_C).alias("_q_pc"))
     w_off = Window.orderBy("_q_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition: bounded by the partition count, safe to broadcast
+    # one row per bucket: bounded by the bucket count, safe to broadcast
     offsets = per_part.select(
         "_q_pid",
         F.coalesce(F.sum("_q_pc").over(w_off), F.lit(0)).alias("_q_off"),

@@ -41,6 +41,9 @@ def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
 
 
 STD6 = {"amount_std": 6, "amount_median": 6}
+# Columns each family of queries reads: the adapter joins only the dimensions these need.
+USER_COLS = ["client_id", "amount_usd", "date", "merchant_id", "errors", "transaction_type"]
+SQL_STYLE_COLS = ["client_id", "card_id", "amount_usd", "date", "errors", "transaction_type"]
 
 # ---------------------------------------------------------------- aggregates
 
@@ -66,7 +69,7 @@ GROUP BY client_id""")
 @register("user_agg", USER_AGG_SQL)
 def q_user_agg(spark: SparkSession, d: str) -> DataFrame:
     """G1, G6, G7, G8, C12, C13, C20, C21, J1."""
-    return rounded(A.user_aggregate(AD.txn(spark, d)), STD6)
+    return rounded(A.user_aggregate(AD.txn(spark, d, USER_COLS)), STD6)
 
 
 def _user_agg_body(rnd: bool = True) -> str:
@@ -102,7 +105,7 @@ LEFT JOIN ({CARD_AGG_BODY}) ca ON ua.user_id = ca.user_id"""
 
 
 def enriched_user_agg(spark: SparkSession, d: str) -> DataFrame:
-    return A.user_aggregate(AD.txn(spark, d), AD.users(spark, d), AD.cards(spark, d))
+    return A.user_aggregate(AD.txn(spark, d, USER_COLS), AD.users(spark, d), AD.cards(spark, d))
 
 
 @register("user_agg_enriched", O.with_(["txn", "users", "cards"], _enriched_body()))
@@ -208,7 +211,7 @@ def _with_sql_style(body: str) -> str:
 
 
 def sql_style_user_agg(spark, d):
-    return A.user_aggregate_inner(AD.txn(spark, d), AD.users(spark, d), AD.cards(spark, d))
+    return A.user_aggregate_inner(AD.txn(spark, d, SQL_STYLE_COLS), AD.users(spark, d), AD.cards(spark, d))
 
 
 @register("user_agg_sql_style", _with_sql_style(SQL_STYLE_BODY + "\nSELECT * FROM ub"))
@@ -270,7 +273,7 @@ UNION ALL SELECT 'cards', 'cards_on_dark_web', round(CAST(count(*) AS DOUBLE), 6
 UNION ALL SELECT 'users', 'unique_users', round(CAST(count(DISTINCT user_id) AS DOUBLE), 6) FROM ub"""))
 def q_dataset_summary_sql_style(spark, d):
     """G13, F7, G35 (summary() without the optional anomaly rows)."""
-    t = A.sql_style_transactions(AD.txn(spark, d))
+    t = A.sql_style_transactions(AD.txn(spark, d, SQL_STYLE_COLS))
     return rounded(R.dataset_summary_sql_style(t, AD.cards(spark, d), sql_style_user_agg(spark, d)), {"value": 6})
 
 
@@ -837,8 +840,8 @@ def q_kmeans_clusters(spark, d):
 
 def anomaly_frame(spark, d) -> DataFrame:
     ua, cols = _user_features(spark, d)
-    model = IF.IsolationForest(num_trees=200, sample_size=256, contamination=0.02, seed=42).fit(ua, cols, "user_id")
-    return model.transform(ua.select("user_id", "amount_mean", *[c for c in cols if c != "amount_mean"]))
+    est = IF.IsolationForest(num_trees=200, sample_size=256, contamination=0.02, seed=42)
+    return est.fit_transform(ua, cols, "user_id", keep=["amount_mean"])[1]
 
 
 @register("anomaly_scores")
