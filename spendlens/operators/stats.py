@@ -45,17 +45,25 @@ def _finite(c):
 
 # ---------------------------------------------------------------- histograms
 
-def _bin_index(x, lo, hi, bins: int):
-    """NumPy ``histogram`` bin of x for edges ``linspace(lo, hi, bins+1)``."""
-    step = (hi - lo) / F.lit(float(bins))
+def _with_bin(df: DataFrame, x: str, lo: str, hi: str, bins: int, out: str = "bin") -> DataFrame:
+    """Add NumPy's ``histogram`` bin of ``x`` for edges ``linspace(lo, hi, bins+1)``.
+
+    Estimate ``floor((x-lo)/(hi-lo)*bins)``, then correct by one against the
+    exact edges ``i*step + lo`` (the last edge is ``hi``; the last bin is
+    closed).  Each step is its own projection: Catalyst keeps a column that a
+    later step uses several times instead of inlining (and repeating) it.
+    """
+    X, LO, HI = F.col(x), F.col(lo), F.col(hi)
+    step = (HI - LO) / F.lit(float(bins))
 
     def edge(i):
-        return F.when(i >= F.lit(bins), hi).otherwise(i.cast("double") * step + lo)
+        return F.when(i >= F.lit(bins), HI).otherwise(i.cast("double") * step + LO)
 
-    raw = ((x - lo) / (hi - lo) * F.lit(float(bins))).cast("int")
-    i0 = F.when(raw >= bins, F.lit(bins - 1)).otherwise(raw)
-    i1 = F.when(x < edge(i0), i0 - 1).otherwise(i0)
-    return F.when((x >= edge(i1 + 1)) & (i1 != bins - 1), i1 + 1).otherwise(i1)
+    raw = ((X - LO) / (HI - LO) * F.lit(float(bins))).cast("int")
+    d = df.withColumn("_b0", F.least(raw, F.lit(bins - 1)))
+    d = d.withColumn("_b1", F.when(X < edge(F.col("_b0")), F.col("_b0") - 1).otherwise(F.col("_b0")))
+    up = (X >= edge(F.col("_b1") + 1)) & (F.col("_b1") != bins - 1)
+    return d.withColumn(out, F.when(up, F.col("_b1") + 1).otherwise(F.col("_b1"))).drop("_b0", "_b1")
 
 
 def _bounds(lo, hi):
@@ -80,8 +88,7 @@ def histograms(df: DataFrame, cols: list[str], bins: int) -> DataFrame:
     lo, hi = _bounds(F.col("_lo"), F.col("_hi"))
     b = b.select("feature", lo.alias("_lo"), hi.alias("_hi"))
     counted = (
-        long_.join(F.broadcast(b), "feature")
-        .select("feature", _bin_index(F.col("x"), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
+        _with_bin(long_.join(F.broadcast(b), "feature"), "x", "_lo", "_hi", bins)
         .groupBy("feature", "bin")
         .agg(F.count(F.lit(1)).alias("frequency"))
     )
@@ -178,33 +185,60 @@ def kde(df: DataFrame, value: str, by: str | None = None, grid: int = 200, cut:
 CONSTANT_RTOL = 1e-10
 
 
-def _pair_moments(cols: list[str], means: list[float]):
-    """Per-partition sufficient statistics of every column pair (pairwise-complete)."""
+def _pair_moments(cols: list[str]):
+    """Per-partition centred moments of every column pair (pairwise-complete).
+
+    For each pair (i, j), over rows where both are present: n, the two means,
+    the two sums of squared deviations and the co-deviation.  Batches are
+    merged with the parallel formulas of Chan, Golub & LeVeque, so each
+    partition emits k x k rows whatever its size.
+    """
     import numpy as np
     import pandas as pd
 
     k = len(cols)
-    mu = np.asarray(means, dtype="float64")
+
+    def batch_moments(x):
+        m = ~np.isnan(x)
+        shift = np.where(m.any(axis=0), np.nanmean(np.where(m, x, np.nan), axis=0), 0.0)
+        xs = np.where(m, x - shift, 0.0)
+        mf = m.astype("float64")
+        n = mf.T @ mf
+        sa = xs.T @ mf                      # sa[i, j]: sum of column i over rows where i and j are present
+        saa = (xs * xs).T @ mf
+        sab = xs.T @ xs
+        with np.errstate(invalid="ignore", divide="ignore"):
+            da = np.where(n > 0, sa / n, 0.0)
+            db = da.T
+            ma = shift[:, None] + da
+            mb = shift[None, :] + db
+            m2a = np.maximum(saa - n * da * da, 0.0)
+            m2b = m2a.T
+            cab = sab - n * da * db
+        return n, ma, mb, m2a, m2b, cab
+
+    def merge(a, b):
+        n1, ma1, mb1, m2a1, m2b1, c1 = a
+        n2, ma2, mb2, m2a2, m2b2, c2 = b
+        n = n1 + n2
+        with np.errstate(invalid="ignore", divide="ignore"):
+            w = np.where(n > 0, n2 / n, 0.0)
+        dxa, dxb = ma2 - ma1, mb2 - mb1
+        return (n, ma1 + dxa * w, mb1 + dxb * w, m2a1 + m2a2 + dxa * dxa * n1 * w,
+                m2b1 + m2b2 + dxb * dxb * n1 * w, c1 + c2 + dxa * dxb * n1 * w)
 
     def run(batches):
-        n = np.zeros((k, k))
-        sa = np.zeros((k, k))
-        saa = np.zeros((k, k))
-        sab = np.zeros((k, k))
+        acc = None
         for pdf in batches:
-            x = pdf[cols].to_numpy(dtype="float64", na_value=np.nan) - mu
-            m = ~np.isnan(x)
-            xz = np.where(m, x, 0.0)
-            mf = m.astype("float64")
-            n += mf.T @ mf
-            sa += xz.T @ mf
-            saa += (xz * xz).T @ mf
-            sab += xz.T @ xz
+            cur = batch_moments(pdf[cols].to_numpy(dtype="float64", na_value=np.nan))
+            acc = cur if acc is None else merge(acc, cur)
+        if acc is None:
+            return
         ii, jj = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
-        yield pd.DataFrame({
-            "i": ii.ravel().astype("int32"), "j": jj.ravel().astype("int32"), "n": n.ravel(), "sa": sa.ravel(),
-            "sb": sa.T.ravel(), "saa": saa.ravel(), "sbb": saa.T.ravel(), "sab": sab.ravel(),
-        })
+        names = ["n", "ma", "mb", "m2a", "m2b", "cab"]
+        data = {"i": ii.ravel().astype("int32"), "j": jj.ravel().astype("int32")}
+        data.update({nm: arr.ravel() for nm, arr in zip(names, acc)})
+        yield pd.DataFrame(data)
 
     return run
 
@@ -212,41 +246,43 @@ def _pair_moments(cols: list[str], means: list[float]):
 def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson matrix in long form (col_a, col_b, r, n).
 
-    Pass 1 is a one-row aggregate of column means (k numbers).  Pass 2 runs
-    per partition with NumPy on mean-centred values and emits k x k partial
-    moment sums (pairwise non-null masks), which a ``groupBy(i, j)`` adds up:
-    the shuffle carries k^2 rows per partition whatever the row count.
-    ``r`` is NULL where a column is constant over the rows shared with its
-    partner (spread below ``CONSTANT_RTOL`` of its magnitude); plain ``corr``
-    would raise under ANSI or return rounding noise there.
+    One pass over the data: an Arrow-batched ``mapInPandas`` emits k x k
+    centred partial moments per partition (NumPy, pairwise non-null masks);
+    they are merged across partitions with the same parallel formulas on a
+    table of (partitions x k^2) rows.  ``r`` is NULL where a column is
+    constant over the rows shared with its partner (spread below
+    ``CONSTANT_RTOL`` of its magnitude); plain ``corr`` would raise under
+    ANSI or return rounding noise there.
     """
     cols = cols or numeric_columns(df)
     spark = df.sparkSession
-    k = len(cols)
     x = df.select(*[_finite(F.col(c).cast("double")).alias(c) for c in cols])
-    row = x.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    means = [row[c] if row[c] is not None else 0.0 for c in cols]
-    schema = "i int, j int, n double, sa double, sb double, saa double, sbb double, sab double"
-    parts = x.mapInPandas(_pair_moments(cols, means), schema)
-    m = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    schema = "i int, j int, n double, ma double, mb double, m2a double, m2b double, cab double"
+    parts = x.mapInPandas(_pair_moments(cols), schema).where(F.col("n") > 0)
+    tot = parts.groupBy("i", "j").agg(
+        F.sum("n").alias("_N"), (F.sum(F.col("n") * F.col("ma")) / F.sum("n")).alias("_MA"),
+        (F.sum(F.col("n") * F.col("mb")) / F.sum("n")).alias("_MB"))
+    # (pairs) rows: bounded by k^2, broadcast back onto the (partitions x k^2) partials
+    j = parts.join(F.broadcast(tot), ["i", "j"])
+    da, db = F.col("ma") - F.col("_MA"), F.col("mb") - F.col("_MB")
+    m = j.groupBy("i", "j").agg(
+        F.first("_N").alias("n"), F.first("_MA").alias("mean_a"), F.first("_MB").alias("mean_b"),
+        F.sum(F.col("m2a") + F.col("n") * da * da).alias("m2a"),
+        F.sum(F.col("m2b") + F.col("n") * db * db).alias("m2b"),
+        F.sum(F.col("cab") + F.col("n") * da * db).alias("cab"))
     n = F.col("n")
-    ma, mb = F.col("sa") / n, F.col("sb") / n
-    va = F.greatest(F.col("saa") / n - ma * ma, F.lit(0.0))
-    vb = F.greatest(F.col("sbb") / n - mb * mb, F.lit(0.0))
-    cov = F.col("sab") / n - ma * mb
-    # magnitudes of the uncentred values: centre shift + pair mean
-    names = spark.createDataFrame([(i, c, float(means[i])) for i, c in enumerate(cols)], "idx int, name string, mu double")
-    a_ = F.broadcast(names.select(F.col("idx").alias("i"), F.col("name").alias("col_a"), F.col("mu").alias("mu_a")))
-    b_ = F.broadcast(names.select(F.col("idx").alias("j"), F.col("name").alias("col_b"), F.col("mu").alias("mu_b")))
-    j = m.join(a_, "i").join(b_, "j")
-    sda, sdb = F.sqrt(va), F.sqrt(vb)
-    const_a = (n == 0) | (sda <= F.lit(CONSTANT_RTOL) * F.abs(ma + F.col("mu_a")))
-    const_b = (n == 0) | (sdb <= F.lit(CONSTANT_RTOL) * F.abs(mb + F.col("mu_b")))
+    sda, sdb = F.sqrt(F.col("m2a") / n), F.sqrt(F.col("m2b") / n)
+    const_a = sda <= F.lit(CONSTANT_RTOL) * F.abs(F.col("mean_a"))
+    const_b = sdb <= F.lit(CONSTANT_RTOL) * F.abs(F.col("mean_b"))
     r = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(
-        F.least(F.greatest(cov / (sda * sdb), F.lit(-1.0)), F.lit(1.0)))
+        F.least(F.greatest(F.col("cab") / F.sqrt(F.col("m2a") * F.col("m2b")), F.lit(-1.0)), F.lit(1.0)))
     r = F.when(const_a | const_b | (sda == 0) | (sdb == 0), F.lit(None).cast("double")).otherwise(r)
-    del k
-    return j.select("col_a", "col_b", r.alias("r"), n.cast("long").alias("n"))
+    names = spark.createDataFrame(list(enumerate(cols)), "idx int, name string")
+    a_ = F.broadcast(names.select(F.col("idx").alias("i"), F.col("name").alias("col_a")))
+    b_ = F.broadcast(names.select(F.col("idx").alias("j"), F.col("name").alias("col_b")))
+    full = a_.crossJoin(b_)  # k^2 cells, so that all-null pairs still appear (n = 0, r NULL)
+    out = full.join(m.select("i", "j", r.alias("r"), n.cast("long").alias("n")), ["i", "j"], "left")
+    return out.select("col_a", "col_b", "r", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # ---------------------------------------------------------------- M1 standardisation
