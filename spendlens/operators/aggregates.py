@@ -95,12 +95,13 @@ def median_per_group(df: DataFrame, key: str, value: str, out: str, strategy: st
 
 
 def user_aggregate(txn: DataFrame, users: DataFrame | None = None, cards: DataFrame | None = None, *,
-                   median: str = "builtin", approx_distinct: bool = False, sort: bool = False) -> DataFrame:
+                   median: str = "distributed", approx_distinct: bool = False, sort: bool = False) -> DataFrame:
     """G1 (+G6, G7, G8, C12, C20, C21, J2, J3, G9).
 
-    ``median``: ``builtin`` (exact, per-group value map; bounded by distinct
-    amounts of a user), ``distributed`` (exact, window on distinct values) or
-    ``approx`` (fixed-size sketch).
+    ``median``: ``distributed`` (exact; ranks a user's distinct amounts in a
+    spillable window, so even a user holding a third of all rows only costs a
+    sort), ``builtin`` (exact ``median``: an in-memory value map per user,
+    faster for small groups) or ``approx`` (fixed-size sketch).
     """
     amt = "amount_usd"
     t = txn.where(F.col("client_id").isNotNull())

@@ -164,15 +164,15 @@ def dataset_summary(txn: DataFrame) -> DataFrame:
     t = txn.select("client_id", "card_id", "merchant_id", "mcc", amt.alias("amount"))
     base = t.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.countDistinct("client_id").alias("users"),
-        F.countDistinct("card_id").alias("cards"),
         C.mean_from(C.exact_sum("amount"), F.count("amount")).alias("mean"),
         F.stddev_samp("amount").alias("std"),
         F.min("amount").alias("min"),
         F.max("amount").alias("max"),
-        F.countDistinct("merchant_id").alias("merchants"),
-        F.countDistinct("mcc").alias("mccs"),
     )
+    # One single-column aggregate per distinct count: each reads one column and dedupes it
+    # with map-side partial aggregation, instead of one Expand that copies every row per count.
+    for col, name in (("client_id", "users"), ("card_id", "cards"), ("merchant_id", "merchants"), ("mcc", "mccs")):
+        base = base.crossJoin(t.agg(F.countDistinct(col).alias(name)))
     med = exact_quantile(t, "amount", 0.5, out="median")
     per_user = t.where(F.col("client_id").isNotNull()).groupBy("client_id").agg(F.count(F.lit(1)).alias("n"))
     users = per_user.agg(F.count(F.lit(1)).alias("u_total"), F.avg("n").alias("u_mean"), F.max("n").alias("u_max"))
