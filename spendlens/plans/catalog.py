@@ -867,3 +867,10 @@ def q_anomaly_amount_by_label(spark, d):
 def q_anomaly_histogram(spark, d):
     """60-bin histogram of the decision scores."""
     return ST.histogram(anomaly_frame(spark, d), "anomaly_score", 60)
+
+
+@register("anomaly_amount_density")
+def q_anomaly_amount_density(spark, d):
+    """G34 (violin body): density of the mean amount per anomaly label, 200-point grid."""
+    a = anomaly_frame(spark, d).withColumn("label", C.anomaly_label("anomaly"))
+    return ST.kde(a, "amount_mean", "label")

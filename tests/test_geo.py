@@ -33,3 +33,11 @@ def test_bubble_constant_and_legend(spark):
     leg = {(r["metric"], r["stop"]): r["size"] for r in G.bubble_legend(locs).collect()}
     assert leg[("txn_count", "min")] == 20.0 and leg[("txn_count", "max")] == 800.0
     assert leg[("avg_amount", "mid")] == pytest.approx(20 + (10 ** 0.5 - 2) / 2 * 780)
+
+
+def test_read_city_coords(spark, tmp_path):
+    p = tmp_path / "cities.csv"
+    p.write_text("City,State,lat,lon,population\n Austin ,tx,30.3,-97.7,1\nBoston,MA,42.4,-71.1,2\n")
+    got = {r["city_state"]: (r["lat"], r["lon"]) for r in G.read_city_coords(spark, str(p)).collect()}
+    assert got == {"AUSTIN|TX": (30.3, -97.7), "BOSTON|MA": (42.4, -71.1)}
+    assert G.read_city_coords(spark, str(tmp_path / "missing.csv")).count() == 0
