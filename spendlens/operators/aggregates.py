@@ -226,11 +226,16 @@ def mcc_aggregate(txn: DataFrame, mcc_codes: DataFrame | None = None, *, approx_
     return out.orderBy(F.desc("txn_count"), "mcc") if sort else out
 
 
+# Largest code table broadcast into a lookup join (MCC codes are four digits: 10,000 at most).
+MAX_BROADCAST_CODES = 10_000
+
+
 def mcc_lookup(df: DataFrame, mcc_codes: DataFrame, code_col: str = "mcc") -> DataFrame:
-    """Attach the MCC description.  MCC codes are four digits, so the code
-    table holds at most 10,000 rows: a proven bound, broadcast it."""
+    """Attach the MCC description.  The code table is broadcast after a size check
+    (a count of the small code table); a larger table is joined the ordinary way."""
     codes = mcc_codes.select(F.col("id").alias("_mcc_id"), "description")
-    return df.join(F.broadcast(codes), F.col(code_col) == F.col("_mcc_id"), "left").drop("_mcc_id")
+    side = F.broadcast(codes) if codes.count() <= MAX_BROADCAST_CODES else codes
+    return df.join(side, F.col(code_col) == F.col("_mcc_id"), "left").drop("_mcc_id")
 
 
 # ---------------------------------------------------------------- G10/G11 risk metrics

@@ -62,11 +62,17 @@ def _assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFram
 
 
 def _features(df: DataFrame, cols: list[str], key: str) -> DataFrame:
-    """impute -> standardise -> vector, checkpointed: iterative fits re-read it many times."""
+    """impute -> standardise -> vector for the iterative Spark ML fits.
+
+    The projected features are checkpointed first, so the upstream plan runs
+    once (the imputation and scaling statistics then read the checkpoint); the
+    vectors are checkpointed again because the fit reads them every iteration.
+    """
     from ..session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
-    z = standardise(impute(df.select(key, *cols), cols), cols)
+    x = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).checkpoint()
+    z = standardise(impute(x, cols), cols)
     return _assemble(z, cols).select(key, "features").checkpoint()
 
 

@@ -282,10 +282,9 @@ def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     r = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(
         F.least(F.greatest(F.col("cab") / F.sqrt(F.col("m2a") * F.col("m2b")), F.lit(-1.0)), F.lit(1.0)))
     r = F.when(const_a | const_b | (sda == 0) | (sdb == 0), F.lit(None).cast("double")).otherwise(r)
-    names = spark.createDataFrame(list(enumerate(cols)), "idx int, name string")
-    a_ = F.broadcast(names.select(F.col("idx").alias("i"), F.col("name").alias("col_a")))
-    b_ = F.broadcast(names.select(F.col("idx").alias("j"), F.col("name").alias("col_b")))
-    full = a_.crossJoin(b_)  # k^2 cells, so that all-null pairs still appear (n = 0, r NULL)
+    # all k^2 cells (so that all-null pairs still appear with n = 0, r NULL); k is the column count
+    cells = [(i, j, a, b) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    full = F.broadcast(spark.createDataFrame(cells, "i int, j int, col_a string, col_b string"))
     out = full.join(m.select("i", "j", r.alias("r"), n.cast("long").alias("n")), ["i", "j"], "left")
     return out.select("col_a", "col_b", "r", F.coalesce("n", F.lit(0)).alias("n"))
 
