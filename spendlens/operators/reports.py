@@ -83,6 +83,18 @@ def weekday_counts(txn: DataFrame) -> DataFrame:
     return g.withColumn("dow_label", F.element_at(labels, F.col("txn_dow") + 1))
 
 
+def time_patterns(txn: DataFrame) -> DataFrame:
+    """G16 in one scan: counts per hour and per weekday as GROUPING SETS ((hour), (weekday)).
+
+    Rows carry ``pattern`` = 'hour' or 'weekday' and the other key NULL."""
+    t = txn.where(F.col("date").isNotNull()).select(
+        F.hour("date").alias("txn_hour"), C.weekday_mon0("date").alias("txn_dow"))
+    g = t.groupingSets([["txn_hour"], ["txn_dow"]], "txn_hour", "txn_dow").agg(
+        F.count(F.lit(1)).alias("txn_count"), F.grouping("txn_hour").alias("_gh"))
+    return g.select(F.when(F.col("_gh") == 0, F.lit("hour")).otherwise(F.lit("weekday")).alias("pattern"),
+                    "txn_hour", "txn_dow", "txn_count")
+
+
 def hour_weekday_table(txn: DataFrame) -> DataFrame:
     """(hour, weekday) -> count, mean amount, error count."""
     t = txn.select(

@@ -57,7 +57,7 @@ WHERE n.n_nationkey % 3 <> 0""",
 SELECT r_name AS state, CAST(30 + r_regionkey*4 AS DOUBLE) AS lat, CAST(-120 + r_regionkey*9 AS DOUBLE) AS lon
 FROM region WHERE r_regionkey <> 3""",
     "labels_in": """
-SELECT o_orderkey AS id, o_orderpriority = '1-URGENT' AS fraud FROM orders WHERE o_orderkey % 2 = 0""",
+SELECT o_orderkey AS id, o_orderpriority = '1-URGENT' AS fraud FROM orders WHERE o_orderpriority <> '5-LOW'""",
     "mcc_codes": """
 SELECT p_size AS id, min(p_type) AS description FROM part GROUP BY p_size""",
 }
