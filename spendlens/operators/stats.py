@@ -264,13 +264,15 @@ def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     x = df.select(*[_finite(F.col(c).cast("double")).alias(c) for c in cols])
     schema = "i int, j int, n double, ma double, mb double, m2a double, m2b double, cab double"
     parts = x.mapInPandas(_pair_moments(cols), schema).where(F.col("n") > 0)
-    tot = parts.groupBy("i", "j").agg(
-        F.sum("n").alias("_N"), (F.sum(F.col("n") * F.col("ma")) / F.sum("n")).alias("_MA"),
-        (F.sum(F.col("n") * F.col("mb")) / F.sum("n")).alias("_MB"))
-    # (pairs) rows: bounded by k^2, broadcast back onto the (partitions x k^2) partials
-    j = parts.join(F.broadcast(tot), ["i", "j"])
+    # Global pair means as window aggregates over each (i, j) cell, so the partials are read once
+    # (a join back onto them would run the whole upstream plan a second time).  The window's
+    # exchange on (i, j) also serves the final groupBy; each cell has one row per partition.
+    cell = Window.partitionBy("i", "j")
+    w = parts.select("*", F.sum("n").over(cell).alias("_N"),
+                     (F.sum(F.col("n") * F.col("ma")).over(cell) / F.sum("n").over(cell)).alias("_MA"),
+                     (F.sum(F.col("n") * F.col("mb")).over(cell) / F.sum("n").over(cell)).alias("_MB"))
     da, db = F.col("ma") - F.col("_MA"), F.col("mb") - F.col("_MB")
-    m = j.groupBy("i", "j").agg(
+    m = w.groupBy("i", "j").agg(
         F.first("_N").alias("n"), F.first("_MA").alias("mean_a"), F.first("_MB").alias("mean_b"),
         F.sum(F.col("m2a") + F.col("n") * da * da).alias("m2a"),
         F.sum(F.col("m2b") + F.col("n") * db * db).alias("m2b"),

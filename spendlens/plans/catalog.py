@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
+from ..session import materialize
 from ..sources import adapters as AD
 from . import oracle_sql as O
 
@@ -186,7 +187,8 @@ SELECT e.* EXCLUDE (amount_std, amount_median), round(e.amount_std, 6) AS amount
 FROM e, q""".replace("\n, e AS", ", e AS", 1)))
 def q_risk_metrics(spark, d):
     """G10, G11, C22, C24, C25."""
-    return rounded(A.risk_metrics(enriched_user_agg(spark, d)), {**STD6, "amount_volatility": 6})
+    # two passes over the user table (q75, then the flags): compute it once
+    return rounded(A.risk_metrics(materialize(enriched_user_agg(spark, d))), {**STD6, "amount_volatility": 6})
 
 
 SQL_STYLE_BODY = f"""
@@ -450,7 +452,7 @@ USER_HIST_COLS = ["txn_count", "amount_sum", "amount_mean", "txn_frequency"]
     for c in USER_HIST_COLS)).replace(")\n, ua AS", "),\nua AS", 1))
 def q_user_histograms(spark, d):
     """Four 50-bin histograms of the user aggregate in one pass."""
-    ua = A.user_aggregate(AD.txn(spark, d, ["client_id", "amount_usd", "date", "merchant_id"]))
+    ua = materialize(A.user_aggregate(AD.txn(spark, d, ["client_id", "amount_usd", "date", "merchant_id"])))
     return rounded(ST.histograms(ua, USER_HIST_COLS, 50), {"lo": 6, "hi": 6})
 
 
@@ -566,7 +568,7 @@ FROM k, b GROUP BY k.bin, b.lo, b.hi, b.same, b.adj"""
     ")\n, ua AS", "),\nua AS", 1))
 def q_score_bin_mean(spark, d):
     """Mean amount per credit-score bin (pd.cut, 5 bins)."""
-    return rounded(R.score_bin_mean(enriched_user_agg(spark, d)), {"lo": 6, "hi": 6, "mean": 6})
+    return rounded(R.score_bin_mean(materialize(enriched_user_agg(spark, d))), {"lo": 6, "hi": 6, "mean": 6})
 
 
 @register("age_bin_mean", O.with_(["txn", "users", "cards"], ", ua AS (" + _enriched_body() + ")"
@@ -574,7 +576,7 @@ def q_score_bin_mean(spark, d):
     ")\n, ua AS", "),\nua AS", 1))
 def q_age_bin_mean(spark, d):
     """Mean amount per age bin (pd.cut, 6 bins)."""
-    return rounded(R.age_bin_mean(enriched_user_agg(spark, d)), {"lo": 6, "hi": 6, "mean": 6})
+    return rounded(R.age_bin_mean(materialize(enriched_user_agg(spark, d))), {"lo": 6, "hi": 6, "mean": 6})
 
 
 # ---------------------------------------------------------------- geography
@@ -825,7 +827,7 @@ def _z_sql() -> str:
 def q_standardised_features(spark, d):
     """M1: z-scores of the model features (population std, as scikit-learn)."""
     ua, cols = _user_features(spark, d)
-    z = ST.standardise(ua.select("user_id", *cols), cols)
+    z = ST.standardise(materialize(ua.select("user_id", *cols)), cols)
     return rounded(z, {c: 6 for c in cols})
 
 
@@ -839,7 +841,7 @@ def _impute_sql() -> str:
 def q_imputed_features(spark, d):
     """M4: mean imputation of the model features."""
     ua, cols = _user_features(spark, d)
-    return rounded(ML.impute(ua.select("user_id", *cols), cols, "mean"), {c: 6 for c in cols})
+    return rounded(ML.impute(materialize(ua.select("user_id", *cols)), cols, "mean"), {c: 6 for c in cols})
 
 
 @register("pca_projection")

@@ -53,3 +53,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="spendlens-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df, how: str = "checkpoint"):
+    """Compute ``df`` once for several passes: ``checkpoint`` writes it to the checkpoint folder
+    (reliable, cuts lineage), ``cache`` keeps it in executor memory/disk, ``none`` leaves it lazy."""
+    if how == "checkpoint":
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint()
+    if how == "cache":
+        return df.persist()
+    return df

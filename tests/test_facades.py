@@ -32,7 +32,7 @@ def test_transaction_analysis_reports(spark, cleaned, tmp_path):
 
 
 def test_transaction_analysis_summary_and_top(spark, cleaned):
-    ta = TransactionAnalysis(spark, cleaned, cache=True)
+    ta = TransactionAnalysis(spark, cleaned, materialize="cache")
     summ = {r["metric"]: r["value"] for r in ta.summary_statistics().collect()}
     assert summ["total_transactions"] == ta.transactions.count()
     top = ta.top_items(3)
