@@ -169,31 +169,44 @@ def nan_to_null(c: str | Column) -> Column:
 
 
 # ---------------------------------------------------------------- exact money moments
-# Sums run in exact decimal arithmetic, so the result does not depend on the
-# order rows arrive in (partitioning, AQE, retries); ratios are taken in double.
+# Money is summed as integer cents (LONG): exact, independent of the order rows
+# arrive in (partitioning, AQE, retries), and plain long arithmetic inside
+# codegen - no BigDecimal per row.  A sum converts to dollars once per group;
+# for |sum| < 2^53 cents that double is the correctly rounded value of the exact
+# decimal sum.  Squares (only used for the standard deviation) are summed in
+# double.  Inputs are money with two decimals; ``rint`` recovers the cent count
+# from the binary double.
 
 def cents(c: str | Column) -> Column:
-    return col_(c).cast(CENTS)
+    return F.rint(col_(c).cast("double") * F.lit(100.0)).cast("long")
 
 
 def exact_sum(c: str | Column) -> Column:
+    """Sum in cents (LONG)."""
     return F.sum(cents(c))
 
 
 def exact_sumsq(c: str | Column) -> Column:
-    d = cents(c)
+    """Sum of squared cents (DOUBLE)."""
+    d = cents(c).cast("double")
     return F.sum(d * d)
 
 
+def money(s: str | Column) -> Column:
+    """A cents sum as dollars (DOUBLE)."""
+    return col_(s).cast("double") / F.lit(100.0)
+
+
 def mean_from(s: str | Column, n: str | Column) -> Column:
-    return F.when(col_(n) > 0, col_(s).cast("double") / col_(n))
+    """Mean in dollars from a cents sum and a count (NULL for n = 0)."""
+    return F.when(col_(n) > 0, money(s) / col_(n))
 
 
 def std_from(s: str | Column, ss: str | Column, n: str | Column) -> Column:
-    """Sample standard deviation from exact sum and sum of squares (NULL for n < 2)."""
+    """Sample standard deviation (dollars) from cents sum and sum of squares (NULL for n < 2)."""
     sd, ssd, nd = col_(s).cast("double"), col_(ss).cast("double"), col_(n).cast("double")
     var = (ssd - sd * sd / nd) / (nd - F.lit(1.0))
-    return F.when(col_(n) > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
+    return F.when(col_(n) > 1, F.sqrt(F.greatest(var, F.lit(0.0))) / F.lit(100.0))
 
 
 # ---------------------------------------------------------------- DataFrame wrappers

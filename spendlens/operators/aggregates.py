@@ -41,7 +41,7 @@ def _money_aggs(amount: str, prefix: str = "amount") -> list:
 def _money_cols(prefix: str = "amount", mean: bool = True, std: bool = True, total: bool = True) -> list:
     out = []
     if total:
-        out.append(F.coalesce(F.col("_s").cast("double"), F.lit(0.0)).alias(f"{prefix}_sum"))
+        out.append(F.coalesce(C.money("_s"), F.lit(0.0)).alias(f"{prefix}_sum"))
     if mean:
         out.append(C.mean_from("_s", "_na").alias(f"{prefix}_mean"))
     if std:

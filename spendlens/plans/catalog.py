@@ -18,6 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import aggregates as A
 from ..session import materialize
 from ..sources import adapters as AD
@@ -393,9 +394,9 @@ def q_top_users(spark, d):
     """K1, K2, K6 (print_top_items n=10, users)."""
     t = AD.txn(spark, d, ["client_id", "amount_usd"])
     g = t.where(F.col("client_id").isNotNull()).groupBy("client_id").agg(
-        F.count(F.lit(1)).alias("txn_count"), F.sum(F.col("amount_usd").cast("decimal(18,2)")).alias("_s"))
-    g = g.select(F.col("client_id").alias("user_id"), "txn_count",
-                 F.coalesce(F.col("_s").cast("double"), F.lit(0.0)).alias("amount_sum"))
+        F.count(F.lit(1)).alias("txn_count"), C.exact_sum("amount_usd").alias("_s"))
+    g = g.select(F.col("client_id").alias("user_id"), "txn_count", F.coalesce(C.money("_s"), F.lit(0.0)).alias(
+        "amount_sum"))
     return R.top_n(g, "txn_count", "user_id", 10)
 
 
