@@ -162,8 +162,8 @@ def run_pipeline(spark: SparkSession, raw_dir: str, work_dir: str, force: bool =
     result = {"preprocess": preprocess(spark, raw_dir, f"{work_dir}/preprocessed", force),
               "cleanup": cleanup(spark, f"{work_dir}/preprocessed", f"{work_dir}/cleaned", force)}
     if reports_dir is not None:
-        from .analysis import TransactionAnalysis
+        from .analysis import SpendAnalysis
 
-        status = TransactionAnalysis(spark, f"{work_dir}/cleaned").run_reports(reports_dir, force=force)
+        status = SpendAnalysis(spark, f"{work_dir}/cleaned").run_reports(reports_dir, force=force)
         result["reports"] = {r["report"]: r["status"] for r in status.collect()}
     return result

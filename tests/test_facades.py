@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from spendlens.plans.analysis import SqlAnalysis, TransactionAnalysis
+from spendlens.plans.analysis import SqlAnalysis, SpendAnalysis
 from spendlens.sources import adapters as AD
 from spendlens.sources import files as IO
 
@@ -19,8 +19,8 @@ def cleaned(spark, tmp_path_factory):
     return str(d)
 
 
-def test_transaction_analysis_reports(spark, cleaned, tmp_path):
-    ta = TransactionAnalysis(spark, cleaned, city_coords=AD.city_coords(spark, SF_SMALL))
+def test_spend_analysis_reports(spark, cleaned, tmp_path):
+    ta = SpendAnalysis(spark, cleaned, city_coords=AD.city_coords(spark, SF_SMALL))
     status = {r["report"]: (r["status"], r["error"]) for r in ta.run_reports(str(tmp_path / "out")).collect()}
     assert all(s == "ok" for s, _ in status.values()), status
     assert {"amount_distribution", "correlation_heatmap", "us_merchant_map", "anomaly_scores",
@@ -31,8 +31,8 @@ def test_transaction_analysis_reports(spark, cleaned, tmp_path):
     assert set(again.values()) == {"skipped"}
 
 
-def test_transaction_analysis_summary_and_top(spark, cleaned):
-    ta = TransactionAnalysis(spark, cleaned, materialize="cache")
+def test_spend_analysis_summary_and_top(spark, cleaned):
+    ta = SpendAnalysis(spark, cleaned, materialize="cache")
     summ = {r["metric"]: r["value"] for r in ta.summary_statistics().collect()}
     assert summ["total_transactions"] == ta.transactions.count()
     top = ta.top_items(3)
@@ -43,7 +43,7 @@ def test_transaction_analysis_summary_and_top(spark, cleaned):
 
 
 def test_failed_report_is_isolated(spark, cleaned, tmp_path):
-    ta = TransactionAnalysis(spark, cleaned)
+    ta = SpendAnalysis(spark, cleaned)
     ta.transactions = ta.transactions.drop("errors")  # top_errors must fail, the rest must not
     status = {r["report"]: r["status"] for r in ta.run_reports(str(tmp_path / "o"), only=[
         "top_errors", "time_patterns_hour"]).collect()}
