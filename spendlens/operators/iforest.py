@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 from .quantiles import exact_quantile
 
@@ -197,9 +197,8 @@ class IsolationForest:
         """Project the features once and write them to the checkpoint folder: every later pass
         (moments, sampling, scoring, offset) reads that copy instead of re-running the upstream
         plan, lineage is cut, and a lost executor only loses re-readable blocks."""
-        ensure_checkpoint_dir(df.sparkSession)
         extra = [c for c in keep if c not in features and c != key]
-        return df.select(key, *extra, *[F.col(c).cast("double").alias(c) for c in features]).checkpoint()
+        return materialize(df.select(key, *extra, *[F.col(c).cast("double").alias(c) for c in features]))
 
     def _fit(self, x: DataFrame, features: list[str], key: str) -> IsolationForestModel:
         stats = x.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in features]).first()

@@ -68,12 +68,11 @@ def _features(df: DataFrame, cols: list[str], key: str) -> DataFrame:
     once (the imputation and scaling statistics then read the checkpoint); the
     vectors are checkpointed again because the fit reads them every iteration.
     """
-    from ..session import ensure_checkpoint_dir
+    from ..session import materialize
 
-    ensure_checkpoint_dir(df.sparkSession)
-    x = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).checkpoint()
+    x = materialize(df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]))
     z = standardise(impute(x, cols), cols)
-    return _assemble(z, cols).select(key, "features").checkpoint()
+    return materialize(_assemble(z, cols).select(key, "features"))
 
 
 def pca_projection(df: DataFrame, cols: list[str], key: str, k: int = 2) -> DataFrame:

@@ -35,12 +35,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, setting a scratch one only in local mode.
+def checkpoint_dir(spark: SparkSession, create_local: bool = True) -> str | None:
+    """The checkpoint folder: ``spark.checkpoint.dir`` (or one already set on the context).
 
-    On a cluster ``spark.checkpoint.dir`` must name a shared folder (HDFS,
-    object store); a machine-local temp folder would be lost with the
-    executor, so we refuse to invent one there.
+    Only in local mode, and only when nothing is configured, a scratch folder is
+    created (tests, the bench).  On a cluster the folder must be shared storage
+    (HDFS, an object store); a machine-local temp folder would vanish with its
+    executor, so none is invented there and ``None`` is returned.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -48,19 +49,46 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
+    if not create_local or not sc.master.startswith("local"):
+        return None
     path = tempfile.mkdtemp(prefix="spendlens-ckpt-")
     sc.setCheckpointDir(path)
     return path
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Like ``checkpoint_dir`` but an unset folder on a cluster is an error."""
+    path = checkpoint_dir(spark)
+    if path is None:
+        raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
+    return path
+
+
 def materialize(df, how: str = "checkpoint"):
-    """Compute ``df`` once for several passes: ``checkpoint`` writes it to the checkpoint folder
-    (reliable, cuts lineage), ``cache`` keeps it in executor memory/disk, ``none`` leaves it lazy."""
+    """Compute ``df`` once for several passes.
+
+    ``checkpoint`` writes it to the checkpoint folder (reliable, cuts lineage); on a
+    cluster without a configured folder it falls back to ``persist`` (memory and
+    disk, recomputed from lineage if an executor is lost).  ``cache`` persists,
+    ``none`` leaves the plan lazy.
+    """
     if how == "checkpoint":
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint()
+        if checkpoint_dir(df.sparkSession) is not None:
+            return df.checkpoint()
+        how = "cache"
     if how == "cache":
-        return df.persist()
+        from pyspark import StorageLevel
+
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
     return df
+
+
+def shuffle_partitions_for(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
+                           minimum: int = 200) -> int:
+    """Shuffle partition count that keeps each reducer's input near ``target_partition_bytes``.
+
+    Set ``spark.sql.shuffle.partitions`` to this for the largest shuffle of a job
+    (AQE then coalesces small partitions and splits skewed ones at run time):
+    100 TB of shuffle input at 256 MB per partition is about 400,000 partitions.
+    """
+    return max(minimum, -(-int(input_bytes) // int(target_partition_bytes)))

@@ -65,3 +65,12 @@ def test_histogram_property(spark, vals, bins):
     counts, edges = np.histogram(np.array(vals), bins=bins)
     assert h["frequency"].tolist() == counts.tolist()
     assert h["lo"].tolist() == pytest.approx(edges[:-1].tolist())
+
+
+def test_session_helpers(spark):
+    from spendlens.session import checkpoint_dir, materialize, shuffle_partitions_for
+
+    assert checkpoint_dir(spark) is not None  # local mode: a scratch folder is allowed
+    df = spark.range(10)
+    assert materialize(df).count() == 10 and materialize(df, "cache").count() == 10
+    assert shuffle_partitions_for(100 * 1024 ** 4) == 409600 and shuffle_partitions_for(1) == 200
