@@ -103,3 +103,30 @@ def test_csv_to_parquet_and_load_tables(spark, raw_dir, tmp_path):
     IO.write_table(spark.read.parquet(p), str(d / "transactions.parquet"))
     tables = IO.load_tables(spark, str(d))
     assert tables.users is None and tables.cards is None and tables.transactions.count() == 5
+
+
+def test_run_pipeline_end_to_end(spark, tmp_path):
+    """P4 on valid raw files: preprocess -> cleanup -> every report over DECIMAL money columns."""
+    d = tmp_path / "raw_ok"
+    d.mkdir()
+    rows = [TXN.splitlines()[0]]
+    for i in range(60):
+        client, card = 10 + i % 3, 100 + i % 3
+        rows.append(f"{i + 1},2010-0{1 + i % 9}-{10 + i % 18} {i % 24:02d}:15:00,{client},{card},"
+                    f'"${(i * 37) % 900 + 1},{i % 100:02d}.{i % 97:02d}",{"Chip" if i % 2 else "Swipe"} Transaction,'
+                    f"{500 + i % 4},{['Austin', 'Boston', 'Rome'][i % 3]},{['TX', 'MA', 'Italy'][i % 3]},"
+                    f"{(i * 7919) % 99999}.0,{5411 + i % 3},{'Bad PIN' if i % 5 == 0 else ''}")
+    (d / "transactions_data.csv").write_text("\n".join(rows) + "\n")
+    (d / "users_data.csv").write_text(USERS.replace(",,1\n", ",720,1\n"))
+    (d / "cards_data.csv").write_text(CARDS.replace("13/2022,111,maybe", "11/2022,111,YES") + (
+        "103,12,Visa,Debit,4347,01/2023,222,NO,1,$500,03/2015,2016,No\n"))
+    (d / "mcc_codes.json").write_text(MCC)
+    (d / "train_fraud_labels.json").write_text(LABELS)
+    out = stages.run_pipeline(spark, str(d), str(tmp_path / "work"), reports_dir=str(tmp_path / "reports"))
+    assert all(out["preprocess"].values()) and all(out["cleanup"].values())
+    failed = {k: v for k, v in out["reports"].items() if v != "ok"}
+    assert not failed, failed
+    t = spark.read.parquet(str(tmp_path / "work" / "cleaned" / "transactions.parquet"))
+    assert dict(t.dtypes)["amount_usd"] == "decimal(12,2)" and t.count() == 60
+    risk = spark.read.parquet(str(tmp_path / "reports" / "risk_metrics"))
+    assert {"debt_to_income", "high_error_rate", "avg_credit_limit"} <= set(risk.columns)
