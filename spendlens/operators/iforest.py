@@ -160,15 +160,18 @@ class IsolationForestModel:
         out_schema = T.StructType(list(df.schema.fields) + [T.StructField("score", T.DoubleType(), True)])
         return df.mapInPandas(self._score_fn(self.features), out_schema)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Adds ``anomaly_score`` (decision function) and ``anomaly`` (-1 anomaly / 1 normal)."""
+    def label(self, scored: DataFrame) -> DataFrame:
+        """From ``score``: ``anomaly_score`` (decision function) and ``anomaly`` (-1 anomaly / 1 normal)."""
         if self.offset is None:
             raise ValueError("model has no offset; fit it first")
-        s = self.score_samples(df)
         dec = F.col("score") - F.lit(self.offset)
-        return s.withColumn("anomaly_score", dec).withColumn(
+        return scored.withColumn("anomaly_score", dec).withColumn(
             "anomaly", F.when(F.col("anomaly_score") < 0, F.lit(-1)).otherwise(F.lit(1))).drop("score")
 
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``anomaly_score`` (decision function) and ``anomaly`` (-1 anomaly / 1 normal)."""
+        return self.label(self.score_samples(df))
+
     # ------------------------------------------------------------ persistence
     def save(self, spark: SparkSession, path: str) -> None:
         spark.createDataFrame(self.nodes, NODE_SCHEMA).write.mode("overwrite").parquet(f"{path}/nodes")
@@ -219,21 +222,23 @@ class IsolationForest:
         nodes_pd = nodes.toPandas()  # bounded: <= num_trees x (2 psi - 1) rows
         model = IsolationForestModel(nodes_pd, list(features), means, psi, self.num_trees,
                                      contamination=self.contamination)
-        scored = model.score_samples(x.select(key, *features))
+        # Score every training row once and keep it: the exact offset quantile reads the scores
+        # twice (sketch bounds, then ranking) and fit_transform labels the same rows.
+        scored = materialize(model.score_samples(x))
         # scores are continuous (nearly all distinct): rank rows directly, no value pre-count
         q = exact_quantile(scored, "score", self.contamination, out="offset", dedupe=False).first()
         model.offset = float(q["offset"])
-        return model
+        return model, scored
 
     def fit(self, df: DataFrame, features: list[str], key: str) -> IsolationForestModel:
-        return self._fit(self._prepare(df, features, key, []), features, key)
+        return self._fit(self._prepare(df, features, key, []), features, key)[0]
 
     def fit_transform(self, df: DataFrame, features: list[str], key: str, keep: list[str] = ()
                       ) -> tuple[IsolationForestModel, DataFrame]:
         """Fit and label the training rows from one checkpointed copy; ``keep`` carries extra columns."""
         x = self._prepare(df, features, key, list(keep))
-        model = self._fit(x, features, key)
-        return model, model.transform(x)
+        model, scored = self._fit(x, features, key)
+        return model, model.label(scored)
 
 
 def anomaly_summary(scored: DataFrame) -> DataFrame:
