@@ -167,10 +167,15 @@ def _long(row_df: DataFrame, items: list[tuple[str, str, str]]) -> DataFrame:
 def dataset_summary(txn: DataFrame) -> DataFrame:
     """Dataset summary as (section, metric, value).
 
-    Every part is a one-row aggregate (global counts, exact distinct counts,
-    exact median via the distributed quantile); the one-row parts are joined
-    by cross joins of single rows.
+    Each entity is grouped once (map-side partial aggregation); its distinct
+    count is the number of groups and its top count the largest group, so no
+    separate distinct-count pass is needed.  The per-user counts feed three
+    passes (moments, and the two passes of the exact median) and are small
+    (one row per user), so they are materialised once.  Every part ends as a
+    one-row aggregate; the rows are combined by one-row cross joins.
     """
+    from ..session import materialize
+
     amt = C.lenient_number(F.col("amount_usd").cast("string")) if dict(txn.dtypes)["amount_usd"] == "string" \
         else F.col("amount_usd").cast("double")
     t = txn.select("client_id", "card_id", "merchant_id", "mcc", amt.alias("amount"))
@@ -181,24 +186,23 @@ def dataset_summary(txn: DataFrame) -> DataFrame:
         F.min("amount").alias("min"),
         F.max("amount").alias("max"),
     )
-    # One single-column aggregate per distinct count: each reads one column and dedupes it
-    # with map-side partial aggregation, instead of one Expand that copies every row per count.
-    for col, name in (("client_id", "users"), ("card_id", "cards"), ("merchant_id", "merchants"), ("mcc", "mccs")):
-        base = base.crossJoin(t.agg(F.countDistinct(col).alias(name)))
     med = exact_quantile(t, "amount", 0.5, out="median")
-    per_user = t.where(F.col("client_id").isNotNull()).groupBy("client_id").agg(F.count(F.lit(1)).alias("n"))
-    users = per_user.agg(F.count(F.lit(1)).alias("u_total"), F.avg("n").alias("u_mean"), F.max("n").alias("u_max"))
+
+    def groups(key: str):
+        return t.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+    per_user = materialize(groups("client_id"))
+    users = per_user.agg(F.count(F.lit(1)).alias("users"), F.avg("n").alias("u_mean"), F.max("n").alias("u_max"))
     u_med = exact_quantile(per_user, "n", 0.5, out="u_median")
-    top_m = t.where(F.col("merchant_id").isNotNull()).groupBy("merchant_id").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.max("n").alias("top_merchant"))
-    top_c = t.where(F.col("mcc").isNotNull()).groupBy("mcc").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.max("n").alias("top_mcc"))
-    row = base.crossJoin(med).crossJoin(users).crossJoin(u_med).crossJoin(top_m).crossJoin(top_c)
+    cards = groups("card_id").agg(F.count(F.lit(1)).alias("cards"))
+    merchants = groups("merchant_id").agg(F.count(F.lit(1)).alias("merchants"), F.max("n").alias("top_merchant"))
+    mccs = groups("mcc").agg(F.count(F.lit(1)).alias("mccs"), F.max("n").alias("top_mcc"))
+    row = base.crossJoin(med).crossJoin(users).crossJoin(u_med).crossJoin(cards).crossJoin(merchants).crossJoin(mccs)
     return _long(row, [
         ("transactions", "total_transactions", "rows"), ("transactions", "unique_users", "users"),
         ("transactions", "unique_cards", "cards"), ("amount", "mean", "mean"), ("amount", "median", "median"),
         ("amount", "std", "std"), ("amount", "min", "min"), ("amount", "max", "max"),
-        ("users", "total_users", "u_total"), ("users", "avg_txns_per_user", "u_mean"),
+        ("users", "total_users", "users"), ("users", "avg_txns_per_user", "u_mean"),
         ("users", "median_txns_per_user", "u_median"), ("users", "max_txns_per_user", "u_max"),
         ("merchants", "unique_merchants", "merchants"), ("merchants", "top_merchant_txn_count", "top_merchant"),
         ("mcc", "unique_mcc", "mccs"), ("mcc", "top_mcc_txn_count", "top_mcc"),
