@@ -12,7 +12,7 @@ DataFrame steps:
   ordered by value gives each distinct value its rank range; the window works
   on *distinct* values (bounded by the value domain, e.g. cents) and spills;
 * global case: values are put into range buckets (boundaries from a
-  fixed-size sketch), per-bucket totals (one row per bucket: a proven bound)
+  fixed-size sketch, fetched once as literals), per-bucket totals (one row per bucket: a proven bound)
   are turned into offsets and broadcast, and running sums are taken per
   bucket - no single task ever sees all values.
 """
@@ -79,10 +79,12 @@ def exact_quantile(df: DataFrame, value: str, q: float, keys: list[str] | tuple
     # Bucket = number of approximate range boundaries below the value: a pure function of
     # the value (stable under retries and AQE), monotone, so buckets hold contiguous ranges.
     # The boundaries are one row of nparts-1 numbers (bounded), broadcast.
+    # The boundaries (nparts - 1 numbers: bounded by the bucket count) are fetched once and
+    # embedded as literals, so every branch and every retry buckets a value identically.
     fracs = [i / nparts for i in range(1, nparts)] or [0.5]
-    bounds = clean.agg(F.percentile_approx(F.col(value).cast("double"), fracs, 10000).alias("_q_b"))
-    ranged = counted.crossJoin(F.broadcast(bounds)).withColumn(
-        "_q_pid", F.size(F.filter("_q_b", lambda b: b < F.col(value).cast("double")))).drop("_q_b")
+    got = clean.agg(F.percentile_approx(F.col(value).cast("double"), fracs, 10000).alias("_q_b")).first()[0]
+    edges = F.array(*[F.lit(float(b)) for b in sorted(set(got or []))]) if got else F.array().cast("array<double>")
+    ranged = counted.withColumn("_q_pid", F.size(F.filter(edges, lambda b: b < F.col(value).cast("double"))))
     per_part = ranged.groupBy("_q_pid").agg(F.sum(_C).alias("_q_pc"))
     w_off = Window.orderBy("_q_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per bucket: bounded by the bucket count, safe to broadcast
