@@ -178,7 +178,14 @@ def nan_to_null(c: str | Column) -> Column:
 # from the binary double.
 
 def cents(c: str | Column) -> Column:
-    return F.rint(col_(c).cast("double") * F.lit(100.0)).cast("long")
+    """Cents as LONG; NULL for missing or NaN (a NaN would make the ANSI cast raise)."""
+    x = col_(c).cast("double")
+    return F.when(~F.isnan(x), F.rint(x * F.lit(100.0))).cast("long")
+
+
+def exact_count(c: str | Column) -> Column:
+    """Number of present (non-NULL, non-NaN) money values: the divisor of a money mean."""
+    return F.count(cents(c))
 
 
 def exact_sum(c: str | Column) -> Column:

@@ -34,7 +34,7 @@ def _money_aggs(amount: str, prefix: str = "amount") -> list:
     return [
         C.exact_sum(amount).alias("_s"),
         C.exact_sumsq(amount).alias("_ss"),
-        F.count(amount).alias("_na"),
+        C.exact_count(amount).alias("_na"),
     ]
 
 
@@ -61,7 +61,7 @@ def card_aggregate(cards: DataFrame, client_col: str = "client_id") -> DataFrame
     return (
         cards.where(F.col(client_col).isNotNull())
         .groupBy(client_col)
-        .agg(C.exact_sum(limit).alias("_s"), F.count(limit).alias("_n"), F.count(F.lit(1)).alias("num_cards"))
+        .agg(C.exact_sum(limit).alias("_s"), C.exact_count(limit).alias("_n"), F.count(F.lit(1)).alias("num_cards"))
         .select(
             F.col(client_col).alias("user_id"),
             C.mean_from("_s", "_n").alias("avg_credit_limit"),
@@ -110,8 +110,8 @@ def user_aggregate(txn: DataFrame, users: DataFrame | None = None, cards: DataFr
     aggs = [
         F.count(F.lit(1)).alias("txn_count"),
         *_money_aggs(amt),
-        F.min(amt).cast("double").alias("amount_min"),
-        F.max(amt).cast("double").alias("amount_max"),
+        F.min(C.nan_to_null(F.col(amt).cast("double"))).alias("amount_min"),  # Spark orders NaN above all
+        F.max(C.nan_to_null(F.col(amt).cast("double"))).alias("amount_max"),
         F.min("date").alias("first_txn_date"),
         F.max("date").alias("last_txn_date"),
         (F.approx_count_distinct("merchant_id") if approx_distinct else F.countDistinct("merchant_id")).alias(
@@ -292,7 +292,7 @@ def user_aggregate_inner(txn: DataFrame, users: DataFrame, cards: DataFrame) ->
     per_card = t.groupBy("client_id", "card_id").agg(
         F.count(F.lit(1)).alias("_n"),
         C.exact_sum("amount_usd").alias("_s"),
-        F.count("amount_usd").alias("_na"),
+        C.exact_count("amount_usd").alias("_na"),
         F.sum("has_error").alias("_err"),
         F.sum("used_chip").alias("_chip"),
     )

@@ -42,7 +42,7 @@ def monthly_volume(txn: DataFrame) -> DataFrame:
     t = txn.where(F.col("date").isNotNull())
     g = t.groupBy(C.month_start("date").alias("period")).agg(
         F.count("transaction_id").alias("txn_count"), C.exact_sum("amount_usd").alias("_s"),
-        F.count("amount_usd").alias("_n"),
+        C.exact_count("amount_usd").alias("_n"),
     )
     return g.select("period", "txn_count", C.mean_from("_s", "_n").alias("avg_amount"))
 
@@ -54,7 +54,7 @@ def monthly_median(txn: DataFrame, median: str = "distributed") -> DataFrame:
         F.col("amount_usd").cast("double").alias("amount"),
     )
     g = t.groupBy("txn_year", "txn_month").agg(
-        F.count(F.lit(1)).alias("txn_count"), C.exact_sum("amount").alias("_s"), F.count("amount").alias("_n"),
+        F.count(F.lit(1)).alias("txn_count"), C.exact_sum("amount").alias("_s"), C.exact_count("amount").alias("_n"),
         *([F.median("amount").alias("median_amount")] if median == "builtin" else []),
     )
     g = g.select("txn_year", "txn_month", "txn_count", C.mean_from("_s", "_n").alias("avg_amount"),
@@ -103,7 +103,7 @@ def hour_weekday_table(txn: DataFrame) -> DataFrame:
     )
     g = t.groupBy("txn_hour", "txn_dow").agg(
         F.count(F.lit(1)).alias("txn_count"), C.exact_sum("amount_usd").alias("_s"),
-        F.count("amount_usd").alias("_n"), F.sum("_err").alias("error_count"),
+        C.exact_count("amount_usd").alias("_n"), F.sum("_err").alias("error_count"),
     )
     return g.select("txn_hour", "txn_dow", "txn_count", C.mean_from("_s", "_n").alias("avg_amount"),
                     "error_count")
@@ -139,7 +139,7 @@ def gender_mean(user_agg: DataFrame, value: str = "txn_count") -> DataFrame:
 def cards_mean_spend(user_agg: DataFrame, n: int = 10) -> DataFrame:
     """Mean total spend per number of credit cards, first ``n`` keys ascending."""
     g = user_agg.where(F.col("num_credit_cards").isNotNull()).groupBy("num_credit_cards").agg(
-        C.exact_sum("amount_sum").alias("_s"), F.count("amount_sum").alias("_n")
+        C.exact_sum("amount_sum").alias("_s"), C.exact_count("amount_sum").alias("_n")
     )
     return g.select("num_credit_cards", C.mean_from("_s", "_n").alias("mean_amount_sum")).orderBy(
         "num_credit_cards"
@@ -177,11 +177,11 @@ def dataset_summary(txn: DataFrame) -> DataFrame:
     from ..session import materialize
 
     amt = C.lenient_number(F.col("amount_usd").cast("string")) if dict(txn.dtypes)["amount_usd"] == "string" \
-        else F.col("amount_usd").cast("double")
+        else C.nan_to_null(F.col("amount_usd").cast("double"))
     t = txn.select("client_id", "card_id", "merchant_id", "mcc", amt.alias("amount"))
     base = t.agg(
         F.count(F.lit(1)).alias("rows"),
-        C.mean_from(C.exact_sum("amount"), F.count("amount")).alias("mean"),
+        C.mean_from(C.exact_sum("amount"), C.exact_count("amount")).alias("mean"),
         F.stddev_samp("amount").alias("std"),
         F.min("amount").alias("min"),
         F.max("amount").alias("max"),
@@ -215,10 +215,10 @@ def dataset_summary_sql_style(txn: DataFrame, cards: DataFrame, user_agg: DataFr
 
     ``txn`` is the SQL-style transactions view (F1 applied, ``has_error``).
     """
-    t = txn.select(F.col("amount_usd").cast("double").alias("amount"), "has_error")
+    t = txn.select(C.nan_to_null(F.col("amount_usd").cast("double")).alias("amount"), "has_error")
     base = t.agg(
         F.count(F.lit(1)).alias("n"),
-        C.mean_from(C.exact_sum("amount"), F.count("amount")).alias("avg"),
+        C.mean_from(C.exact_sum("amount"), C.exact_count("amount")).alias("avg"),
         F.sum("has_error").alias("err_n"),
         (F.avg("has_error") * F.lit(100.0)).alias("err_pct"),
     )

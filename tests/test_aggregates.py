@@ -98,3 +98,16 @@ def test_daily_and_weekday(spark):
     wd = {r["txn_dow"]: r["dow_label"] for r in R.weekday_counts(t).collect()}
     assert wd[4] == "Fri"  # 2010-01-01 was a Friday
     assert R.hour_counts(t).agg(F.sum("txn_count")).first()[0] == 7
+
+
+def test_nan_amounts_are_ignored_not_raised(spark):
+    rows = [(1, dt.datetime(2010, 1, 1), 10, 100, float("nan"), "chip", 500, "A", 1, None),
+            (2, dt.datetime(2010, 1, 2), 10, 100, 4.0, "chip", 500, "A", 1, None),
+            (3, dt.datetime(2010, 1, 3), 10, 100, 6.0, "chip", 500, "A", 1, None)]
+    t = spark.createDataFrame(rows, TXN_SCHEMA)
+    u = A.user_aggregate(t).first()
+    assert u["txn_count"] == 3 and u["amount_sum"] == 10.0 and u["amount_mean"] == 5.0
+    assert u["amount_median"] == 5.0 and u["amount_std"] == pytest.approx(2 ** 0.5)
+    assert (u["amount_min"], u["amount_max"]) == (4.0, 6.0)
+    assert A.merchant_aggregate(t).first()["amount_mean"] == 5.0
+    assert R.monthly_volume(t).first()["avg_amount"] == 5.0
