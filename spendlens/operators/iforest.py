@@ -201,7 +201,9 @@ class IsolationForest:
         (moments, sampling, scoring, offset) reads that copy instead of re-running the upstream
         plan, lineage is cut, and a lost executor only loses re-readable blocks."""
         extra = [c for c in keep if c not in features and c != key]
-        return materialize(df.select(key, *extra, *[F.col(c).cast("double").alias(c) for c in features]))
+        # NaN counts as missing (mean-imputed like NULL), never as a split value
+        feats = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in features]
+        return materialize(df.select(key, *extra, *feats))
 
     def _fit(self, x: DataFrame, features: list[str], key: str) -> IsolationForestModel:
         stats = x.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in features]).first()

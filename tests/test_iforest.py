@@ -54,3 +54,9 @@ def test_nulls_are_mean_imputed(spark):
     df = data(spark, 200, 0).withColumn("a", F.when(F.col("id") == 5, None).otherwise(F.col("a")))
     m = IsolationForest(20, 64, 0.02, 3).fit(df, ["a", "b", "c"], "id")
     assert m.transform(df).where("anomaly_score IS NULL").count() == 0
+
+
+def test_nan_features_are_imputed(spark):
+    df = data(spark, 200, 0).withColumn("b", F.when(F.col("id") == 7, float("nan")).otherwise(F.col("b")))
+    _, out = IsolationForest(20, 64, 0.02, 3).fit_transform(df, ["a", "b", "c"], "id")
+    assert out.where("anomaly_score IS NULL OR isnan(anomaly_score)").count() == 0
