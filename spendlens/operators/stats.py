@@ -317,4 +317,4 @@ def describe_by(df: DataFrame, value: str, by: str) -> DataFrame:
 
 
 __all__ = ["numeric_columns", "histogram", "histograms", "binned_mean", "kde", "correlation", "standardise",
-           "describe_by", "Window"]
+           "describe_by"]
