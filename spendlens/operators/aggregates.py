@@ -84,11 +84,12 @@ def user_attributes(users: DataFrame, names: tuple = USER_ATTRS) -> DataFrame:
 # ---------------------------------------------------------------- G1 user aggregate
 
 def median_per_group(df: DataFrame, key: str, value: str, out: str, strategy: str = "builtin") -> DataFrame:
-    """Exact (``builtin``: per-group value map; ``distributed``: window over distinct values) or
-    ``approx`` (fixed-size sketch) median of ``value`` per ``key``; NULL keys dropped."""
+    """Median of ``value`` per ``key`` (NULL keys dropped): exact with ``builtin`` (per-group value
+    map), ``distributed`` (window over a group's distinct values) or ``split`` (groups also cut into
+    global value buckets, for groups holding a large share of all rows); ``approx`` is a sketch."""
     d = df.where(F.col(key).isNotNull()).select(key, F.col(value).cast("double").alias(value))
-    if strategy == "distributed":
-        return exact_quantile(d, value, 0.5, [key], out)
+    if strategy in ("distributed", "split"):
+        return exact_quantile(d, value, 0.5, [key], out, split=strategy == "split")
     if strategy == "approx":
         return d.groupBy(key).agg(F.percentile_approx(value, 0.5, 10000).cast("double").alias(out))
     return d.groupBy(key).agg(F.median(value).alias(out))

@@ -53,12 +53,14 @@ def _interp(out: str):
 
 
 def exact_quantile(df: DataFrame, value: str, q: float, keys: list[str] | tuple = (), out: str = "quantile",
-                   partitions: int | None = None, dedupe: bool = True) -> DataFrame:
+                   partitions: int | None = None, dedupe: bool = True, split: bool = False) -> DataFrame:
     """Exact ``q``-quantile of ``value`` per ``keys`` (one row per group; one row overall if no keys).
 
     Nulls/NaN are ignored; an empty input gives NULL (global) or no row (grouped).
     ``dedupe`` first counts repeated values (money: many repeats); pass False for
     continuous values, where the pre-count would only add a shuffle.
+    ``split`` (grouped case) also cuts every group into global value buckets, so a
+    group holding a large share of all rows is ranked by many tasks, not one.
     """
     if not 0.0 <= q <= 1.0:
         raise ValueError("q must be in [0, 1]")
@@ -68,6 +70,8 @@ def exact_quantile(df: DataFrame, value: str, q: float, keys: list[str] | tuple
         counted = clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(_C))
     else:
         counted = clean.select(*keys, value, F.lit(1).cast("long").alias(_C))
+    if keys and split:
+        return _split_grouped(clean, counted, value, q, keys, out, partitions)
     if keys:
         w_run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         w_all = Window.partitionBy(*keys)
@@ -81,9 +85,7 @@ def exact_quantile(df: DataFrame, value: str, q: float, keys: list[str] | tuple
     # The boundaries are one row of nparts-1 numbers (bounded), broadcast.
     # The boundaries (nparts - 1 numbers: bounded by the bucket count) are fetched once and
     # embedded as literals, so every branch and every retry buckets a value identically.
-    fracs = [i / nparts for i in range(1, nparts)] or [0.5]
-    got = clean.agg(F.percentile_approx(F.col(value).cast("double"), fracs, 10000).alias("_q_b")).first()[0]
-    edges = F.array(*[F.lit(float(b)) for b in sorted(set(got or []))]) if got else F.array().cast("array<double>")
+    edges = _edges(clean, value, nparts)
     ranged = counted.withColumn("_q_pid", F.size(F.filter(edges, lambda b: b < F.col(value).cast("double"))))
     per_part = ranged.groupBy("_q_pid").agg(F.sum(_C).alias("_q_pc"))
     w_off = Window.orderBy("_q_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,6 +102,41 @@ def exact_quantile(df: DataFrame, value: str, q: float, keys: list[str] | tuple
     return ranked.agg(*_pick(q, value)).select(_interp(out))
 
 
+def _edges(clean: DataFrame, value: str, nparts: int):
+    """Literal array of nparts-1 approximate global value boundaries (fetched once: bounded)."""
+    fracs = [i / nparts for i in range(1, nparts)] or [0.5]
+    got = clean.agg(F.percentile_approx(F.col(value).cast("double"), fracs, 10000).alias("_q_b")).first()[0]
+    return F.array(*[F.lit(float(b)) for b in sorted(set(got or []))]) if got else F.array().cast("array<double>")
+
+
+def _split_grouped(clean: DataFrame, counted: DataFrame, value: str, q: float, keys: list[str], out: str,
+                   partitions: int | None) -> DataFrame:
+    """Grouped exact quantile with hot groups split into (group, value bucket) ranges.
+
+    Per (group, bucket) totals (at most groups x buckets rows, a hot group only
+    ``buckets`` of them) give each bucket its rank offset inside its group; the
+    offsets join back on (group, bucket) - a key that spreads a hot group over
+    many tasks - and the running sums are taken per (group, bucket).
+    """
+    spark = counted.sparkSession
+    nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = _edges(clean, value, nparts)
+    b = counted.withColumn("_q_pid", F.size(F.filter(edges, lambda e: e < F.col(value).cast("double"))))
+    per = b.groupBy(*keys, "_q_pid").agg(F.sum(_C).alias("_q_pc"))
+    w_off = Window.partitionBy(*keys).orderBy("_q_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = per.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_q_pid").alias("_o_pid"),
+                      F.coalesce(F.sum("_q_pc").over(w_off), F.lit(0)).alias("_q_off"),
+                      F.sum("_q_pc").over(Window.partitionBy(*keys)).alias(_N))
+    cond = F.col("_q_pid") == F.col("_o_pid")
+    for k in keys:  # NULL group keys form a group, as in SQL GROUP BY
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    ranked = b.join(offs, cond)
+    w_run = Window.partitionBy(*keys, "_q_pid").orderBy(value).rowsBetween(Window.unboundedPreceding,
+                                                                           Window.currentRow)
+    ranked = ranked.withColumn(_END, F.col("_q_off") + F.sum(_C).over(w_run))
+    return ranked.groupBy(*keys).agg(*_pick(q, value)).select(*keys, _interp(out))
+
+
 def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys: list[str] | tuple = (),
                     names: list[str] | None = None) -> DataFrame:
     """Several exact quantiles per group in one ranking pass (grouped case)."""

@@ -38,3 +38,17 @@ def test_several_quantiles_grouped(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(1, 11)], "g string, x double")
     r = exact_quantiles(df, "x", [0.0, 0.25, 0.5, 1.0], ["g"]).first()
     assert (r["q00"], r["q25"], r["q50"], r["q100"]) == (1.0, 3.25, 5.5, 10.0)
+
+
+def test_split_grouped_matches_numpy_with_hot_group_and_null_key(spark):
+    rng = np.random.default_rng(9)
+    hot = [("hot", float(v)) for v in np.round(rng.gamma(2.0, 40.0, 900), 2)]
+    cold = [(f"g{int(k)}", float(v)) for k, v in zip(rng.integers(0, 6, 120), np.round(rng.normal(50, 9, 120), 2))]
+    nulls = [(None, 3.0), (None, 5.0), (None, 10.0)]
+    rows = hot + cold + nulls
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    for q in (0.5, 0.02, 0.9):
+        got = {r["g"]: r["quantile"] for r in exact_quantile(df, "x", q, ["g"], split=True, partitions=7).collect()}
+        for g in {k for k, _ in rows}:
+            xs = [v for k, v in rows if k == g]
+            assert got[g] == pytest.approx(float(np.percentile(xs, q * 100)), rel=1e-12), (g, q)
