@@ -134,12 +134,15 @@ def _split_grouped(clean: DataFrame, counted: DataFrame, value: str, q: float, k
     w_run = Window.partitionBy(*keys, "_q_pid").orderBy(value).rowsBetween(Window.unboundedPreceding,
                                                                            Window.currentRow)
     ranked = ranked.withColumn(_END, F.col("_q_off") + F.sum(_C).over(w_run))
+    if q is None:
+        return ranked
     return ranked.groupBy(*keys).agg(*_pick(q, value)).select(*keys, _interp(out))
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys: list[str] | tuple = (),
-                    names: list[str] | None = None) -> DataFrame:
-    """Several exact quantiles per group in one ranking pass (grouped case)."""
+                    names: list[str] | None = None, split: bool = False) -> DataFrame:
+    """Several exact quantiles per group in one ranking pass (grouped case); ``split`` as in
+    ``exact_quantile`` for groups that hold a large share of all rows."""
     keys = list(keys)
     names = names or [f"q{int(round(q * 100)):02d}" for q in qs]
     if not keys:
@@ -148,9 +151,14 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys: list[str]
             one = exact_quantile(df, value, q, out=nm)
             out = one if out is None else out.crossJoin(one)
         return out
-    counted = df.where(_clean(df, value)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(_C))
-    w_run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn(_END, F.sum(_C).over(w_run)).withColumn(_N, F.sum(_C).over(Window.partitionBy(*keys)))
+    clean = df.where(_clean(df, value))
+    counted = clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(_C))
+    if split:
+        ranked = _split_grouped(clean, counted, value, None, keys, "", None)
+    else:
+        w_run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = counted.withColumn(_END, F.sum(_C).over(w_run)).withColumn(
+            _N, F.sum(_C).over(Window.partitionBy(*keys)))
     aggs, cols = [], []
     for i, q in enumerate(qs):
         lo_, hi_, fr_ = _pick(q, value)

@@ -309,11 +309,15 @@ def standardise(df: DataFrame, cols: list[str], ddof: int = 0, suffix: str = "")
     return j.select(*keep, *out)
 
 
-def describe_by(df: DataFrame, value: str, by: str) -> DataFrame:
-    """G34 box part: exact min, quartiles, max of ``value`` per ``by``."""
+def describe_by(df: DataFrame, value: str, by: str, split: bool = True) -> DataFrame:
+    """G34 box part: exact min, quartiles, max of ``value`` per ``by``.
+
+    The groups are few labels, one of them nearly all rows, so by default each group is
+    ranked in global value buckets (``split``) rather than in one task."""
     from .quantiles import exact_quantiles
 
-    return exact_quantiles(df, value, [0.0, 0.25, 0.5, 0.75, 1.0], [by], ["q0", "q25", "q50", "q75", "q100"])
+    return exact_quantiles(df, value, [0.0, 0.25, 0.5, 0.75, 1.0], [by], ["q0", "q25", "q50", "q75", "q100"],
+                           split=split)
 
 
 __all__ = ["numeric_columns", "histogram", "histograms", "binned_mean", "kde", "correlation", "standardise",

@@ -52,3 +52,17 @@ def test_split_grouped_matches_numpy_with_hot_group_and_null_key(spark):
         for g in {k for k, _ in rows}:
             xs = [v for k, v in rows if k == g]
             assert got[g] == pytest.approx(float(np.percentile(xs, q * 100)), rel=1e-12), (g, q)
+
+
+def test_several_quantiles_split_equal_unsplit(spark):
+    rng = np.random.default_rng(11)
+    rows = [("big", float(v)) for v in rng.normal(0, 5, 700)] + [("small", float(v)) for v in rng.normal(3, 1, 30)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    qs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    a = {r["g"]: tuple(r[1:]) for r in exact_quantiles(df, "x", qs, ["g"]).collect()}
+    b = {r["g"]: tuple(r[1:]) for r in exact_quantiles(df, "x", qs, ["g"], split=True).collect()}
+    assert a.keys() == b.keys()
+    for g in a:
+        assert a[g] == pytest.approx(b[g], rel=1e-12)
+        xs = [v for k, v in rows if k == g]
+        assert b[g] == pytest.approx(tuple(np.percentile(xs, [q * 100 for q in qs])), rel=1e-12)
