@@ -111,3 +111,21 @@ def test_nan_amounts_are_ignored_not_raised(spark):
     assert (u["amount_min"], u["amount_max"]) == (4.0, 6.0)
     assert A.merchant_aggregate(t).first()["amount_mean"] == 5.0
     assert R.monthly_volume(t).first()["avg_amount"] == 5.0
+
+
+def test_frame_and_sql_style_user_aggregates_agree(spark):
+    """SURVEY §5.3: G1 and G20 agree where their semantics coincide (counts, mean amount, errors)."""
+    from conftest import SF_SMALL
+    from spendlens.sources import adapters as AD
+
+    t = AD.txn(spark, SF_SMALL, ["client_id", "card_id", "amount_usd", "date", "errors", "transaction_type",
+                                 "merchant_id"])
+    a = {r["user_id"]: r for r in A.user_aggregate(t).collect()}
+    b = {r["user_id"]: r for r in A.user_aggregate_inner(t, AD.users(spark, SF_SMALL), AD.cards(spark, SF_SMALL))
+         .collect()}
+    assert set(a) == set(b)  # every transaction finds its user and card in the adapters
+    for uid, r in b.items():
+        assert r["txn_count"] == a[uid]["txn_count"]
+        assert r["avg_amount"] == a[uid]["amount_mean"]
+        assert r["total_errors"] == round(a[uid]["error_rate_pct"] * a[uid]["txn_count"] / 100)
+        assert r["chip_ratio"] == pytest.approx(a[uid]["chip_usage_pct"] / 100)
