@@ -89,3 +89,15 @@ def test_sql_analysis(spark, text_tables):
     assert summary["total_transactions"] == n_txn
     assert summary["anomalous_pct"] == pytest.approx(2.0, abs=0.5)
     assert summary["unique_users"] == sa.user_agg.count()
+
+
+def test_command_line_sql_analysis(spark, text_tables, tmp_path, capsys):
+    import json
+
+    from spendlens.__main__ import main
+
+    out = tmp_path / "cli"
+    assert main(["sql-analysis", f"{text_tables}/users.parquet", f"{text_tables}/cards.parquet",
+                 f"{text_tables}/transactions.parquet", str(out)]) == 0
+    summary = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert summary["anomalous_pct"] == pytest.approx(2.0, abs=0.5) and summary["total_transactions"] > 0
