@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, range_coder
+from . import mixing, packing, range_coder, simhash
 from .scratch import cut
 
 
@@ -21,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=3, seed=42)
+
+
 def op9_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_two_fit(_table(spark, sf_dir, "documents"), _vocabulary())
 
@@ -76,6 +80,6 @@ LEFT JOIN extras e ON s.source IS NOT DISTINCT FROM e.source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_context_mixing_range_coder, op4_capped_water_filling, op9_best_two_fit_packing)
+        op3_context_mixing_range_coder, op4_capped_water_filling, op5_simhash_bk_trees, op9_best_two_fit_packing)
 }
 ORACLE: dict[str, str] = {"op4_capped_water_filling": OP4_SQL}
