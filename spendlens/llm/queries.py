@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, range_coder, simhash
+from . import mixing, packing, range_coder, sentence_dedup, simhash
 from .scratch import cut
 
 
@@ -39,6 +39,11 @@ def op4_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_dedup.sentence_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "text", "n_sentences", "n_removed")
+
+
 #: Levels at which ever more sources are clamped at three epochs are tried in the order of 3 x size / weight.
 OP4_SQL = """
 WITH sized AS (
@@ -80,6 +85,6 @@ LEFT JOIN extras e ON s.source IS NOT DISTINCT FROM e.source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_context_mixing_range_coder, op4_capped_water_filling, op5_simhash_bk_trees, op9_best_two_fit_packing)
+        op3_context_mixing_range_coder, op4_capped_water_filling, op5_simhash_bk_trees, op9_best_two_fit_packing, op10_sentence_spans)
 }
 ORACLE: dict[str, str] = {"op4_capped_water_filling": OP4_SQL}
