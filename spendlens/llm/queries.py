@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, range_coder, sentence_dedup, simhash
+from . import mixing, packing, quality_pu, range_coder, sentence_dedup, simhash, toxicity
 from .scratch import cut
 
 
@@ -29,6 +29,20 @@ def op9_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_two_fit(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def _scored(found: DataFrame) -> DataFrame:
+    return found.select("row.doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op1_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _scored(quality_pu.quality(docs, _table(spark, sf_dir, "labels"), folds=5, fold=0, keep=["doc_id"]))
+
+
+def op7_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _scored(toxicity.toxicity(docs, _table(spark, sf_dir, "labels"), folds=4, fold=2, keep=["doc_id"]))
+
+
 def op3_context_mixing_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = cut(range_coder.encode_documents(_table(spark, sf_dir, "documents"), _vocabulary()), "token-file")
     return range_coder.decode_documents(written)
@@ -85,6 +99,7 @@ LEFT JOIN extras e ON s.source IS NOT DISTINCT FROM e.source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_context_mixing_range_coder, op4_capped_water_filling, op5_simhash_bk_trees, op9_best_two_fit_packing, op10_sentence_spans)
+        op1_positive_unlabelled_quality, op3_context_mixing_range_coder, op4_capped_water_filling, op5_simhash_bk_trees,
+        op7_counterfactual_toxicity, op9_best_two_fit_packing, op10_sentence_spans)
 }
 ORACLE: dict[str, str] = {"op4_capped_water_filling": OP4_SQL}
