@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_pu, range_coder, sentence_dedup, simhash, toxicity
+from . import cross_polytope, mixing, packing, pivot_search, quality_pu, range_coder, sentence_dedup, simhash, toxicity
 from .scratch import cut
 
 
@@ -38,11 +38,19 @@ def op1_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFra
     return _scored(quality_pu.quality(docs, _table(spark, sf_dir, "labels"), folds=5, fold=0, keep=["doc_id"]))
 
 
+def op6_cross_polytope_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op7_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return _scored(toxicity.toxicity(docs, _table(spark, sf_dir, "labels"), folds=4, fold=2, keep=["doc_id"]))
 
 
+def op2_pivot_distance_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5, factor=256)
+
+
 def op3_context_mixing_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = cut(range_coder.encode_documents(_table(spark, sf_dir, "documents"), _vocabulary()), "token-file")
     return range_coder.decode_documents(written)
@@ -97,9 +105,38 @@ LEFT JOIN extras e ON s.source IS NOT DISTINCT FROM e.source
 """
 
 
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.95),
+reach(node, root) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node),
+least AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON l.node = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_positive_unlabelled_quality, op3_context_mixing_range_coder, op4_capped_water_filling, op5_simhash_bk_trees,
-        op7_counterfactual_toxicity, op9_best_two_fit_packing, op10_sentence_spans)
+        op1_positive_unlabelled_quality, op2_pivot_distance_search, op3_context_mixing_range_coder, op4_capped_water_filling,
+        op5_simhash_bk_trees, op6_cross_polytope_near_duplicates, op7_counterfactual_toxicity, op9_best_two_fit_packing, op10_sentence_spans)
 }
-ORACLE: dict[str, str] = {"op4_capped_water_filling": OP4_SQL}
+ORACLE: dict[str, str] = {
+    "op2_pivot_distance_search": OP2_SQL, "op4_capped_water_filling": OP4_SQL, "op6_cross_polytope_near_duplicates": OP6_SQL}

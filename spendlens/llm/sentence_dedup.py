@@ -120,10 +120,11 @@ def span_table(docs: DataFrame, span_words: int, full: bool = True) -> DataFrame
 
 def repeated_spans(docs: DataFrame, span_words: int = 25) -> DataFrame:
     """(doc_id, key, first, last): all occurrences of repeated spans but the first one of each."""
-    twice = span_table(docs, span_words, full=False).groupBy("h").count().where("count > 1").select("h")
+    # written first, so that both sides of the joins below are plain exchanges, whose hot parts AQE can split
+    twice = cut(span_table(docs, span_words, full=False).groupBy("h").count().where("count > 1").select("h"), "twice")
     seen = cut(span_table(docs, span_words).join(twice, "h", "left_semi"), "repeated")
     place = F.struct("doc_id", "key", "first")
-    start = seen.groupBy("h", "g").agg(F.min(place).alias("start"))
+    start = cut(seen.groupBy("h", "g").agg(F.min(place).alias("start")), "starts")
     return seen.join(start, ["h", "g"]).where(place != F.col("start")).select("doc_id", "key", "first", "last")
 
 
