@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_polytope, mixing, packing, pivot_search, quality_pu, range_coder, sentence_dedup, simhash, toxicity
+from . import cross_polytope, license_scan, mixing, packing, pivot_search, quality_pu, range_coder, sentence_dedup, simhash, toxicity
 from .scratch import cut
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -25,8 +25,12 @@ def op5_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=3, seed=42)
 
 
+def op8_patience_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"), coverage=0.8)
+
+
 def op9_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_two_fit(_table(spark, sf_dir, "documents"), _vocabulary())
+    return packing.best_two_fit(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def _scored(found: DataFrame) -> DataFrame:
@@ -52,7 +56,7 @@ def op2_pivot_distance_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_context_mixing_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = cut(range_coder.encode_documents(_table(spark, sf_dir, "documents"), _vocabulary()), "token-file")
+    written = cut(range_coder.encode_documents(_table(spark, sf_dir, "documents"), vocabulary()), "token-file")
     return range_coder.decode_documents(written)
 
 
@@ -136,7 +140,7 @@ FROM embeddings e JOIN least l ON l.node = e.vec_id LEFT JOIN counts c ON c.a =
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_positive_unlabelled_quality, op2_pivot_distance_search, op3_context_mixing_range_coder, op4_capped_water_filling,
-        op5_simhash_bk_trees, op6_cross_polytope_near_duplicates, op7_counterfactual_toxicity, op9_best_two_fit_packing, op10_sentence_spans)
+        op5_simhash_bk_trees, op6_cross_polytope_near_duplicates, op7_counterfactual_toxicity, op8_patience_license_scan, op9_best_two_fit_packing, op10_sentence_spans)
 }
 ORACLE: dict[str, str] = {
     "op2_pivot_distance_search": OP2_SQL, "op4_capped_water_filling": OP4_SQL, "op6_cross_polytope_near_duplicates": OP6_SQL}
