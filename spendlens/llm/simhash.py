@@ -53,16 +53,20 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def _key():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a signed long."""
+    """(doc_id, key, fp): a hash of doc_id and text, and the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            values = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values.view(np.int64))], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fp long")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return plain.select("doc_id", _key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _finer(mask: int, radius: int) -> list[int]:
@@ -188,15 +192,35 @@ def hamming_links(fps: DataFrame, radius: int = 3, shard_rows: int = 8192) -> Da
     return dealt.mapInArrow(search, "a long, b long")
 
 
+def _rooted(prints: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """(fp, root, first): the smallest fingerprint of its component and its own first (doc_id, key)."""
+    distinct = cut(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("first"),
+                                            F.min("doc_id").alias("doc_id")), "distinct")
+    found = components(hamming_links(distinct, radius, shard_rows))
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), "first", "doc_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42, shard_rows: int = 8192) -> DataFrame:
     """(doc_id, fingerprint in hexadecimal, component_id): the smallest doc_id that links lead to, itself included."""
     prints = cut(fingerprints(docs, shingle, seed), "fingerprints")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
-    found = components(hamming_links(distinct, radius, shard_rows))
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "doc_id")
+    rooted = cut(_rooted(prints, radius, shard_rows), "rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = cut(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"), "named")
     # copies make hot fingerprints: a plain equi-join, whose large partitions AQE splits
     return prints.join(named, F.col("fp") == F.col("_fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42, shard_rows: int = 8192) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the one with the smallest doc_id stays, with all its
+    columns; of rows that repeat doc_id and text one."""
+    rooted = _rooted(cut(fingerprints(docs, shingle, seed), "fingerprints"), radius, shard_rows)
+    kept = cut(rooted.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.doc_id").alias("_d"), F.col("first.key").alias("_k")), "kept")
+    names = [f"`{c}`" for c in docs.columns]
+    keyed = docs.select(F.struct(*(F.col(c) for c in names)).alias("row")).select(
+        "row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
+    stay = keyed.withColumn("key", _key()).join(
+        kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left_semi")
+    return stay.dropDuplicates(["doc_id", "key"]).select("row.*")
