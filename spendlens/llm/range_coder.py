@@ -46,10 +46,10 @@ class _Models:
         self.count = np.zeros(size, np.int64)
         self.recent: list[np.ndarray] = []
         self.step = 0
-        self.guess = [np.zeros(1 << 16, np.int64), np.zeros(1 << 20, np.int64)]
-        self.sure = [np.zeros(1 << 16, np.int64), np.zeros(1 << 20, np.int64)]
+        self.known = [np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int64)]  # last id << 3 | confidence
         self.weight = np.ones((128, 3), np.int64) * np.array([1, 1, 4])
         self.learn()
+        self.weigh()
 
     def learn(self) -> None:
         """Order-0 frequencies anew from all ids seen; they sum to 2**_C0."""
@@ -60,32 +60,38 @@ class _Models:
         freq = 1 + self.count * ((1 << _C0) - self.size) // total
         freq[int(self.count.argmax())] += (1 << _C0) - int(freq.sum())
         self.freq = freq
-        self.start = np.concatenate([[0], np.cumsum(freq)])
+        self.start = np.cumsum(freq) - freq
+
+    def weigh(self) -> None:
+        """The mixture's shares of order 2, order 1 and order 0 by state, in 2**-_W."""
+        shares, total = (1 << _W) - 128, self.weight.sum(1)
+        self.w2, self.w1 = self.weight[:, 0] * shares // total + 1, self.weight[:, 1] * shares // total + 1
+        self.w0 = (1 << _W) - self.w2 - self.w1
 
     def predict(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The guesses of order 2 and 1 and the shares of order 2, order 1 and order 0, in 2**-_W."""
-        self.slot = [(last * 40503) & 0xFFFF, (last * 0x9E3779B1 + before * 0x85EBCA6B >> 7) & 0xFFFFF]
-        c1, c2 = self.guess[0][self.slot[0]], self.guess[1][self.slot[1]]
-        self.trust = [self.sure[0][self.slot[0]], self.sure[1][self.slot[1]]]
-        self.state = self.trust[1] * 16 + self.trust[0] * 2 + (c1 == c2)
-        total = self.weight.sum(1)
-        shares = (1 << _W) - 128
-        w2, w1 = self.weight[:, 0] * shares // total + 1, self.weight[:, 1] * shares // total + 1
-        return c2, c1, w2[self.state], w1[self.state], ((1 << _W) - w2 - w1)[self.state]
-
-    def update(self, ids: np.ndarray, c2: np.ndarray, c1: np.ndarray, kind: np.ndarray) -> None:
-        self.weight += 24 * np.bincount(self.state * 3 + kind, minlength=384).reshape(128, 3)
-        over = self.weight.sum(1) > _LIMIT
-        if over.any():
-            self.weight[over] = (self.weight[over] >> 1) + 1
-        for k, guess in ((0, c1), (1, c2)):
-            slot, right, trust = self.slot[k], guess == ids, self.trust[k]
-            swap = trust <= 1
-            self.guess[k][slot] = np.where(swap, ids, guess)
-            self.sure[k][slot] = np.where(right, np.minimum(trust + 1, 7), np.where(swap, 1, trust >> 1))
+        """The guesses of order 2 and 1, and the shares of order 2, order 1 and order 0."""
+        self.slot = [(last * 40503) & 0xFFFF, (last * 0x9E3779B1 + before * 0x85EBCA6B >> 7) & 0x3FFFF]
+        self.was = [k[s] for k, s in zip(self.known, self.slot, strict=True)]
+        c1, c2 = self.was[0] >> 3, self.was[1] >> 3
+        self.trust = [self.was[0] & 7, self.was[1] & 7]
+        self.state = (self.trust[1] << 4) + (self.trust[0] << 1) + (c1 == c2)
+        return c2, c1, self.w2[self.state], self.w1[self.state], self.w0[self.state]
+
+    def update(self, ids: np.ndarray, right2: np.ndarray, right1: np.ndarray, kind: np.ndarray) -> None:
+        for k, right in ((0, right1), (1, right2)):
+            # right: one step surer; wrong: half as sure, or the new id if there was little confidence
+            trust = self.trust[k]
+            kept = (self.was[k] - trust) + (trust >> 1) + right * (trust - (trust >> 1) + (trust < 7))
+            swap = (trust <= 1) & ~right
+            self.known[k][self.slot[k]] = kept + swap * ((ids << 3) + 1 - kept)
         self.recent.append(ids)
         self.step += 1
-        if self.step % 16 == 0 or self.step & (self.step - 1) == 0:
+        if self.step % 4 == 0:  # the weights follow every fourth step
+            self.weight += 96 * np.bincount(self.state * 3 + kind, minlength=384).reshape(128, 3)
+            while (over := self.weight.sum(1) > _LIMIT).any():
+                self.weight[over] = (self.weight[over] >> 1) + 1
+            self.weigh()
+        if self.step % 32 == 0 or self.step & (self.step - 1) == 0:
             self.learn()
 
 
@@ -104,77 +110,85 @@ def encode_ids(ids: np.ndarray, size: int) -> bytes:
     model = _Models(size)
     low, width = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
     last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    words = np.zeros((lanes, 2 * steps + 2), np.int64)
-    flat, base, at = words.reshape(-1), np.arange(lanes) * words.shape[1], np.zeros(lanes, np.int64)
+    words, given = np.zeros((2 * steps + 1, lanes), np.int32), np.zeros((2 * steps + 1, lanes), bool)
     for t in range(steps):
         live = -(-(n - t) // steps)
         if live < len(last):
             last, before = last[:live], before[:live]
         x = grid[t, :live]
         c2, c1, w2, w1, w0 = model.predict(last, before)
-        kind = np.where(x == c2, 0, np.where(x == c1, 1, 2))
-        miss = kind == 2
-        start = np.where(miss, (w2 + w1 << _C0) + model.start[x] * w0, np.where(kind == 1, w2 << _C0, 0))
-        freq = np.where(miss, model.freq[x] * w0, np.where(kind == 1, w1, w2) << _C0)
+        right2, right1 = x == c2, x == c1
+        second = right1 & ~right2
+        miss = ~(right2 | right1)
+        kind = miss * 2 + second
+        start = miss * ((w2 + w1 << _C0) + model.start[x] * w0) + second * (w2 << _C0)
+        freq = miss * (model.freq[x] * w0) + (second * w1 + right2 * w2 << _C0)
         unit = width[:live] >> _W + _C0
         low[:live] += unit * start
         width[:live] = unit * freq
-        small = np.flatnonzero(width < _LOW)
-        while len(small):
-            own = low[small]
-            flat[base[small] + at[small]] = own >> 32
-            at[small] += 1
-            low[small] = (own & _MASK) << 16
-            width[small] <<= 16
-            small = small[width[small] < _LOW]
-        model.update(x, c2, c1, kind)
+        for r in (2 * t, 2 * t + 1):  # an interval of 2**-30 at the narrowest gives two words at most
+            need = width < _LOW
+            if r & 1 and not need.any():
+                break
+            top = low >> 32
+            words[r], given[r] = top, need
+            low = low - (top * need << 32) << need * 16
+            width <<= need * 16
+        model.update(x, right2, right1, kind)
         last, before = x, last
-    flat[base + at] = low + _MASK >> 32
-    at += 1
-    for k in range(int(at.max()) - 1, 0, -1):  # carries run towards the front
-        words[:, k - 1] += words[:, k] >> 16
-    words &= 0xFFFF
-    held = np.arange(words.shape[1]) < at[:, None]
-    return at.astype("<u4").tobytes() + words[held].astype("<u2").tobytes()
+    words[-1], given[-1] = low + _MASK >> 32, True
+    held = np.ascontiguousarray(given.T)
+    out = np.ascontiguousarray(words.T)[held].astype(np.int64)
+    while (carry := out >> 16).any():  # carries run towards the front, never past a run's first word
+        out &= 0xFFFF
+        out[:-1] += carry[1:]
+    return held.sum(1).astype("<u4").tobytes() + out.astype("<u2").tobytes()
 
 
 def decode_ids(data: bytes, n: int, size: int) -> np.ndarray:
     lanes, steps = _shape(n)
     length = np.frombuffer(data, "<u4", lanes).astype(np.int64)
-    words = np.zeros((lanes, int(length.max()) + 4), np.int64)
-    words[np.arange(words.shape[1]) < length[:, None]] = np.frombuffer(data, "<u2", offset=4 * lanes)
-    flat, at = words.reshape(-1), np.arange(lanes) * words.shape[1] + 3
-    code = (words[:, 0] << 32) + (words[:, 1] << 16) + words[:, 2]
+    # three words of padding behind every run, so that reading past its end gives zeros
+    edge = np.cumsum(length + 4) - (length + 4)
+    flat = np.zeros(int((length + 4).sum()), np.int64)
+    flat[np.arange(int(length.sum())) + np.repeat(4 * np.arange(lanes), length)] = np.frombuffer(data, "<u2", offset=4 * lanes)
+    code, at = (flat[edge] << 32) + (flat[edge + 1] << 16) + flat[edge + 2], edge + 3
     model = _Models(size)
     width = np.full(lanes, (1 << 48) - 1, np.int64)
     last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     grid = np.zeros((steps, lanes), np.int64)
+    owner, freq_of = None, None
     for t in range(steps):
         live = -(-(n - t) // steps)
         if live < len(last):
             last, before, code, width, at = last[:live], before[:live], code[:live], width[:live], at[:live]
         c2, c1, w2, w1, w0 = model.predict(last, before)
+        if freq_of is not model.freq:  # the id that owns each unit of order 0
+            owner, freq_of = np.repeat(np.arange(size), model.freq), model.freq
         unit = width >> _W + _C0
         value = np.minimum(code // unit, (1 << _W + _C0) - 1)
         share = value >> _C0
         miss = share >= w2 + w1
-        kind = np.where(miss, 2, share >= w2)
-        x = np.where(kind == 1, c1, c2)
+        second = (share >= w2) & ~miss
+        kind = miss * 2 + second
+        x = np.where(second, c1, c2)
         out = np.flatnonzero(miss)
-        target = (value[out] - (w2[out] + w1[out] << _C0)) // w0[out]
-        x[out] = np.searchsorted(model.start, target, "right") - 1
-        start = np.where(miss, (w2 + w1 << _C0) + model.start[x] * w0, np.where(kind == 1, w2 << _C0, 0))
-        freq = np.where(miss, model.freq[x] * w0, np.where(kind == 1, w1, w2) << _C0)
+        x[out] = owner[(value[out] - (w2[out] + w1[out] << _C0)) // w0[out]]
+        right2 = x == c2
+        start = miss * ((w2 + w1 << _C0) + model.start[x] * w0) + second * (w2 << _C0)
+        freq = miss * (model.freq[x] * w0) + (second * w1 + (kind == 0) * w2 << _C0)
         code = code - unit * start
         width = unit * freq
-        small = np.flatnonzero(width < _LOW)
-        while len(small):
-            code[small] = (code[small] << 16) + flat[at[small]]
-            at[small] += 1
-            width[small] <<= 16
-            small = small[width[small] < _LOW]
+        for _ in range(2):
+            need = width < _LOW
+            if not need.any():
+                break
+            shift = need * 16
+            code = (code << shift) + flat[at] * need
+            width = width << shift
+            at = at + need
         grid[t, :live] = x
-        model.update(x, c2, c1, kind)
+        model.update(x, right2, x == c1, kind)
         last, before = x, last
     return grid.T.reshape(-1)[:n]
 
