@@ -9,6 +9,7 @@ local session.
 from __future__ import annotations
 
 import argparse
+import datetime
 import json
 import sys
 
@@ -16,12 +17,7 @@ import sys
 def _session():
     from pyspark.sql import SparkSession
 
-    from .session import local_session
-
-    active = SparkSession.getActiveSession()
-    if active is not None:
-        return active
-    return local_session()
+    return SparkSession.builder.getOrCreate()  # master and settings are the submitter's
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -32,6 +28,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("work_dir")
     p.add_argument("--reports", default=None, help="write every report here")
     p.add_argument("--force", action="store_true", help="redo outputs that exist")
+    p.add_argument("--as-of", type=datetime.date.fromisoformat, default=None, help="day for ages, as YYYY-MM-DD")
     s = sub.add_parser("sql-analysis", help="SQL-view analysis: anomalies and summary")
     s.add_argument("users")
     s.add_argument("cards")
@@ -42,7 +39,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.cmd == "pipeline":
         from .plans.stages import run_pipeline
 
-        print(json.dumps(run_pipeline(spark, a.raw_dir, a.work_dir, a.force, a.reports)))
+        print(json.dumps(run_pipeline(spark, a.raw_dir, a.work_dir, a.force, a.reports, a.as_of)))
         return 0
     from .plans.analysis import SqlAnalysis
     from .sources.files import write_report

@@ -7,6 +7,8 @@ DataFrame so they compose with ``df.transform(fn, col)``.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,51 +171,45 @@ def nan_to_null(c: str | Column) -> Column:
 
 
 # ---------------------------------------------------------------- exact money moments
-# Money is summed as integer cents (LONG): exact, independent of the order rows
-# arrive in (partitioning, AQE, retries), and plain long arithmetic inside
-# codegen - no BigDecimal per row.  A sum converts to dollars once per group;
-# for |sum| < 2^53 cents that double is the correctly rounded value of the exact
-# decimal sum.  Squares (only used for the standard deviation) are summed in
-# double.  Inputs are money with two decimals; ``rint`` recovers the cent count
-# from the binary double.
-
-def cents(c: str | Column) -> Column:
-    """Cents as LONG; NULL for missing or NaN (a NaN would make the ANSI cast raise)."""
-    x = col_(c).cast("double")
-    return F.when(~F.isnan(x), F.rint(x * F.lit(100.0))).cast("long")
-
+# Money is summed exactly to a millionth: whole units and millionths as two LONG sums, so a
+# sum does not depend on the order rows arrive in (partitioning, AQE, retries) and the hot
+# loop stays in plain long arithmetic inside codegen.  The two meet once per group in a
+# DECIMAL; its double is the correctly rounded value of the exact sum.  The standard
+# deviation is Spark's own, which merges central moments.
 
 def exact_count(c: str | Column) -> Column:
     """Number of present (non-NULL, non-NaN) money values: the divisor of a money mean."""
-    return F.count(cents(c))
+    return F.count(nan_to_null(col_(c).cast("double")))
 
 
 def exact_sum(c: str | Column) -> Column:
-    """Sum in cents (LONG)."""
-    return F.sum(cents(c))
+    """Exact sum (DECIMAL with six decimals); NULL and NaN are skipped."""
+    x = nan_to_null(col_(c).cast("double"))
+    whole = F.floor(x)
+    millionths = F.rint((x - whole) * F.lit(1e6)).cast("long")
+    return (F.sum(whole.cast("long")).cast("decimal(32,6)")
+            + F.sum(millionths).cast("decimal(20,0)") * F.lit(Decimal("0.000001")))
 
 
-def exact_sumsq(c: str | Column) -> Column:
-    """Sum of squared cents (DOUBLE)."""
-    d = cents(c).cast("double")
-    return F.sum(d * d)
+def fixed(c: str | Column) -> Column:
+    """A value as DECIMAL with six decimals; NULL for missing or NaN."""
+    x = nan_to_null(col_(c).cast("double"))
+    return x.cast("decimal(20,6)")
 
 
 def money(s: str | Column) -> Column:
-    """A cents sum as dollars (DOUBLE)."""
-    return col_(s).cast("double") / F.lit(100.0)
+    """An exact sum as DOUBLE."""
+    return col_(s).cast("double")
 
 
 def mean_from(s: str | Column, n: str | Column) -> Column:
-    """Mean in dollars from a cents sum and a count (NULL for n = 0)."""
+    """Mean from an exact sum and a count (NULL for n = 0)."""
     return F.when(col_(n) > 0, money(s) / col_(n))
 
 
-def std_from(s: str | Column, ss: str | Column, n: str | Column) -> Column:
-    """Sample standard deviation (dollars) from cents sum and sum of squares (NULL for n < 2)."""
-    sd, ssd, nd = col_(s).cast("double"), col_(ss).cast("double"), col_(n).cast("double")
-    var = (ssd - sd * sd / nd) / (nd - F.lit(1.0))
-    return F.when(col_(n) > 1, F.sqrt(F.greatest(var, F.lit(0.0))) / F.lit(100.0))
+def sample_std(c: str | Column) -> Column:
+    """Sample standard deviation (NULL for fewer than two values); NULL and NaN are skipped."""
+    return F.stddev_samp(nan_to_null(col_(c).cast("double")))
 
 
 # ---------------------------------------------------------------- DataFrame wrappers

@@ -33,7 +33,7 @@ def pick(df: DataFrame, *aliases: str) -> str | None:
 def _money_aggs(amount: str, prefix: str = "amount") -> list:
     return [
         C.exact_sum(amount).alias("_s"),
-        C.exact_sumsq(amount).alias("_ss"),
+        C.sample_std(amount).alias("_sd"),
         C.exact_count(amount).alias("_na"),
     ]
 
@@ -45,7 +45,7 @@ def _money_cols(prefix: str = "amount", mean: bool = True, std: bool = True, tot
     if mean:
         out.append(C.mean_from("_s", "_na").alias(f"{prefix}_mean"))
     if std:
-        out.append(C.std_from("_s", "_ss", "_na").alias(f"{prefix}_std"))
+        out.append(F.col("_sd").alias(f"{prefix}_std"))
     return out
 
 
@@ -81,6 +81,14 @@ def user_attributes(users: DataFrame, names: tuple = USER_ATTRS) -> DataFrame:
     return users.select(*cols)
 
 
+def with_current_age(users: DataFrame, as_of) -> DataFrame:
+    """``current_age`` in whole years as of a day, from ``birth_date`` (D2); an age that is there already stays."""
+    if "current_age" in users.columns or "birth_date" not in users.columns:
+        return users
+    months = F.months_between(F.lit(as_of).cast("date"), F.col("birth_date"))
+    return users.withColumn("current_age", F.floor(months / 12).cast("int"))
+
+
 # ---------------------------------------------------------------- G1 user aggregate
 
 def median_per_group(df: DataFrame, key: str, value: str, out: str, strategy: str = "builtin") -> DataFrame:
@@ -227,16 +235,10 @@ def mcc_aggregate(txn: DataFrame, mcc_codes: DataFrame | None = None, *, approx_
     return out.orderBy(F.desc("txn_count"), "mcc") if sort else out
 
 
-# Largest code table broadcast into a lookup join (MCC codes are four digits: 10,000 at most).
-MAX_BROADCAST_CODES = 10_000
-
-
 def mcc_lookup(df: DataFrame, mcc_codes: DataFrame, code_col: str = "mcc") -> DataFrame:
-    """Attach the MCC description.  The code table is broadcast after a size check
-    (a count of the small code table); a larger table is joined the ordinary way."""
+    """Attach the MCC description.  Spark's own size statistics (and AQE) choose the join."""
     codes = mcc_codes.select(F.col("id").alias("_mcc_id"), "description")
-    side = F.broadcast(codes) if codes.count() <= MAX_BROADCAST_CODES else codes
-    return df.join(side, F.col(code_col) == F.col("_mcc_id"), "left").drop("_mcc_id")
+    return df.join(codes, F.col(code_col) == F.col("_mcc_id"), "left").drop("_mcc_id")
 
 
 # ---------------------------------------------------------------- G10/G11 risk metrics
@@ -276,9 +278,9 @@ def sql_style_transactions(txn: DataFrame) -> DataFrame:
     )
 
 
-def _dark_flag(c: str):
-    dt = c
-    return F.when(F.upper(C.trim_ws(F.col(dt).cast("string"))).isin("YES", "TRUE"), 1).otherwise(0)
+def dark_web_flag(c: str):
+    """1 if the card was seen on the dark web (YES or TRUE in any case and padding), else 0: the one rule for it."""
+    return F.when(F.upper(C.trim_ws(F.col(c).cast("string"))).isin("YES", "TRUE"), 1).otherwise(0)
 
 
 def user_aggregate_inner(txn: DataFrame, users: DataFrame, cards: DataFrame) -> DataFrame:
@@ -300,7 +302,7 @@ def user_aggregate_inner(txn: DataFrame, users: DataFrame, cards: DataFrame) ->
     limit = pick(cards, "credit_limit_usd", "credit_limit")
     cd = cards.select(
         F.col("card_id").alias("_cid"), F.col("client_id").alias("_uid"),
-        C.cents(limit).alias("_limit"), _dark_flag("card_on_dark_web").alias("_dark"),
+        C.fixed(limit).alias("_limit"), dark_web_flag("card_on_dark_web").alias("_dark"),
     )
     j = per_card.join(cd, (F.col("card_id") == F.col("_cid")) & (F.col("client_id") == F.col("_uid")))
     per_user = j.groupBy("client_id").agg(
@@ -323,7 +325,7 @@ def user_aggregate_inner(txn: DataFrame, users: DataFrame, cards: DataFrame) ->
         "total_errors",
         (F.col("_chip").cast("double") / F.col("txn_count")).alias("chip_ratio"),
         *attrs,
-        C.mean_from("_ls", "_ln").alias("avg_credit_limit"),
+        C.mean_from("_ls", "_ln").alias("txn_weighted_credit_limit"),
         F.col("has_dark_web_card").cast("int").alias("has_dark_web_card"),
     )
 

@@ -9,6 +9,7 @@ and deduplicated on its key first so that a repeated key cannot fan out.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -41,8 +42,10 @@ def state_centres(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(STATE_CENTRES, "state string, lat double, lon double")
 
 
-def read_city_coords(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with City, State, lat, lon -> (city_state, lat, lon); unreadable -> empty."""
+def read_city_coords(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame:
+    """CSV with City, State, lat, lon -> (city_state, lat, lon).
+
+    A path or column that is not there raises; with ``missing_ok`` it gives an empty lookup."""
     try:
         raw = spark.read.option("header", True).csv(path)
         return raw.select(
@@ -50,7 +53,9 @@ def read_city_coords(spark: SparkSession, path: str) -> DataFrame:
             F.col("lat").try_cast("double").alias("lat"),
             F.col("lon").try_cast("double").alias("lon"),
         )
-    except Exception:  # noqa: BLE001 - the reference falls back to an empty lookup
+    except AnalysisException:
+        if not missing_ok:
+            raise
         return spark.createDataFrame([], "city_state string, lat double, lon double")
 
 

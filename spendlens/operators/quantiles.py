@@ -8,13 +8,14 @@ with the number of distinct values.  ``exact_quantile`` reaches the same value
 DataFrame steps:
 
 * values are first counted per (group, value) - map-side partial aggregation;
-* grouped case: a running sum of the counts over ``Window.partitionBy(keys)``
+* groups: a running sum of the counts over ``Window.partitionBy(keys)``
   ordered by value gives each distinct value its rank range; the window works
   on *distinct* values (bounded by the value domain, e.g. cents) and spills;
-* global case: values are put into range buckets (boundaries from a
-  fixed-size sketch, fetched once as literals), per-bucket totals (one row per bucket: a proven bound)
-  are turned into offsets and broadcast, and running sums are taken per
-  bucket - no single task ever sees all values.
+* the global case, and groups with ``split``: a fixed-size sketch first brackets the
+  wanted ranks (one row per group); values below a bracket become one row that
+  carries their number, values above it go, and only what lies inside - some
+  0.02 % of a large group - is ranked, as distinct values with counts.  Two scans, and no
+  work that depends on the number of shuffle partitions.
 """
 
 from __future__ import annotations
@@ -23,7 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_C, _END, _N = "_q_cnt", "_q_end", "_q_n"
+_C, _END, _N, _LOW = "_q_cnt", "_q_end", "_q_n", "_q_low"
+# A sketch of this accuracy is off by n / ACCURACY ranks at most; brackets reach MARGIN on either
+# side, which also covers the rounding of ranks once a group has WHOLE values.  Smaller groups
+# are ranked whole.
+ACCURACY, MARGIN, WHOLE = 50_000, 1e-4, 20_000
 
 
 def _clean(df: DataFrame, value: str):
@@ -34,138 +39,93 @@ def _clean(df: DataFrame, value: str):
     return v.isNotNull()
 
 
-def _pick(q: float, value: str) -> list:
+def _pick(q: float, value: str, i: int = 0) -> list:
     pos = F.lit(q) * (F.col(_N) - F.lit(1)).cast("double")
     lo = F.floor(pos)
     hi = F.ceil(pos)
     start = F.col(_END) - F.col(_C)
     v = F.col(value).cast("double")
     return [
-        F.max(F.when((start <= lo) & (lo < F.col(_END)), v)).alias("_q_lo"),
-        F.max(F.when((start <= hi) & (hi < F.col(_END)), v)).alias("_q_hi"),
-        F.max(pos - lo).alias("_q_frac"),
+        F.max(F.when((start <= lo) & (lo < F.col(_END)), v)).alias(f"_q_lo{i}"),
+        F.max(F.when((start <= hi) & (hi < F.col(_END)), v)).alias(f"_q_hi{i}"),
+        F.max(pos - lo).alias(f"_q_frac{i}"),
     ]
 
 
-def _interp(out: str):
-    lo, hi, frac = F.col("_q_lo"), F.col("_q_hi"), F.col("_q_frac")
+def _interp(out: str, i: int = 0):
+    lo, hi, frac = F.col(f"_q_lo{i}"), F.col(f"_q_hi{i}"), F.col(f"_q_frac{i}")
     return (lo + (hi - lo) * frac).alias(out)
 
 
 def exact_quantile(df: DataFrame, value: str, q: float, keys: list[str] | tuple = (), out: str = "quantile",
-                   partitions: int | None = None, dedupe: bool = True, split: bool = False) -> DataFrame:
+                   dedupe: bool = True, split: bool = False) -> DataFrame:
     """Exact ``q``-quantile of ``value`` per ``keys`` (one row per group; one row overall if no keys).
 
     Nulls/NaN are ignored; an empty input gives NULL (global) or no row (grouped).
     ``dedupe`` first counts repeated values (money: many repeats); pass False for
     continuous values, where the pre-count would only add a shuffle.
-    ``split`` (grouped case) also cuts every group into global value buckets, so a
-    group holding a large share of all rows is ranked by many tasks, not one.
+    ``split`` (grouped case) brackets the wanted rank of every group before ranking, so
+    that a group holding a large share of all rows is not ranked whole in one task.
     """
-    if not 0.0 <= q <= 1.0:
-        raise ValueError("q must be in [0, 1]")
-    keys = list(keys)
-    clean = df.where(_clean(df, value))
-    if dedupe:
-        counted = clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(_C))
-    else:
-        counted = clean.select(*keys, value, F.lit(1).cast("long").alias(_C))
-    if keys and split:
-        return _split_grouped(clean, counted, value, q, keys, out, partitions)
+    return exact_quantiles(df, value, [q], keys, [out], split, dedupe)
+
+
+def _narrowed(rows: DataFrame, value: str, q: float, keys: list[str]) -> DataFrame:
+    """Rows (keys, value, ``_q_cnt``) of which only the bracket of rank ``q`` is left, with ``_q_n``."""
+    about = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_b_rows"),
+        F.percentile_approx(F.col(value), [max(0.0, q - MARGIN), min(1.0, q + MARGIN)], ACCURACY).alias("_b"))
+    about = about.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col("_b_rows").alias(_N),
+                         F.when(F.col("_b_rows") > WHOLE, F.col("_b")[0]).alias("_b_lo"),
+                         F.when(F.col("_b_rows") > WHOLE, F.col("_b")[1]).alias("_b_hi"))
     if keys:
-        w_run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        w_all = Window.partitionBy(*keys)
-        ranked = counted.withColumn(_END, F.sum(_C).over(w_run)).withColumn(_N, F.sum(_C).over(w_all))
-        return ranked.groupBy(*keys).agg(*_pick(q, value)).select(*keys, _interp(out))
-
-    spark = df.sparkSession
-    nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Bucket = number of approximate range boundaries below the value: a pure function of
-    # the value (stable under retries and AQE), monotone, so buckets hold contiguous ranges.
-    # The boundaries are one row of nparts-1 numbers (bounded), broadcast.
-    # The boundaries (nparts - 1 numbers: bounded by the bucket count) are fetched once and
-    # embedded as literals, so every branch and every retry buckets a value identically.
-    edges = _edges(clean, value, nparts)
-    ranged = counted.withColumn("_q_pid", F.size(F.filter(edges, lambda b: b < F.col(value).cast("double"))))
-    per_part = ranged.groupBy("_q_pid").agg(F.sum(_C).alias("_q_pc"))
-    w_off = Window.orderBy("_q_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per bucket: bounded by the bucket count, safe to broadcast
-    offsets = per_part.select(
-        "_q_pid",
-        F.coalesce(F.sum("_q_pc").over(w_off), F.lit(0)).alias("_q_off"),
-        F.sum("_q_pc").over(Window.partitionBy()).alias(_N),
-    )
-    w_run = Window.partitionBy("_q_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = ranged.join(F.broadcast(offsets), "_q_pid").withColumn(
-        _END, F.col("_q_off") + F.sum(_C).over(w_run)
-    )
-    return ranked.agg(*_pick(q, value)).select(_interp(out))
-
-
-def _edges(clean: DataFrame, value: str, nparts: int):
-    """Literal array of nparts-1 approximate global value boundaries (fetched once: bounded)."""
-    fracs = [i / nparts for i in range(1, nparts)] or [0.5]
-    got = clean.agg(F.percentile_approx(F.col(value).cast("double"), fracs, 10000).alias("_q_b")).first()[0]
-    return F.array(*[F.lit(float(b)) for b in sorted(set(got or []))]) if got else F.array().cast("array<double>")
-
-
-def _split_grouped(clean: DataFrame, counted: DataFrame, value: str, q: float, keys: list[str], out: str,
-                   partitions: int | None) -> DataFrame:
-    """Grouped exact quantile with hot groups split into (group, value bucket) ranges.
-
-    Per (group, bucket) totals (at most groups x buckets rows, a hot group only
-    ``buckets`` of them) give each bucket its rank offset inside its group; the
-    offsets join back on (group, bucket) - a key that spreads a hot group over
-    many tasks - and the running sums are taken per (group, bucket).
-    """
-    spark = counted.sparkSession
-    nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = _edges(clean, value, nparts)
-    b = counted.withColumn("_q_pid", F.size(F.filter(edges, lambda e: e < F.col(value).cast("double"))))
-    per = b.groupBy(*keys, "_q_pid").agg(F.sum(_C).alias("_q_pc"))
-    w_off = Window.partitionBy(*keys).orderBy("_q_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_q_pid").alias("_o_pid"),
-                      F.coalesce(F.sum("_q_pc").over(w_off), F.lit(0)).alias("_q_off"),
-                      F.sum("_q_pc").over(Window.partitionBy(*keys)).alias(_N))
-    cond = F.col("_q_pid") == F.col("_o_pid")
-    for k in keys:  # NULL group keys form a group, as in SQL GROUP BY
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
-    ranked = b.join(offs, cond)
-    w_run = Window.partitionBy(*keys, "_q_pid").orderBy(value).rowsBetween(Window.unboundedPreceding,
-                                                                           Window.currentRow)
-    ranked = ranked.withColumn(_END, F.col("_q_off") + F.sum(_C).over(w_run))
-    if q is None:
-        return ranked
-    return ranked.groupBy(*keys).agg(*_pick(q, value)).select(*keys, _interp(out))
+        cond = F.lit(True)
+        for k in keys:  # NULL group keys form a group, as in SQL GROUP BY
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+        joined = rows.join(about, cond)
+    else:
+        joined = rows.crossJoin(F.broadcast(about))  # one row
+    below = F.coalesce(F.col(value) < F.col("_b_lo"), F.lit(False))
+    kept = joined.where(F.col("_b_hi").isNull() | (F.col(value) <= F.col("_b_hi")))
+    return kept.groupBy(*keys, below.alias(_LOW), F.when(~below, F.col(value)).alias(value)).agg(
+        F.count(F.lit(1)).alias(_C), F.max(_N).alias(_N))
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys: list[str] | tuple = (),
-                    names: list[str] | None = None, split: bool = False) -> DataFrame:
-    """Several exact quantiles per group in one ranking pass (grouped case); ``split`` as in
-    ``exact_quantile`` for groups that hold a large share of all rows."""
+                    names: list[str] | None = None, split: bool = False, dedupe: bool = True) -> DataFrame:
+    """Several exact quantiles per group; ``split`` as in ``exact_quantile``."""
+    if any(not 0.0 <= q <= 1.0 for q in qs):
+        raise ValueError("q must be in [0, 1]")
     keys = list(keys)
     names = names or [f"q{int(round(q * 100)):02d}" for q in qs]
-    if not keys:
-        out = None
-        for q, nm in zip(qs, names):
-            one = exact_quantile(df, value, q, out=nm)
-            out = one if out is None else out.crossJoin(one)
-        return out
-    clean = df.where(_clean(df, value))
-    counted = clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(_C))
-    if split:
-        ranked = _split_grouped(clean, counted, value, None, keys, "", None)
-    else:
+    clean = df.where(_clean(df, value)).select(*keys, F.col(value).cast("double").alias(value))
+    if keys and not split:
+        if dedupe:
+            counted = clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(_C))
+        else:
+            counted = clean.withColumn(_C, F.lit(1).cast("long"))
         w_run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ranked = counted.withColumn(_END, F.sum(_C).over(w_run)).withColumn(
             _N, F.sum(_C).over(Window.partitionBy(*keys)))
-    aggs, cols = [], []
-    for i, q in enumerate(qs):
-        lo_, hi_, fr_ = _pick(q, value)
-        aggs += [lo_.alias(f"_lo{i}"), hi_.alias(f"_hi{i}"), fr_.alias(f"_fr{i}")]
-        lo, hi, fr = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_fr{i}")
-        cols.append((lo + (hi - lo) * fr).alias(names[i]))
-    return ranked.groupBy(*keys).agg(*aggs).select(*keys, *cols)
+        aggs = [a for i, q in enumerate(qs) for a in _pick(q, value, i)]
+        return ranked.groupBy(*keys).agg(*aggs).select(*keys, *[_interp(n, i) for i, n in enumerate(names)])
+    out = None
+    for i, (q, name) in enumerate(zip(qs, names, strict=True)):
+        rows = _narrowed(clean, value, q, keys)
+        w_run = Window.partitionBy(*keys).orderBy(F.col(_LOW).desc(), value).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        one = rows.withColumn(_END, F.sum(_C).over(w_run)).groupBy(*keys).agg(*_pick(q, value, i)).select(
+            *[F.col(k).alias(k if out is None else f"_k_{k}") for k in keys], _interp(name, i))
+        if out is None:
+            out = one
+        elif not keys:
+            out = out.crossJoin(one)  # one row each
+        else:
+            cond = F.lit(True)
+            for k in keys:
+                cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+            out = out.join(one, cond).drop(*[f"_k_{k}" for k in keys])
+    return out
 
 
 def exact_median(df: DataFrame, value: str, keys: list[str] | tuple = (), out: str = "median") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .aggregates import pick
+from .aggregates import dark_web_flag, pick
 from .quantiles import exact_quantile
 from .stats import binned_mean
 
@@ -228,7 +228,7 @@ def dataset_summary_sql_style(txn: DataFrame, cards: DataFrame, user_agg: DataFr
     )
     med = exact_quantile(t, "amount", 0.5, out="med")
     dark = pick(cards, "card_on_dark_web")
-    dk = cards.agg(F.count_if(F.upper(F.col(dark).cast("string")).isin("YES", "TRUE")).alias("dark_n"))
+    dk = cards.agg(F.sum(dark_web_flag(dark)).alias("dark_n"))
     row = base.crossJoin(med).crossJoin(dk)
     items = [("transactions", "total_transactions", "n"), ("transactions", "avg_amount", "avg"),
              ("transactions", "median_amount", "med"), ("errors", "transactions_with_error", "err_n"),

@@ -24,8 +24,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Largest KDE evaluation grid (groups x points) that is broadcast to the count rows.
-MAX_BROADCAST_GRID = 2_000_000
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -172,13 +170,11 @@ def kde(df: DataFrame, value: str, by: str | None = None, grid: int = 200, cut:
         "_g", "_n", "_bw", "point",
         F.when(F.col("point") == grid - 1, gmax).otherwise(F.col("point").cast("double") * step + gmin).alias("x"),
     )
-    # The grid has groups x grid rows.  Broadcast it after checking the group count (a job over
-    # the already aggregated one-row-per-group table); beyond the limit Spark plans the join.
+    # The grid has groups x grid rows; Spark's size statistics and AQE choose the join.
     z = (F.col("x") - F.col("_v")) / F.col("_bw")
     contrib = F.col("_c") * F.exp(F.lit(-0.5) * z * z)
     norm = F.lit(1.0 / math.sqrt(2 * math.pi)) / (F.col("_n") * F.col("_bw"))
-    small = by is None or stats.count() * grid <= MAX_BROADCAST_GRID
-    out = counts.join(F.broadcast(pts) if small else pts, "_g").groupBy("_g", "point", "x").agg(
+    out = counts.join(pts, "_g").groupBy("_g", "point", "x").agg(
         (F.sum(contrib) * F.first(norm)).alias("density")
     )
     return out.select(F.col("_g").alias(by or "group"), "point", "x", "density")
@@ -186,6 +182,12 @@ def kde(df: DataFrame, value: str, by: str | None = None, grid: int = 200, cut:
 
 # ---------------------------------------------------------------- correlation
 
+# The named features of the SQL-style correlation.
+SELECTED_FEATURES = [
+    "avg_amount", "credit_score", "yearly_income", "total_debt", "per_capita_income", "txn_weighted_credit_limit",
+    "num_credit_cards", "debt_to_income", "current_age", "txn_count", "total_errors", "chip_ratio", "has_dark_web_card",
+]
+
 # Relative spread below which a column counts as constant (floating-point noise).
 CONSTANT_RTOL = 1e-10
 

@@ -49,26 +49,26 @@ SELECT o_orderkey AS id, o_custkey AS client_id,
        CASE WHEN o_orderkey % 17 = 0 THEN 'garbage' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS opened
 FROM orders""",
     "city_coords": """
-SELECT upper(concat(n.n_name, '|', r.r_name)) AS city_state,
+SELECT upper(concat(n.n_name, '|', CASE WHEN n.n_nationkey % 3 = 0 THEN 'elsewhere' ELSE r.r_name END)) AS city_state,
        CAST(20 + n.n_nationkey*1.5 AS DOUBLE) AS lat, CAST(-130 + n.n_nationkey*3.0 AS DOUBLE) AS lon
-FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
-WHERE n.n_nationkey % 3 <> 0""",
+FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey""",
     "state_coords": """
-SELECT r_name AS state, CAST(30 + r_regionkey*4 AS DOUBLE) AS lat, CAST(-120 + r_regionkey*9 AS DOUBLE) AS lon
-FROM region WHERE r_regionkey <> 3""",
+SELECT CASE WHEN r_regionkey = 3 THEN 'elsewhere' ELSE r_name END AS state,
+       CAST(30 + r_regionkey*4 AS DOUBLE) AS lat, CAST(-120 + r_regionkey*9 AS DOUBLE) AS lon
+FROM region""",
     "labels_in": """
-SELECT o_orderkey AS id, o_orderpriority = '1-URGENT' AS fraud FROM orders WHERE o_orderpriority <> '5-LOW'""",
+SELECT o_orderkey AS id, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority = '1-URGENT' END AS fraud FROM orders""",
     "mcc_codes": """
 SELECT p_size AS id, min(p_type) AS description FROM part GROUP BY p_size""",
 }
 
 # Reusable SQL fragments (exact money moments).
 def msum(x: str) -> str:
-    return f"CAST(SUM(CAST({x} AS DECIMAL(18,2))) AS DOUBLE)"
+    return f"CAST(SUM(CAST({x} AS DECIMAL(18,6))) AS DOUBLE)"
 
 
 def mmean(x: str) -> str:
-    return f"(CAST(SUM(CAST({x} AS DECIMAL(18,2))) AS DOUBLE) / COUNT({x}))"
+    return f"(CAST(SUM(CAST({x} AS DECIMAL(18,6))) AS DOUBLE) / COUNT({x}))"
 
 
 def mstd(x: str, nd: int = 6) -> str:

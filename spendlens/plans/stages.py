@@ -157,13 +157,13 @@ def cleanup(spark: SparkSession, in_dir: str, out_dir: str, force: bool = False)
 
 
 def run_pipeline(spark: SparkSession, raw_dir: str, work_dir: str, force: bool = False,
-                 reports_dir: str | None = None) -> dict:
-    """Preprocess -> cleanup -> (optional) all reports."""
+                 reports_dir: str | None = None, as_of=None) -> dict:
+    """Preprocess -> cleanup -> (optional) all reports; ages as of the day ``as_of``."""
     result = {"preprocess": preprocess(spark, raw_dir, f"{work_dir}/preprocessed", force),
               "cleanup": cleanup(spark, f"{work_dir}/preprocessed", f"{work_dir}/cleaned", force)}
     if reports_dir is not None:
         from .analysis import SpendAnalysis
 
-        status = SpendAnalysis(spark, f"{work_dir}/cleaned").run_reports(reports_dir, force=force)
+        status = SpendAnalysis(spark, f"{work_dir}/cleaned", as_of=as_of).run_reports(reports_dir, force=force)
         result["reports"] = {r["report"]: r["status"] for r in status.collect()}
     return result

@@ -2,16 +2,18 @@
 
 Library code never creates its own session: every public function takes
 DataFrames (or a session) from the caller.  ``local_session`` exists for
-tests, the bench and the command line, and ``checkpoint_dir`` finds the
-shared folder a cluster names in ``spark.checkpoint.dir``.
+tests and the bench, and ``checkpoint_dir`` finds the shared folder a
+cluster names in ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "spendlens") -> SparkSession:
@@ -31,56 +33,34 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if checkpoint_dir(spark) is None:  # local runs only: a cluster names its own shared folder
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spendlens-ckpt-"))
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, create_local: bool = True) -> str | None:
-    """The checkpoint folder: ``spark.checkpoint.dir`` (or one already set on the context).
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The shared folder that ``spark.checkpoint.dir`` (or the context) names, if any."""
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
 
-    Only in local mode, and only when nothing is configured, a scratch folder is
-    created (tests, the bench).  On a cluster the folder must be shared storage
-    (HDFS, an object store); a machine-local temp folder would vanish with its
-    executor, so none is invented there and ``None`` is returned.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    if not create_local or not sc.master.startswith("local"):
-        return None
-    path = tempfile.mkdtemp(prefix="spendlens-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Like ``checkpoint_dir`` but an unset folder on a cluster is an error."""
-    path = checkpoint_dir(spark)
-    if path is None:
-        raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
-    return path
 
-
-def materialize(df, how: str = "checkpoint"):
+def materialize(df: DataFrame, how: str = "write", folder: str | None = None) -> DataFrame:
     """Compute ``df`` once for several passes.
 
-    ``checkpoint`` writes it to the checkpoint folder (reliable, cuts lineage); on a
-    cluster without a configured folder it falls back to ``persist`` (memory and
-    disk, recomputed from lineage if an executor is lost).  ``cache`` persists,
-    ``none`` leaves the plan lazy.
+    ``write`` stores it as Parquet in ``folder`` (by default the session's checkpoint folder) and reads it
+    back, which cuts lineage and keeps column pruning; the files go when the session ends.  Without a folder
+    the plan stays lazy.  ``cache`` persists, ``none`` leaves the plan lazy.
     """
-    if how == "checkpoint":
-        if checkpoint_dir(df.sparkSession) is not None:
-            return df.checkpoint()
-        how = "cache"
     if how == "cache":
-        from pyspark import StorageLevel
-
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df
+    spark = df.sparkSession
+    folder = folder or checkpoint_dir(spark)
+    if how == "none" or not folder:
+        return df
+    path = f"{folder}/materialized-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions_for(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,

@@ -136,28 +136,31 @@ def raw_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def city_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _geo(spark, sf_dir).where(F.col("n_nationkey") % 3 != 0)
+    """Every nation; the key of each third one names a state that no transaction has, so the city level misses."""
+    g = _geo(spark, sf_dir)
+    state = F.when(F.col("n_nationkey") % 3 == 0, F.lit("elsewhere")).otherwise(F.col("r_name"))
     return g.select(
-        F.upper(F.concat(F.col("n_name"), F.lit("|"), F.col("r_name"))).alias("city_state"),
+        F.upper(F.concat(F.col("n_name"), F.lit("|"), state)).alias("city_state"),
         (F.lit(20) + F.col("n_nationkey") * 1.5).cast("double").alias("lat"),
         (F.lit(-130) + F.col("n_nationkey") * 3.0).cast("double").alias("lon"),
     )
 
 
 def state_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "region").where(F.col("r_regionkey") != 3)
+    """Every region; one goes by a name that no transaction has, so the state level misses too."""
+    r = table(spark, sf_dir, "region")
     return r.select(
-        F.col("r_name").alias("state"),
+        F.when(F.col("r_regionkey") == 3, F.lit("elsewhere")).otherwise(F.col("r_name")).alias("state"),
         (F.lit(30) + F.col("r_regionkey") * 4).cast("double").alias("lat"),
         (F.lit(-120) + F.col("r_regionkey") * 9).cast("double").alias("lon"),
     )
 
 
 def labels_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fraud labels for the orders (cards) of every priority but the lowest: like a training
-    label file, they cover only part of the transactions."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority") != "5-LOW")
-    return o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderpriority") == "1-URGENT").alias("fraud"))
+    """Fraud labels of all orders (cards); those of the lowest priority are not known (NULL)."""
+    o = table(spark, sf_dir, "orders")
+    known = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority") == "1-URGENT")
+    return o.select(F.col("o_orderkey").alias("id"), known.alias("fraud"))
 
 
 def mcc_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

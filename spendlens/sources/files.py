@@ -84,19 +84,24 @@ def read_json_map(spark: SparkSession, path: str, key_type: str = "int", key: st
 
 
 def read_labelled_map(spark: SparkSession, path: str, field: str = "target", key: str = "id",
-                      value: str = "fraud") -> DataFrame:
-    """``{"target": {"id": "Yes"|"No", ...}}`` -> (id LONG, fraud BOOLEAN).
+                      value: str = "fraud", strict: bool = True) -> DataFrame:
+    """``{"target": {"id": "Yes"|"No"|null, ...}}`` -> (id LONG, fraud BOOLEAN).
 
     The document is split on ``,`` by the text source (splittable, many tasks)
     and each fragment parsed with a pattern; valid because neither ids nor the
-    Yes/No values contain commas.
+    Yes/No values contain commas.  A null value gives NULL.  An entry that is neither raises, or
+    with ``strict=False`` stays as a row with a NULL id.
     """
     del field  # the single top-level field only wraps the map
     parts = spark.read.option("lineSep", ",").text(path)
-    pat = r'"(\d+)"\s*:\s*"([^"]*)"'
-    kv = parts.select(F.regexp_extract("value", pat, 1).alias("_k"), F.regexp_extract("value", pat, 2).alias("_v"))
-    return kv.where(F.col("_k") != "").select(F.col("_k").cast("long").alias(key),
-                                              C.parse_yes_no("_v").alias(value))
+    pat = r'"(\d+)"\s*:\s*(?:"([^"]*)"|null)[\s}]*$'
+    wrapper = r'^\s*(\{\s*"[^"]*"\s*:\s*\{)?[\s}]*$'  # a map without entries
+    kv = parts.where(~F.col("value").rlike(wrapper)).select(
+        "value", F.regexp_extract("value", pat, 1).alias("_k"), F.regexp_extract("value", pat, 2).alias("_v"))
+    bad = F.col("_k") == ""
+    wrong = F.raise_error(F.concat(F.lit("not an entry of a label map: "), F.col("value"))) if strict else F.lit(None)
+    return kv.select(F.when(bad, wrong.cast("long")).otherwise(F.expr("try_cast(_k AS BIGINT)")).alias(key),
+                     C.parse_yes_no("_v").alias(value))
 
 
 # ---------------------------------------------------------------- S6/S7 Parquet

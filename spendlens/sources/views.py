@@ -1,46 +1,49 @@
-"""Named SQL views over text-typed Parquet (the SQL-variant data model).
+"""Named views over text-typed Parquet (the SQL-variant data model).
 
-The views parse money text and derive calendar parts and flags in Spark SQL;
-Catalyst prunes unused columns and pushes the key filter into the scan.
-Day of week is Monday=0 (D3); ``txn_dow_sun0`` keeps the Sunday=0 variant.
+Each view is a projection made of the library's own column functions, so the views parse exactly as the rest
+of the library does; Catalyst prunes unused columns and pushes the key filter into the scan.  The view and
+column names are the interface.  Day of week is Monday=0 (D3); ``txn_dow_sun0`` keeps the Sunday=0 variant.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import columns as C
+from ..operators.aggregates import sql_style_transactions
 
-def _money(c: str) -> str:
-    return f"CAST(regexp_replace({c}, '[$,]', '') AS DOUBLE)"
+
+def _money(c: str):
+    return C.parse_currency(c, dtype="double")
+
+
+def users_view(raw: DataFrame) -> DataFrame:
+    typed = {c: F.col(c).cast("int") for c in ("current_age", "retirement_age", "credit_score", "num_credit_cards")}
+    typed |= {c: _money(c) for c in ("per_capita_income", "yearly_income", "total_debt")}
+    return raw.withColumns(typed).select(F.col("id").cast("long").alias("user_id"), "gender", *typed)
+
+
+def cards_view(raw: DataFrame) -> DataFrame:
+    keys = {"card_id": F.col("id").cast("long"), "user_id": F.col("client_id").cast("long"),
+            "credit_limit": _money("credit_limit")}
+    return raw.select(*[v.alias(k) for k, v in keys.items()], "card_brand", "card_type", "has_chip", "card_on_dark_web")
+
+
+def transactions_view(raw: DataFrame) -> DataFrame:
+    """F1 applied; ``used_chip`` and ``has_error`` as ``sql_style_transactions`` derives them."""
+    typed = raw.withColumns({"amount_usd": _money("amount"), "date": C.strict_timestamp("date")})
+    parts = {"txn_year": F.year("date"), "txn_month": F.month("date"), "txn_hour": F.hour("date"),
+             "txn_dow": C.weekday_mon0("date"), "txn_dow_sun0": C.weekday_sun0("date")}
+    ids = {n: F.col(c).cast("long") for n, c in (("txn_id", "id"), ("user_id", "client_id"), ("card_id", "card_id"),
+                                                 ("merchant_id", "merchant_id"))}
+    return sql_style_transactions(typed).select(
+        *[v.alias(k) for k, v in ids.items()], F.col("date").alias("txn_date"), *[v.alias(k) for k, v in parts.items()],
+        F.col("amount_usd").alias("amount"), "used_chip", "merchant_city", "merchant_state",
+        F.col("mcc").cast("int").alias("mcc"), "has_error", "errors")
 
 
 def register_views(spark: SparkSession, users_path: str, cards_path: str, transactions_path: str) -> None:
-    spark.read.parquet(users_path).createOrReplaceTempView("_raw_users")
-    spark.read.parquet(cards_path).createOrReplaceTempView("_raw_cards")
-    spark.read.parquet(transactions_path).createOrReplaceTempView("_raw_transactions")
-    spark.sql(f"""
-        CREATE OR REPLACE TEMP VIEW users AS
-        SELECT CAST(id AS BIGINT) AS user_id, CAST(current_age AS INT) AS current_age,
-               CAST(retirement_age AS INT) AS retirement_age, gender, CAST(credit_score AS INT) AS credit_score,
-               CAST(num_credit_cards AS INT) AS num_credit_cards,
-               {_money('per_capita_income')} AS per_capita_income, {_money('yearly_income')} AS yearly_income,
-               {_money('total_debt')} AS total_debt
-        FROM _raw_users""")
-    spark.sql(f"""
-        CREATE OR REPLACE TEMP VIEW cards AS
-        SELECT CAST(id AS BIGINT) AS card_id, CAST(client_id AS BIGINT) AS user_id, card_brand, card_type,
-               has_chip, card_on_dark_web, {_money('credit_limit')} AS credit_limit
-        FROM _raw_cards""")
-    spark.sql(f"""
-        CREATE OR REPLACE TEMP VIEW transactions AS
-        SELECT CAST(id AS BIGINT) AS txn_id, CAST(date AS TIMESTAMP_NTZ) AS txn_date,
-               year(CAST(date AS TIMESTAMP_NTZ)) AS txn_year, month(CAST(date AS TIMESTAMP_NTZ)) AS txn_month,
-               hour(CAST(date AS TIMESTAMP_NTZ)) AS txn_hour, weekday(CAST(date AS TIMESTAMP_NTZ)) AS txn_dow,
-               dayofweek(CAST(date AS TIMESTAMP_NTZ)) - 1 AS txn_dow_sun0,
-               CAST(client_id AS BIGINT) AS user_id, CAST(card_id AS BIGINT) AS card_id,
-               {_money('amount')} AS amount,
-               CASE WHEN lower(use_chip) LIKE '%chip%' THEN 1 ELSE 0 END AS used_chip,
-               CAST(merchant_id AS BIGINT) AS merchant_id, merchant_city, merchant_state, CAST(mcc AS INT) AS mcc,
-               CASE WHEN errors IS NOT NULL THEN 1 ELSE 0 END AS has_error, errors
-        FROM _raw_transactions
-        WHERE client_id IS NOT NULL AND card_id IS NOT NULL AND amount IS NOT NULL AND date IS NOT NULL""")
+    for name, path, view in (("users", users_path, users_view), ("cards", cards_path, cards_view),
+                             ("transactions", transactions_path, transactions_view)):
+        view(spark.read.parquet(path)).createOrReplaceTempView(name)

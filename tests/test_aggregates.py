@@ -77,7 +77,7 @@ def test_sql_style_inner_and_weighted_limit(spark):
     ub = {r["user_id"]: r for r in A.user_aggregate_inner(txn(spark), users, cards).collect()}
     assert set(ub) == {10, 11}
     # two transactions on card 100 and one on card 101: transaction-weighted
-    assert ub[10]["avg_credit_limit"] == pytest.approx((1000 * 2 + 4000) / 3)
+    assert ub[10]["txn_weighted_credit_limit"] == pytest.approx((1000 * 2 + 4000) / 3)
     assert ub[10]["has_dark_web_card"] == 1 and ub[11]["has_dark_web_card"] == 0
     assert ub[10]["total_errors"] == 2
 

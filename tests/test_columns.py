@@ -106,11 +106,18 @@ def test_exact_std_matches_definition(spark):
 
     vals = [10.25, 3.5, 7.75, 1000.01]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
-    r = df.agg(C.exact_sum("x").alias("s"), C.exact_sumsq("x").alias("ss"), F.count("x").alias("n")).select(
-        C.std_from("s", "ss", "n").alias("sd"), C.mean_from("s", "n").alias("m")).first()
+    r = df.agg(C.exact_sum("x").alias("s"), C.sample_std("x").alias("sd"), F.count("x").alias("n")).select(
+        "sd", C.mean_from("s", "n").alias("m")).first()
     assert r["sd"] == pytest.approx(statistics.stdev(vals), rel=1e-12)
     assert r["m"] == pytest.approx(statistics.mean(vals), rel=1e-15)
-    single = spark.createDataFrame([(1.0,)], "x double").agg(
-        C.exact_sum("x").alias("s"), C.exact_sumsq("x").alias("ss"), F.count("x").alias("n")).select(
-        C.std_from("s", "ss", "n").alias("sd")).first()
+    single = spark.createDataFrame([(1.0,)], "x double").agg(C.sample_std("x").alias("sd")).first()
     assert single["sd"] is None
+
+
+def test_std_of_large_close_amounts_and_sub_cent_sums(spark):
+    close = spark.range(200_000).select((F.lit(1_000_000.0) + F.col("id") % 2 * 0.01).alias("x"))
+    assert close.agg(C.sample_std("x").alias("sd")).first()["sd"] == pytest.approx(0.0050, abs=1e-4)
+    small = spark.createDataFrame([(0.004,), (0.004,), (0.004,), (None,), (float("nan"),), (-0.5,)], "x double")
+    r = small.where("x > 0 or x is null").agg(C.exact_sum("x").alias("s"), C.exact_count("x").alias("n")).first()
+    assert float(r["s"]) == 0.012 and r["n"] == 3
+    assert float(small.agg(C.exact_sum("x").alias("s")).first()["s"]) == pytest.approx(-0.488)

@@ -24,7 +24,8 @@ def test_spend_analysis_reports(spark, cleaned, tmp_path):
     status = {r["report"]: (r["status"], r["error"]) for r in ta.run_reports(str(tmp_path / "out")).collect()}
     assert all(s == "ok" for s, _ in status.values()), status
     assert {"amount_distribution", "correlation_heatmap", "us_merchant_map", "anomaly_scores",
-            "demographic_age_bins", "credit_score_by_gender"} <= set(status)
+            "demographic_age_bins", "credit_score_by_gender", "anomaly_share",
+            "anomaly_amount_box", "anomaly_amount_density", "us_merchant_map_legend"} <= set(status)
     hist = spark.read.parquet(str(tmp_path / "out" / "amount_distribution"))
     assert hist.count() == 80
     again = {r["report"]: r["status"] for r in ta.run_reports(str(tmp_path / "out"), force=False).collect()}

@@ -1,6 +1,7 @@
 """Location report: fallback levels, dedupe, box filter, bubble sizes."""
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from spendlens.operators import geo as G
 
@@ -40,4 +41,6 @@ def test_read_city_coords(spark, tmp_path):
     p.write_text("City,State,lat,lon,population\n Austin ,tx,30.3,-97.7,1\nBoston,MA,42.4,-71.1,2\n")
     got = {r["city_state"]: (r["lat"], r["lon"]) for r in G.read_city_coords(spark, str(p)).collect()}
     assert got == {"AUSTIN|TX": (30.3, -97.7), "BOSTON|MA": (42.4, -71.1)}
-    assert G.read_city_coords(spark, str(tmp_path / "missing.csv")).count() == 0
+    assert G.read_city_coords(spark, str(tmp_path / "missing.csv"), missing_ok=True).count() == 0
+    with pytest.raises(AnalysisException):
+        G.read_city_coords(spark, str(tmp_path / "missing.csv"))
