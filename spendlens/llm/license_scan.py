@@ -31,7 +31,7 @@ _MARKS = ".,;:!?\"'()[]{}<>*#/|-%&$"
 
 
 def template_words(text: str) -> list[str]:
-    return [w for w in (x.lower().strip(_MARKS) for x in text.replace("/", " ").split()) if w]
+    return [w for w in (x.lower().strip(_MARKS) for x in text.split()) if w]
 
 
 def _ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
