@@ -897,3 +897,82 @@ def q_anomaly_amount_density(spark, d):
     """G34 (violin body): density of the mean amount per anomaly label (violin KDE: 100 points, cut 2)."""
     a = anomaly_frame(spark, d).withColumn("label", C.anomaly_label("anomaly"))
     return ST.kde(a, "amount_mean", "label", grid=100, cut=2.0)
+
+
+# ---------------------------------------------------------------- invariants of the fitted models
+# A forest, components and clusters have no SQL form; what must hold of any right fit does.
+
+def _facts(*parts: DataFrame) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _fact(df: DataFrame, name: str, value) -> DataFrame:
+    return df.agg(value.cast("long").alias("value")).select(F.lit(name).alias("fact"), "value")
+
+
+ORACLE["anomaly_summary"] = O.with_(["txn"], """
+SELECT CAST(ceil(0.02 * (n - 1)) AS BIGINT) AS n_anomalies, n AS n_rows, ceil(0.02 * (n - 1)) * 100.0 / n AS pct_anomalies
+FROM (SELECT count(DISTINCT client_id) AS n FROM txn)""")
+
+
+@register("anomaly_invariants", O.with_(["txn"], """
+, u AS (SELECT count(DISTINCT client_id) AS n FROM txn)
+SELECT 'users in the score histogram' AS fact, n AS value FROM u
+UNION ALL SELECT 'users whose label follows the sign of the score', n FROM u
+UNION ALL SELECT 'users anomalous', CAST(ceil(0.02 * (n - 1)) AS BIGINT) FROM u
+UNION ALL SELECT 'labels with quartiles in order', 2
+UNION ALL SELECT 'points of the density', 200
+UNION ALL SELECT 'points of negative density', 0""").replace(")\n, u AS", "),\nu AS", 1))
+def q_anomaly_invariants(spark, d):
+    """M2, M3, G24, G33, G34 from one fit."""
+    a = materialize(anomaly_frame(spark, d).withColumn("label", C.anomaly_label("anomaly")))
+    box, curve = ST.describe_by(a, "amount_mean", "label"), ST.kde(a, "amount_mean", "label", grid=100, cut=2.0)
+    ordered = (F.col("q0") <= F.col("q25")) & (F.col("q25") <= F.col("q50")) & (F.col("q50") <= F.col("q75")) & (
+        F.col("q75") <= F.col("q100"))
+    return _facts(
+        _fact(ST.histogram(a, "anomaly_score", 60), "users in the score histogram", F.sum("frequency")),
+        _fact(a, "users whose label follows the sign of the score",
+              F.count_if((F.col("anomaly_score") < 0) == (F.col("anomaly") == -1))),
+        _fact(a, "users anomalous", F.count_if(F.col("label") == "Anomaly")),
+        _fact(box, "labels with quartiles in order", F.count_if(ordered)),
+        _fact(curve, "points of the density", F.count("density")),
+        _fact(curve, "points of negative density", F.count_if(F.col("density") < 0)))
+
+
+@register("pca_invariants", O.with_(["txn"], """
+, u AS (SELECT count(DISTINCT client_id) AS n FROM txn)
+SELECT 'users projected' AS fact, n AS value FROM u
+UNION ALL SELECT 'correlation of the components in millionths', 0
+UNION ALL SELECT 'first component varies most, and more than a single feature', 1""").replace(")\n, u AS", "),\nu AS", 1))
+def q_pca_invariants(spark, d):
+    """M5."""
+    p = materialize(q_pca_projection(spark, d))
+    return _facts(
+        _fact(p, "users projected", F.count("pc1")),
+        _fact(p, "correlation of the components in millionths", F.round(F.abs(F.corr("pc1", "pc2")) * 1e6)),
+        _fact(p, "first component varies most, and more than a single feature",
+              ((F.var_pop("pc1") >= F.var_pop("pc2")) & (F.var_pop("pc1") >= 1.0)).cast("int")))
+
+
+@register("kmeans_invariants", O.with_(["txn"], """
+, u AS (SELECT count(DISTINCT client_id) AS n FROM txn)
+SELECT 'users in a cluster' AS fact, n AS value FROM u
+UNION ALL SELECT 'clusters', 4
+UNION ALL SELECT 'at least 98 % of users are nearest to the mean of their own cluster', 1""").replace(
+    ")\n, u AS", "),\nu AS", 1))
+def q_kmeans_invariants(spark, d):
+    """M6: clusters against their own means in the standardised features."""
+    ua, cols = _user_features(spark, d)
+    x = materialize(ua.select("user_id", *[F.col(c).cast("double").alias(c) for c in cols]))
+    z = ST.standardise(ML.impute(x, cols), cols)
+    k = materialize(z.join(ML.kmeans_clusters(x, cols, "user_id", 4), "user_id"))
+    means = k.groupBy(F.col("cluster").alias("other")).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])  # four rows
+    away = sum(((F.col(c) - F.col(f"_m_{c}")) * (F.col(c) - F.col(f"_m_{c}")) for c in cols), F.lit(0.0))
+    near = k.crossJoin(F.broadcast(means)).groupBy("user_id", "cluster").agg(F.min_by("other", away).alias("nearest"))
+    return _facts(
+        _fact(k, "users in a cluster", F.count("cluster")), _fact(means, "clusters", F.count("other")),
+        _fact(near, "at least 98 % of users are nearest to the mean of their own cluster",
+              (F.avg((F.col("nearest") == F.col("cluster")).cast("int")) >= 0.98).cast("int")))
