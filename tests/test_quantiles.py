@@ -66,3 +66,25 @@ def test_several_quantiles_split_equal_unsplit(spark):
         assert a[g] == pytest.approx(b[g], rel=1e-12)
         xs = [v for k, v in rows if k == g]
         assert b[g] == pytest.approx(tuple(np.percentile(xs, [q * 100 for q in qs])), rel=1e-12)
+
+
+@pytest.mark.parametrize("partitions", [3, 700])
+def test_large_groups_are_bracketed_not_ranked_whole(spark, partitions):
+    """Far more values than WHOLE: the bracket path, whatever the number of shuffle partitions."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    vals = np.round(rng.gamma(2.0, 50.0, 70_000), 3)
+    vals[:30_000] = 12.5  # one value holds much of the group
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"x": vals})).withColumn("g", F.lit("hot"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        for q in (0.0, 0.02, 0.2, 0.5, 0.75, 1.0):
+            want = float(np.percentile(vals, q * 100))
+            assert exact_quantile(df, "x", q).first()["quantile"] == pytest.approx(want, rel=1e-12)
+        assert exact_quantile(df, "x", 0.9, ["g"], split=True).first()["quantile"] == pytest.approx(float(np.percentile(vals, 90)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
