@@ -362,6 +362,14 @@ def q_top_errors(spark, d):
     return R.top_errors(AD.txn(spark, d, ["errors"]))
 
 
+@register("top_error", O.with_(["txn"], """
+SELECT errors, count(*) AS n, CAST(1 AS INT) AS rank
+FROM txn WHERE errors IS NOT NULL GROUP BY errors ORDER BY n DESC, errors LIMIT 1"""))
+def q_top_error(spark, d):
+    """K4 with a limit below the number of texts."""
+    return R.top_errors(AD.txn(spark, d, ["errors"]), 1)
+
+
 @register("dark_web_share", O.with_(["cards"], """
 SELECT card_on_dark_web, count(*) AS n, CAST(count(*) AS DOUBLE) * 100.0 / sum(count(*)) OVER () AS pct
 FROM cards GROUP BY 1"""))
@@ -546,6 +554,14 @@ def q_cards_mean_spend(spark, d):
     return R.cards_mean_spend(enriched_user_agg(spark, d))
 
 
+@register("fewest_cards_mean_spend", O.with_(["txn", "users", "cards"], f"""
+SELECT num_credit_cards, {O.mmean('amount_sum')} AS mean_amount_sum FROM ({_enriched_body()})
+WHERE num_credit_cards IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 4"""))
+def q_fewest_cards_mean_spend(spark, d):
+    """G30, K5 with a limit below the number of keys."""
+    return R.cards_mean_spend(enriched_user_agg(spark, d), 4)
+
+
 def _cut_sql(src: str, by: str, value: str, bins: int) -> str:
     interior = " + ".join(
         f"CASE WHEN CAST({i} AS DOUBLE) * ((b.hi - b.lo) / {float(bins)}) + b.lo < x THEN 1 ELSE 0 END"
@@ -625,6 +641,15 @@ def q_merchant_locations(spark, d):
     return rounded(out, {"size_count": 6, "size_amount": 6})
 
 
+@register("top_merchant_locations", GEO_SQL.replace("LIMIT 300", "LIMIT 8") + """
+SELECT box.merchant_city, box.merchant_state, box.txn_count, box.avg_amount, box.geo_level FROM box""")
+def q_top_merchant_locations(spark, d):
+    """K3 with a limit below the number of locations."""
+    t = AD.txn(spark, d, ["merchant_city", "merchant_state", "amount_usd"])
+    out = G.merchant_locations(t, AD.city_coords(spark, d), AD.state_coords(spark, d), top_n=8)
+    return out.select("merchant_city", "merchant_state", "txn_count", "avg_amount", "geo_level")
+
+
 @register("bubble_legend", GEO_SQL.replace("r AS (SELECT min(sqrt(txn_count))", "r0 AS (SELECT min(sqrt(txn_count))")
           + """
 , r AS (SELECT CAST(min(txn_count) AS DOUBLE) AS c_lo, CAST(max(txn_count) AS DOUBLE) AS c_hi,

@@ -28,7 +28,7 @@ FROM orders""",
     "users": """
 SELECT c_custkey AS id,
        CASE WHEN c_nationkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender,
-       CAST(300 + c_custkey % 551 AS INT) AS credit_score,
+       CASE WHEN c_custkey % 97 <> 0 THEN CAST(300 + c_custkey % 551 AS INT) END AS credit_score,
        c_acctbal*10 AS yearly_income, c_acctbal AS total_debt, c_acctbal/2 AS per_capita_income,
        CAST(1 + c_nationkey % 9 AS INT) AS num_credit_cards,
        CAST(18 + c_custkey % 70 AS INT) AS current_age,

@@ -86,7 +86,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(
         k.alias("id"),
         F.when(nk % 2 == 0, F.lit("Female")).otherwise(F.lit("Male")).alias("gender"),
-        (F.lit(300) + k % 551).cast("int").alias("credit_score"),
+        F.when(k % 97 != 0, (F.lit(300) + k % 551).cast("int")).alias("credit_score"),
         (F.col("c_acctbal") * 10).alias("yearly_income"),
         F.col("c_acctbal").alias("total_debt"),
         (F.col("c_acctbal") / 2).alias("per_capita_income"),
