@@ -148,7 +148,7 @@ def encode_ids(ids: np.ndarray, size: int) -> bytes:
 def decode_ids(data: bytes, n: int, size: int) -> np.ndarray:
     lanes, steps = _shape(n)
     length = np.frombuffer(data, "<u4", lanes).astype(np.int64)
-    # three words of padding behind every run, so that reading past its end gives zeros
+    # four words of padding behind every run, so that reading past its end gives zeros
     edge = np.cumsum(length + 4) - (length + 4)
     flat = np.zeros(int((length + 4).sum()), np.int64)
     flat[np.arange(int(length.sum())) + np.repeat(4 * np.arange(lanes), length)] = np.frombuffer(data, "<u2", offset=4 * lanes)
@@ -214,7 +214,10 @@ def read_block(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
         raise ValueError("not a block of token ids")
     at = struct.calcsize("<5sIIIII")
     about = zlib.decompress(payload[at:at + held])
-    ids = decode_ids(payload[at + held:], n, size).astype("<u4") if n else np.zeros(0, "<u4")
+    try:
+        ids = decode_ids(payload[at + held:], n, size).astype("<u4") if n else np.zeros(0, "<u4")
+    except (IndexError, ValueError) as e:  # damage may lead the decoder past the block's end
+        raise ValueError("damaged block of token ids") from e
     if zlib.crc32(ids, zlib.crc32(about)) != crc:
         raise ValueError("checksum of a block of token ids does not match")
     null = np.frombuffer(about, "u1", docs)
