@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 18
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 Features = Callable[[str], list[str]]  # of a word
 Ratios = Callable[[list[str]], list[float]]  # of a text's words
 
@@ -101,15 +101,18 @@ def score(docs: DataFrame, w: np.ndarray, features: Features, ratios: Ratios, ke
         find = known.__getitem__
         for batch in batches:
             z = []
-            for text in batch.column("text"):
+            texts = batch.column("row").field("text") if inside else batch.column("text")
+            for text in texts:
                 words = (text.as_py() or "").split()
                 z.append(sum(map(find, words)) / math.sqrt(max(1, len(words)))
                          + sum(a * b for a, b in zip(tail, [*ratios(words), 1.0], strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sigmoid(np.array(z)), pa.float64())],
                                              ["row", "score"])
 
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("row"),
-                       F.col("text").cast("string").alias("text"))
+    keep = keep or docs.columns
+    inside = "text" in keep and docs.schema["text"].dataType.simpleString() == "string"  # then it travels once
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"),
+                       *([] if inside else [F.col("text").cast("string").alias("text")]))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(run, f"row {kind}, score double")
 

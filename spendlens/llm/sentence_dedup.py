@@ -147,21 +147,22 @@ def sentence_dedup(docs: DataFrame, span_words: int = 25) -> DataFrame:
     """row (a struct of all input columns, text as it was), text (cleaned), n_sentences and n_removed."""
     runs = repeated_spans(docs, span_words).groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(
         F.collect_set(F.struct("first", "last")).alias("covered"))  # at most two a sentence
-    names = docs.columns
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")).select(
-        "row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
-    keyed = keyed.withColumn("key", F.xxhash64("doc_id", "text"))
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+                        F.col("doc_id").cast("long").alias("doc_id"))
+    keyed = keyed.withColumn("key", F.xxhash64("doc_id", "row.text"))
     joined = keyed.join(runs, (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
 
     def rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts = batch.column("row").field("text")
             done = [remove_sentences(t.as_py(), [(s["first"], s["last"]) for s in c.as_py() or ()])
-                    for t, c in zip(batch.column("text"), batch.column("covered"), strict=True)]
+                    for t, c in zip(texts, batch.column("covered"), strict=True)]
             text, sentences, removed = zip(*done, strict=True) if done else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(text, pa.string()), pa.array(sentences, pa.int32()),
                  pa.array(removed, pa.int32())], ["row", "text", "n_sentences", "n_removed"])
 
     kind = keyed.schema["row"].dataType.simpleString()
-    return joined.select("row", "text", "covered").mapInArrow(
+    return joined.select("row", "covered").mapInArrow(
         rebuild, f"row {kind}, text string, n_sentences int, n_removed int")
