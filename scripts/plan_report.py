@@ -12,7 +12,7 @@ import sys
 
 sys.path.insert(0, __file__.rsplit("/scripts/", 1)[0])
 
-import __spark_entry__ as E  # noqa: E402
+from spendlens.plans import catalog  # noqa: E402
 from spendlens.session import local_session  # noqa: E402
 
 
@@ -30,7 +30,7 @@ def main() -> None:
     print("number is given; their plans are not counted. A reused exchange is counted apart.\n")
     print("| query | jobs before | exchanges | reused | broadcasts | sort-merge joins | nested-loop joins | python stages | windows | scans |")
     print("|---|---|---|---|---|---|---|---|---|---|")
-    for name, q in E.queries().items():
+    for name, q in catalog.QUERIES.items():
         spark.sparkContext.setJobGroup(name, name)
         try:
             plan = q(spark, sf)._jdf.queryExecution().executedPlan().toString()
