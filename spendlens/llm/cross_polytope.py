@@ -2,7 +2,8 @@
 
 A hash turns a unit vector by three rounds of random signs and a fast Hadamard transform and takes the axis it then points
 along most, with its sign: nearby vectors share it often, others once in 2d times.  ``hashes`` of them make a bucket code, and
-``tables`` independent codes find a pair.  Multiprobe: a vector also visits, in each table, the ``probes`` buckets got by
+any of ``tables`` independent codes finds a pair.  Longer codes find fewer pairs each, so the number of tables follows from the
+codes' length and the vectors': as many as find the share ``recall`` of sampled pairs whose cosine is just ``least``.  Multiprobe: a vector also visits, in each table, the ``probes`` buckets got by
 taking the runner-up axis where it comes closest to winning.  Every pair that meets in a bucket is verified by its cosine in
 double precision.
 
@@ -86,6 +87,41 @@ def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)
 
 
+def enough_tables(d: int, least: float, tables: int, hashes: int, probes: int, recall: float, seed: int, pairs: int = 4000,
+                  most: int = 128) -> int | None:
+    """The fewest tables, ``tables`` or more, that find the share ``recall`` of random pairs of cosine ``least``, measured on
+    ``pairs`` of them with the very codes the search uses; two standard errors are added.  None if ``most`` are too few."""
+    rng = np.random.default_rng(seed + 1)
+    turn = math.sqrt(max(0.0, 1 - least * least))
+    pairs_of = []
+    for lo in range(0, pairs, 500):  # a few pairs at a time: wide vectors stay small
+        x, y = rng.normal(size=(2, min(500, pairs - lo), d))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(1, keepdims=True) * x
+        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+        pairs_of.append((x, least * x + turn * y))
+    wanted = min(1.0, recall + 2 * math.sqrt(recall * (1 - recall) / pairs))
+    upto = max(tables, 4)
+    while True:
+        met = np.concatenate([_meet(codes(x, upto, hashes, probes, seed), codes(y, upto, hashes, probes, seed)) for x, y in pairs_of])
+        found = np.logical_or.accumulate(met, axis=1).mean(0)
+        good = np.flatnonzero(found[tables - 1:] >= wanted)
+        if len(good):
+            return tables + int(good[0])
+        if upto >= most or found[-1] - found[upto // 2 - 1] < 0.001:  # short vectors have few different rotations
+            return None
+        upto = min(most, 2 * upto)
+
+
+def sized_index(lengths: list[int], least: float, tables: int, hashes: int, probes: int, recall: float, seed: int) -> tuple[int, int]:
+    """(tables, hashes) that reach ``recall`` at every length: the hashes wanted, or fewer where no number of tables is enough."""
+    for h in range(hashes, 0, -1):
+        needed = [enough_tables(d, least, tables, h, probes, recall, seed) for d in lengths]
+        if None not in needed:
+            return max([tables, *needed]), h
+    raise ValueError(f"cross-polytope codes do not find {recall} of the pairs at cosine {least}")
+
+
 class _Links:
     """Link counts and local components of one bucket."""
 
@@ -201,18 +237,23 @@ def class_links(classes: DataFrame, least: float, tables: int, hashes: int, prob
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95, tables: int = 4, probes: int = 2, bucket_rows: int = 64,
-                    block_rows: int = 4096, seed: int = 0) -> DataFrame:
+                    block_rows: int = 4096, seed: int = 0, recall: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding).
 
     ``bucket_rows`` sizes the index: as many hashes make a code as bring unrelated vectors down to that many a bucket.
+    ``tables`` is the least number of tables; there are more where the codes need them to find ``recall`` of the pairs at
+    ``least``, and shorter codes where no number of tables does.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     rows = rows.withColumn("vector", F.when(usable(F.col("vector")), F.col("vector")))
     classes = cut(rows.where(F.col("vector").isNotNull()).groupBy("vector").agg(
         F.min("vec_id").alias("vec_id"), F.count("*").alias("many")).withColumn("id", F.monotonically_increasing_id()), "classes")
-    about = classes.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    axes = 2 << max(1, ((about["d"] or 2) - 1).bit_length())
-    hashes = max(2, math.ceil(math.log(max(2, about["n"]) / bucket_rows, axes)))
+    about = classes.groupBy(F.ceil(F.log2(F.size("vector"))).alias("bits")).agg(  # one row per power of two
+        F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).collect()
+    lengths = [r["d"] for r in about]
+    axes = 2 << max(1, (max(lengths, default=2) - 1).bit_length())
+    hashes = max(2, math.ceil(math.log(max(2, sum(r["n"] for r in about)) / bucket_rows, axes)))
+    tables, hashes = sized_index(lengths, least, tables, hashes, probes, recall, seed)
     links = cut(class_links(classes.select("id", "vector", "many"), least, tables, hashes, probes, block_rows, seed), "links")
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     found = components(links.select(F.col("id").alias("a"), F.col("other").alias("b")))

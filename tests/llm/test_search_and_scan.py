@@ -67,6 +67,23 @@ def test_links_of_repeated_rows_and_nothing(spark):
     assert cross_polytope.near_duplicates(vectors(spark, ODD[:3])).count() == 3
 
 
+@pytest.mark.parametrize(("bucket_rows", "hashes"), [(64, 2), (0.05, 3), (0.0005, 4)])
+def test_recall_at_the_querys_parameters_whatever_the_codes_length(spark, bucket_rows, hashes):
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(2, 1200, 64))  # pairs just above the least cosine, the hardest ones
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.9501 * x + math.sqrt(1 - 0.9501 ** 2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(np.stack([x, y], 1).reshape(-1, 64).astype(np.float32))]
+    assert max(2, math.ceil(math.log(len(rows) / bucket_rows, 128))) == hashes
+    got = {r["vec_id"]: r for r in cross_polytope.near_duplicates(vectors(spark, rows), least=0.95, bucket_rows=bucket_rows).collect()}
+    pairs = [(2 * k, 2 * k + 1) for k in range(1200)]
+    found = [p for p in pairs if got[p[0]]["n_links"] == got[p[1]]["n_links"] == 1]
+    assert sum(r["n_links"] for r in got.values()) == 2 * len(found)
+    assert all(got[b]["component_id"] == a for a, b in found)
+    assert len(found) / len(pairs) >= 0.97
+
+
 def brute_top(rows, k, query):
     ok = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v, _ in rows
           if i is not None and v and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v)]
