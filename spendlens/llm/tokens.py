@@ -25,7 +25,9 @@ def _plain(text: str) -> bool:
     """Whether pieces may be encoded one by one: no NUL, no long or final run of white space."""
     if "\x00" in text:
         return False
-    return len(text.split()) == text.count(" ") + text.count("\n") + 1 or not _RUNS.search(text)
+    single = len(text.split()) == text.count(" ") + text.count("\n") + 1
+    # the count proves it only without other white space, of which no character is printable
+    return single and text.replace("\n", " ").isprintable() or not _RUNS.search(text)
 
 
 def _byte_alphabet() -> dict[int, str]:

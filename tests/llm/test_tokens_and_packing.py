@@ -33,6 +33,16 @@ def test_ids_equal_the_librarys():
     assert got == library_ids(texts)
 
 
+def test_ids_of_texts_whose_other_white_space_makes_up_for_runs():
+    rng = random.Random(4)
+    assert all(not c.isprintable() for c in map(chr, range(0x110000)) if c.isspace() and c != " ")
+    made = ["".join(rng.choice(["a", "b.", "\t", "\r", "\u00a0", "\u2003", "\n", "\n\n", "\n\n\n", "  ", "   ", " "])
+                    for _ in range(rng.randrange(3, 14))) for _ in range(3000)]
+    texts = ["a\tb\tc\n\n", "a\tb\tc\n\n\nd", "a\rb\rc\rd   e", "a\u00a0b\u00a0c\n\n", *made]
+    got = [np.frombuffer(b, "<u4").tolist() for b in tokens.encoder(vocabulary()).encode(texts)]
+    assert got[0] == [64, 197, 65, 197, 66, 628] and got == library_ids(texts)
+
+
 @pytest.mark.parametrize("n", [1, 63, 64, 129, 5000, 40_001])
 def test_range_coder_round_trip(n):
     rng = np.random.default_rng(n)
