@@ -3,12 +3,17 @@
 Every source wants its weight's share of the total; a source that would need more than ``max_epochs`` passes
 is clamped there and its excess is shared again among the others in proportion to their weights, until none
 is above.  A source with ``r`` = target / size passes has every document taken floor(r) times, and the
-fractional rest from the documents in seeded hash order, as far as their sizes stay within it, and from the
-one later hash bucket that best fills what is still lacking.  Bucket sizes are pre-aggregated (``BUCKETS`` rows a source at most), so a source with a third of all
+fractional rest from the documents in seeded hash order: every hash bucket that fits into what is still lacking,
+passing over those that do not, and at the end the one bucket left that brings the sum closest, if any does; or, where
+that comes closer, the buckets up to the first that does not fit and one more.
+Bucket sizes are pre-aggregated (``BUCKETS`` rows a source at most), so a source with a third of all
 rows costs no more than a small one.
 
+``whole=False`` is the rule that the SQL of op4 states: the order goes by doc_id alone, so that documents with the same
+one (null as well) are taken alike, and after the first bucket that does not fit at most one more is taken.
+
 Defined results: a null text has size 0; a null source is a source of its own, last in order; sources of size
-0 have target 0 and nothing is taken from them; documents with the same doc_id (null as well) are taken
+0 have target 0 and nothing is taken from them; documents with the same doc_id and text are taken
 alike; repeated rows each count; an empty table gives an empty result.
 """
 
@@ -16,6 +21,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +36,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def bucket(doc_id: Column, seed: int) -> Column:
-    """A document's place in the seeded order: 0 to BUCKETS - 1."""
+def bucket(doc_id: Column, seed: int, salt: Column | None = None) -> Column:
+    """A document's place in the seeded order: 0 to BUCKETS - 1; the salt parts documents with the same doc_id."""
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+    if salt is not None:
+        key = F.concat(key, F.lit(":"), salt.cast("string"))
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 4), 16, 10).cast("int")
 
 
@@ -59,9 +68,32 @@ def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
     return sources.withColumn("target", F.least(cap, F.col("weight") * level).cast("double"))
 
 
-def mix_plan(sized: DataFrame, weights: Callable[[Column], Column] = cycling_weights, max_epochs: int = 3) -> DataFrame:
-    """One row per source of a table (source, size, bucket): source, known, weight, source_size, target, epochs
-    (whole passes), upto and extra (buckets below the one and equal to the other are taken once more)."""
+def _pass_over(table: pa.Table) -> pa.Table:
+    """Of a source's buckets (at most BUCKETS), those taken in order while they fit, as bits, and the one that ends closest."""
+    table = table.sort_by("bucket")
+    bucket, size = (table[c].to_numpy() for c in ("bucket", "size"))
+    rest = lacks = table["lacks"][0].as_py()
+    taken = np.zeros(len(bucket), bool)
+    for k, n in enumerate(size.tolist()):
+        if n <= lacks:
+            taken[k], lacks = True, lacks - n
+    off = np.where(taken, np.inf, np.abs(lacks - size))
+    alone = np.abs(rest - size)
+    if alone.min() < min(lacks, off.min()):  # one bucket alone comes closer than all that fit
+        taken, lacks, off = np.zeros(len(bucket), bool), rest, alone
+    best = int(off.argmin())  # the first of equals: the smallest bucket
+    bits = np.zeros(BUCKETS, bool)
+    bits[bucket[taken]] = True
+    words = np.packbits(bits, bitorder="little").view("<i8")
+    return pa.table({"_e": table["source"].slice(0, 1), "extra": pa.array([int(bucket[best]) if off[best] < lacks else None], pa.int32()),
+                     "later": pa.array([words.tolist() if taken.any() else None], pa.list_(pa.int64()))})
+
+
+def mix_plan(sized: DataFrame, weights: Callable[[Column], Column] = cycling_weights, max_epochs: int = 3,
+             whole: bool = True) -> DataFrame:
+    """One row per source of a table (source, size, bucket): source, weight, source_size, target, epochs
+    (whole passes), upto, extra and later (buckets below the first, equal to the second or with a bit in the third, 64 in
+    each number, are taken once more)."""
     groups = cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "buckets")
     totals = groups.groupBy("source").agg(F.sum("size").alias("source_size"))
     # the driver's weights go by the sources' order; one row per source, so one sorted task holds them
@@ -78,24 +110,30 @@ def mix_plan(sized: DataFrame, weights: Callable[[Column], Column] = cycling_wei
         (F.max("rest") - F.coalesce(F.max(F.when(fits, F.col("upto_size"))), F.lit(0))).alias("lacks"))
     beyond = groups.join(prefix, F.col("source").eqNullSafe(F.col("_s"))).where("bucket >= upto")
     off = F.abs(F.col("lacks") - F.col("size"))
-    extra = beyond.where(off < F.col("lacks")).groupBy(F.col("source").alias("_e")).agg(
-        F.min_by("bucket", F.struct(off, "bucket")).alias("extra"))
-    best = prefix.join(extra, F.col("_s").eqNullSafe(F.col("_e")), "left").select("_s", "upto", "extra")
+    closer = beyond.where(off < F.col("lacks"))
+    if whole:
+        extra = closer.groupBy("source").applyInArrow(_pass_over, "_e string, extra int, later array<long>")
+    else:
+        extra = closer.groupBy(F.col("source").alias("_e")).agg(
+            F.min_by("bucket", F.struct(off, "bucket")).alias("extra"), F.lit(None).cast("array<long>").alias("later"))
+    best = prefix.join(extra, F.col("_s").eqNullSafe(F.col("_e")), "left").select("_s", "upto", "extra", "later")
     return filled.join(best, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "rest")
 
 
 def mix(docs: DataFrame, seed: int = 0, weights: Callable[[Column], Column] = cycling_weights,
-        max_epochs: int = 3, keep: list[str] | None = None) -> DataFrame:
+        max_epochs: int = 3, keep: list[str] | None = None, whole: bool = True) -> DataFrame:
     """row (a struct of the columns ``keep``, all by default), size, source_size, target and copies, how often
     the mix takes the document."""
     sized = cut(docs.select(
         F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("row"), F.col("source").cast("string").alias("source"),
-        words(F.col("text")).alias("size"), bucket(F.col("doc_id"), seed).alias("bucket")), "sized")
-    plan = cut(mix_plan(sized.select("source", "size", "bucket"), weights, max_epochs).select(
-        F.col("source").alias("_s"), "source_size", "target", "epochs", "upto", "extra"), "mix-plan")
+        words(F.col("text")).alias("size"),
+        bucket(F.col("doc_id"), seed, F.xxhash64("text") if whole else None).alias("bucket")), "sized")
+    plan = cut(mix_plan(sized.select("source", "size", "bucket"), weights, max_epochs, whole).select(
+        F.col("source").alias("_s"), "source_size", "target", "epochs", "upto", "extra", "later"), "mix-plan")
     # one row per source: Spark broadcasts it where its file is small enough, and else splits hot sources (AQE)
     joined = sized.join(plan, F.col("source").eqNullSafe(F.col("_s")))
-    again = (F.col("bucket") < F.col("upto")) | F.col("bucket").eqNullSafe(F.col("extra"))
+    bit = F.getbit(F.get("later", F.floor(F.col("bucket") / 64).cast("int")), F.pmod(F.col("bucket"), F.lit(64))) == 1
+    again = (F.col("bucket") < F.col("upto")) | F.col("bucket").eqNullSafe(F.col("extra")) | F.coalesce(bit, F.lit(False))
     copies = F.col("epochs") + again.cast("long")
     return joined.select("row", "size", "source_size", "target", copies.alias("copies"))
 

@@ -61,7 +61,7 @@ def op3_context_mixing_range_coder(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def op4_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"], whole=False)  # the rule of OP4_SQL
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -63,6 +63,21 @@ def test_mix_of_awkward_documents(spark):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.sample(empty(spark)).count() == 0
 
 
+def test_mix_goes_on_past_a_long_document_and_parts_null_ids(spark):
+    half = lambda rank: 2 * rank - 1  # of 1,000 words each: half a pass, and one and a half
+    small = [(f"{k} " + "w " * 5, k) for k in range(100)]  # 600 words
+    for salt in range(2):
+        rows = [(k, t, "en", s, 1) for s in "ab" for t, k in small] + [(5000 + salt, "w " * 400, "en", s, 1) for s in "ab"]
+        rows = [(None if s == "a" and k < 5000 else k, t, la, s, n) for k, t, la, s, n in rows]  # a: null ids
+        docs = documents(spark, rows)
+        got = mixing.mix(docs, seed=salt, weights=half).collect()
+        assert sorted((r["row"]["source"], r["row"]["text"], r["copies"]) for r in got) == sorted(
+            (r["row"]["source"], r["row"]["text"], r["copies"]) for r in mixing.mix(docs.repartition(5), seed=salt, weights=half).collect())
+        for s in "ab":
+            own = [r for r in got if r["row"]["source"] == s]
+            assert abs(sum(r["size"] * r["copies"] for r in own) - own[0]["target"]) <= 6
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + k, 1001 + k) for k in range(40)]
