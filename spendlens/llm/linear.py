@@ -125,3 +125,9 @@ def held_out(doc_id, folds: int, fold: int):
 def draw(rows: DataFrame, n: int, salt: str) -> DataFrame:
     """At most ``n`` rows (doc_id, ...), the same ones whatever the layout: those first in a seeded hash order."""
     return rows.withColumn("_h", F.xxhash64(F.lit(salt), "doc_id")).orderBy("_h", "doc_id").limit(n).drop("_h")
+
+
+def texts_of(docs: DataFrame, drawn: DataFrame) -> DataFrame:
+    """One row for each doc_id of a small drawn table: its columns and the least text under that id, however many rows repeat it."""
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
+    return texts.groupBy(*drawn.columns).agg(F.min("text").alias("text"))

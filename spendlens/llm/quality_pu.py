@@ -9,7 +9,7 @@ thresholds, of the share of unlabelled to the share of positive texts above it i
 Features are hashed words and word shapes, and ratios such as adjacent repeats.
 
 Defined results: null and empty texts get the score of an empty text; a null doc_id is scored and never learnt from;
-repeated rows score alike; without positives all scores are 0.5; an empty table gives an empty result; all columns of
+repeated rows score alike, and of rows with the same doc_id the least text is learnt from; without positives all scores are 0.5; an empty table gives an empty result; all columns of
 the input are kept.
 """
 
@@ -108,9 +108,8 @@ def quality(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, folds: i
     learn = ~linear.held_out(F.col("doc_id"), folds, fold)
     good = labels.where(F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(
         F.min(F.col("quality").cast("int")).alias("q")).where("q = 1").select("doc_id")
-    texts = docs.select("doc_id", "text")
-    positives = texts.join(F.broadcast(linear.draw(good, train_rows, "positives")), "doc_id")  # at most train_rows rows
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & learn)
-    unlabelled = texts.join(F.broadcast(linear.draw(ids, train_rows, "unlabelled").distinct()), "doc_id")
+    positives = linear.texts_of(docs, linear.draw(good, train_rows, "positives"))  # at most train_rows rows
+    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & learn).distinct()
+    unlabelled = linear.texts_of(docs, linear.draw(ids, train_rows, "unlabelled"))
     return linear.score(docs, fit(positives, unlabelled, **options), features, ratios, keep).withColumn(
         "held_out", linear.held_out(F.col("row.doc_id"), folds, fold))

@@ -6,7 +6,7 @@ neutral noun; the squared change of the sentence's score is a penalty.  Terms of
 as the neutral noun, which lowers false alarms on neutral mentions, while words that make a text toxic keep their weight.
 
 Defined results: null and empty texts get the score of an empty text; a null doc_id is scored and never learnt from;
-repeated rows score alike; without labels of both classes all scores are the share of toxic labels (0.5 without any);
+repeated rows score alike, and of rows with the same doc_id the least text is learnt from; without labels of both classes all scores are the share of toxic labels (0.5 without any);
 an empty table gives an empty result; all columns of the input are kept.
 """
 
@@ -108,6 +108,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 8000, folds:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max(F.col("toxic").cast("int")).alias("label"))
     drawn = linear.draw(known.where(~linear.held_out(F.col("doc_id"), folds, fold)), train_rows, "toxic")
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most train_rows rows
+    texts = linear.texts_of(docs, drawn)  # at most train_rows rows
     return linear.score(docs, fit(texts.select("text", "label"), **options), features, ratios, keep).withColumn(
         "held_out", linear.held_out(F.col("row.doc_id"), folds, fold))

@@ -32,6 +32,20 @@ def test_scores_of_awkward_documents(spark, scored):
     assert {r["score"] for r in none} == {0.5}
 
 
+@pytest.mark.parametrize("scored", [quality_pu.quality, toxicity.toxicity])
+def test_samples_are_bounded_where_doc_ids_repeat(spark, scored, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k} of row {j}") for k in range(40) for j in range(20)], "doc_id long, text string")
+    seen, plain = [], quality_pu.linear.sample_vectors
+
+    def counted(*args):
+        seen.append(plain(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(quality_pu.linear, "sample_vectors", counted)
+    scored(docs, labels(spark, [(k, 1, k % 2) for k in range(40)]), train_rows=10, epochs=1)
+    assert seen and [len(x) for x in seen] == [10] * len(seen)
+
+
 @pytest.mark.parametrize(("name", "label", "mod", "fold", "least"), [
     ("op1_positive_unlabelled_quality", "quality", 5, 0, 0.85), ("op7_counterfactual_toxicity", "toxic", 4, 2, 0.85)])
 def test_held_out_accuracy(spark, name, label, mod, fold, least):
