@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_polytope, license_scan, mixing, packing, pivot_search, quality_pu, range_coder, sentence_dedup, simhash, toxicity
+from . import (alignment, collocations, cross_polytope, license_scan, mixing, packing, pieces, pivot_search, quality_pu, range_coder,
+               sentence_dedup, simhash, toxicity)
 from .scratch import cut
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,19 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "text", "n_sentences", "n_removed")
 
 
+def op11_hat_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), least=30, share=80, top=2000)
+
+
+def op12_incidence_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"),
+                             ["n_tokens", "ids_sha256", "decoded_sha256", "agrees"])
+
+
 #: Levels at which ever more sources are clamped at three epochs are tried in the order of 3 x size / weight.
 OP4_SQL = """
 WITH sized AS (
@@ -137,10 +151,42 @@ FROM embeddings e JOIN least l ON l.node = e.vec_id LEFT JOIN counts c ON c.a =
 """
 
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS s FROM words),
+grams AS (SELECT lang, w, s, unnest(range(1, least(4, len(w) - s + 1) + 1)) AS size FROM starts),
+counts AS (
+  SELECT lang, array_to_string(list_slice(w, s, s + size - 1), ' ') AS phrase, CAST(size AS INTEGER) AS size, count(*) AS f
+  FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY lang),
+known AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE f >= 30),
+cuts AS (SELECT lang, phrase, w, size, f AS a, unnest(range(1, size)) AS k FROM known WHERE size >= 2),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN known x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN known y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:c.size], ' ')),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+widths AS (SELECT lang, f, w, size, unnest(range(2, size)) AS width FROM known WHERE size >= 3),
+spots AS (SELECT *, unnest(range(1, size - width + 2)) AS s FROM widths),
+covers AS (SELECT lang, array_to_string(w[s:s + width - 1], ' ') AS phrase, max(f) AS longer FROM spots GROUP BY ALL),
+kept AS (
+  SELECT k.* FROM weakest k LEFT JOIN covers c ON c.lang = k.lang AND c.phrase = k.phrase
+  WHERE c.longer IS NULL OR 100::HUGEINT * c.longer < 80::HUGEINT * k.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_positive_unlabelled_quality, op2_pivot_distance_search, op3_context_mixing_range_coder, op4_capped_water_filling,
-        op5_simhash_bk_trees, op6_cross_polytope_near_duplicates, op7_counterfactual_toxicity, op8_patience_license_scan, op9_best_two_fit_packing, op10_sentence_spans)
+        op5_simhash_bk_trees, op6_cross_polytope_near_duplicates, op7_counterfactual_toxicity, op8_patience_license_scan, op9_best_two_fit_packing,
+        op10_sentence_spans, op11_hat_trie_collocations, op12_incidence_alignment, op13_piece_agenda)
 }
 ORACLE: dict[str, str] = {
-    "op2_pivot_distance_search": OP2_SQL, "op4_capped_water_filling": OP4_SQL, "op6_cross_polytope_near_duplicates": OP6_SQL}
+    "op2_pivot_distance_search": OP2_SQL, "op4_capped_water_filling": OP4_SQL, "op6_cross_polytope_near_duplicates": OP6_SQL,
+    "op11_hat_trie_collocations": OP11_SQL}

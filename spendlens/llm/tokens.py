@@ -4,7 +4,8 @@ A text is cut before every blank and line feed, and before commas and stops that
 (up to ``CACHE_ENTRIES`` pieces), so that common words cost a dictionary lookup.  Cutting there never changes
 the ids: the library's own splitting rule ends a unit before a single blank or line feed in any case.  Only
 runs of three or more white-space characters, or two at the end, form one unit; texts with those go to the
-library whole.
+library whole.  So do texts that hold the string of a special token, which the library by default turns into that
+token's id; with ``special=False`` such strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -53,14 +54,16 @@ class _Known(dict):
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         import regex
         from tokenizers import Tokenizer, models
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.whole.encode_special_tokens = not special
         with open(path, encoding="utf-8") as f:
-            bpe = json.load(f)["model"]
+            rules = json.load(f)
+        bpe = rules["model"]
+        self.added = [t["content"] for t in rules.get("added_tokens", []) if special or not t.get("special")]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in bpe["merges"]]
         # the same model without the library's own cache, which only costs time below ours
         self.model = models.BPE(vocab=bpe["vocab"], merges=merges, cache_capacity=0)
@@ -96,7 +99,7 @@ class Encoder:
         for text in texts:
             if not text:
                 out.append(b"")
-            elif _plain(text):
+            elif _plain(text) and not any(t in text for t in self.added):
                 cut = text.replace(" ", "\x00 ").replace("\n", "\x00\n")
                 if not _MARKS.search(text):
                     cut = cut.replace(",", "\x00,").replace(".", "\x00.")
@@ -106,11 +109,11 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = True) -> Encoder:
     """The worker's encoder for a vocabulary file; kept between tasks of one Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, special) not in _encoders:
+        _encoders[path, special] = Encoder(path, special)
+    return _encoders[path, special]

@@ -12,15 +12,15 @@ from fixtures_llm import LONG, ROWS, documents, empty, vocabulary  # noqa: E402
 
 from spendlens.llm import packing, range_coder, tokens  # noqa: E402
 
-ODD = ["", " ", "  a", "a  ", "a\n\n\nb", " a\tb ", "don't we'll  x\n y  z", "日本語 text 1234 ½²", "a\x00b", "it's\x1c x", "x \n y", "ß'S 'RE",
+ODD = ["", " ", "  a", "a  ", "a\n\n\nb", " a\tb ", "don't we'll  x\n y  z", "日本語 text 1234 ½²", "a\x00b", "it's\x1c x", "x \n y", "ß'S 'RE", "a <|endoftext|> b", "x<|endoftext|>\n\n\ny <|endoftext|",
        "Ⅷ a² b³", "\n\nx", "tab\t\tx", "a\r\nb\r\n\r\nc", "<|endoftext|>", "Word, word. word! word; “quoted” naïve café,", "é" * 500]
 
 
-def library_ids(texts):
+def library_ids(texts, plain=False):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
+    t.encode_special_tokens = plain
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -30,7 +30,9 @@ def test_ids_equal_the_librarys():
             for _ in range(300)]
     texts = [*ODD, *made, None, LONG[:5000]]
     got = [np.frombuffer(b, "<u4").tolist() for b in tokens.encoder(vocabulary()).encode(texts)]
-    assert got == library_ids(texts)
+    assert got == library_ids(texts) and [64, 220, 50256, 275] in got
+    got = [np.frombuffer(b, "<u4").tolist() for b in tokens.encoder(vocabulary(), special=False).encode(texts)]
+    assert got == library_ids(texts, plain=True)
 
 
 def test_ids_of_texts_whose_other_white_space_makes_up_for_runs():
