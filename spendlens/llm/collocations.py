@@ -2,11 +2,10 @@
 
 Counting: every task puts the longest word sequence (up to four words) that starts at each word into a HAT-trie
 (``hat_trie``); a shorter phrase's count is the sum over the sequences that begin with it, that is over its subtree.  The
-trie spills whole subtrees as sorted runs, and each run goes out as rows of (language, first words up to three, fourth
-word, count), with the sums of its one- and two-word subtrees as rows of their own.  Runs of all tasks are merged per prefix
-partition, hashed by the language and the first words: there the same rows add up, and three-word phrases add
-up over their fourth words.  No language, word or pair of words meets in one task: what a partition gets
-is one row per task and phrase.
+trie spills whole subtrees as sorted runs, and each run goes out as rows of (language, sequence, count), one-word
+subtrees as their sums.  Runs of all tasks are merged per prefix partition, hashed by the language and the first two words:
+there every sequence's count is added to all its beginnings.  Pairs of words that a sample shows to be hot are parted by
+the third word as well, and their own sums travel alone, so that no word, pair or language meets in one task.
 
 A phrase counts as a candidate from ``least`` occurrences.  Cut after its first k words it has l = f(first part) and
 r = f(rest); its score is the least of floor(2,000,000 a / (l + r)) over its cuts, the first of equals.  A candidate that
@@ -21,6 +20,7 @@ an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,12 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hat_trie import WORDS, HatTrie
+from .hat_trie import WORD_BITS, WORDS, HatTrie
 from .scratch import cut
 
-LIMIT = 1_000_000  # entries of all tries of a task
+LIMIT = 600_000  # entries of all tries of a task
 BATCH = 1 << 18  # sequences given to a trie at a time
 PART = 100_000  # words of a text that are numbered at a time
+PARTS = 4
 SALTS = 256
 
 
@@ -69,8 +70,8 @@ def _sequences(ids: np.ndarray) -> np.ndarray:
 class _Counter:
     """One task's tries, one per language, over one numbering of words."""
 
-    def __init__(self, limit: int):
-        self.limit, self.ids, self.tries, self.held, self.spelled = limit, _Ids(), {}, {}, None
+    def __init__(self, limit: int, hot: dict[str, list[tuple[str, str]]]):
+        self.limit, self.hot, self.ids, self.tries, self.held, self.spelled = limit, hot, _Ids(), {}, {}, None
 
     def add(self, lang: str, words: list[str]) -> Iterator[pa.RecordBatch]:
         """Hold a text's sequences; whole batches go to the language's trie.  A long text goes in parts, each with the up to
@@ -120,40 +121,73 @@ class _Counter:
         return self.spelled
 
     def _rows(self, lang: str, run: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """A sorted run as rows: sequences of three and four words, then the sums of one- and two-word subtrees."""
+        """A sorted run as rows: sequences of two to four words, the sums of one-word subtrees, and those of hot pairs."""
         words, n = run
+        long = words[:, 1] > 0
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang]), "phrase": pa.array([""]), "least": pa.array([1], pa.int8()),
+                                          "n": pa.array([n.sum()], pa.int64())})
+        yield from self._batches(lang, *_sums(words, n, 1), 1)
+        pairs = [self.ids[a] << WORD_BITS | self.ids[b] for a, b in self.hot.get(lang, ()) if a in self.ids and b in self.ids]
+        hot = np.isin(words[:, 0] << WORD_BITS | words[:, 1], pairs)
+        if hot.any():
+            yield from self._batches(lang, *_sums(words[hot], n[hot], 2), 2)
+            yield from self._batches(lang, words[hot & (words[:, 2] > 0)], n[hot & (words[:, 2] > 0)], 3)
+        yield from self._batches(lang, words[long & ~hot], n[long & ~hot], 2)
+
+    def _batches(self, lang: str, words: np.ndarray, n: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
         spelled = self._spelled()
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang]), "size": pa.array([0], pa.int8()), "stem": pa.array([""]),
-                                          "last": pa.nulls(1, pa.string()), "n": pa.array([n.sum()], pa.int64())})
-
-        def batch(rows, count, size):
-            first = [spelled.take(pa.array(rows[:, k] - 1)) for k in range(size)]
-            stem = pc.binary_join_element_wise(*first, " ") if size > 1 else first[0]
-            last = pa.nulls(len(rows), pa.string())
-            if size == 3:
-                last = spelled.take(pa.array(rows[:, 3] - 1, mask=rows[:, 3] == 0))
-            return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(rows), np.int32))),
-                                               pa.array(np.full(len(rows), size, np.int8)), stem, last, pa.array(count)],
-                                              ["lang", "size", "stem", "last", "n"])
-
-        long = np.flatnonzero(words[:, 2] > 0)
-        for lo in range(0, len(long), 50_000):
-            own = long[lo:lo + 50_000]
-            yield batch(words[own], n[own], 3)
-        for size in (1, 2):
-            some = words[:, size - 1] > 0
-            rows, count = words[some], n[some]
-            if len(rows):
-                new = np.flatnonzero(np.append(True, (np.diff(rows[:, :size], axis=0) != 0).any(1)))
-                yield batch(rows[new], np.add.reduceat(count, new), size)
-
-
-def runs(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """lang, size, stem, last, n: what the tasks' tries spill.  size 1 and 2: the phrase ``stem`` as a whole; size 3: the
-    sequence ``stem``, then ``last`` (null where the piece ends there); size 0: words of the run."""
+        for lo in range(0, len(words), 50_000):
+            own = words[lo:lo + 50_000]
+            size = int((own > 0).any(0).sum())
+            parts = [spelled.take(pa.array(own[:, k] - 1, mask=own[:, k] == 0)) for k in range(size)]
+            phrase = pc.binary_join_element_wise(*parts, " ", null_handling="skip") if size > 1 else parts[0]
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(own), np.int32))), phrase,
+                                              pa.array(np.full(len(own), least, np.int8)), pa.array(n[lo:lo + 50_000])],
+                                             ["lang", "phrase", "least", "n"])
+
+
+def _sums(words: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of a sorted run's subtrees under its first ``size`` words."""
+    if not len(words):
+        return words, n
+    new = np.flatnonzero(np.append(True, (np.diff(words[:, :size], axis=0) != 0).any(1)))
+    rows = np.zeros((len(new), words.shape[1]), words.dtype)
+    rows[:, :size] = words[new, :size]
+    return rows, np.add.reduceat(n, new)
+
+
+def hot_pairs(docs: DataFrame, rows: int = 2000, share: float = 0.002) -> dict[str, list[tuple[str, str]]]:
+    """By language, the pairs of words with at least ``share`` of all pairs in a sample of about ``rows`` texts: at most
+    1 / share.  They only decide where rows meet, never what counts: sequences under such a pair are parted by their third
+    word as well."""
+
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for lang, words in zip(batch.column(0).to_pylist(), _split(batch.column(1)), strict=True):
+                words = [w for w in words if w]
+                found.update((lang, a, b) for a, b in zip(words, words[1:]) if a != "\n" != b)
+            keys = list(zip(*found, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in keys), pa.array(found.values(), pa.int64())],
+                                             ["lang", "a", "b", "n"])
+
+    plain = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
+    counts = cut(plain.sample(min(1.0, rows / max(docs.count(), 1)), 7).mapInArrow(pairs, "lang string, a string, b string, n long").groupBy(
+        "lang", "a", "b").agg(F.sum("n").alias("n")), "sampled-pairs")
+    least = (counts.agg(F.sum("n")).first()[0] or 0) * share
+    out: dict[str, list[tuple[str, str]]] = {}
+    for r in counts.where(F.col("n") >= least).collect():  # at most 1 / share rows
+        out.setdefault(r["lang"], []).append((r["a"], r["b"]))
+    return out
+
+
+def runs(docs: DataFrame, limit: int = LIMIT, hot: dict[str, list[tuple[str, str]]] | None = None) -> DataFrame:
+    """lang, phrase, least, n: what the tasks' tries spill.  A phrase's count goes to all its beginnings of ``least`` words or
+    more: 1 for words, 2 for sequences, 3 for sequences under a ``hot`` pair, whose own count is a row with 2.
+    The empty phrase counts all words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Counter(limit)
+        own = _Counter(limit, hot or {})
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 some = batch.slice(lo, 500)
@@ -162,18 +196,21 @@ def runs(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         yield from own.finish()
 
     plain = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "lang string, size byte, stem string, last string, n long")
+    return plain.mapInArrow(run, "lang string, phrase string, least byte, n long")
 
 
 def frequent(spilled: DataFrame, least: int) -> DataFrame:
-    """lang, phrase, size, f of all phrases of one to four words with f >= least; size 0: all words of the language."""
-    parted = spilled.repartition("lang", "stem")  # prefix partitions
-    # a sequence of four words counts for itself and for its first three
-    ends = F.when(F.col("last").isNotNull(), F.array("last", F.lit(None))).otherwise(F.array(F.lit(None).cast("string")))
-    merged = parted.select("lang", "stem", "size", F.explode(ends).alias("last"), "n").groupBy("lang", "stem", "size", "last").agg(
-        F.sum("n").alias("f")).where((F.col("f") >= least) | (F.col("size") == 0))
-    return merged.select("lang", F.concat_ws(" ", "stem", "last").alias("phrase"),
-                         (F.col("size") + F.col("last").isNotNull().cast("int")).alias("size"), "f")
+    """lang, phrase, size, f of all phrases of one to four words with f >= least, and size 0: all words of the language."""
+    stem = F.expr("substring_index(phrase, ' ', least)")
+    # prefix partitions; a row stands for up to three phrases, so four times as many as Spark's own hold them without spilling
+    parts = PARTS * int(spilled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = spilled.repartition(parts, "lang", stem)
+    size = F.expr("length(phrase) - length(replace(phrase, ' ', '')) + 1")
+    begins = F.expr("transform(sequence(cast(least as int), size), k -> substring_index(phrase, ' ', k))")
+    merged = parted.select("lang", stem.alias("stem"), "phrase", "least", "n", size.alias("size")).select(
+        "lang", "stem", F.explode(begins).alias("phrase"), "n").groupBy("lang", "stem", "phrase").agg(F.sum("n").alias("f"))
+    return merged.where((F.col("f") >= least) | (F.col("phrase") == "")).select(
+        "lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(size).alias("size"), "f")
 
 
 def _part(phrase: Column, first: Column, count: Column) -> Column:
@@ -182,7 +219,7 @@ def _part(phrase: Column, first: Column, count: Column) -> Column:
 
 def collocations(docs: DataFrame, least: int = 30, share: int = 80, top: int = 2000, limit: int = LIMIT) -> DataFrame:
     """Each language's first ``top`` phrases: lang, rank, phrase, a, l, r, n, score."""
-    known = cut(frequent(runs(docs, limit), least), "frequent-phrases")
+    known = cut(frequent(runs(docs, limit, hot_pairs(docs)), least), "frequent-phrases")
     long = known.where("size >= 2").select("lang", "phrase", "size", F.col("f").alias("a"))
     lookup = known.where("size > 0").select(F.col("lang").alias("_lang"), F.col("phrase").alias("_phrase"), "f")
     cuts = long.select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))

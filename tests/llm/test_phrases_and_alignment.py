@@ -35,7 +35,7 @@ def test_agenda_equals_the_library_on_whole_texts():
         ids = own.library.encode(text)
         assert own.encode(text) == ids
         assert own.decode(ids) == own.library.decode(ids)
-    assert all(u.agrees for u in own.known.values())
+    assert not own.doubtful
 
 
 def test_rows_and_single_agendas_agree():
@@ -76,7 +76,7 @@ def test_memory_of_units_starts_anew(monkeypatch):
     monkeypatch.setattr(pieces, "CACHE_UNITS", 20)
     own = pieces.Vocabulary(model())
     texts = made_texts(500, seed=9)
-    assert [[n for u in units for n in np.frombuffer(u.ids, "<u4").tolist()] for units in own.units(texts)] == own.library.encode(texts)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in own.encode_all(texts)] == own.library.encode(texts)
 
 
 # ---- alignment
@@ -206,22 +206,19 @@ def test_trie_counts_equal_plain_counts(limit, burst, part, monkeypatch):
     monkeypatch.setattr(collocations, "BATCH", 500)
     monkeypatch.setattr(collocations, "WORDS", 40)  # the numbering runs out and starts anew
     rows = [*made_documents(120), (9, " ".join(f"w{k * k % 83}" for k in range(3000)), "xx", None, None)]
-    counter, got, total = collocations._Counter(limit), Counter(), Counter()
+    hot = {"en": [("the", "of"), ("of", "the"), ("the", "the"), ("none", "such")], "xx": [("w0", "w1")]}
+    counter, got, total = collocations._Counter(limit, hot), Counter(), Counter()
     batches = []
     for _, text, lang, *_ in rows:
         for words in collocations._split(pa.array([text], pa.string())):
             batches += counter.add(lang or "und", words)
     batches += counter.finish()
     for b in batches:
-        for lang, size, stem, last, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if size == 0:
+        for lang, phrase, least, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if not phrase:
                 total[lang] += n
-            elif size == 3:
-                got[lang, stem] += n
-                if last is not None:
-                    got[lang, f"{stem} {last}"] += n
-            else:
-                got[lang, stem] += n
+            for size in range(least, len(phrase.split(" ")) + 1) if phrase else ():
+                got[lang, " ".join(phrase.split(" ")[:size])] += n
     want, words = Counter(), Counter()
     import re
 
@@ -241,6 +238,14 @@ def test_collocations_equal_plain_ones(spark, least, share, top, limit):
     assert sorted(map(tuple, got.collect())) == plain_collocations(rows, least, share, top)
 
 
+def test_hot_pairs_decide_only_where_rows_meet(spark, monkeypatch):
+    rows = made_documents(80)
+    found = collocations.hot_pairs(documents(spark, rows), share=0.01)
+    assert 0 < sum(map(len, found.values())) <= 100
+    monkeypatch.setattr(collocations, "hot_pairs", lambda docs: {"en": [("the", "of"), ("of", "the")], "fr": [("the", "the")]})
+    assert sorted(map(tuple, collocations.collocations(documents(spark, rows), 3).collect())) == plain_collocations(rows, 3, 80, 2000)
+
+
 def test_collocations_of_awkward_and_empty_tables(spark):
     assert sorted(map(tuple, collocations.collocations(documents(spark), 2, 80, 2000).collect())) == plain_collocations(ROWS, 2, 80, 2000)
     assert collocations.collocations(empty(spark)).count() == 0
