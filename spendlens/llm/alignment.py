@@ -32,8 +32,9 @@ from .pieces import vocabulary as piece_vocabulary
 from .scratch import cut
 from .tokens import _byte_alphabet, encoder
 
-PACK = 1_000_000  # links of a pack, but for a single longer document
-SLICE = 1 << 20  # bytes whose products are formed at a time
+PACK = 400_000  # links of a pack, but for a single longer document
+CACHE = 200_000  # pieces and units remembered by each tokenizer, half as many as where one works alone
+SLICE = 1 << 18  # bytes whose products are formed at a time
 
 
 class Csr(NamedTuple):
@@ -113,7 +114,7 @@ class Aligner:
     """Two tokenizers, the bytes of their entries, and the alignment of packs of texts."""
 
     def __init__(self, byte_vocabulary: str, piece_model: str):
-        self.a, self.b = encoder(byte_vocabulary, special=False), piece_vocabulary(piece_model)
+        self.a, self.b = encoder(byte_vocabulary, special=False, cache=CACHE), piece_vocabulary(piece_model, CACHE)
         with open(byte_vocabulary, encoding="utf-8") as f:
             entries = json.load(f)["model"]["vocab"]
         back = {c: bytes([n]) for n, c in _byte_alphabet().items()}
@@ -128,19 +129,18 @@ class Aligner:
 
     def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The A and B ids of each text, none where either side's bytes are not the text's."""
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, np.int32)
         out = []
         spaced = [" " + t if t else "" for t in texts]
-        for text, a, units in zip(spaced, self.a.encode(spaced), self.b.units(texts), strict=True):
-            a, whole = np.frombuffer(a, "<u4"), text.encode()
-            b = b"".join([u.ids for u in units])
-            same = whole == b"".join([u.text for u in units]) and whole == b"".join(map(self.a_bytes.__getitem__, a.tolist()))
-            out.append((a.astype(np.int64), np.frombuffer(b, "<u4").astype(np.int64)) if same else (none, none))
+        for text, a, (b, _) in zip(spaced, self.a.encode(spaced), self.b.encode_all(texts), strict=True):
+            sides, whole = [np.frombuffer(x, "<u4") for x in (a, b)], text.encode()
+            same = all(whole == b"".join(map(own.__getitem__, x.tolist())) for own, x in zip((self.a_bytes, self.b_bytes), sides, strict=True))
+            out.append(tuple(x.astype(np.int32) for x in sides) if same else (none, none))
         return out
 
     def align(self, tokens: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray | list]:
         """Of a pack: per document n_a, n_b, n_groups, n_links, groups_sha256, and all links' ids in order."""
-        a, b = (np.concatenate([np.zeros(0, np.int64), *(t[k] for t in tokens)]) for k in (0, 1))
+        a, b = (np.concatenate([np.zeros(0, np.int32), *(t[k] for t in tokens)]) for k in (0, 1))
         n_a, n_b = (np.array([len(t[k]) for t in tokens], np.int64) for k in (0, 1))
         group_ends, a_first, b_first = group_bounds(self.a_lengths[a], self.b_lengths[b])  # documents end at common ends
         owner = np.repeat(np.arange(len(tokens)), n_a)  # by A token
@@ -158,14 +158,14 @@ class Aligner:
         group_owner = owner[a_first[:-1]] if len(group_ends) else np.zeros(0, np.int64)
         return {"n_a": n_a, "n_b": n_b, "n_groups": np.bincount(group_owner, minlength=len(tokens)), "n_links": per_document,
                 "groups_sha256": self._digests(a, b, a_first, b_first, n_a, n_b),
-                "links_a": np.concatenate([np.zeros(0, np.int64), *links_a]), "links_b": np.concatenate([np.zeros(0, np.int64), *links_b])}
+                "links_a": np.concatenate([np.zeros(0, np.int32), *links_a]), "links_b": np.concatenate([np.zeros(0, np.int32), *links_b])}
 
     def _digests(self, a: np.ndarray, b: np.ndarray, a_first: np.ndarray, b_first: np.ndarray, n_a: np.ndarray,
                  n_b: np.ndarray) -> list[str]:
         """sha256 of `a1,a2|b1;a3|b2,b3` per document; of each group the A ids come first."""
         last = [np.zeros(len(x), bool) for x in (a, b)]
         last[0][a_first[1:] - 1] = last[1][b_first[1:] - 1] = True
-        codes = np.empty(len(a) + len(b), np.int64)
+        codes = np.empty(len(a) + len(b), np.int32)
         codes[np.arange(len(a)) + b_first[in_groups(a_first).columns]] = a + self.a_size * last[0]
         codes[np.arange(len(b)) + a_first[in_groups(b_first).columns + 1]] = 2 * self.a_size + b + self.b_size * last[1]
         code = codes.tolist()

@@ -23,7 +23,6 @@ import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import sha256
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +34,10 @@ ROW_LENGTH = 32  # units of up to so many characters are worked out many at a ti
 MARK = "▁"
 
 
-class Unit(NamedTuple):
-    ids: bytes  # little-endian uint32
-    text: bytes  # what the ids decode to, in UTF-8, blanks for marks
-    listed: str  # the ids in decimal, joined by commas
-    agrees: bool
-
-
 class Vocabulary:
     """The entries of a model file, its agenda and its decoder."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = 0):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -60,6 +52,7 @@ class Vocabulary:
         kinds = type(model.pieces[0])
         if any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in model.pieces):
             raise ValueError(f"{path} has entries that users defined")
+        self.cache = cache  # units to remember, CACHE_UNITS by default
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = len(model.pieces)
         self.id_of = {p.piece: k for k, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
@@ -72,13 +65,15 @@ class Vocabulary:
         #: what each id decodes to; control entries to nothing
         self.text_of = [b"" if k in self.control else self.unknown_text if k == self.unknown else self.byte_of.get(k)
                         or p.piece.replace(MARK, " ").encode() for k, p in enumerate(model.pieces)]
+        self.decimal = [str(k) for k in range(self.size)]
         if any(MARK in piece.lstrip(MARK) for piece in self.id_of) or MARK not in self.id_of or not self.byte_ids:
             self.cut = re.compile(r"(?s).+").findall  # an entry might span any place: one unit
         else:
             longer = {c for piece in self.id_of if len(piece) > 1 for c in piece}
             alone = "".join(c for c in "\n\r\t" if c not in longer)
             self.cut = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else "")).findall
-        self.known: dict[str, Unit] = {}
+        self.known: dict[str, bytes] = {}  # ids of units, little-endian uint32
+        self.doubtful: set[str] = set()  # units for which the library has other ids
         pairs = {(a, b): k for piece, k in self.id_of.items() for n in range(1, len(piece))
                  if (a := self.id_of.get(piece[:n])) is not None and (b := self.id_of.get(piece[n:])) is not None}
         keys = np.array([a * self.size + b for a, b in pairs], np.int64)
@@ -172,29 +167,28 @@ class Vocabulary:
 
     def learn(self, units: Iterable[str]) -> None:
         """Work out units not met before, and check them against the library in one call."""
-        if len(self.known) > CACHE_UNITS:
+        if len(self.known) > (self.cache or CACHE_UNITS):
             self.known.clear()
         new = list({u for u in units if u not in self.known})
-        # the library puts a mark in front itself, and keeps one that the unit has; a unit without one is compared behind it
+        # the library puts a mark in front itself; a unit without one is compared behind it
         asked = self.library.encode([u.removeprefix(MARK).replace(MARK, " ") for u in new], num_threads=1)
         for unit, ids, theirs in zip(new, self._spelled(new), asked, strict=True):
+            self.known[unit] = array("I", ids).tobytes()
             if unit == MARK:  # the library sees the empty text
                 theirs = [self.library.piece_to_id(MARK)]
-            own = ids if unit[0] == MARK else self.spell(self.merge(MARK + unit))
-            self.known[unit] = Unit(array("I", ids).tobytes(), b"".join(map(self.text_of.__getitem__, ids)),
-                                    ",".join(map(str, ids)), own == theirs)
-
-    def units(self, texts: list[str | None]) -> Iterator[list[Unit]]:
-        """The units of each text in order; a few texts are cut at a time."""
-        for lo in range(0, len(texts), 200):
-            cut = [self.cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts[lo:lo + 200]]
+            if theirs != (ids if unit[0] == MARK else self.spell(self.merge(MARK + unit))):
+                self.doubtful.add(unit)
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[bytes, bool]]:
+        """The ids of each text (little-endian uint32), and whether all its units agree with the library's."""
+        for lo in range(0, len(texts), 500):
+            cut = [self.cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts[lo:lo + 500]]
             self.learn(u for units in cut for u in units)
             for units in cut:
-                yield list(map(self.known.__getitem__, units))
+                yield b"".join(map(self.known.__getitem__, units)), not self.doubtful or self.doubtful.isdisjoint(units)
 
     def encode(self, text: str | None) -> list[int]:
-        joined = b"".join(u.ids for units in self.units([text]) for u in units)
-        return np.frombuffer(joined, "<u4").tolist()
+        return np.frombuffer(next(self.encode_all([text]))[0], "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of any ids: runs of byte entries as UTF-8, each byte that is none as U+FFFD; the first mark goes."""
@@ -232,30 +226,39 @@ def _utf8(run: bytes) -> str:
     return out
 
 
-_vocabularies: dict[str, Vocabulary] = {}
+_vocabularies: dict[tuple[str, int], Vocabulary] = {}
 
 
-def vocabulary(path: str) -> Vocabulary:
+def vocabulary(path: str, cache: int = 0) -> Vocabulary:
     """The worker's vocabulary of a model file; kept between tasks of one Python worker."""
-    if path not in _vocabularies:
-        _vocabularies[path] = Vocabulary(path)
-    return _vocabularies[path]
-
-
-#: What ``round_trip`` can return of a text, from its units: type and value.
-COLUMNS: dict[str, tuple[str, pa.DataType, Callable[[list[Unit]], object]]] = {
-    "n_tokens": ("long", pa.int64(), lambda units: sum(len(u.ids) for u in units) // 4),
-    "ids": ("array<int>", pa.list_(pa.int32()), lambda units: np.frombuffer(b"".join(u.ids for u in units), "<i4")),
-    "ids_sha256": ("string", pa.string(), lambda units: sha256(",".join([u.listed for u in units]).encode()).hexdigest()),
-    "decoded": ("string", pa.string(), lambda units: _decoded(units).decode()),
-    "decoded_sha256": ("string", pa.string(), lambda units: sha256(_decoded(units)).hexdigest()),
-    "agrees": ("boolean", pa.bool_(), lambda units: all(u.agrees for u in units)),
-}
+    if (path, cache) not in _vocabularies:
+        _vocabularies[path, cache] = Vocabulary(path, cache)
+    return _vocabularies[path, cache]
+
 
+class _Text:
+    """One text's ids and what is derived from them."""
 
-def _decoded(units: list[Unit]) -> bytes:
-    """What the ids of whole texts decode to; every unit holds whole characters, and the first begins with the mark put there."""
-    return b"".join([u.text for u in units])[1:]
+    def __init__(self, entries: Vocabulary, ids: bytes, agrees: bool):
+        self.entries, self.ids, self.agrees = entries, np.frombuffer(ids, "<u4"), agrees
+
+    def listed(self) -> bytes:
+        return ",".join(map(self.entries.decimal.__getitem__, self.ids.tolist())).encode()
+
+    def decoded(self) -> bytes:
+        """Ids of whole texts spell whole characters, and the first entry begins with the mark put there."""
+        return b"".join(map(self.entries.text_of.__getitem__, self.ids.tolist()))[1:]
+
+
+#: What ``round_trip`` can return of a text: type and value.
+COLUMNS: dict[str, tuple[str, pa.DataType, Callable[[_Text], object]]] = {
+    "n_tokens": ("long", pa.int64(), lambda t: len(t.ids)),
+    "ids": ("array<int>", pa.list_(pa.int32()), lambda t: t.ids.astype(np.int32)),
+    "ids_sha256": ("string", pa.string(), lambda t: sha256(t.listed()).hexdigest()),
+    "decoded": ("string", pa.string(), lambda t: t.decoded().decode()),
+    "decoded_sha256": ("string", pa.string(), lambda t: sha256(t.decoded()).hexdigest()),
+    "agrees": ("boolean", pa.bool_(), lambda t: t.agrees),
+}
 
 
 def round_trip(docs: DataFrame, model: str, columns: Iterable[str] = ("n_tokens", "ids", "decoded", "agrees")) -> DataFrame:
@@ -267,7 +270,8 @@ def round_trip(docs: DataFrame, model: str, columns: Iterable[str] = ("n_tokens"
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 some = batch.slice(lo, 500)
-                rows = [[value(units) for _, _, value in asked.values()] for units in entries.units(some.column(1).to_pylist())]
+                texts = (_Text(entries, *found) for found in entries.encode_all(some.column(1).to_pylist()))
+                rows = [[value(t) for _, _, value in asked.values()] for t in texts]
                 made = zip(zip(*rows, strict=True), asked.values(), strict=True)
                 yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, kind) for c, (_, kind, _) in made)], ["doc_id", *asked])
 

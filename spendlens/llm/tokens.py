@@ -41,12 +41,12 @@ def _byte_alphabet() -> dict[int, str]:
 class _Known(dict):
     """Ids by piece, computed on first use and kept up to the limit."""
 
-    def __init__(self, encode: Callable[[str], bytes]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[str], bytes], entries: int):
+        self.encode, self.entries = encode, entries
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.encode(piece)
-        if len(self) < CACHE_ENTRIES and len(piece) <= 40:
+        if len(self) < self.entries and len(piece) <= 40:
             self[piece] = ids
         return ids
 
@@ -54,7 +54,7 @@ class _Known(dict):
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, special: bool = True):
+    def __init__(self, path: str, special: bool = True, cache: int = 0):
         import regex
         from tokenizers import Tokenizer, models
 
@@ -69,7 +69,7 @@ class Encoder:
         self.model = models.BPE(vocab=bpe["vocab"], merges=merges, cache_capacity=0)
         self.alphabet = _byte_alphabet()
         self.units = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.known = _Known(self._piece)
+        self.known = _Known(self._piece, cache or CACHE_ENTRIES)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes()
@@ -109,11 +109,12 @@ class Encoder:
         return out
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, int], Encoder] = {}
 
 
-def encoder(path: str, special: bool = True) -> Encoder:
+def encoder(path: str, special: bool = True, cache: int = 0) -> Encoder:
     """The worker's encoder for a vocabulary file; kept between tasks of one Python worker."""
-    if (path, special) not in _encoders:
-        _encoders[path, special] = Encoder(path, special)
-    return _encoders[path, special]
+    key = path, special, cache
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
