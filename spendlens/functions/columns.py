@@ -174,8 +174,12 @@ def nan_to_null(c: str | Column) -> Column:
 # Money is summed exactly to a millionth: whole units and millionths as two LONG sums, so a
 # sum does not depend on the order rows arrive in (partitioning, AQE, retries) and the hot
 # loop stays in plain long arithmetic inside codegen.  The two meet once per group in a
-# DECIMAL; its double is the correctly rounded value of the exact sum.  The standard
+# DECIMAL, whose double is the correctly rounded value of the exact sum.  What does not fit
+# there, amounts of ``EXACT_BELOW`` and more (infinite ones as well) and digits past the
+# millionth, is added as a plain DOUBLE sum, so no amount can end a job.  The standard
 # deviation is Spark's own, which merges central moments.
+EXACT_BELOW = 1e9
+
 
 def exact_count(c: str | Column) -> Column:
     """Number of present (non-NULL, non-NaN) money values: the divisor of a money mean."""
@@ -183,12 +187,20 @@ def exact_count(c: str | Column) -> Column:
 
 
 def exact_sum(c: str | Column) -> Column:
-    """Exact sum (DECIMAL with six decimals); NULL and NaN are skipped."""
+    """Sum as DOUBLE, exact to a millionth below ``EXACT_BELOW``; NULL and NaN are skipped, an infinite amount gives an
+    infinite sum (NaN with both signs)."""
     x = nan_to_null(col_(c).cast("double"))
-    whole = F.floor(x)
-    millionths = F.rint((x - whole) * F.lit(1e6)).cast("long")
-    return (F.sum(whole.cast("long")).cast("decimal(32,6)")
-            + F.sum(millionths).cast("decimal(20,0)") * F.lit(Decimal("0.000001")))
+    exact = F.when(F.abs(x) < EXACT_BELOW, x)
+    whole = F.floor(exact)
+    rest = (exact - whole) * F.lit(1e6)
+    millionths = F.rint(rest)
+    past = rest - millionths
+    # a double's own error is no digit: it is below 2e-10 millionths per unit of the amount
+    digits = F.when(F.abs(past) > F.abs(exact) * 4e-10 + 1e-9, past * F.lit(1e-6))
+    sound = (F.sum(whole).cast("decimal(32,6)")
+             + F.sum(millionths.cast("long")).cast("decimal(20,0)") * F.lit(Decimal("0.000001"))).cast("double")
+    other = F.sum(F.when(F.abs(x) >= EXACT_BELOW, x).otherwise(digits))
+    return F.coalesce(sound + F.coalesce(other, F.lit(0.0)), other)
 
 
 def fixed(c: str | Column) -> Column:

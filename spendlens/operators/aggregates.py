@@ -307,7 +307,7 @@ def user_aggregate_inner(txn: DataFrame, users: DataFrame, cards: DataFrame) ->
     j = per_card.join(cd, (F.col("card_id") == F.col("_cid")) & (F.col("client_id") == F.col("_uid")))
     per_user = j.groupBy("client_id").agg(
         F.sum("_n").alias("txn_count"),
-        F.sum("_s").alias("_s"),
+        C.exact_sum("_s").alias("_s"),
         F.sum("_na").alias("_na"),
         F.sum("_err").alias("total_errors"),
         F.sum("_chip").alias("_chip"),

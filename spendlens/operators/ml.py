@@ -6,7 +6,7 @@ the Spark ML estimators (PCA, KMeans).  All fits are distributed passes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stats import standardise
@@ -95,6 +95,91 @@ def kmeans_clusters(df: DataFrame, cols: list[str], key: str, k: int = 4, seed:
     return model.transform(v).select(key, F.col("cluster").cast("int").alias("cluster"))
 
 
+def gaussian_mixture(df: DataFrame, cols: list[str], key: str, k: int = 4, seed: int = 42, max_iter: int = 100,
+                     tol: float = 0.01, starts: int = 1) -> DataFrame:
+    """M6: impute -> standardise -> Gaussian mixture by expectation maximisation; returns key, cluster (the likeliest
+    component) and p0..p(k-1), the membership probabilities, which sum to 1.
+
+    Every iteration is one distributed pass that adds up k weighted moment sums; only those reach the driver.  As a run ends
+    in the nearest local optimum, the likeliest of ``starts`` runs from different seeds is kept.
+    """
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.functions import vector_to_array
+
+    v = _features(df, cols, key)
+    runs = (GaussianMixture(k=k, seed=seed + n, maxIter=max_iter, tol=tol, probabilityCol="probability").fit(v) for n in range(starts))
+    model = max(runs, key=lambda m: m.summary.logLikelihood)
+    p = model.transform(v).select(key, F.col("prediction").cast("int").alias("cluster"), vector_to_array("probability").alias("_p"))
+    return p.select(key, "cluster", *[F.col("_p")[i].alias(f"p{i}") for i in range(k)])
+
+
+def mixture_likelihoods(df: DataFrame, cols: list[str], key: str, k: int, iterations: tuple[int, ...], seed: int = 42) -> list[float]:
+    """The log likelihood that a Gaussian mixture reaches after each of these numbers of iterations, from the same start."""
+    from pyspark.ml.clustering import GaussianMixture
+
+    v = _features(df, cols, key)
+    return [float(GaussianMixture(k=k, seed=seed, maxIter=n, tol=0.0).fit(v).summary.logLikelihood) for n in iterations]
+
+
+def bisecting_clusters(df: DataFrame, cols: list[str], key: str, depth: int = 3, min_size: int = 50, max_iter: int = 10,
+                       tol: float = 1e-4) -> DataFrame:
+    """M6: impute -> standardise -> divisive clustering; returns key, path (a string of 0 and 1, the sides taken from the root
+    on) and cluster (paths in order, from 0).
+
+    Every level splits all its clusters of at least ``min_size`` rows in two at once: two-means from one start per side, along
+    the feature that varies most, each iteration one grouped pass over the rows; a child is a subset of its parent, and its
+    path extends the parent's.  A split that would leave one side empty is not made.  Per level at most 2**depth rows of
+    statistics meet the data.
+    """
+    from ..session import materialize
+
+    z = standardise(impute(materialize(df.select(key, *[F.col(c).cast("double").alias(c) for c in cols])), cols), cols)
+    now = materialize(z.withColumns({"path": F.lit(""), "_done": F.lit(False)}))
+    for _ in range(depth):
+        stats = now.where(~F.col("_done")).groupBy("path").agg(
+            F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)],
+            *[F.stddev_pop(c).alias(f"_d{i}") for i, c in enumerate(cols)]).where(F.col("_n") >= max(2, min_size))
+        widest = F.greatest(*[F.col(f"_d{i}") for i in range(len(cols))]) if len(cols) > 1 else F.col("_d0")
+        first = F.coalesce(*[F.when(F.col(f"_d{i}") == widest, i) for i in range(len(cols))])
+        step = [F.when(first == i, F.col(f"_d{i}")).otherwise(0.0) for i in range(len(cols))]
+        centres = {(s.path, side): [s[f"_l{i}"] if side == "0" else s[f"_r{i}"] for i in range(len(cols))]
+                   for s in stats.where(widest > 0).select(
+                       "path", *[(F.col(f"_m{i}") - step[i]).alias(f"_l{i}") for i in range(len(cols))],
+                       *[(F.col(f"_m{i}") + step[i]).alias(f"_r{i}") for i in range(len(cols))]).collect()  # at most 2**depth rows
+                   for side in "01"}
+        if not centres:
+            break
+        for _ in range(max_iter):
+            sided = _sided(now, cols, centres)
+            means = {(r["path"], r["_side"]): [r[f"_m{i}"] for i in range(len(cols))] for r in sided.where("_side is not null").groupBy(
+                "path", "_side").agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)]).collect()}  # at most 2**(depth + 1) rows
+            whole = {path for path, _ in centres if (path, "0") in means and (path, "1") in means}
+            moved = {k: means[k] for k in means if k[0] in whole}
+            settled = moved.keys() == centres.keys() and all(
+                abs(a - b) <= tol * (1 + abs(b)) for k in moved for a, b in zip(moved[k], centres[k], strict=True))
+            centres = moved
+            if settled or not centres:
+                break
+        if not centres:
+            break
+        sided = _sided(now, cols, centres)
+        now = materialize(sided.withColumns({"_done": F.col("_done") | F.col("_side").isNull(),
+                                             "path": F.concat("path", F.coalesce("_side", F.lit("")))}).drop("_side"))
+    leaves = now.select("path").distinct()  # at most 2**depth rows
+    numbered = leaves.withColumn("cluster", (F.row_number().over(Window.orderBy("path")) - 1).cast("int"))
+    return now.join(F.broadcast(numbered), "path").select(key, "path", "cluster")
+
+
+def _sided(df: DataFrame, cols: list[str], centres: dict[tuple[str, str], list[float]]) -> DataFrame:
+    """Adds ``_side``, the nearer centre of the row's cluster ("0" of equals); NULL where the cluster is not split."""
+    spark = df.sparkSession
+    rows = [(path, centres[path, "0"], centres[path, "1"]) for path, side in centres if side == "0" and (path, "1") in centres]
+    table = F.broadcast(spark.createDataFrame(rows, "path string, _a array<double>, _b array<double>"))  # at most 2**depth rows
+    away = [sum(((F.col(c) - F.col(side)[i]) * (F.col(c) - F.col(side)[i]) for i, c in enumerate(cols)), F.lit(0.0)) for side in ("_a", "_b")]
+    side = F.when(F.col("_a").isNotNull() & ~F.col("_done"), F.when(away[0] <= away[1], "0").otherwise("1"))
+    return df.join(table, "path", "left").withColumn("_side", side).drop("_a", "_b")
+
+
 def label_join(txn: DataFrame, labels: DataFrame, txn_key: str = "transaction_id", label_key: str = "id",
                how: str = "left") -> DataFrame:
     """Attach fraud labels; ``how='inner'`` gives the labelled training set (X, y).

@@ -886,6 +886,20 @@ def q_kmeans_clusters(spark, d):
     return ML.kmeans_clusters(ua, cols, "user_id", 4)
 
 
+@register("gaussian_mixture")
+def q_gaussian_mixture(spark, d):
+    """M6: Gaussian mixture (k=3) membership per user, over three features."""
+    ua, cols = _user_features(spark, d)
+    return ML.gaussian_mixture(ua, cols[:3], "user_id", 3)
+
+
+@register("bisecting_clusters")
+def q_bisecting_clusters(spark, d):
+    """M6: divisive clustering of the users by four features, two levels."""
+    ua, cols = _user_features(spark, d)
+    return ML.bisecting_clusters(ua, cols[:4], "user_id", depth=2, min_size=20)
+
+
 def anomaly_frame(spark, d) -> DataFrame:
     ua, cols = _user_features(spark, d)
     est = IF.IsolationForest(num_trees=200, sample_size=256, contamination=0.02, seed=42)
@@ -1001,3 +1015,59 @@ def q_kmeans_invariants(spark, d):
         _fact(k, "users in a cluster", F.count("cluster")), _fact(means, "clusters", F.count("other")),
         _fact(near, "at least 98 % of users are nearest to the mean of their own cluster",
               (F.avg((F.col("nearest") == F.col("cluster")).cast("int")) >= 0.98).cast("int")))
+
+
+def _planted(spark, d, groups: int) -> DataFrame:
+    """Two or four well separated groups laid around the amounts of the transactions: id, true_group, x, y."""
+    t = AD.txn(spark, d, ["transaction_id", "amount_usd"]).groupBy("transaction_id").agg(
+        (F.pmod(F.min("amount_usd").cast("double"), F.lit(1.0)) - 0.5).alias("_e"))
+    group = (F.pmod("transaction_id", F.lit(groups)) * (3 // (groups - 1))).cast("int")  # 0 and 3, or 0 to 3
+    return t.select("transaction_id", group.alias("true_group"), (F.pmod(group, F.lit(2)) * 10 + F.col("_e")).alias("x"),
+                    (F.floor(group / 2) * 6 + F.pmod(F.col("_e") * 7, F.lit(1.0))).alias("y"))
+
+
+@register("gaussian_mixture_invariants", O.with_(["txn"], """
+SELECT 'rows' AS fact, count(DISTINCT transaction_id) AS value FROM txn
+UNION ALL SELECT 'probabilities off one by over 1e-9', 0
+UNION ALL SELECT 'planted groups found whole and alone', 2
+UNION ALL SELECT 'group means found within 0.1', 2
+UNION ALL SELECT 'more iterations fit no worse', 1"""))
+def q_gaussian_mixture_invariants(spark, d):
+    """M6: two planted groups are the components; the likelihood does not fall with the iterations."""
+    x = materialize(_planted(spark, d, 2))
+    m = materialize(x.join(ML.gaussian_mixture(x, ["x", "y"], "transaction_id", 2, starts=3), "transaction_id"))
+    total = sum((F.col(f"p{i}") for i in range(2)), F.lit(0.0))
+    pairs = m.groupBy("true_group", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    whole = pairs.groupBy("true_group").agg(F.count("cluster").alias("clusters"), F.first("cluster").alias("cluster"))
+    soft = m.agg(*[(F.sum(F.col(f"p{i}") * F.col(c)) / F.sum(f"p{i}")).alias(f"{c}{i}") for i in range(2) for c in "xy"])
+    found = soft.select(F.explode(F.array(*[F.struct(F.lit(i).alias("cluster"), F.col(f"x{i}").alias("mx"), F.col(f"y{i}").alias("my"))
+                                            for i in range(2)])).alias("s")).select("s.*")
+    true = x.groupBy("true_group").agg(F.avg("x").alias("tx"), F.avg("y").alias("ty"))
+    near = whole.join(found, "cluster").join(true, "true_group")
+    fits = ML.mixture_likelihoods(x, ["x", "y"], "transaction_id", 2, (1, 3, 10))
+    rising = all(b >= a - 1e-6 * abs(a) for a, b in zip(fits, fits[1:]))
+    return _facts(
+        _fact(m, "rows", F.count("cluster")), _fact(m, "probabilities off one by over 1e-9", F.count_if(F.abs(total - 1) > 1e-9)),
+        _fact(whole.where("clusters = 1"), "planted groups found whole and alone", F.count_distinct("cluster")),
+        _fact(near, "group means found within 0.1", F.count_if((F.abs(F.col("mx") - F.col("tx")) < 0.1) & (F.abs(F.col("my") - F.col("ty")) < 0.1))),
+        _fact(m.limit(1), "more iterations fit no worse", F.max(F.lit(int(rising)))))
+
+
+@register("bisecting_invariants", O.with_(["txn"], """
+SELECT 'rows' AS fact, count(DISTINCT transaction_id) AS value FROM txn
+UNION ALL SELECT 'leaves', 4
+UNION ALL SELECT 'planted groups found whole', 4
+UNION ALL SELECT 'parents of the first level', 2
+UNION ALL SELECT 'levels above keep their rows together', 1"""))
+def q_bisecting_invariants(spark, d):
+    """M6: two levels part four planted groups; a shallower run's clusters are unions of a deeper one's."""
+    x = materialize(_planted(spark, d, 4))
+    deep = materialize(x.join(ML.bisecting_clusters(x, ["x", "y"], "transaction_id", depth=2, min_size=2), "transaction_id"))
+    flat = ML.bisecting_clusters(x, ["x", "y"], "transaction_id", depth=1, min_size=2).select("transaction_id", F.col("path").alias("parent"))
+    both = deep.join(flat, "transaction_id")
+    whole = deep.groupBy("true_group").agg(F.count_distinct("path").alias("paths"))
+    return _facts(
+        _fact(deep, "rows", F.count("cluster")), _fact(deep, "leaves", F.count_distinct("path")),
+        _fact(whole, "planted groups found whole", F.count_if(F.col("paths") == 1)),
+        _fact(deep, "parents of the first level", F.count_distinct(F.substring("path", 1, 1))),
+        _fact(both, "levels above keep their rows together", F.min((F.substring("path", 1, 1) == F.col("parent")).cast("int"))))

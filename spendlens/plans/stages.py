@@ -80,22 +80,30 @@ def type_cards(raw: DataFrame) -> DataFrame:
     )
 
 
-def _text(spark: SparkSession, path: str, schema) -> DataFrame:
-    raw = C.normalise_missing(IO.read_csv_text(spark, path))
+def _text(spark: SparkSession, path: str, schema, malformed: str = "raise") -> DataFrame:
+    raw = C.normalise_missing(IO.read_csv_text(spark, path, malformed))
     return raw.select(*[F.col(f.name) if f.name in raw.columns else F.lit(None).cast("string").alias(f.name)
                         for f in schema.fields])
 
 
-def preprocess(spark: SparkSession, in_dir: str, out_dir: str, force: bool = False) -> dict[str, bool]:
-    """Five raw files -> typed Parquet; returns table -> written?"""
+#: The CSV tables: how they are typed, and their raw columns.
+CSV_TABLES = {"transactions": (type_transactions, S.RAW_TRANSACTIONS), "users": (type_users, S.RAW_USERS),
+              "cards": (type_cards, S.RAW_CARDS)}
+
+
+def preprocess(spark: SparkSession, in_dir: str, out_dir: str, force: bool = False, quarantine: bool = False) -> dict[str, bool]:
+    """Five raw files -> typed Parquet; returns table -> written?
+
+    A malformed CSV row ends the stage; with ``quarantine`` such rows go to ``<table>_malformed.parquet`` beside the
+    table instead (reason, text, file, fields), so that rows in = rows out + rows quarantined.
+    """
     done = {}
-    done["transactions"] = IO.write_table(
-        type_transactions(_text(spark, f"{in_dir}/{RAW_FILES['transactions']}", S.RAW_TRANSACTIONS)),
-        f"{out_dir}/transactions.parquet", force)
-    done["users"] = IO.write_table(type_users(_text(spark, f"{in_dir}/{RAW_FILES['users']}", S.RAW_USERS)),
-                                   f"{out_dir}/users.parquet", force)
-    done["cards"] = IO.write_table(type_cards(_text(spark, f"{in_dir}/{RAW_FILES['cards']}", S.RAW_CARDS)),
-                                   f"{out_dir}/cards.parquet", force)
+    for name, (typing, schema) in CSV_TABLES.items():
+        source = f"{in_dir}/{RAW_FILES[name]}"
+        if quarantine:
+            IO.write_table(IO.malformed_csv(spark, source), f"{out_dir}/{name}_malformed.parquet", force)
+        done[name] = IO.write_table(typing(_text(spark, source, schema, "drop" if quarantine else "raise")),
+                                    f"{out_dir}/{name}.parquet", force)
     done["mcc_codes"] = IO.write_table(IO.read_json_map(spark, f"{in_dir}/{RAW_FILES['mcc_codes']}"),
                                        f"{out_dir}/mcc_codes.parquet", force)
     done["fraud_labels"] = IO.write_table(IO.read_labelled_map(spark, f"{in_dir}/{RAW_FILES['fraud_labels']}"),
@@ -107,8 +115,8 @@ def coercion_report(spark: SparkSession, in_dir: str) -> DataFrame:
     """Values present in the raw text that typing turned into NULL, per column."""
     from ..operators.quality import coercion_losses
 
-    raw_t = _text(spark, f"{in_dir}/{RAW_FILES['transactions']}", S.RAW_TRANSACTIONS)
-    raw_c = _text(spark, f"{in_dir}/{RAW_FILES['cards']}", S.RAW_CARDS)
+    raw_t = _text(spark, f"{in_dir}/{RAW_FILES['transactions']}", S.RAW_TRANSACTIONS, "drop")
+    raw_c = _text(spark, f"{in_dir}/{RAW_FILES['cards']}", S.RAW_CARDS, "drop")
     t = coercion_losses(raw_t, {"date": C.lenient_timestamp("date")}).withColumn("table", F.lit("transactions"))
     c = coercion_losses(raw_c, {"expires": C.parse_month_year("expires"), "has_chip": C.parse_yes_no("has_chip"),
                                 "acct_open_date": C.parse_month_year("acct_open_date"),
@@ -147,7 +155,7 @@ def cleanup(spark: SparkSession, in_dir: str, out_dir: str, force: bool = False)
     done = {}
     for name, (fn, skip) in steps.items():
         out = f"{out_dir}/{name}.parquet"
-        if not force and IO.path_exists(spark, out):
+        if not force and IO.is_committed(spark, out):
             done[name] = False
             continue
         df = fn(spark.read.parquet(f"{in_dir}/{name}.parquet"))
@@ -157,9 +165,9 @@ def cleanup(spark: SparkSession, in_dir: str, out_dir: str, force: bool = False)
 
 
 def run_pipeline(spark: SparkSession, raw_dir: str, work_dir: str, force: bool = False,
-                 reports_dir: str | None = None, as_of=None) -> dict:
+                 reports_dir: str | None = None, as_of=None, quarantine: bool = False) -> dict:
     """Preprocess -> cleanup -> (optional) all reports; ages as of the day ``as_of``."""
-    result = {"preprocess": preprocess(spark, raw_dir, f"{work_dir}/preprocessed", force),
+    result = {"preprocess": preprocess(spark, raw_dir, f"{work_dir}/preprocessed", force, quarantine),
               "cleanup": cleanup(spark, f"{work_dir}/preprocessed", f"{work_dir}/cleaned", force)}
     if reports_dir is not None:
         from .analysis import SpendAnalysis

@@ -8,6 +8,7 @@ source, so a huge file is read by many tasks instead of one.
 
 from __future__ import annotations
 
+import re
 from collections import namedtuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 
 Tables = namedtuple("Tables", ["transactions", "users", "cards"])
+#: Empty file that marks a folder as a finished table; Spark's readers pass over it.
+COMMITTED = "_COMMITTED"
 
 
 # ---------------------------------------------------------------- file system helpers (driver metadata only)
@@ -32,6 +35,33 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def is_committed(spark: SparkSession, path: str) -> bool:
+    """Whether a finished table is there: a file, or a folder that its writer marked as complete."""
+    fs, p = _fs_path(spark, path)
+    if not fs.exists(p) or fs.getFileStatus(p).isFile():
+        return bool(fs.exists(p))
+    return any(bool(fs.exists(_fs_path(spark, f"{path}/{mark}")[1])) for mark in (COMMITTED, "_SUCCESS"))
+
+
+def _beside(path: str, tag: str) -> str:
+    """A hidden folder beside ``path``, which Spark's readers pass over."""
+    parent, _, name = path.rstrip("/").rpartition("/")
+    return f"{parent}/_{tag}-{name}" if parent else f"_{tag}-{name}"
+
+
+def _publish(spark: SparkSession, written: str, path: str) -> None:
+    """Mark a complete folder and rename it to its place; a table that is there goes only then."""
+    fs, target = _fs_path(spark, path)
+    fresh, old = (_fs_path(spark, x)[1] for x in (written, _beside(path, "replaced")))
+    fs.create(_fs_path(spark, f"{written}/{COMMITTED}")[1], True).close()
+    fs.delete(old, True)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"cannot replace {path}")
+    if not fs.rename(fresh, target):
+        raise OSError(f"cannot move {written} to {path}")
+    fs.delete(old, True)
+
+
 def size_mb(spark: SparkSession, path: str) -> float:
     fs, p = _fs_path(spark, path)
     return fs.getContentSummary(p).getLength() / 1e6
@@ -39,12 +69,56 @@ def size_mb(spark: SparkSession, path: str) -> float:
 
 # ---------------------------------------------------------------- S1-S3 CSV
 
-def read_csv_text(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Header CSV with all columns as text (no inference pass)."""
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
-    for k, v in options.items():
-        reader = reader.option(k, v)
-    return reader.csv(path)
+def _csv_rows(spark: SparkSession, path: str, multi_line: bool, **options) -> tuple[DataFrame, list[str]]:
+    """All columns as text, and ``_reason`` (NULL: sound), ``_text`` and ``_file`` of each row.
+
+    A row is malformed if it has more fields than the header or a quote that is not closed; a shorter one is padded with
+    NULL.  Fields are counted only for rows that Spark reports as not fitting the header.
+    """
+    def reader():
+        made = spark.read.option("header", True).option("quote", '"').option("escape", '"')
+        for k, v in options.items():
+            made = made.option(k, v)
+        return made
+
+    names = reader().csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_text"]])
+    raw = reader().schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE").option(
+        "columnNameOfCorruptRecord", "_text").option("columnPruning", False).csv(path)  # fields are counted whatever is selected
+    # Spark refuses a query that reads the corrupt record alone, so it comes with nothing of the first field
+    raw = raw.withColumn("_text", F.nullif(F.concat_ws("", "_text", F.substring(f"`{names[0]}`", 1, 0)), F.lit("")))
+    bare = F.regexp_replace("_text", r'"([^"]|"")*"', "")
+    separator = re.escape(options.get("sep", options.get("delimiter", ",")))
+    reason = F.when(bare.contains('"'), F.lit("quote not closed")).when(
+        F.regexp_count(bare, F.lit(separator)) >= len(names), F.lit("too many fields"))
+    return raw.select(*[f"`{c}`" for c in names], reason.alias("_reason"), "_text", F.col("_metadata.file_path").alias("_file")), names
+
+
+def read_csv_text(spark: SparkSession, path: str, malformed: str = "raise", multi_line: bool = False, **options) -> DataFrame:
+    """Header CSV with all columns as text (no inference pass).
+
+    Malformed rows (see ``_csv_rows``) never pass as data: ``malformed="raise"`` ends the job with the row's text, ``"drop"``
+    leaves them out for ``malformed_csv`` to return.  With ``multi_line`` a quoted field may hold line feeds; files are not
+    split then, so many files are needed for many tasks.  Without it a quote that is not closed on its line always ends the
+    job, since the field's other lines could pass for rows.
+    """
+    if malformed not in ("raise", "drop"):
+        raise ValueError("malformed must be 'raise' or 'drop'")
+    rows, names = _csv_rows(spark, path, multi_line, **options)
+    sound = F.col("_reason").isNull()
+    fatal = F.lit(True) if malformed == "raise" else F.col("_reason") == "quote not closed"
+    if malformed == "raise" or not multi_line:
+        said = F.concat(F.lit("malformed CSV row ("), "_reason", F.lit(") in "), "_file", F.lit(": "), F.substring("_text", 1, 500))
+        sound = F.when(sound, F.lit(True)).when(fatal, F.raise_error(said).cast("boolean")).otherwise(F.lit(False))
+    return rows.where(sound).select(*[f"`{c}`" for c in names])
+
+
+def malformed_csv(spark: SparkSession, path: str, multi_line: bool = False, **options) -> DataFrame:
+    """The rows that ``read_csv_text(malformed="drop")`` leaves out: reason, text, file, and the fields as far as they were read."""
+    rows, names = _csv_rows(spark, path, multi_line, **options)
+    return rows.where(F.col("_reason").isNotNull()).select(
+        F.col("_reason").alias("reason"), F.col("_text").alias("text"), F.col("_file").alias("file"),
+        F.array(*[f"`{c}`" for c in names]).alias("fields"))
 
 
 def typed(df: DataFrame, schema: T.StructType, strict: bool = True) -> DataFrame:
@@ -65,10 +139,10 @@ def typed(df: DataFrame, schema: T.StructType, strict: bool = True) -> DataFrame
     return df.select(*cols)
 
 
-def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType, null_tokens: list[str] | None = None
-                 ) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType, null_tokens: list[str] | None = None,
+                 malformed: str = "raise") -> DataFrame:
     """Text columns, pandas-style missing tokens -> NULL (D18), then the declared schema."""
-    raw = C.normalise_missing(read_csv_text(spark, path), null_tokens)
+    raw = C.normalise_missing(read_csv_text(spark, path, malformed), null_tokens)
     return typed(raw, schema)
 
 
@@ -120,26 +194,29 @@ def load_tables(spark: SparkSession, dataset_dir: str) -> Tables:
 
 def write_table(df: DataFrame, path: str, force: bool = False, fmt: str = "parquet",
                 compression: str = "zstd") -> bool:
-    """Write unless the output exists (``force`` overwrites).  Returns whether it wrote.
+    """Write unless a finished table is there (``force`` overwrites).  Returns whether it wrote.
 
-    Output goes through Spark's commit protocol, so a lost executor's partial
-    files never become visible.
+    The table is written to a hidden folder beside its place, marked as complete and then renamed, so an interrupted write
+    leaves nothing that passes for a table: the next call does it again.  An overwritten table stays until the new one is
+    complete.  One writer per table at a time.
     """
     spark = df.sparkSession
-    if not force and path_exists(spark, path):
+    if not force and is_committed(spark, path):
         return False
-    w = df.write.mode("overwrite" if force else "errorifexists")
+    aside = _beside(path, "writing")
+    w = df.write.mode("overwrite")
     if fmt == "parquet":
         w = w.option("compression", compression)
     elif fmt == "csv":
         w = w.option("header", True)
-    w.format(fmt).save(path)
+    w.format(fmt).save(aside)
+    _publish(spark, aside, path)
     return True
 
 
 def csv_to_parquet(spark: SparkSession, csv_path: str, parquet_path: str, **read_options) -> float:
     """CSV -> ZSTD Parquet with every column kept as text; skipped when present. Returns size in MB."""
-    if not path_exists(spark, parquet_path):
+    if not is_committed(spark, parquet_path):
         write_table(read_csv_text(spark, csv_path, **read_options), parquet_path, force=False)
     return size_mb(spark, parquet_path)
 

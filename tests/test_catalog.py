@@ -1,4 +1,4 @@
-"""Every registered query runs on sf0.001 and equals its SQL twin in DuckDB."""
+"""Every query of the catalogue runs on sf0.001 and equals its SQL twin in DuckDB."""
 
 import math
 
@@ -7,8 +7,10 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from spendlens.plans import catalog
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark",
+          "labels", "conversations"]
 
 
 @pytest.fixture(scope="module")
@@ -31,18 +33,18 @@ def _rows(cols, rows):
     return sorted(tuple(_norm(r[i]) for i in idx) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query_matches_oracle(spark, con, name):
-    sdf = E.queries()[name](spark, SF_SMALL)
-    rel = con.execute(E.oracle_sql()[name])
+    sdf = catalog.QUERIES[name](spark, SF_SMALL)
+    rel = con.execute(catalog.ORACLE[name])
     dcols = [d[0] for d in rel.description]
     assert sorted(sdf.columns) == sorted(dcols)
     assert _rows(sdf.columns, [tuple(r) for r in sdf.collect()]) == _rows(dcols, rel.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_non_sql_query_runs(spark, name):
-    assert E.queries()[name](spark, SF_SMALL).count() > 0
+    assert catalog.QUERIES[name](spark, SF_SMALL).count() > 0
 
 
 def test_entry(spark):

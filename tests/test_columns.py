@@ -121,3 +121,24 @@ def test_std_of_large_close_amounts_and_sub_cent_sums(spark):
     r = small.where("x > 0 or x is null").agg(C.exact_sum("x").alias("s"), C.exact_count("x").alias("n")).first()
     assert float(r["s"]) == 0.012 and r["n"] == 3
     assert float(small.agg(C.exact_sum("x").alias("s")).first()["s"]) == pytest.approx(-0.488)
+
+
+@pytest.mark.parametrize("values, want", [
+    ([float("inf"), 1.0], float("inf")), ([1e20, 1.0], 1e20), ([9e18] * 3, 2.7e19), ([4e-7] * 3, 1.2e-6), ([float("-inf"), None], float("-inf")),
+    ([1.5e9, 0.25], 1500000000.25), ([None, float("nan")], None), ([-0.1, 0.1, 123456789.01], 123456789.01), ([1e308, 5.0], 1e308)])
+def test_no_amount_ends_a_sum(spark, values, want):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = df.agg(C.exact_sum("x").alias("s"), C.exact_count("x").alias("n")).select("s", C.mean_from("s", "n").alias("m")).first()
+    assert got["s"] == (want if want is None else pytest.approx(want, rel=1e-15))
+    assert (got["m"] is None) == (want is None)
+
+
+def test_both_infinities_give_nan_and_cents_stay_exact(spark):
+    import math
+
+    df = spark.createDataFrame([(float("inf"),), (float("-inf"),)], "x double")
+    assert math.isnan(df.agg(C.exact_sum("x").alias("s")).first()["s"])
+    cents = spark.range(100_000).select((F.pmod(F.col("id") * 7919, F.lit(10_000_019)) / 100).alias("x"), F.pmod(F.col("id"), F.lit(3)).alias("g"))
+    want = sum(k * 7919 % 10_000_019 for k in range(100_000)) / 100
+    for parts in (1, 7):
+        assert cents.repartition(parts).agg(C.exact_sum("x").alias("s")).first()["s"] == want
