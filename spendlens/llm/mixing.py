@@ -9,9 +9,6 @@ that comes closer, the buckets up to the first that does not fit and one more.
 Bucket sizes are pre-aggregated (``BUCKETS`` rows a source at most), so a source with a third of all
 rows costs no more than a small one.
 
-``whole=False`` is the rule that the SQL of op4 states: the order goes by doc_id alone, so that documents with the same
-one (null as well) are taken alike, and after the first bucket that does not fit at most one more is taken.
-
 Defined results: a null text has size 0; a null source is a source of its own, last in order; sources of size
 0 have target 0 and nothing is taken from them; documents with the same doc_id and text are taken
 alike; repeated rows each count; an empty table gives an empty result.
@@ -36,11 +33,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def bucket(doc_id: Column, seed: int, salt: Column | None = None) -> Column:
+def bucket(doc_id: Column, seed: int, salt: Column) -> Column:
     """A document's place in the seeded order: 0 to BUCKETS - 1; the salt parts documents with the same doc_id."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
-    if salt is not None:
-        key = F.concat(key, F.lit(":"), salt.cast("string"))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), salt.cast("string"))
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 4), 16, 10).cast("int")
 
 
@@ -89,8 +84,7 @@ def _pass_over(table: pa.Table) -> pa.Table:
                      "later": pa.array([words.tolist() if taken.any() else None], pa.list_(pa.int64()))})
 
 
-def mix_plan(sized: DataFrame, weights: Callable[[Column], Column] = cycling_weights, max_epochs: int = 3,
-             whole: bool = True) -> DataFrame:
+def mix_plan(sized: DataFrame, weights: Callable[[Column], Column] = cycling_weights, max_epochs: int = 3) -> DataFrame:
     """One row per source of a table (source, size, bucket): source, weight, source_size, target, epochs
     (whole passes), upto, extra and later (buckets below the first, equal to the second or with a bit in the third, 64 in
     each number, are taken once more)."""
@@ -111,24 +105,20 @@ def mix_plan(sized: DataFrame, weights: Callable[[Column], Column] = cycling_wei
     beyond = groups.join(prefix, F.col("source").eqNullSafe(F.col("_s"))).where("bucket >= upto")
     off = F.abs(F.col("lacks") - F.col("size"))
     closer = beyond.where(off < F.col("lacks"))
-    if whole:
-        extra = closer.groupBy("source").applyInArrow(_pass_over, "_e string, extra int, later array<long>")
-    else:
-        extra = closer.groupBy(F.col("source").alias("_e")).agg(
-            F.min_by("bucket", F.struct(off, "bucket")).alias("extra"), F.lit(None).cast("array<long>").alias("later"))
+    extra = closer.groupBy("source").applyInArrow(_pass_over, "_e string, extra int, later array<long>")
     best = prefix.join(extra, F.col("_s").eqNullSafe(F.col("_e")), "left").select("_s", "upto", "extra", "later")
     return filled.join(best, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "rest")
 
 
 def mix(docs: DataFrame, seed: int = 0, weights: Callable[[Column], Column] = cycling_weights,
-        max_epochs: int = 3, keep: list[str] | None = None, whole: bool = True) -> DataFrame:
+        max_epochs: int = 3, keep: list[str] | None = None) -> DataFrame:
     """row (a struct of the columns ``keep``, all by default), size, source_size, target and copies, how often
     the mix takes the document."""
     sized = cut(docs.select(
         F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("row"), F.col("source").cast("string").alias("source"),
         words(F.col("text")).alias("size"),
-        bucket(F.col("doc_id"), seed, F.xxhash64("text") if whole else None).alias("bucket")), "sized")
-    plan = cut(mix_plan(sized.select("source", "size", "bucket"), weights, max_epochs, whole).select(
+        bucket(F.col("doc_id"), seed, F.xxhash64("text")).alias("bucket")), "sized")
+    plan = cut(mix_plan(sized.select("source", "size", "bucket"), weights, max_epochs).select(
         F.col("source").alias("_s"), "source_size", "target", "epochs", "upto", "extra", "later"), "mix-plan")
     # one row per source: Spark broadcasts it where its file is small enough, and else splits hot sources (AQE)
     joined = sized.join(plan, F.col("source").eqNullSafe(F.col("_s")))

@@ -62,7 +62,7 @@ def op3_context_mixing_range_coder(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def op4_capped_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"], whole=False)  # the rule of OP4_SQL
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -84,45 +84,6 @@ def op13_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
                              ["n_tokens", "ids_sha256", "decoded_sha256", "agrees"])
 
 
-#: Levels at which ever more sources are clamped at three epochs are tried in the order of 3 x size / weight.
-OP4_SQL = """
-WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         CAST(('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 4)) AS INTEGER) AS bucket
-  FROM documents),
-totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
-weighted AS (
-  SELECT *, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS weight FROM totals),
-ordered AS (
-  SELECT *, 3.0::DOUBLE * source_size / weight AS full_at, sum(source_size) OVER () AS total,
-         coalesce(sum(source_size) OVER before, 0) AS clamped, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS open
-  FROM weighted
-  WINDOW before AS (ORDER BY 3.0::DOUBLE * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-level AS (SELECT arg_min((CAST(total AS DOUBLE) - 3.0::DOUBLE * CAST(clamped AS DOUBLE)) / CAST(open AS DOUBLE), full_at) AS height
-          FROM ordered WHERE CAST(total AS DOUBLE) - 3.0::DOUBLE * CAST(clamped AS DOUBLE) <= full_at * CAST(open AS DOUBLE)),
-targets AS (
-  SELECT source, source_size, least(3.0::DOUBLE * source_size, weight * height) AS target FROM weighted, level),
-rests AS (
-  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM targets),
-runs AS (
-  SELECT s.source, s.bucket, r.target - r.epochs * r.source_size AS rest, CAST(sum(s.size) AS DOUBLE) AS size,
-         CAST(sum(sum(s.size)) OVER (PARTITION BY s.source ORDER BY s.bucket) AS DOUBLE) AS upto_size
-  FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source GROUP BY s.source, s.bucket, r.target, r.epochs, r.source_size),
-prefix AS (
-  SELECT source, coalesce(max(bucket + 1) FILTER (upto_size <= rest), 0) AS upto,
-         max(rest) - coalesce(max(upto_size) FILTER (upto_size <= rest), 0) AS lacks
-  FROM runs GROUP BY source),
-extras AS (
-  SELECT r.source, arg_min(r.bucket, (abs(p.lacks - r.size), r.bucket)) AS extra
-  FROM runs r JOIN prefix p ON r.source IS NOT DISTINCT FROM p.source
-  WHERE r.bucket >= p.upto AND abs(p.lacks - r.size) < p.lacks GROUP BY r.source)
-SELECT s.doc_id, s.size, r.source_size, r.target,
-       s.size * (r.epochs + CASE WHEN s.bucket < p.upto OR s.bucket IS NOT DISTINCT FROM e.extra THEN 1 ELSE 0 END) AS taken
-FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source JOIN prefix p ON s.source IS NOT DISTINCT FROM p.source
-LEFT JOIN extras e ON s.source IS NOT DISTINCT FROM e.source
-"""
-
-
 OP2_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -188,5 +149,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_sentence_spans, op11_hat_trie_collocations, op12_incidence_alignment, op13_piece_agenda)
 }
 ORACLE: dict[str, str] = {
-    "op2_pivot_distance_search": OP2_SQL, "op4_capped_water_filling": OP4_SQL, "op6_cross_polytope_near_duplicates": OP6_SQL,
+    "op2_pivot_distance_search": OP2_SQL, "op6_cross_polytope_near_duplicates": OP6_SQL,
     "op11_hat_trie_collocations": OP11_SQL}

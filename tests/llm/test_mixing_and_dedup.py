@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
-from fixtures_llm import LONG, PLAIN, ROWS, clusters, documents, empty  # noqa: E402
+from fixtures_llm import SCHEMA, LONG, PLAIN, ROWS, clusters, documents, empty  # noqa: E402
 
 from spendlens.llm import components, mixing, sentence_dedup, simhash  # noqa: E402
 
@@ -190,3 +190,70 @@ def test_sentences_of_awkward_documents(spark):
     assert [r["n_removed"] for r in sentence_dedup.sentence_dedup(twice).collect()] == [0, 0, 0]
     assert sentence_dedup.sentence_dedup(empty(spark)).count() == 0
     assert found.select("row.*").columns == documents(spark).columns and found.where(F.col("row.row") == "extra row").count() == len(rows)
+
+
+def plain_mix(rows, targets):
+    """Copies of each (source, bucket, size) row: whole passes, then every bucket that fits in order, or what ends closer."""
+    out = {}
+    for source in {r[0] for r in rows}:
+        sizes = {}
+        for s, b, n in rows:
+            if s == source:
+                sizes[b] = sizes.get(b, 0) + n
+        total = sum(sizes.values())
+        epochs = int(targets[source] // total) if total else 0
+        rest = targets[source] - epochs * total
+        upto, left = [], rest  # the buckets up to the first that does not fit
+        for b in sorted(sizes):
+            if sizes[b] > left:
+                break
+            upto.append(b)
+            left -= sizes[b]
+        later, room = [], left
+        for b in sorted(set(sizes) - set(upto)):
+            if sizes[b] <= room:
+                later.append(b)
+                room -= sizes[b]
+        ways = [set(upto), {*upto, *later}]
+        ways += [w | {b} for w in list(ways) for b in sizes if b not in w]
+        best = min(abs(rest - sum(sizes[b] for b in w)) for w in ways) if total else 0
+        out[source] = (epochs, rest, best)
+    return out
+
+
+def test_the_query_takes_near_the_target(spark, tmp_path):
+    """op4 on a source with one long document, on a source of null ids and on the small table: one rule, the contract's."""
+    from spendlens.llm import queries
+
+    tables = {}
+    for place, long_id in enumerate((0, 7, 100, 333, 1000, 31_337)):
+        words = [(long_id, "w " * 400, "en", "a", 0)] + [(10_000 + k, "w " * 10, "en", "a", 0) for k in range(60)]
+        tables[f"long{place}"] = [*words, *((20_000 + k, "w " * 10, "en", "b", 0) for k in range(20))]
+    tables["nulls"] = [(None, f"w{k} " * 2, "en", "a", 0) for k in range(100)] + [(k, "w " * 7, "en", None, 0) for k in range(50)]
+    for name, rows in tables.items():
+        folder = tmp_path / name
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    tables["small"] = None
+    for name in tables:
+        folder = str(tmp_path / name) if tables[name] else "/root/testdata/sf0.001"
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        got = queries.QUERIES["op4_capped_water_filling"](spark, folder).collect()
+        again = queries.QUERIES["op4_capped_water_filling"](spark, folder).collect()
+        assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == docs.count()
+        assert all(0 <= r.taken <= 3 * r.size for r in got)
+        placed = docs.select("source", mixing.bucket(F.col("doc_id"), 0, F.xxhash64("text")).alias("b"), mixing.words(F.col("text")).alias("n"))
+        rows = [tuple(r) for r in placed.collect()]
+        targets, totals = {}, {}
+        for r in got:
+            targets[r.source_size, r.target] = targets.get((r.source_size, r.target), 0) + r.taken
+        for s, _, n in rows:
+            totals[s] = totals.get(s, 0) + n
+        ordered = sorted(totals, key=lambda s: (s is None, (s or "").encode()))
+        by_size = {}
+        for (size, target), sum_ in targets.items():
+            by_size.setdefault(size, []).append((target, sum_))
+        if len(set(totals.values())) == len(totals):
+            want = {s: by_size[totals[s]][0][0] for s in ordered}
+            for s, (_, _, off) in plain_mix(rows, want).items():
+                target, sum_ = by_size[totals[s]][0]
+                assert abs(target - sum_) <= off + 1e-6, (name, s, target, sum_, off)

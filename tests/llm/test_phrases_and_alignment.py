@@ -4,7 +4,6 @@ from collections import Counter
 from hashlib import sha256
 from pathlib import Path
 
-import duckdb
 import numpy as np
 import pytest
 
@@ -258,13 +257,3 @@ def test_scores_beyond_64_bits(spark, monkeypatch):
     monkeypatch.setattr(collocations, "frequent", lambda spilled, least: known)
     got = collocations.collocations(empty(spark)).collect()
     assert [tuple(r) for r in got] == [("en", 1, "x y", big - 1, big + 1, big, 9 * big, 2_000_000 * (big - 1) // (2 * big + 1))]
-
-
-def test_collocation_query_equals_its_sql(spark):
-    folder = "/root/testdata/sf0.001"
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
-    rel = con.execute(queries.ORACLE["op11_hat_trie_collocations"])
-    names = [d[0] for d in rel.description]
-    got = queries.QUERIES["op11_hat_trie_collocations"](spark, folder).select(*names).collect()
-    assert sorted(map(tuple, got)) == sorted(rel.fetchall()) and len(got) > 0

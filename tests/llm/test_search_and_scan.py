@@ -85,12 +85,13 @@ def test_recall_at_the_querys_parameters_whatever_the_codes_length(spark, bucket
 
 
 def brute_top(rows, k, query):
-    ok = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v, _ in rows
-          if i is not None and v and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(256 * float(x)) for x in v]) for i, v, _ in rows
+          if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, v) for i, v in ok if sum(x * x for x in v) < 2**61]
     out = set()
     for i, q in ok:
         if query(i):
-            best = sorted((-int(q @ x), j) for j, x in ok if j != i)[:k]
+            best = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in ok if j != i and len(x) == len(q))[:k]
             out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(best)}
     return out
 
@@ -103,6 +104,16 @@ def test_search_is_exact(spark, options):
     assert len(got) == len(set(got))
 
 
+def test_search_of_mixed_lengths_and_large_components(spark):
+    rows = [(k, v, label) for k, (_, v, label) in enumerate(clustered(40))]
+    n = len(rows)
+    rows += [(10 * n, [1.0, 2.0, 3.0], 0), (10 * n + 1, [0.5, -2.0, 1.0], 0), (10 * n + 10, [3.0, 0.0, 0.0], 0), (10 * n + 20, [7.0], 0)]
+    rows += [(20 * n, [1e8] * 8, 0), (20 * n + 10, [1e30] + [0.0] * 7, 0), (20 * n + 20, [1e6] * 8, 0), (20 * n + 30, [-1.3e6] * 8, 0)]
+    got = pivot_search.top_k(vectors(spark, rows), lambda c: c % 10 == 0, 5).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == brute_top(rows, 5, lambda i: i % 10 == 0)
+    assert {10 * n, 10 * n + 10, 20 * n + 20} <= {r["query_id"] for r in got} and not {20 * n, 20 * n + 10} & {r["vec_id"] for r in got}
+
+
 def test_search_of_few_rows_and_none(spark):
     rows = [(0, [1.0] * 8, 0), (10, [1.0] * 8, 0), (3, [1.0] * 8, 0), (2, [1.0] * 8, 0)]
     got = sorted(tuple(r) for r in pivot_search.top_k(vectors(spark, rows), lambda c: c % 10 == 0, 5).collect())
