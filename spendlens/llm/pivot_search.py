@@ -10,14 +10,17 @@ and stops when no unread annulus can hold a score as good as its k-th.  Scores a
 Queries travel in packs to the annuli they still need, annuli above ``split_rows`` are dealt out in parts, and what comes back is
 at most k rows per query and part: nothing grows with the square of a group.
 
-Defined results: vectors that are null or hold null or non-finite components, rows without an id and vectors of another
-length than the most common one of the sample take no part; a query does not find rows with its own id; an id that is
+Vectors of different lengths have no product: each length has an index of its own.
+
+Defined results: vectors that are null or hold null or non-finite components, rows without an id, and vectors whose scaled
+squares add up to 2**61 or more, whose scores might pass a LONG, take no part; a query does not find rows with its own id; an id that is
 queried twice is searched with its smaller vector; equal rows are candidates each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,11 @@ _NONE = -(1 << 62)  # below any score; its negative is still a number
 
 
 def scaled(vector: Column, factor: int = 256) -> Column:
-    """floor(factor * x) of every component; null if the vector or a component is null or not finite."""
+    """floor(factor * x) of every component; null if the vector or a component is null or not finite, or its squares too
+    large: two vectors with squares below 2**62 have a product below it as well."""
     x = vector.cast("array<double>")
-    fine = F.forall(x, lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    squares = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v * float(factor) ** 2)
+    fine = F.forall(x, lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False))) & (squares < 2.0**61)
     return F.when(fine, F.transform(x, lambda v: F.floor(v * float(factor)).cast("long")))
 
 
@@ -105,16 +110,20 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 5,
     """(query_id, rank, vec_id, score) of the k best rows for every query among (vec_id, embedding)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding"), factor).alias("v")).where(
         "vec_id is not null and v is not null and size(v) > 0")
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample_rows).collect()  # bounded by sample_rows
-    spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score long"
-    if not drawn:
-        return spark.createDataFrame([], result)
-    lengths = [len(r["v"]) for r in drawn]
-    d = max(sorted(set(lengths)), key=lengths.count)
-    rows = rows.where(F.size("v") == d)
+    lengths = [r[0] for r in rows.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]  # one, as a rule
+    found = [_top_k(rows.where(F.size("v") == d), d, is_query, k, pivots, annuli, sample_rows, split_rows, first, growth) for d in lengths]
+    return reduce(DataFrame.union, found) if found else vectors.sparkSession.createDataFrame([], result)
+
+
+def _top_k(rows: DataFrame, d: int, is_query: Callable[[Column], Column], k: int, pivots: int, annuli: int, sample_rows: int,
+           split_rows: int, first: int, growth: int) -> DataFrame:
+    """The search among vectors of one length."""
+    spark = rows.sparkSession
+    result = "query_id long, rank int, vec_id long, score long"
+    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample_rows).collect()  # bounded by sample_rows
     longest = rows.agg(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x))).first()[0]
-    index = Index(np.array([r["v"] for r in drawn if len(r["v"]) == d], np.int64), longest, pivots, annuli)
+    index = Index(np.array([r["v"] for r in drawn], np.int64), longest, pivots, annuli)
 
     def key(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
