@@ -32,7 +32,7 @@ from .pieces import vocabulary as piece_vocabulary
 from .scratch import cut
 from .tokens import _byte_alphabet, encoder
 
-PACK = 400_000  # links of a pack, but for a single longer document
+PACK = 200_000  # links of a pack, but for a single longer document
 CACHE = 200_000  # pieces and units remembered by each tokenizer, half as many as where one works alone
 SLICE = 1 << 18  # bytes whose products are formed at a time
 
@@ -190,13 +190,14 @@ _PER_DOCUMENT = ["n_a", "n_b", "n_groups", "n_links"]
 
 def packs(docs: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame:
     """Rows of about ``PACK`` links: pack, arrays of one element per document (doc_id, counts, digest), and the links' ids
-    (links_a, links_b: little-endian uint32) in the documents' order."""
+    (links_a, links_b: little-endian, ``width`` bytes each) in the documents' order."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         own, base, k = aligner(byte_vocabulary, piece_model), TaskContext.get().partitionId() << 32, 0
         ids, tokens, held = [], [], 0
+        width = 2 if max(own.a_size, own.b_size) <= 1 << 16 else 4
 
         def row():
             made = own.align(tokens)
@@ -204,7 +205,8 @@ def packs(docs: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame:
                 "pack": pa.array([base + k], pa.int64()), "doc_id": pa.array([ids], pa.list_(pa.int64())),
                 **{c: pa.array([made[c]], pa.list_(pa.int64())) for c in _PER_DOCUMENT},
                 "groups_sha256": pa.array([made["groups_sha256"]], pa.list_(pa.string())),
-                **{c: pa.array([made[c].astype("<u4").tobytes()], pa.binary()) for c in ("links_a", "links_b")}})
+                "width": pa.array([width], pa.int32()),
+                **{c: pa.array([made[c].astype(f"<u{width}").tobytes()], pa.binary()) for c in ("links_a", "links_b")}})
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 100):
@@ -221,11 +223,11 @@ def packs(docs: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame:
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return plain.mapInArrow(run, "pack long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
-                                 "n_links array<long>, groups_sha256 array<string>, links_a binary, links_b binary")
+                                 "n_links array<long>, groups_sha256 array<string>, width int, links_a binary, links_b binary")
 
 
-def _keys(a: bytes, b: bytes) -> np.ndarray:
-    return np.frombuffer(a, "<u4").astype(np.int64) << 32 | np.frombuffer(b, "<u4")
+def _keys(width: int, a: bytes, b: bytes) -> np.ndarray:
+    return np.frombuffer(a, f"<u{width}").astype(np.int64) << 32 | np.frombuffer(b, f"<u{width}")
 
 
 def pack_pairs(packed: DataFrame) -> DataFrame:
@@ -233,13 +235,13 @@ def pack_pairs(packed: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pack, a, b in zip(*(batch.column(c) for c in range(3)), strict=True):
-                key, n = np.unique(_keys(a.as_py(), b.as_py()), return_counts=True)
+            for pack, *links in zip(*(batch.column(c) for c in range(4)), strict=True):
+                key, n = np.unique(_keys(*(x.as_py() for x in links)), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(key), pack.as_py())), pa.array((key >> 32).astype(np.int32)),
                      pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], ["pack", "a", "b", "n"])
 
-    return packed.select("pack", "links_a", "links_b").mapInArrow(run, "pack long, a int, b int, n long")
+    return packed.select("pack", "width", "links_a", "links_b").mapInArrow(run, "pack long, a int, b int, n long")
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
@@ -254,7 +256,7 @@ def _scored(pack: pa.Table, counts: pa.Table) -> pa.Table:
     row = pack.slice(0, 1).to_pylist()[0]
     key = counts["a"].to_numpy().astype(np.int64) << 32 | counts["b"].to_numpy().astype(np.int64)
     order = np.argsort(key)
-    at = order[np.searchsorted(key[order], _keys(row["links_a"], row["links_b"]))]
+    at = order[np.searchsorted(key[order], _keys(row["width"], row["links_a"], row["links_b"]))]
     ends = np.cumsum(row["n_links"])
     starts = ends - row["n_links"]
     sums = [np.append(0, np.cumsum(counts[c].to_numpy().astype(np.int64)[at])) for c in ("best", "links")]
