@@ -3,12 +3,12 @@
 Spark has no isolation forest, so it is composed from DataFrame steps:
 
 1. Sampling without a driver round trip: for tree ``t`` a row joins the
-   candidate set when ``hash(key, t, seed)`` falls under a threshold giving
+   candidate set when its draw (see below) falls under a threshold giving
    about 1.5 x psi rows per tree; the trees a row belongs to are computed as
    one array expression per row and exploded.  The sample depends on the
    keys only, never on partitioning or retries.
 2. ``groupBy(tree_id).applyInPandas`` builds each tree from the psi
-   lowest-hash candidates.  A group holds about 1.5 x psi rows: a bound set
+   lowest-draw candidates.  A group holds about 1.5 x psi rows: a bound set
    by the parameters, not by the data.
 3. The node table (tree_id, node_id, feature, threshold, left, right, size,
    depth) *is* the model; it has at most T x (2 psi - 1) rows, so it is
@@ -18,12 +18,27 @@ Spark has no isolation forest, so it is composed from DataFrame steps:
 5. The decision offset is the exact ``contamination`` quantile of the
    training scores (distributed quantile, no single-task collect).
 
+Every random choice is an integer taken from an MD5 digest, so any engine
+with MD5 and 64-bit integers can replay the forest:
+
+* a key's base ``b`` is ``word(key as text, 0) mod P`` with P = 2^31 - 1; its
+  draw in tree ``t`` is ``(b * (1 + word("seed:t", 0) mod (P - 1)) +
+  word("seed:t", 1)) mod P``, ties to the smaller key as text;
+* node ``i`` (children 2i + 1 and 2i + 2) of tree ``t`` splits the feature at
+  place ``word("seed:t:i", 0) mod m`` among the m that vary in it, at
+  ``lo + (hi - lo) * word("seed:t:i", 1) / 2^32``;
+* ``word(x, k)`` is the k-th group of eight hex digits of MD5(x).
+
+Leaf lengths count in whole billionths, so a row's sum over the trees is exact
+in any order and equal rows get equal scores.
+
 The result is not bit-identical to scikit-learn (different random draws);
-the tests check the model's invariants instead.
+the registered queries are compared with the same forest in SQL.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 
@@ -54,10 +69,22 @@ def average_path_length(n: np.ndarray | float) -> np.ndarray:
     return out
 
 
-def _uniform(key, t, seed: int):
-    """Deterministic U[0,1) per (key, tree, seed) from a 64-bit hash."""
-    h = F.xxhash64(key, t, F.lit(seed))
-    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(2 ** 53))
+PRIME = 2 ** 31 - 1
+LENGTH_UNITS = 10 ** 9
+
+
+def _word(text: str, k: int) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest()[8 * k:8 * k + 8], 16)
+
+
+def _base(key):
+    """A key's place in [0, P), from its text."""
+    return F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(PRIME))
+
+
+def _draw(base, factor, shift):
+    """Deterministic integer in [0, P) per (key, tree); factors below 2^31 keep the product within a LONG."""
+    return F.pmod(base * factor + shift, F.lit(PRIME))
 
 
 def _builder(features: list[str], psi: int, max_depth: int, seed: int):
@@ -65,26 +92,24 @@ def _builder(features: list[str], psi: int, max_depth: int, seed: int):
         tree = int(pdf["tree_id"].iloc[0])
         pdf = pdf.sort_values(["_u", "_key"], kind="mergesort").head(psi)
         x = pdf[features].to_numpy(dtype="float64")
-        rng = np.random.default_rng([seed, tree])
         rows = []
         stack = [(0, np.arange(len(x)), 0)]
-        next_id = 1
         while stack:
             node, idx, depth = stack.pop()
             sub = x[idx]
-            lo, hi = sub.min(axis=0), sub.max(axis=0)
-            usable = np.flatnonzero(hi > lo)
-            if depth >= max_depth or len(idx) <= 1 or usable.size == 0:
+            split = depth < max_depth and len(idx) > 1
+            usable = np.flatnonzero(sub.max(axis=0) > sub.min(axis=0)) if split else ()
+            if len(usable) == 0:
                 rows.append((tree, node, -1, 0.0, -1, -1, len(idx), depth))
                 continue
-            f = int(usable[rng.integers(usable.size)])
-            thr = float(rng.uniform(lo[f], hi[f]))
+            name = f"{seed}:{tree}:{node}"
+            f = int(usable[_word(name, 0) % len(usable)])
+            lo, hi = sub[:, f].min(), sub[:, f].max()
+            thr = float(lo + (hi - lo) * (_word(name, 1) / 2.0 ** 32))
             go_left = sub[:, f] < thr
-            left, right = next_id, next_id + 1
-            next_id += 2
+            left, right = 2 * node + 1, 2 * node + 2
             rows.append((tree, node, f, thr, left, right, len(idx), depth))
-            stack.append((right, idx[~go_left], depth + 1))
-            stack.append((left, idx[go_left], depth + 1))
+            stack += [(right, idx[~go_left], depth + 1), (left, idx[go_left], depth + 1)]
         return pd.DataFrame(rows, columns=["tree_id", "node_id", "feature", "threshold", "left", "right", "size",
                                            "depth"])
 
@@ -113,13 +138,14 @@ class IsolationForestModel:
             thr = np.zeros((t, width))
             left = np.zeros((t, width), dtype="int64")
             right = np.zeros((t, width), dtype="int64")
-            leaf = np.zeros((t, width))
+            leaf = np.zeros((t, width), dtype="int64")
             ti, ni = nd["tree_id"].to_numpy(), nd["node_id"].to_numpy()
             feat[ti, ni] = nd["feature"].to_numpy()
             thr[ti, ni] = nd["threshold"].to_numpy()
             left[ti, ni] = nd["left"].to_numpy()
             right[ti, ni] = nd["right"].to_numpy()
-            leaf[ti, ni] = nd["depth"].to_numpy() + average_path_length(nd["size"].to_numpy())
+            rest = average_path_length(nd["size"].to_numpy())
+            leaf[ti, ni] = nd["depth"].to_numpy().astype("int64") * LENGTH_UNITS + np.rint(rest * LENGTH_UNITS).astype("int64")
             depth = int(nd["depth"].max())
             self._arrays = (feat, thr, left, right, leaf, depth)
         return self._arrays
@@ -135,7 +161,7 @@ class IsolationForestModel:
                 x = pdf[features].to_numpy(dtype="float64", na_value=np.nan)
                 x = np.where(np.isnan(x), means, x)
                 m = len(x)
-                total = np.zeros(m)
+                total = np.zeros(m, dtype="int64")
                 rows = np.arange(m)
                 for k in range(t):
                     node = np.zeros(m, dtype="int64")
@@ -148,7 +174,7 @@ class IsolationForestModel:
                         nxt = np.where(val < thr[k, node], left[k, node], right[k, node])
                         node = np.where(inner, nxt, node)
                     total += leaf[k, node]
-                depth_mean = total / t
+                depth_mean = total / (float(LENGTH_UNITS) * t)
                 pdf = pdf.copy()
                 pdf["score"] = -np.power(2.0, -depth_mean / cpsi) if cpsi > 0 else -np.ones(m)
                 yield pdf
@@ -215,11 +241,17 @@ class IsolationForest:
         max_depth = int(math.ceil(math.log2(max(psi, 2))))
         # expected candidates per tree: 1.5 psi + 10 standard deviations of slack
         p = min(1.0, (1.5 * psi + 10.0 * math.sqrt(psi)) / n)
-        trees = F.filter(F.sequence(F.lit(0), F.lit(self.num_trees - 1)),
-                         lambda t: _uniform(F.col(key), t, self.seed) < F.lit(p))
+        names = [f"{self.seed}:{t}" for t in range(self.num_trees)]
+        factors = F.array(*[F.lit(1 + _word(x, 0) % (PRIME - 1)).cast("long") for x in names])
+        shifts = F.array(*[F.lit(_word(x, 1)).cast("long") for x in names])
+
+        def draws(base):
+            return F.transform(factors, lambda f, t: F.struct(t.alias("tree_id"), _draw(base, f, F.get(shifts, t)).alias("_u")))
+
         filled = x.select(key, *[F.coalesce(F.col(c), F.lit(m)).alias(c) for c, m in zip(features, means)])
-        cand = filled.select("*", F.explode(trees).alias("tree_id")).withColumn(
-            "_u", _uniform(F.col(key), F.col("tree_id"), self.seed)).withColumn("_key", F.col(key).cast("string"))
+        in_trees = F.filter(draws(F.col("_base")), lambda d: d["_u"] < F.lit(int(math.ceil(p * PRIME))))
+        cand = filled.withColumn("_base", _base(key)).withColumn("_key", F.col(key).cast("string")).select(
+            "*", F.inline(in_trees)).drop("_base")
         nodes = cand.groupBy("tree_id").applyInPandas(_builder(features, psi, max_depth, self.seed), NODE_SCHEMA)
         nodes_pd = nodes.toPandas()  # bounded: <= num_trees x (2 psi - 1) rows
         model = IsolationForestModel(nodes_pd, list(features), means, psi, self.num_trees,

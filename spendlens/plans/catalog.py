@@ -3,8 +3,8 @@
 Every query reads the driver tables at ``sf_dir`` through the adapters in
 ``spendlens.sources.adapters`` and runs the library operator over the whole
 tables.  ``ORACLE[name]`` is the equivalent DuckDB SQL; operators that SQL
-cannot express (isolation forest, PCA, k-means) register no SQL and are
-checked by invariants in the tests instead.
+cannot express (PCA, k-means and other clusterings) register no SQL; what must
+hold of any right fit is registered beside them with SQL.
 
 Floating outputs that two engines legitimately round differently (standard
 deviations, medians, correlations, densities) are rounded to fixed decimals
@@ -901,15 +901,22 @@ def q_bisecting_clusters(spark, d):
 
 
 def anomaly_frame(spark, d) -> DataFrame:
+    """Features rounded to millionths: engines differ in the last bits of a deviation, and a tie must be one everywhere."""
     ua, cols = _user_features(spark, d)
     est = IF.IsolationForest(num_trees=200, sample_size=256, contamination=0.02, seed=42)
-    return est.fit_transform(ua, cols, "user_id", keep=["amount_mean"])[1]
+    return est.fit_transform(rounded(ua, {c: 6 for c in cols}), cols, "user_id", keep=["amount_mean"])[1]
 
 
-@register("anomaly_scores")
+def _forest_sql(body: str) -> str:
+    cols = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in ML.DEFAULT_FEATURES)
+    shaped = {"ua": f"SELECT user_id, {cols} FROM ({_enriched_body(False)})"}
+    return O.with_(["txn", "users", "cards"], body, shaped | O.forest("ua", "user_id", "amount_mean", ML.DEFAULT_FEATURES, 200, 256, 0.02, 42))
+
+
+@register("anomaly_scores", _forest_sql("SELECT user_id, round(anomaly_score, 9) AS anomaly_score, anomaly FROM labelled"))
 def q_anomaly_scores(spark, d):
     """M2, M3: isolation-forest decision score and label per user."""
-    return anomaly_frame(spark, d).select("user_id", "anomaly_score", "anomaly")
+    return rounded(anomaly_frame(spark, d).select("user_id", "anomaly_score", "anomaly"), {"anomaly_score": 9})
 
 
 @register("anomaly_summary")
@@ -918,28 +925,39 @@ def q_anomaly_summary(spark, d):
     return IF.anomaly_summary(anomaly_frame(spark, d))
 
 
-@register("anomaly_amount_by_label")
+@register("anomaly_amount_by_label", _forest_sql("SELECT label, " + ", ".join(
+    f"round(quantile_cont(amount_mean, {q / 100}), 6) AS q{q}" for q in (0, 25, 50, 75, 100)) + " FROM labelled GROUP BY label"))
 def q_anomaly_amount_by_label(spark, d):
     """Quartiles of the mean amount per anomaly label (violin body in kde form elsewhere)."""
     a = anomaly_frame(spark, d).withColumn("label", C.anomaly_label("anomaly"))
-    return ST.describe_by(a, "amount_mean", "label")
+    return rounded(ST.describe_by(a, "amount_mean", "label"), {f"q{q}": 6 for q in (0, 25, 50, 75, 100)})
 
 
-@register("anomaly_histogram")
+@register("anomaly_histogram", _forest_sql("SELECT bin, round(lo, 9) AS lo, round(hi, 9) AS hi, frequency FROM " + _hist_sql(
+    "labelled", "anomaly_score", 60)))
 def q_anomaly_histogram(spark, d):
     """60-bin histogram of the decision scores."""
-    return ST.histogram(anomaly_frame(spark, d), "anomaly_score", 60)
-
-
-@register("anomaly_amount_density")
+    return rounded(ST.histogram(anomaly_frame(spark, d), "anomaly_score", 60), {"lo": 9, "hi": 9})
+
+
+@register("anomaly_amount_density", _forest_sql("""
+SELECT g.label, g.point, round(g.x, 6) AS x,
+       round(sum(exp(-0.5 * ((g.x - v.amount_mean) / g.bw) * ((g.x - v.amount_mean) / g.bw))) / (g.n * g.bw * sqrt(2 * pi())), 10) AS density
+FROM (SELECT label, n, bw, CAST(p.range AS INT) AS point,
+             CASE WHEN p.range = 99 THEN mx + bw * 2.0
+                  ELSE CAST(p.range AS DOUBLE) * ((mx + bw * 2.0 - (mn - bw * 2.0)) / 99.0) + (mn - bw * 2.0) END AS x
+      FROM (SELECT label, count(*) AS n, min(amount_mean) AS mn, max(amount_mean) AS mx,
+                   stddev_samp(amount_mean) * pow(CAST(count(*) AS DOUBLE), -0.2) AS bw FROM labelled GROUP BY label) k, range(100) p
+      WHERE bw > 0) g JOIN labelled v ON g.label = v.label
+GROUP BY g.label, g.point, g.x, g.n, g.bw"""))
 def q_anomaly_amount_density(spark, d):
     """G34 (violin body): density of the mean amount per anomaly label (violin KDE: 100 points, cut 2)."""
     a = anomaly_frame(spark, d).withColumn("label", C.anomaly_label("anomaly"))
-    return ST.kde(a, "amount_mean", "label", grid=100, cut=2.0)
+    return rounded(ST.kde(a, "amount_mean", "label", grid=100, cut=2.0), {"x": 6, "density": 10})
 
 
 # ---------------------------------------------------------------- invariants of the fitted models
-# A forest, components and clusters have no SQL form; what must hold of any right fit does.
+# Components and clusters have no SQL form; what must hold of any right fit does.
 
 def _facts(*parts: DataFrame) -> DataFrame:
     out = parts[0]

@@ -80,3 +80,52 @@ def with_(names: list[str], body: str, extra: dict[str, str] | None = None) -> s
     for k, v in (extra or {}).items():
         parts.append(f"{k} AS ({v}\n)")
     return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+# ---------------------------------------------------------------- isolation forest
+
+def _word(text: str, k: int) -> str:
+    return f"CAST(concat('0x', substr(md5({text}), {1 + 8 * k}, 8)) AS BIGINT)"
+
+
+def _path(n: str) -> str:
+    return f"(CASE WHEN {n} = 2 THEN 1.0 WHEN {n} > 2 THEN 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1) / CAST({n} AS DOUBLE) ELSE 0.0 END)"
+
+
+def forest(src: str, key: str, keep: str, features: list[str], trees: int, psi: int, contamination: float, seed: int) -> dict[str, str]:
+    """CTEs that build and score the forest of ``operators.iforest`` over ``src``; the last is ``labelled``
+    (key, keep, anomaly_score, anomaly).  Levels are unrolled: psi bounds the depth."""
+    prime, k = 2 ** 31 - 1, len(features)
+    depth = max(1, (psi - 1).bit_length())
+    cte = {
+        "fx": f"SELECT {key}, {keep}, [{', '.join(f'CAST(coalesce({c}, avg({c}) OVER ()) AS DOUBLE)' for c in features)}] AS x FROM {src}",
+        "fsize": f"SELECT least({psi}, count(*)) AS psi, greatest(1, ceil(log2(least({psi}, count(*))))) AS depth FROM fx",
+        "ftree": f"SELECT range AS t, 1 + {_word(f'concat({seed}, chr(58), range)', 0)} % {prime - 1} AS factor, "
+                 f"{_word(f'concat({seed}, chr(58), range)', 1)} AS shift FROM range({trees})",
+        "fbase": f"SELECT *, CAST({key} AS VARCHAR) AS k, {_word(f'CAST({key} AS VARCHAR)', 0)} % {prime} AS base FROM fx",
+        "fs0": f"""SELECT t, x, CAST(0 AS BIGINT) AS node FROM (SELECT t, x,
+       row_number() OVER (PARTITION BY t ORDER BY (base * factor + shift) % {prime}, k) AS place FROM fbase, ftree)
+WHERE place <= (SELECT psi FROM fsize)""",
+    }
+    for d in range(depth + 1):
+        cte[f"fn{d}"] = f"""SELECT t, node, n,
+       CASE WHEN n > 1 AND {d} < (SELECT depth FROM fsize) AND len(ok) > 0 THEN ok[1 + {_word(f"concat({seed}, chr(58), t, chr(58), node)", 0)} % len(ok)] END AS f,
+       {_word(f"concat({seed}, chr(58), t, chr(58), node)", 1)} / 4294967296.0::DOUBLE AS u, lo, hi
+FROM (SELECT *, [i FOR i IN range(1, {k + 1}) IF hi[i] > lo[i]] AS ok FROM (
+      SELECT t, node, count(*) AS n, [{', '.join(f'min(x[{i}])' for i in range(1, k + 1))}] AS lo,
+             [{', '.join(f'max(x[{i}])' for i in range(1, k + 1))}] AS hi FROM fs{d} GROUP BY t, node))"""
+        if d < depth:
+            cte[f"fs{d + 1}"] = f"""SELECT s.t, s.x, 2 * s.node + CASE WHEN s.x[f] < lo[f] + (hi[f] - lo[f]) * u THEN 1 ELSE 2 END AS node
+FROM fs{d} s JOIN fn{d} n ON s.t = n.t AND s.node = n.node WHERE f IS NOT NULL"""
+    cte["fnodes"] = "\nUNION ALL ".join(f"SELECT t, node, n, f, lo[f] + (hi[f] - lo[f]) * u AS threshold FROM fn{d}" for d in range(depth + 1))
+    cte["fw0"] = f"SELECT {key}, x, t, CAST(0 AS BIGINT) AS node FROM fx, ftree"
+    for d in range(depth):
+        cte[f"fw{d + 1}"] = f"""SELECT w.{key}, w.x, w.t, CASE WHEN n.f IS NULL THEN w.node WHEN w.x[n.f] < n.threshold THEN 2 * w.node + 1 ELSE 2 * w.node + 2 END AS node
+FROM fw{d} w LEFT JOIN fnodes n ON w.t = n.t AND w.node = n.node"""
+    cte["fscore"] = f"""SELECT {key}, -pow(2.0, -(total / (1000000000.0::DOUBLE * {trees})) / (SELECT {_path('psi')} FROM fsize)) AS score
+FROM (SELECT w.{key}, CAST(sum(CAST(floor(log2(w.node + 1)) AS BIGINT) * 1000000000 + CAST(round({_path('coalesce(n.n, 0)')} * 1000000000) AS BIGINT)) AS DOUBLE) AS total
+      FROM fw{depth} w LEFT JOIN fnodes n ON w.t = n.t AND w.node = n.node GROUP BY w.{key})"""
+    cte["labelled"] = f"""SELECT fx.{key}, fx.{keep}, score - edge AS anomaly_score, CASE WHEN score - edge < 0 THEN -1 ELSE 1 END AS anomaly,
+       CASE WHEN score - edge < 0 THEN 'Anomaly' ELSE 'Normal' END AS label
+FROM fscore JOIN fx ON fscore.{key} = fx.{key}, (SELECT quantile_cont(score, {contamination}) AS edge FROM fscore)"""
+    return cte

@@ -60,3 +60,33 @@ def test_nan_features_are_imputed(spark):
     df = data(spark, 200, 0).withColumn("b", F.when(F.col("id") == 7, float("nan")).otherwise(F.col("b")))
     _, out = IsolationForest(20, 64, 0.02, 3).fit_transform(df, ["a", "b", "c"], "id")
     assert out.where("anomaly_score IS NULL OR isnan(anomaly_score)").count() == 0
+
+
+def test_equal_rows_score_alike_and_text_keys_work(spark):
+    df = data(spark, 200, 4).select(F.format_string("k%03d", "id").alias("id"), "a", "b", F.lit(1.0).alias("c"))
+    twins = df.where("id = 'k007'").select(F.lit("twin").alias("id"), "a", "b", "c")
+    _, out = IsolationForest(20, 64, 0.02, 3).fit_transform(df.unionByName(twins), ["a", "b", "c"], "id")
+    assert out.where("id IN ('k007', 'twin')").select("anomaly_score").distinct().count() == 1
+    assert out.count() == 201
+
+
+def test_constant_features_give_one_leaf_per_tree(spark):
+    df = spark.range(50).select("id", F.lit(2.0).alias("a"))
+    m, out = IsolationForest(5, 16, 0.1, 3).fit_transform(df, ["a"], "id")
+    assert len(m.nodes) == 5 and set(m.nodes["size"]) == {16}
+    assert {r.anomaly for r in out.collect()} == {1}
+
+
+def test_scores_follow_the_nodes_walked_one_by_one(spark):
+    df = data(spark, 300, 6)
+    m, out = IsolationForest(30, 32, 0.02, 5).fit_transform(df, ["a", "b", "c"], "id")
+    nodes = {(r.tree_id, r.node_id): r for r in m.nodes.itertuples()}
+    for row in out.where("id % 40 = 0").collect():
+        total = 0.0
+        for t in range(30):
+            n = nodes[t, 0]
+            while n.feature >= 0:
+                n = nodes[t, n.left if row["abc"[n.feature]] < n.threshold else n.right]
+            total += n.depth + float(average_path_length(np.array([n.size]))[0])
+        score = -2.0 ** (-total / 30 / float(average_path_length(np.array([32]))[0]))
+        assert row.anomaly_score == pytest.approx(score - m.offset, abs=1e-8)
