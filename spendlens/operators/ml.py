@@ -189,3 +189,75 @@ def label_join(txn: DataFrame, labels: DataFrame, txn_key: str = "transaction_id
     """
     lab = labels.select(F.col(label_key).alias("_lid"), F.col("fraud"))
     return txn.join(lab, F.col(txn_key) == F.col("_lid"), how).drop("_lid")
+
+
+# ---------------------------------------------------------------- J7, C4: training sets and dictionaries
+
+RANK_BUCKETS = 4096
+
+
+def spread_rank(df: DataFrame, by: list[str], text: str, out: str = "_rank", buckets: int = RANK_BUCKETS) -> DataFrame:
+    """Adds the place (from 0) of each row of unique (``by``, ``text``) within ``by``, in the order of (bucket, text), where the
+    bucket is the first eight hex digits of the text's MD5 modulo ``buckets``.
+
+    No group is sorted in one task, however large: each (``by``, bucket) is numbered on its own, after the rows of the buckets
+    before it, of which at most ``buckets`` counts per group are added up.
+    """
+    bucket = F.pmod(F.conv(F.substring(F.md5(F.col(text)), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+    rows = df.withColumn("_bucket", bucket)
+    sizes = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*by, "_bucket", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(text)) - 1
+    return rows.withColumn("_place", place).join(starts, [*by, "_bucket"]).withColumn(
+        out, F.col("_start") + F.col("_place")).drop("_bucket", "_start", "_place")
+
+
+def training_set(df: DataFrame, key: str, label: str, features: list[str], folds: int = 5, buckets: int = RANK_BUCKETS) -> DataFrame:
+    """Labelled rows as (key, y, fold, features), folds drawn per class by a hash of the key.
+
+    Every class has the same number of keys in each fold, give or take one, and reruns give the same folds.  Rows of a repeated
+    key share its fold, whatever their labels (the key counts for its greatest), so nothing leaks between folds.  Rows without a
+    key or a label are left out; features become DOUBLE, missing ones stay NULL for an imputation fitted on the training folds.
+    """
+    if folds < 2:
+        raise ValueError("folds must be 2 or more")
+    rows = df.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(
+        key, F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(c) for c in features])
+    keys = rows.groupBy(key).agg(F.max("y").alias("_class")).withColumn("_text", F.col(key).cast("string"))
+    drawn = spread_rank(keys, ["_class"], "_text", buckets=buckets).select(
+        key, F.pmod("_rank", F.lit(folds)).cast("int").alias("fold"))
+    return rows.join(drawn, key).select(key, "y", "fold", *features)
+
+
+#: Codes that no value of a dictionary has.
+NULL_CODE, UNSEEN_CODE, FIRST_CODE = 0, 1, 2
+
+
+def fit_dictionary(df: DataFrame, cols: list[str], min_count: int = 1, buckets: int = RANK_BUCKETS) -> DataFrame:
+    """C4: the values of text columns and their codes: (column, value, n, code), codes from 2 on by falling number of rows, then by
+    a hash of the value.  0 stands for NULL and 1 for values the dictionary does not hold, such as those in fewer than
+    ``min_count`` rows.
+
+    One scan counts all columns.  Values of equal frequency are numbered by ``spread_rank``, as most values of a long-tailed
+    column may occur once; only the frequencies themselves (few) are ordered per column.
+    """
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("_p"))
+    counts = pairs.select("_p.*").where("value IS NOT NULL").groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
+    more = F.sum("_values").over(Window.partitionBy("column").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.groupBy("column", "n").agg(F.count(F.lit(1)).alias("_values")).select(
+        "column", "n", F.coalesce(more, F.lit(0)).alias("_first"))
+    ranked = spread_rank(counts, ["column", "n"], "value", buckets=buckets).join(starts, ["column", "n"])
+    return ranked.select("column", "value", "n", (F.col("_first") + F.col("_rank") + FIRST_CODE).cast("long").alias("code"))
+
+
+def encode(df: DataFrame, dictionary: DataFrame, cols: list[str]) -> DataFrame:
+    """Adds ``<column>_code`` for each of ``cols`` by a fitted dictionary; Spark's size statistics choose the joins."""
+    out = df
+    for c in cols:
+        codes = dictionary.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+        out = out.join(codes, F.col(c).cast("string") == F.col("_value"), "left").withColumn(
+            f"{c}_code", F.when(F.col(c).isNull(), F.lit(NULL_CODE)).otherwise(F.coalesce("_code", F.lit(UNSEEN_CODE))).cast("long")
+        ).drop("_value", "_code")
+    return out

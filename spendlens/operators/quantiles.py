@@ -15,7 +15,11 @@ DataFrame steps:
   wanted ranks (one row per group); values below a bracket become one row that
   carries their number, values above it go, and only what lies inside - some
   0.02 % of a large group - is ranked, as distinct values with counts.  Two scans, and no
-  work that depends on the number of shuffle partitions.
+  work that depends on the number of shuffle partitions.  Every bracket is verified: a wanted
+  rank that falls outside it finds no value among the ranked ones, and then the job ends with
+  an error that names ``margin``, so no missing or wrong quantile passes.  (A second, wider
+  try inside the plan would cost every run a further scan; the margin is five times the
+  sketch's bound.)
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import types as T
 _C, _END, _N, _LOW = "_q_cnt", "_q_end", "_q_n", "_q_low"
 # A sketch of this accuracy is off by n / ACCURACY ranks at most; brackets reach MARGIN on either
 # side, which also covers the rounding of ranks once a group has WHOLE values.  Smaller groups
-# are ranked whole.
+# are ranked whole.  Merged sketches may be off by more, which the verification finds.
 ACCURACY, MARGIN, WHOLE = 50_000, 1e-4, 20_000
 
 
@@ -49,32 +53,36 @@ def _pick(q: float, value: str, i: int = 0) -> list:
         F.max(F.when((start <= lo) & (lo < F.col(_END)), v)).alias(f"_q_lo{i}"),
         F.max(F.when((start <= hi) & (hi < F.col(_END)), v)).alias(f"_q_hi{i}"),
         F.max(pos - lo).alias(f"_q_frac{i}"),
+        F.max(F.col(_N)).alias(f"_q_rows{i}"),
     ]
 
 
 def _interp(out: str, i: int = 0):
     lo, hi, frac = F.col(f"_q_lo{i}"), F.col(f"_q_hi{i}"), F.col(f"_q_frac{i}")
-    return (lo + (hi - lo) * frac).alias(out)
+    missed = (F.col(f"_q_rows{i}") > 0) & (lo.isNull() | hi.isNull())
+    error = F.raise_error(F.lit(f"{out}: its rank lies outside the sketched bracket; pass a larger margin")).cast("double")
+    return F.when(missed, error).otherwise(lo + (hi - lo) * frac).alias(out)
 
 
 def exact_quantile(df: DataFrame, value: str, q: float, keys: list[str] | tuple = (), out: str = "quantile",
-                   dedupe: bool = True, split: bool = False) -> DataFrame:
+                   dedupe: bool = True, split: bool = False, margin: float = MARGIN) -> DataFrame:
     """Exact ``q``-quantile of ``value`` per ``keys`` (one row per group; one row overall if no keys).
 
     Nulls/NaN are ignored; an empty input gives NULL (global) or no row (grouped).
     ``dedupe`` first counts repeated values (money: many repeats); pass False for
     continuous values, where the pre-count would only add a shuffle.
     ``split`` (grouped case) brackets the wanted rank of every group before ranking, so
-    that a group holding a large share of all rows is not ranked whole in one task.
+    that a group holding a large share of all rows is not ranked whole in one task;
+    ``margin`` is the share of the rows that a bracket reaches to either side of the rank.
     """
-    return exact_quantiles(df, value, [q], keys, [out], split, dedupe)
+    return exact_quantiles(df, value, [q], keys, [out], split, dedupe, margin)
 
 
-def _narrowed(rows: DataFrame, value: str, q: float, keys: list[str]) -> DataFrame:
+def _narrowed(rows: DataFrame, value: str, q: float, keys: list[str], margin: float = MARGIN) -> DataFrame:
     """Rows (keys, value, ``_q_cnt``) of which only the bracket of rank ``q`` is left, with ``_q_n``."""
     about = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_b_rows"),
-        F.percentile_approx(F.col(value), [max(0.0, q - MARGIN), min(1.0, q + MARGIN)], ACCURACY).alias("_b"))
+        F.percentile_approx(F.col(value), [max(0.0, q - margin), min(1.0, q + margin)], ACCURACY).alias("_b"))
     about = about.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col("_b_rows").alias(_N),
                          F.when(F.col("_b_rows") > WHOLE, F.col("_b")[0]).alias("_b_lo"),
                          F.when(F.col("_b_rows") > WHOLE, F.col("_b")[1]).alias("_b_hi"))
@@ -92,8 +100,9 @@ def _narrowed(rows: DataFrame, value: str, q: float, keys: list[str]) -> DataFra
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys: list[str] | tuple = (),
-                    names: list[str] | None = None, split: bool = False, dedupe: bool = True) -> DataFrame:
-    """Several exact quantiles per group; ``split`` as in ``exact_quantile``."""
+                    names: list[str] | None = None, split: bool = False, dedupe: bool = True,
+                    margin: float = MARGIN) -> DataFrame:
+    """Several exact quantiles per group; ``split`` and ``margin`` as in ``exact_quantile``."""
     if any(not 0.0 <= q <= 1.0 for q in qs):
         raise ValueError("q must be in [0, 1]")
     keys = list(keys)
@@ -111,7 +120,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys: list[str]
         return ranked.groupBy(*keys).agg(*aggs).select(*keys, *[_interp(n, i) for i, n in enumerate(names)])
     out = None
     for i, (q, name) in enumerate(zip(qs, names, strict=True)):
-        rows = _narrowed(clean, value, q, keys)
+        rows = _narrowed(clean, value, q, keys, margin)
         w_run = Window.partitionBy(*keys).orderBy(F.col(_LOW).desc(), value).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         one = rows.withColumn(_END, F.sum(_C).over(w_run)).groupBy(*keys).agg(*_pick(q, value, i)).select(

@@ -828,6 +828,49 @@ def q_label_join(spark, d):
     return ML.label_join(t, AD.labels_in(spark, d), txn_key="card_id")
 
 
+FOLD_COLS = ["amount_usd", "mcc"]
+
+
+def _hash_order(text: str) -> str:
+    return f"CAST(concat('0x', substr(md5({text}), 1, 8)) AS BIGINT) % {ML.RANK_BUCKETS}, {text}"
+
+
+@register("training_set", O.with_(["txn", "labels_in"], f"""
+, j AS (SELECT t.transaction_id, t.amount_usd, t.mcc, l.fraud::INT AS y FROM txn t JOIN labels_in l ON t.card_id = l.id WHERE l.fraud IS NOT NULL),
+k AS (SELECT transaction_id, CAST(transaction_id AS VARCHAR) AS k, max(y) AS y FROM j GROUP BY transaction_id),
+f AS (SELECT transaction_id, CAST((row_number() OVER (PARTITION BY y ORDER BY {_hash_order('k')}) - 1) % 5 AS INT) AS fold FROM k)
+SELECT j.transaction_id, j.y, f.fold, CAST(j.amount_usd AS DOUBLE) AS amount_usd, CAST(j.mcc AS DOUBLE) AS mcc
+FROM j JOIN f ON j.transaction_id = f.transaction_id""").replace(")\n, j AS", "),\nj AS", 1))
+def q_training_set(spark, d):
+    """Labelled transactions in five folds, stratified by label."""
+    t = AD.txn(spark, d, ["transaction_id", "card_id", *FOLD_COLS])
+    return ML.training_set(ML.label_join(t, AD.labels_in(spark, d), txn_key="card_id"), "transaction_id", "fraud", FOLD_COLS)
+
+
+DICTIONARY_COLS = ["merchant_city", "merchant_state", "errors", "merchant_id"]
+_DICTIONARY_BODY = "\nUNION ALL ".join(
+    f"""SELECT '{c}' AS "column", v AS value, n, 1 + row_number() OVER (ORDER BY n DESC, {_hash_order('v')}) AS code
+FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM txn WHERE {c} IS NOT NULL%s GROUP BY ALL)""" for c in DICTIONARY_COLS)
+
+
+@register("category_dictionary", O.with_(["txn"], _DICTIONARY_BODY.replace("%s", "")))
+def q_category_dictionary(spark, d):
+    """C4: frequency-ordered codes of the categorical columns."""
+    return ML.fit_dictionary(AD.txn(spark, d, DICTIONARY_COLS), DICTIONARY_COLS)
+
+
+@register("encoded_transactions", O.with_(["txn"], ", dict AS (" + _DICTIONARY_BODY.replace("%s", " AND date < DATE '1992-02-01'") + """)
+SELECT t.transaction_id, """ + ", ".join(f"CASE WHEN t.{c} IS NULL THEN 0 ELSE coalesce(d{i}.code, 1) END AS {c}_code"
+                                      for i, c in enumerate(DICTIONARY_COLS)) + "\nFROM txn t " + " ".join(
+    f"LEFT JOIN dict d{i} ON d{i}.\"column\" = '{c}' AND d{i}.value = CAST(t.{c} AS VARCHAR)" for i, c in enumerate(DICTIONARY_COLS))).replace(
+    ")\n, dict AS", "),\ndict AS", 1))
+def q_encoded_transactions(spark, d):
+    """C4: all transactions encoded with the dictionary of the first month; later values are unseen."""
+    t = AD.txn(spark, d, ["transaction_id", "date", *DICTIONARY_COLS])
+    fitted = materialize(ML.fit_dictionary(t.where(F.col("date") < F.lit("1992-02-01").cast("date")), DICTIONARY_COLS))
+    return ML.encode(t, fitted, DICTIONARY_COLS).select("transaction_id", *[f"{c}_code" for c in DICTIONARY_COLS])
+
+
 @register("mcc_lookup", O.with_(["txn", "mcc_codes"], f"""
 SELECT m.*, c.description FROM ({MCC_BODY}) m LEFT JOIN mcc_codes c ON m.mcc = c.id"""))
 def q_mcc_lookup(spark, d):

@@ -129,3 +129,19 @@ def test_frame_and_sql_style_user_aggregates_agree(spark):
         assert r["avg_amount"] == a[uid]["amount_mean"]
         assert r["total_errors"] == round(a[uid]["error_rate_pct"] * a[uid]["txn_count"] / 100)
         assert r["chip_ratio"] == pytest.approx(a[uid]["chip_usage_pct"] / 100)
+
+
+def test_value_counts_and_merchants_from_one_unfolding(spark):
+    rows = [(1, 10, 5, "b", 2.0), (1, 10, 6, "a", 4.0), (1, None, 6, "a", 6.0), (1, 11, None, "b", None), (2, None, None, None, 1.0),
+            (None, 12, 7, "c", 9.0)]
+    t = spark.createDataFrame(rows, "merchant_id long, client_id long, card_id long, merchant_city string, amount_usd double")
+    counts = {(r.merchant_id, r._col, r.client_id, r.card_id, r.merchant_city): r._n for r in A.value_counts(
+        t, "merchant_id", ["client_id", "card_id", "merchant_city"]).collect()}
+    assert counts == {(1, 0, 10, None, None): 2, (1, 0, 11, None, None): 1, (1, 1, None, 5, None): 1, (1, 1, None, 6, None): 2,
+                      (1, 2, None, None, "a"): 2, (1, 2, None, None, "b"): 2}
+    got = {r.merchant_id: (r.unique_customers, r.unique_cards, r.txn_count, r.merchant_city, r.amount_sum)
+           for r in A.merchant_aggregate(t).collect()}
+    assert got == {1: (2, 2, 4, "a", 12.0), 2: (0, 0, 1, None, 1.0)}
+    sketched = {r.merchant_id: (r.unique_customers, r.merchant_city) for r in A.merchant_aggregate(t, approx_distinct=True).collect()}
+    assert sketched == {1: (2, "a"), 2: (0, None)}
+    assert A.merchant_aggregate(t.where("merchant_id = 9")).count() == 0

@@ -88,3 +88,13 @@ def test_large_groups_are_bracketed_not_ranked_whole(spark, partitions):
         assert exact_quantile(df, "x", 0.9, ["g"], split=True).first()["quantile"] == pytest.approx(float(np.percentile(vals, 90)))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_a_bracket_that_misses_its_rank_ends_the_job(spark, keys):
+    df = spark.range(60_000).selectExpr("id % 2 AS g", "CAST(pmod(id * 7919, 60000) AS DOUBLE) AS x")
+    want = {0: 29999.0, 1: 30000.0}
+    good = exact_quantile(df, "x", 0.5, keys, split=bool(keys)).collect()
+    assert [r["quantile"] for r in good] == [29999.5] if not keys else {r["g"]: r["quantile"] for r in good} == want
+    with pytest.raises(Exception, match="outside the sketched bracket"):  # the bracket is laid beyond the rank
+        exact_quantile(df, "x", 0.5, keys, split=bool(keys), margin=-0.2).collect()
