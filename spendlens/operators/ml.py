@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .stats import standardise
 
 # Default model features (D4): numeric user-aggregate columns without identifiers.
@@ -68,8 +69,6 @@ def _features(df: DataFrame, cols: list[str], key: str) -> DataFrame:
     once (the imputation and scaling statistics then read the checkpoint); the
     vectors are checkpointed again because the fit reads them every iteration.
     """
-    from ..session import materialize
-
     x = materialize(df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]))
     z = standardise(impute(x, cols), cols)
     return materialize(_assemble(z, cols).select(key, "features"))
@@ -131,8 +130,6 @@ def bisecting_clusters(df: DataFrame, cols: list[str], key: str, depth: int = 3,
     path extends the parent's.  A split that would leave one side empty is not made.  Per level at most 2**depth rows of
     statistics meet the data.
     """
-    from ..session import materialize
-
     z = standardise(impute(materialize(df.select(key, *[F.col(c).cast("double").alias(c) for c in cols])), cols), cols)
     now = materialize(z.withColumns({"path": F.lit(""), "_done": F.lit(False)}))
     for _ in range(depth):
@@ -224,7 +221,7 @@ def training_set(df: DataFrame, key: str, label: str, features: list[str], folds
         raise ValueError("folds must be 2 or more")
     rows = df.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(
         key, F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(c) for c in features])
-    keys = rows.groupBy(key).agg(F.max("y").alias("_class")).withColumn("_text", F.col(key).cast("string"))
+    keys = materialize(rows.groupBy(key).agg(F.max("y").alias("_class")).withColumn("_text", F.col(key).cast("string")))
     drawn = spread_rank(keys, ["_class"], "_text", buckets=buckets).select(
         key, F.pmod("_rank", F.lit(folds)).cast("int").alias("fold"))
     return rows.join(drawn, key).select(key, "y", "fold", *features)
@@ -243,8 +240,8 @@ def fit_dictionary(df: DataFrame, cols: list[str], min_count: int = 1, buckets:
     column may occur once; only the frequencies themselves (few) are ordered per column.
     """
     pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("_p"))
-    counts = pairs.select("_p.*").where("value IS NOT NULL").groupBy("column", "value").agg(
-        F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
+    counts = materialize(pairs.select("_p.*").where("value IS NOT NULL").groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count))
     more = F.sum("_values").over(Window.partitionBy("column").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.groupBy("column", "n").agg(F.count(F.lit(1)).alias("_values")).select(
         "column", "n", F.coalesce(more, F.lit(0)).alias("_first"))
