@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
+from . import json_map
 
 Tables = namedtuple("Tables", ["transactions", "users", "cards"])
 #: Empty file that marks a folder as a finished table; Spark's readers pass over it.
@@ -149,12 +150,16 @@ def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType, null_toke
 # ---------------------------------------------------------------- S4/S5 JSON maps
 
 def read_json_map(spark: SparkSession, path: str, key_type: str = "int", key: str = "id",
-                  value: str = "description") -> DataFrame:
-    """One JSON object ``{code: description}`` -> rows (key, value).  Small files only (one record)."""
-    doc = spark.read.text(path, wholetext=True)
-    m = F.from_json(F.col("value"), "map<string,string>")
-    return doc.select(F.explode(m).alias("_k", "_v")).select(
-        F.col("_k").cast(key_type).alias(key), F.col("_v").alias(value))
+                  value: str = "description", range_bytes: int = json_map.RANGE_BYTES) -> DataFrame:
+    """One JSON object ``{code: description}`` -> rows (key, value), read in byte ranges of ``range_bytes``.
+
+    Of a repeated key the last entry counts; a null value stays as NULL; anything but a flat object raises.
+    """
+    fs, p = _fs_path(spark, path)
+    status = fs.getFileStatus(p)
+    found = json_map.read_entries(spark, status.getPath().toString(), status.getLen(), range_bytes)
+    last = found.groupBy("key").agg(F.max_by(F.struct("value"), "place").alias("last"))
+    return last.select(F.col("key").cast(key_type).alias(key), F.col("last.value").alias(value))
 
 
 def read_labelled_map(spark: SparkSession, path: str, field: str = "target", key: str = "id",

@@ -69,6 +69,22 @@ def test_kde_matches_gaussian_formula_and_integrates(spark):
     assert np.trapezoid(k["density"], k["x"]) == pytest.approx(1.0, abs=1e-3)
 
 
+@pytest.mark.parametrize("error", [1e-2, 1e-4, 1e-6])
+def test_binned_density_keeps_its_bound(spark, error):
+    rng = np.random.default_rng(8)
+    rows = [("a", float(v)) for v in rng.normal(50, 9, 700)] + [("b", float(v)) for v in rng.pareto(1.5, 900)]
+    rows += [("b", 4000.0), ("one", 1.0), ("flat", 2.0), ("flat", 2.0), ("a", None), (None, 3.0), ("a", math.inf)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    want = ST.kde(df, "x", "g").toPandas().set_index(["g", "point"]).sort_index()
+    got = ST.kde(df, "x", "g", error=error).toPandas().set_index(["g", "point"]).sort_index()
+    assert got.index.equals(want.index) and set(got.index.get_level_values(0)) == {"a", "b"}
+    assert got["x"].tolist() == want["x"].tolist()
+    for g, x in (("a", [v for k, v in rows if k == "a" and v is not None and v < 1e9]), ("b", [v for k, v in rows if k == "b"])):
+        peak = 1 / (np.std(x, ddof=1) * len(x) ** -0.2 * math.sqrt(2 * math.pi))
+        assert (got.loc[g, "density"] - want.loc[g, "density"]).abs().max() <= error * peak * (1 + 1e-9)
+    assert ST.kde(df.where("false"), "x", "g", error=error).count() == 0
+
+
 def test_correlation_equals_pandas_pairwise(spark):
     rng = np.random.default_rng(6)
     a = rng.normal(0, 1, 200)
