@@ -8,8 +8,9 @@ written, lineage-free inputs of every later report.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..operators.quality import assert_no_missing
@@ -27,8 +28,8 @@ RAW_FILES = {
 
 # ---------------------------------------------------------------- P1 typing
 
-def type_transactions(raw: DataFrame) -> DataFrame:
-    """Raw text transactions -> typed (dates lenient, money strict)."""
+def type_transactions(raw: DataFrame, *beside: Column) -> DataFrame:
+    """Raw text transactions -> typed (dates lenient, money strict), with the columns ``beside``."""
     return raw.select(
         F.col("id").cast("long").alias("id"),
         C.lenient_timestamp("date").alias("date"),
@@ -42,10 +43,11 @@ def type_transactions(raw: DataFrame) -> DataFrame:
         C.parse_zip("zip").alias("zip"),
         F.col("mcc").cast("int").alias("mcc"),
         F.col("errors"),
+        *beside,
     )
 
 
-def type_users(raw: DataFrame) -> DataFrame:
+def type_users(raw: DataFrame, *beside: Column) -> DataFrame:
     ints = ["current_age", "retirement_age", "birth_year", "birth_month", "credit_score", "num_credit_cards"]
     money = ["per_capita_income", "yearly_income", "total_debt"]
     cols = []
@@ -61,10 +63,10 @@ def type_users(raw: DataFrame) -> DataFrame:
             cols.append(C.trim_ws(c).cast("double").alias(c))
         else:
             cols.append(F.col(c))
-    return raw.select(*cols)
+    return raw.select(*cols, *beside)
 
 
-def type_cards(raw: DataFrame) -> DataFrame:
+def type_cards(raw: DataFrame, *beside: Column) -> DataFrame:
     return raw.select(
         F.col("id").cast("long").alias("id"),
         F.col("client_id").cast("long").alias("client_id"),
@@ -77,6 +79,7 @@ def type_cards(raw: DataFrame) -> DataFrame:
         C.parse_month_year("acct_open_date").alias("acct_open_date"),
         C.trim_ws("year_pin_last_changed").cast("int").alias("year_pin_last_changed"),
         C.parse_yes_no("card_on_dark_web").alias("card_on_dark_web"),
+        *beside,
     )
 
 
@@ -91,19 +94,42 @@ CSV_TABLES = {"transactions": (type_transactions, S.RAW_TRANSACTIONS), "users":
               "cards": (type_cards, S.RAW_CARDS)}
 
 
-def preprocess(spark: SparkSession, in_dir: str, out_dir: str, force: bool = False, quarantine: bool = False) -> dict[str, bool]:
-    """Five raw files -> typed Parquet; returns table -> written?
+class Written(dict):
+    """Table -> written?, with what the write pass counted of the CSV tables that it wrote: ``rows`` (table -> rows) and
+    ``losses`` (table -> column -> values present in the text that typing turned into NULL)."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows: dict[str, int] = {}
+        self.losses: dict[str, dict[str, int]] = {}
+
+
+def _watched(raw: DataFrame, typed: DataFrame, watch: Observation) -> DataFrame:
+    """``typed``, made of ``raw`` by column functions alone, with its rows and losses counted while it is written."""
+    names = [f.name for f in typed.schema.fields if f.dataType != T.StringType() and f.name in raw.columns]
+    lost = [F.count_if(F.col(f"_raw.`{c}`").isNotNull() & F.col(f"`{c}`").isNull()).alias(c) for c in names]
+    return typed.observe(watch, F.count(F.lit(1)).alias("_rows"), *lost).drop("_raw")
+
+
+def preprocess(spark: SparkSession, in_dir: str, out_dir: str, force: bool = False, quarantine: bool = False) -> Written:
+    """Five raw files -> typed Parquet; returns table -> written?, with rows and losses per column (D12) observed in the
+    same pass.
 
     A malformed CSV row ends the stage; with ``quarantine`` such rows go to ``<table>_malformed.parquet`` beside the
     table instead (reason, text, file, fields), so that rows in = rows out + rows quarantined.
     """
-    done = {}
+    done = Written()
     for name, (typing, schema) in CSV_TABLES.items():
         source = f"{in_dir}/{RAW_FILES[name]}"
         if quarantine:
             IO.write_table(IO.malformed_csv(spark, source), f"{out_dir}/{name}_malformed.parquet", force)
-        done[name] = IO.write_table(typing(_text(spark, source, schema, "drop" if quarantine else "raise")),
-                                    f"{out_dir}/{name}.parquet", force)
+        raw, watch = _text(spark, source, schema, "drop" if quarantine else "raise"), Observation(name)
+        typed = typing(raw, F.struct(*raw.columns).alias("_raw"))
+        done[name] = IO.write_table(_watched(raw, typed, watch), f"{out_dir}/{name}.parquet", force)
+        if done[name]:
+            counted = dict(watch.get)
+            done.rows[name] = counted.pop("_rows")
+            done.losses[name] = counted
     done["mcc_codes"] = IO.write_table(IO.read_json_map(spark, f"{in_dir}/{RAW_FILES['mcc_codes']}"),
                                        f"{out_dir}/mcc_codes.parquet", force)
     done["fraud_labels"] = IO.write_table(IO.read_labelled_map(spark, f"{in_dir}/{RAW_FILES['fraud_labels']}"),

@@ -64,6 +64,22 @@ def test_preprocess_types_and_values(spark, raw_dir, tmp_path):
     assert loss[("transactions", "date")] == 1 and loss[("cards", "expires")] == 1 and loss[("cards", "has_chip")] == 1
 
 
+def test_losses_are_counted_while_tables_are_written(spark, raw_dir, tmp_path):
+    out = str(tmp_path / "pre")
+    done = stages.preprocess(spark, str(raw_dir), out)
+    report = {(r["table"], r["column"]): r["lost"] for r in stages.coercion_report(spark, str(raw_dir)).collect()}
+    assert {k: done.losses[k[0]][k[1]] for k in report} == report and sum(report.values()) >= 3
+    others = {(t, c): n for t, lost in done.losses.items() for c, n in lost.items() if (t, c) not in report}
+    assert others[("transactions", "amount")] == 0 and not any(others.values())
+    assert done.rows == {t: spark.read.parquet(f"{out}/{t}.parquet").count() for t in ("transactions", "users", "cards")}
+    assert not any("_raw" in spark.read.parquet(f"{out}/{t}.parquet").columns for t in done.rows)
+    again = stages.preprocess(spark, str(raw_dir), out)
+    assert again.rows == {} and again.losses == {}  # nothing was written
+    (raw_dir / "cards_data.csv").write_text(CARDS.splitlines()[0] + "\n")
+    empty = stages.preprocess(spark, str(raw_dir), out, force=True)
+    assert empty.rows["cards"] == 0 and set(empty.losses["cards"].values()) == {0}
+
+
 def test_skip_unless_force(spark, raw_dir, tmp_path):
     out = str(tmp_path / "pre")
     assert all(stages.preprocess(spark, str(raw_dir), out).values())
