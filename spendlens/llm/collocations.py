@@ -4,7 +4,8 @@ Counting: every task puts the longest word sequence (up to four words) that star
 (``hat_trie``); a shorter phrase's count is the sum over the sequences that begin with it, that is over its subtree.  The
 trie spills whole subtrees as sorted runs, and each run goes out as rows of (language, sequence, count), one-word
 subtrees as their sums.  Runs of all tasks are merged per prefix partition, hashed by the language and the first two words:
-there every sequence's count is added to all its beginnings.  Pairs of words that a sample shows to be hot are parted by
+there every sequence whose first two words are frequent adds its count to all its beginnings (no longer phrase is more frequent
+than its beginning).  Pairs of words that a sample shows to be hot are parted by
 the third word as well, and their own sums travel alone, so that no word, pair or language meets in one task.
 
 A phrase counts as a candidate from ``least`` occurrences.  Cut after its first k words it has l = f(first part) and
@@ -207,7 +208,10 @@ def frequent(spilled: DataFrame, least: int) -> DataFrame:
     parted = spilled.repartition(parts, "lang", stem)
     size = F.expr("length(phrase) - length(replace(phrase, ' ', '')) + 1")
     begins = F.expr("transform(sequence(cast(least as int), size), k -> substring_index(phrase, ' ', k))")
-    merged = parted.select("lang", stem.alias("stem"), "phrase", "least", "n", size.alias("size")).select(
+    # no phrase is more frequent than its beginning: within its partition a rare stem goes with all its sequences, uncounted
+    total = F.sum("n").over(Window.partitionBy("stem", "lang"))
+    own = parted.select("lang", stem.alias("stem"), "phrase", "least", "n", size.alias("size")).withColumn("total", total)
+    merged = own.where((F.col("total") >= least) | (F.col("stem") == "")).select(
         "lang", "stem", F.explode(begins).alias("phrase"), "n").groupBy("lang", "stem", "phrase").agg(F.sum("n").alias("f"))
     return merged.where((F.col("f") >= least) | (F.col("phrase") == "")).select(
         "lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(size).alias("size"), "f")
