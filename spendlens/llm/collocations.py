@@ -210,7 +210,8 @@ def frequent(spilled: DataFrame, least: int) -> DataFrame:
     begins = F.expr("transform(sequence(cast(least as int), size), k -> substring_index(phrase, ' ', k))")
     # no phrase is more frequent than its beginning: within its partition a rare stem goes with all its sequences, uncounted
     total = F.sum("n").over(Window.partitionBy("order", "stem", "lang"))  # a number first: rows are sorted by it, not by strings
-    own = parted.withColumn("order", F.xxhash64("lang", stem)).select("order", "lang", stem.alias("stem"), "phrase", "least", "n", size.alias("size")).withColumn("total", total)
+    own = parted.select("lang", stem.alias("stem"), "phrase", "least", "n", size.alias("size"),
+                        F.xxhash64("lang", stem).alias("order")).withColumn("total", total)
     merged = own.where((F.col("total") >= least) | (F.col("stem") == "")).select(
         "lang", "stem", F.explode(begins).alias("phrase"), "n").groupBy("lang", "stem", "phrase").agg(F.sum("n").alias("f"))
     return merged.where((F.col("f") >= least) | (F.col("phrase") == "")).select(
