@@ -145,3 +145,13 @@ def test_value_counts_and_merchants_from_one_unfolding(spark):
     sketched = {r.merchant_id: (r.unique_customers, r.merchant_city) for r in A.merchant_aggregate(t, approx_distinct=True).collect()}
     assert sketched == {1: (2, "a"), 2: (0, None)}
     assert A.merchant_aggregate(t.where("merchant_id = 9")).count() == 0
+
+
+def test_value_counts_spread_a_hot_merchant_of_rows_dealt_by_merchant(spark):
+    t = spark.range(2000).selectExpr("1L AS merchant_id", "id AS client_id", "id + 9 AS card_id", "'x' AS merchant_city").repartition(4, "merchant_id")
+    counts = A.value_counts(t, "merchant_id", ["client_id", "card_id", "merchant_city"], {"merchant_city": F.pmod("client_id", F.lit(4))})
+    held = [r["count"] for r in counts.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(held) == 4004 and max(held) < 2000  # 4000 pairs and four parts of the one city; one task held all before
+    assert counts.where("_col = 2").agg(F.sum("_n")).first()[0] == 2000
+    got = A.merchant_aggregate(t.withColumn("amount_usd", F.lit(1.0))).first()
+    assert (got.unique_customers, got.unique_cards, got.txn_count, got.merchant_city) == (2000, 2000, 2000, "x")
