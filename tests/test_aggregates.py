@@ -155,3 +155,19 @@ def test_value_counts_spread_a_hot_merchant_of_rows_dealt_by_merchant(spark):
     assert counts.where("_col = 2").agg(F.sum("_n")).first()[0] == 2000
     got = A.merchant_aggregate(t.withColumn("amount_usd", F.lit(1.0))).first()
     assert (got.unique_customers, got.unique_cards, got.txn_count, got.merchant_city) == (2000, 2000, 2000, "x")
+
+
+def test_summaries_compute_their_transactions_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    t = spark.range(100).select("id", (F.col("id") % 7).alias("client_id"), F.col("id").alias("card_id"), (F.col("id") % 5).alias("merchant_id"),
+                                F.lit(1).alias("mcc"), F.udf(counted, "double")(F.col("id").cast("double")).alias("amount_usd"), F.lit(0).alias("has_error"))
+    assert {(r.section, r.metric): r.value for r in R.dataset_summary(t).collect()}["amount", "median"] == 49.5
+    assert seen.value == 100
+    cards = spark.createDataFrame([("YES",), ("no",)], "card_on_dark_web string")
+    assert {(r.section, r.metric): r.value for r in R.dataset_summary_sql_style(t, cards).collect()}["transactions", "median_amount"] == 49.5
+    assert seen.value == 200
