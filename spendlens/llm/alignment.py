@@ -6,10 +6,10 @@ element, the number of shared bytes, for every pair of tokens whose byte ranges
 tokens of both end cut the text into groups; the product of the two token-group incidences links the tokens that share a
 group, and is returned as the groups themselves (their A and B ids), never as all pairs.
 
-Documents are packed into rows of about ``PACK`` links and written once.  Every pack's distinct (A id, B id) pairs are
-counted in its task, the counts are summed over the corpus, and each pack meets the counts of its own pairs again; of
-the corpus only counts per pair travel.  Within a pack the products run over slices of whole groups, so a very long text
-needs memory in proportion to its tokens alone.
+Documents are packed into rows of about ``PACK`` links and written once.  A pack holds its distinct (A id, B id) pairs with
+their counts, and of every link only the number of its pair among them, mostly two bytes.  The counts are summed over the
+corpus, and each pack meets the counts of its own pairs again.  Within a pack the products run over slices of whole groups,
+so a very long text needs memory in proportion to its tokens alone.
 
 Defined results: null and empty texts, and texts whose joined token bytes differ from the text under A or B, have no tokens
 and zeros throughout; repeated rows and null ids are rows of their own and all count; an empty table gives an empty
@@ -110,6 +110,27 @@ def group_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return product.rows(), product.columns
 
 
+def spells(ids: list[np.ndarray], joined: np.ndarray, lengths: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Whether the bytes of each text's ids are the text; entry k has ``lengths[k]`` bytes, which follow one another in
+    ``joined``.  Bytes are compared for many texts at once, and for some tokens of a long one."""
+    starts = np.cumsum(lengths) - lengths
+    same = np.array([int(lengths[x].sum()) == len(t) for x, t in zip(ids, texts, strict=True)], bool)
+    fit = np.flatnonzero(same)
+    if not len(fit):
+        return same
+    every, given = np.concatenate([ids[k] for k in fit]), np.frombuffer(b"".join([texts[k] for k in fit]), np.uint8)
+    text_ends, at = np.cumsum([len(texts[k]) for k in fit]), 0
+    for lo in range(0, len(every), SLICE >> 2):
+        some = every[lo:lo + (SLICE >> 2)]
+        size = lengths[some]
+        first = np.cumsum(size) - size
+        n = int(size.sum())
+        own = joined[np.arange(n) + np.repeat(starts[some] - first, size)]
+        same[fit[np.searchsorted(text_ends, at + np.flatnonzero(own != given[at:at + n]), "right")]] = False
+        at += n
+    return same
+
+
 class Aligner:
     """Two tokenizers, the bytes of their entries, and the alignment of packs of texts."""
 
@@ -124,19 +145,19 @@ class Aligner:
         self.b_bytes = self.b.text_of
         self.a_size, self.b_size = len(self.a_bytes), len(self.b_bytes)
         self.a_lengths, self.b_lengths = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.a_joined, self.b_joined = (np.frombuffer(b"".join(x), np.uint8) for x in (self.a_bytes, self.b_bytes))
         #: ids in decimal with the mark that follows: within a side, between A and B, between groups
         self.written = [f"{k}{end}" for size, ends in ((self.a_size, ",|"), (self.b_size, ",;")) for end in ends for k in range(size)]
 
     def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The A and B ids of each text, none where either side's bytes are not the text's."""
         none = np.zeros(0, np.int32)
-        out = []
         spaced = [" " + t if t else "" for t in texts]
-        for text, a, (b, _) in zip(spaced, self.a.encode(spaced), self.b.encode_all(texts), strict=True):
-            sides, whole = [np.frombuffer(x, "<u4") for x in (a, b)], text.encode()
-            same = all(whole == b"".join(map(own.__getitem__, x.tolist())) for own, x in zip((self.a_bytes, self.b_bytes), sides, strict=True))
-            out.append(tuple(x.astype(np.int32) for x in sides) if same else (none, none))
-        return out
+        whole = [t.encode() for t in spaced]
+        a = [np.frombuffer(x, "<u4") for x in self.a.encode(spaced)]
+        b = [np.frombuffer(x, "<u4") for x, _ in self.b.encode_all(texts)]
+        same = spells(a, self.a_joined, self.a_lengths, whole) & spells(b, self.b_joined, self.b_lengths, whole)
+        return [(x.astype(np.int32), y.astype(np.int32)) if s else (none, none) for x, y, s in zip(a, b, same.tolist(), strict=True)]
 
     def align(self, tokens: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray | list]:
         """Of a pack: per document n_a, n_b, n_groups, n_links, groups_sha256, and all links' ids in order."""
@@ -189,28 +210,31 @@ _PER_DOCUMENT = ["n_a", "n_b", "n_groups", "n_links"]
 
 
 def packs(docs: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame:
-    """Rows of about ``PACK`` links: pack, arrays of one element per document (doc_id, counts, digest), and the links' ids
-    (links_a, links_b: little-endian, ``width`` bytes each) in the documents' order."""
+    """Rows of about ``PACK`` links: pack, arrays of one element per document (doc_id, counts, digest), the pack's distinct id
+    pairs in ascending order with their numbers of links (arrays pair_a, pair_b, pair_n), and the place of every link's pair
+    among them (links: little-endian, ``width`` bytes each) in the documents' order."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         own, base, k = aligner(byte_vocabulary, piece_model), TaskContext.get().partitionId() << 32, 0
         ids, tokens, held = [], [], 0
-        width = 2 if max(own.a_size, own.b_size) <= 1 << 16 else 4
 
         def row():
             made = own.align(tokens)
+            pairs, links, n = np.unique(made["links_a"].astype(np.int64) << 32 | made["links_b"], return_inverse=True, return_counts=True)
+            width = 2 if len(pairs) <= 1 << 16 else 4
             return pa.RecordBatch.from_pydict({
                 "pack": pa.array([base + k], pa.int64()), "doc_id": pa.array([ids], pa.list_(pa.int64())),
                 **{c: pa.array([made[c]], pa.list_(pa.int64())) for c in _PER_DOCUMENT},
-                "groups_sha256": pa.array([made["groups_sha256"]], pa.list_(pa.string())),
-                "width": pa.array([width], pa.int32()),
-                **{c: pa.array([made[c].astype(f"<u{width}").tobytes()], pa.binary()) for c in ("links_a", "links_b")}})
+                "groups_sha256": pa.array([made["groups_sha256"]], pa.list_(pa.string())), "width": pa.array([width], pa.int32()),
+                **{c: pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for c, x in (
+                    ("pair_a", pairs >> 32), ("pair_b", pairs & 0xFFFFFFFF), ("pair_n", n))},
+                "links": pa.array([links.astype(f"<u{width}").tobytes()], pa.binary())})
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 100):
-                some = batch.slice(lo, 100)
+            for lo in range(0, batch.num_rows, 500):
+                some = batch.slice(lo, 500)
                 for doc_id, pair in zip(some.column(0).to_pylist(), own.tokens(some.column(1).to_pylist()), strict=True):
                     ids.append(doc_id)
                     tokens.append(pair)
@@ -223,25 +247,14 @@ def packs(docs: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame:
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return plain.mapInArrow(run, "pack long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
-                                 "n_links array<long>, groups_sha256 array<string>, width int, links_a binary, links_b binary")
-
-
-def _keys(width: int, a: bytes, b: bytes) -> np.ndarray:
-    return np.frombuffer(a, f"<u{width}").astype(np.int64) << 32 | np.frombuffer(b, f"<u{width}")
+                                 "n_links array<long>, groups_sha256 array<string>, width int, pair_a array<int>, pair_b array<int>, "
+                                 "pair_n array<int>, links binary")
 
 
 def pack_pairs(packed: DataFrame) -> DataFrame:
     """pack, a, b, n: how many links of the pack hold the id pair linked."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pack, *links in zip(*(batch.column(c) for c in range(4)), strict=True):
-                key, n = np.unique(_keys(*(x.as_py() for x in links)), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), pack.as_py())), pa.array((key >> 32).astype(np.int32)),
-                     pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], ["pack", "a", "b", "n"])
-
-    return packed.select("pack", "width", "links_a", "links_b").mapInArrow(run, "pack long, a int, b int, n long")
+    named = packed.select("pack", F.col("pair_a").alias("a"), F.col("pair_b").alias("b"), F.col("pair_n").alias("n"))
+    return named.select("pack", F.inline(F.arrays_zip("a", "b", "n")))
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
@@ -254,9 +267,8 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
 def _scored(pack: pa.Table, counts: pa.Table) -> pa.Table:
     """The documents of one pack with the corpus counts of its pairs."""
     row = pack.slice(0, 1).to_pylist()[0]
-    key = counts["a"].to_numpy().astype(np.int64) << 32 | counts["b"].to_numpy().astype(np.int64)
-    order = np.argsort(key)
-    at = order[np.searchsorted(key[order], _keys(row["width"], row["links_a"], row["links_b"]))]
+    order = np.argsort(counts["a"].to_numpy().astype(np.int64) << 32 | counts["b"].to_numpy().astype(np.int64))
+    at = order[np.frombuffer(row["links"], f"<u{row['width']}")]
     ends = np.cumsum(row["n_links"])
     starts = ends - row["n_links"]
     sums = [np.append(0, np.cumsum(counts[c].to_numpy().astype(np.int64)[at])) for c in ("best", "links")]
@@ -269,7 +281,8 @@ def _scored(pack: pa.Table, counts: pa.Table) -> pa.Table:
 def align(docs: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     packed = cut(packs(docs, byte_vocabulary, piece_model), "packs")
-    pairs = cut(pack_pairs(packed), "pack-pairs")
-    known = pairs.join(pair_counts(pairs), ["a", "b"]).select("pack", "a", "b", "links", F.col("best").cast("int").alias("best"))
-    return packed.groupBy("pack").cogroup(known.groupBy("pack")).applyInArrow(
+    pairs = pack_pairs(packed)
+    known = pairs.join(pair_counts(pairs), ["a", "b"]).select(F.col("pack").alias("_pack"), "a", "b", "links",
+                                                             F.col("best").cast("int").alias("best"))
+    return packed.drop("pair_a", "pair_b", "pair_n").groupBy("pack").cogroup(known.groupBy("_pack")).applyInArrow(
         _scored, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")

@@ -136,6 +136,27 @@ def test_alignment_query_counts_over_the_corpus(spark):
     assert alignment.align(empty(spark), vocabulary(), model()).count() == 0
 
 
+def test_packs_hold_every_pair_once_and_two_bytes_a_link(spark):
+    texts = made_texts(40)
+    (pack,) = alignment.packs(documents(spark, [(k, t, None, None, None) for k, t in enumerate(texts)]).coalesce(1), vocabulary(), model()).collect()
+    links = sorted(x for p in plain_alignment(texts) for x in p[5])
+    assert len(pack.links) == 2 * len(links) == 2 * sum(pack.n_links)
+    pairs = list(zip(pack.pair_a, pack.pair_b, strict=True))
+    assert pairs == sorted(set(links)) and [pack.pair_n[pairs.index(p)] for p in pairs] == [Counter(links)[p] for p in pairs]
+    assert sorted(pairs[k] for k in np.frombuffer(pack.links, "<u2")) == links
+
+
+def test_texts_that_ids_do_not_spell_are_found(monkeypatch):
+    entries = [b"a", b"bc", b"", b"d" * 9]
+    joined, lengths = np.frombuffer(b"".join(entries), np.uint8), np.array([len(e) for e in entries])
+    texts = [b"abc", b"abd", b"", b"dddddddddbc", b"ab", b"a", b"bca"]
+    ids = [np.array(x, np.uint32) for x in ([0, 1], [0, 1], [2], [3, 2, 1], [0, 1], [], [1, 0])]
+    for slice_ in (4, 8, 1 << 18):
+        monkeypatch.setattr(alignment, "SLICE", slice_)
+        assert alignment.spells(ids, joined, lengths, texts).tolist() == [True, False, True, True, False, False, True]
+    assert alignment.spells([], joined, lengths, []).tolist() == []
+
+
 def test_a_pack_for_every_few_links_gives_the_same(spark):
     df = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(made_texts(60))], SCHEMA).repartition(5)
     whole = sorted(map(tuple, alignment.align(df, vocabulary(), model()).collect()))
