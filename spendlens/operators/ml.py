@@ -6,8 +6,13 @@ the Spark ML estimators (PCA, KMeans).  All fits are distributed passes.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 from .stats import standardise
@@ -94,30 +99,160 @@ def kmeans_clusters(df: DataFrame, cols: list[str], key: str, k: int = 4, seed:
     return model.transform(v).select(key, F.col("cluster").cast("int").alias("cluster"))
 
 
+def mixture_features(df: DataFrame, cols: list[str], key: str) -> DataFrame:
+    """impute -> standardise for the Gaussian mixtures, written once: key and ``cols``."""
+    x = materialize(df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]))
+    return materialize(standardise(impute(x, cols), cols).select(key, *cols))
+
+
 def gaussian_mixture(df: DataFrame, cols: list[str], key: str, k: int = 4, seed: int = 42, max_iter: int = 100,
-                     tol: float = 0.01, starts: int = 1) -> DataFrame:
+                     tol: float = 0.01, starts: int = 1, prepared: bool = False) -> DataFrame:
     """M6: impute -> standardise -> Gaussian mixture by expectation maximisation; returns key, cluster (the likeliest
     component) and p0..p(k-1), the membership probabilities, which sum to 1.
 
-    Every iteration is one distributed pass that adds up k weighted moment sums; only those reach the driver.  As a run ends
-    in the nearest local optimum, the likeliest of ``starts`` runs from different seeds is kept.
+    As a run ends in the nearest local optimum, the likeliest of ``starts`` runs from different seeds is kept.  An iteration is
+    one distributed pass for all runs still going, which adds up k weighted moment sums of each; only those reach the driver.
+    With ``prepared`` the rows come from ``mixture_features``.
     """
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.functions import vector_to_array
-
-    v = _features(df, cols, key)
-    runs = (GaussianMixture(k=k, seed=seed + n, maxIter=max_iter, tol=tol, probabilityCol="probability").fit(v) for n in range(starts))
-    model = max(runs, key=lambda m: m.summary.logLikelihood)
-    p = model.transform(v).select(key, F.col("prediction").cast("int").alias("cluster"), vector_to_array("probability").alias("_p"))
-    return p.select(key, "cluster", *[F.col("_p")[i].alias(f"p{i}") for i in range(k)])
-
-
-def mixture_likelihoods(df: DataFrame, cols: list[str], key: str, k: int, iterations: tuple[int, ...], seed: int = 42) -> list[float]:
-    """The log likelihood that a Gaussian mixture reaches after each of these numbers of iterations, from the same start."""
-    from pyspark.ml.clustering import GaussianMixture
-
-    v = _features(df, cols, key)
-    return [float(GaussianMixture(k=k, seed=seed, maxIter=n, tol=0.0).fit(v).summary.logLikelihood) for n in iterations]
+    v = df if prepared else mixture_features(df, cols, key)
+    runs = _mixtures(v, cols, k, [seed + n for n in range(starts)], max_iter, tol)
+    if not runs:
+        return v.select(key, F.lit(0).alias("cluster"), *[F.lit(0.0).alias(f"p{i}") for i in range(k)])  # no rows
+    model = max(runs, key=lambda r: r.likelihoods[-1])
+
+    def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = model.joint(_matrix(batch.columns[1:]))
+            p /= p.sum(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.argmax(0).astype(np.int32)), *map(pa.array, p)], names)
+
+    names = [key, "cluster", *[f"p{i}" for i in range(k)]]
+    kinds = [v.schema[key], T.StructField("cluster", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in names[2:]]]
+    return v.select(key, *cols).mapInArrow(members, T.StructType(kinds))
+
+
+def mixture_likelihoods(df: DataFrame, cols: list[str], key: str, k: int, iterations: tuple[int, ...], seed: int = 42,
+                        prepared: bool = False) -> list[float]:
+    """The log likelihood that a Gaussian mixture reaches after each of these numbers of iterations, from the same start: one run,
+    read after each of them.  With ``prepared`` the rows come from ``mixture_features``."""
+    v = df if prepared else mixture_features(df, cols, key)
+    runs = _mixtures(v, cols, k, [seed], max(iterations), 0.0)
+    return [run.likelihoods[min(n, len(run.likelihoods)) - 1] for run in runs for n in iterations]
+
+
+_EPSILON = float(np.finfo(float).eps)  # added to every weighted density, as Spark ML does: far rows belong to all alike
+
+
+class _Mixture:
+    """A run of expectation maximisation: the components and the log likelihoods met so far."""
+
+    def __init__(self, sample: np.ndarray, k: int, seed: int):
+        """From sampled rows: k of them, each drawn with a chance by its squared distance from those before it, gather the nearest
+        rows and give way to their mean.  Starts that lie apart need few passes; from a common middle EM hardly moves at first."""
+        rng = np.random.default_rng(seed)
+        means = sample[rng.integers(len(sample), size=1)]
+        while len(means) < k:
+            away = ((sample[:, None] - means) ** 2).sum(2).min(1)
+            means = np.vstack([means, sample[rng.choice(len(sample), p=away / away.sum() if away.sum() else None)]])
+        nearest = ((sample[:, None] - means) ** 2).sum(2).argmin(1)
+        means = np.stack([sample[nearest == i].mean(0) if (nearest == i).any() else mean for i, mean in enumerate(means)])
+        self.likelihoods: list[float] = []
+        self._set(np.full(k, 1 / k), means, np.stack([np.diag(sample.var(0))] * k))
+
+    def _set(self, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> None:
+        """Roots of the inverse covariances, and the logarithms of the densities' factors; directions without variance are
+        left out, and a component that varies in none has unit covariance."""
+        self.weights, self.means, self.roots, self.factors = weights, means, [], []
+        for covariance in covariances:
+            values, vectors = np.linalg.eigh(covariance)
+            kept = values > _EPSILON * max(values.max(), 0.0) * len(values)
+            if not kept.any():
+                values, kept = np.ones(len(values)), np.ones(len(values), bool)
+            self.roots.append(np.where(kept, 1 / np.sqrt(np.where(kept, values, 1.0)), 0.0)[:, None] * vectors.T)
+            self.factors.append(-0.5 * (len(values) * np.log(2 * np.pi) + np.log(values[kept]).sum()))
+
+    def joint(self, x: np.ndarray) -> np.ndarray:
+        """Of every column of ``x``: each component's weight times its density."""
+        out = np.empty((len(self.weights), x.shape[1]))
+        for i, (weight, mean, root, factor) in enumerate(zip(self.weights, self.means, self.roots, self.factors, strict=True)):
+            away = root @ (x - mean[:, None])
+            away *= away
+            out[i] = weight * np.exp(factor - 0.5 * away.sum(0))
+        return out + _EPSILON
+
+    def moments(self, x: np.ndarray) -> np.ndarray:
+        """What ``step`` needs of the columns of ``x``: log likelihood, weights, weighted sums and sums of products."""
+        p = self.joint(x)
+        total = p.sum(0)
+        p /= total
+        return np.concatenate([[np.log(total).sum()], p.sum(1), (p @ x.T).ravel(), *[((x * own) @ x.T).ravel() for own in p]])
+
+    def step(self, sums: np.ndarray) -> None:
+        k, d = self.means.shape
+        n, firsts, products = sums[1:k + 1], sums[k + 1:k + 1 + k * d].reshape(k, d), sums[k + 1 + k * d:].reshape(k, d, d)
+        means = firsts / n[:, None]
+        self.likelihoods.append(float(sums[0]))
+        self._set(n / n.sum(), means, products / n[:, None, None] - means[:, :, None] * means[:, None, :])
+
+
+def _matrix(columns: list[pa.Array]) -> np.ndarray:
+    """Features by rows."""
+    x = np.stack([c.to_numpy(zero_copy_only=False) for c in columns])
+    if not np.isfinite(x).all():
+        raise ValueError("features of a Gaussian mixture must be finite numbers")
+    return x
+
+
+BLOCK_ROWS = 4096
+
+
+def _blocks(v: DataFrame, cols: list[str]) -> DataFrame:
+    """The features alone, as blocks of some thousand rows each (little-endian doubles, feature by feature), written once: every
+    pass reads them without taking rows apart again."""
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.columns)
+            yield pa.RecordBatch.from_pydict({"x": pa.array([x[:, lo:lo + BLOCK_ROWS].astype("<f8").tobytes()
+                                                             for lo in range(0, x.shape[1], BLOCK_ROWS)], pa.binary())})
+
+    return materialize(v.select(*cols).mapInArrow(pack, "x binary"))
+
+
+def _mixtures(v: DataFrame, cols: list[str], k: int, seeds: list[int], max_iter: int, tol: float) -> list[_Mixture]:
+    """One run per seed, each until its log likelihood moves by ``tol`` at most or for ``max_iter`` iterations; none without rows."""
+    runs = []
+    for seed in seeds:
+        rows = np.array([tuple(r) for r in v.select(*cols).orderBy(F.rand(seed)).limit(5 * k).collect()], float)  # five a component
+        if not len(rows):
+            return []
+        if len(rows) < 5 * k:  # fewer rows than that: some are drawn again
+            rows = rows[np.random.default_rng(seed).integers(0, len(rows), 5 * k)]
+        runs.append(_Mixture(rows, k, seed))
+    blocks, going = _blocks(v, cols), runs
+    while going:
+        for run, sums in zip(going, _moments(blocks, len(cols), going), strict=True):
+            run.step(sums)
+        going = [r for r in going if len(r.likelihoods) < max_iter
+                 and (len(r.likelihoods) < 2 or abs(r.likelihoods[-1] - r.likelihoods[-2]) > tol)]
+    return runs
+
+
+def _moments(blocks: DataFrame, width: int, models: list[_Mixture]) -> np.ndarray:
+    """The moment sums of each model over all rows, in one pass."""
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for batch in batches:
+            for block in batch.column(0):
+                x = np.frombuffer(block.as_buffer(), "<f8").reshape(width, -1)
+                own = np.concatenate([m.moments(x) for m in models])
+                sums = own if sums is None else sums + own
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.float64()))], ["sums"])
+
+    parts = blocks.mapInArrow(add, "sums array<double>").collect()  # a few moments a component from each task
+    return np.sum([r["sums"] for r in parts], 0).reshape(len(models), -1)
 
 
 def bisecting_clusters(df: DataFrame, cols: list[str], key: str, depth: int = 3, min_size: int = 50, max_iter: int = 10,

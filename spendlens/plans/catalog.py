@@ -1120,7 +1120,8 @@ UNION ALL SELECT 'more iterations fit no worse', 1"""))
 def q_gaussian_mixture_invariants(spark, d):
     """M6: two planted groups are the components; the likelihood does not fall with the iterations."""
     x = materialize(_planted(spark, d, 2))
-    m = materialize(x.join(ML.gaussian_mixture(x, ["x", "y"], "transaction_id", 2, starts=3), "transaction_id"))
+    z = ML.mixture_features(x, ["x", "y"], "transaction_id")
+    m = materialize(x.join(ML.gaussian_mixture(z, ["x", "y"], "transaction_id", 2, starts=3, prepared=True), "transaction_id"))
     total = sum((F.col(f"p{i}") for i in range(2)), F.lit(0.0))
     pairs = m.groupBy("true_group", "cluster").agg(F.count(F.lit(1)).alias("n"))
     whole = pairs.groupBy("true_group").agg(F.count("cluster").alias("clusters"), F.first("cluster").alias("cluster"))
@@ -1129,7 +1130,7 @@ def q_gaussian_mixture_invariants(spark, d):
                                             for i in range(2)])).alias("s")).select("s.*")
     true = x.groupBy("true_group").agg(F.avg("x").alias("tx"), F.avg("y").alias("ty"))
     near = whole.join(found, "cluster").join(true, "true_group")
-    fits = ML.mixture_likelihoods(x, ["x", "y"], "transaction_id", 2, (1, 3, 10))
+    fits = ML.mixture_likelihoods(z, ["x", "y"], "transaction_id", 2, (1, 3, 10), prepared=True)
     rising = all(b >= a - 1e-6 * abs(a) for a, b in zip(fits, fits[1:]))
     return _facts(
         _fact(m, "rows", F.count("cluster")), _fact(m, "probabilities off one by over 1e-9", F.count_if(F.abs(total - 1) > 1e-9)),

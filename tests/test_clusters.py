@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from spendlens.operators import ml as ML
@@ -39,3 +40,30 @@ def test_small_and_constant_clusters_are_not_split(spark, planted):
     same = spark.createDataFrame([(k, 1.0) for k in range(20)], "id long, x double")
     assert {(r.path, r.cluster) for r in ML.bisecting_clusters(same, ["x"], "id", depth=2, min_size=2).collect()} == {("", 0)}
     assert ML.bisecting_clusters(same.limit(0), ["x"], "id", depth=2, min_size=2).count() == 0
+
+
+def test_mixture_starts_share_their_passes(spark, planted, monkeypatch):
+    passes, real = [], ML._moments
+    monkeypatch.setattr(ML, "_moments", lambda blocks, width, models: passes.append(len(models)) or real(blocks, width, models))
+    z = ML.mixture_features(planted, ["x", "y"], "id")
+    fits = ML.mixture_likelihoods(z, ["x", "y"], "id", 4, (1, 4, 12), prepared=True)
+    assert len(passes) <= 12 and set(passes) == {1} and fits == sorted(fits)
+    passes.clear()
+    assert ML.gaussian_mixture(z, ["x", "y"], "id", 4, starts=3, max_iter=6, prepared=True).count() == 400
+    assert len(passes) <= 6 and passes[0] == 3
+
+
+def test_mixture_moments_equal_plain_ones(spark, planted, monkeypatch):
+    monkeypatch.setattr(ML, "BLOCK_ROWS", 7)
+    z = ML.mixture_features(planted, ["x", "y"], "id")
+    x = np.array([(r.x, r.y) for r in z.collect()]).T
+    model = ML._Mixture(x.T[:20], 3, 1)
+    (got,) = ML._moments(ML._blocks(z, ["x", "y"]), 2, [model])
+    p = np.array([[w * np.exp(f - 0.5 * sum((root @ (row - m)) ** 2)) for w, m, root, f in zip(
+        model.weights, model.means, model.roots, model.factors, strict=True)] for row in x.T]) + np.finfo(float).eps
+    share = p / p.sum(1)[:, None]
+    want = [np.log(p.sum(1)).sum(), *share.sum(0), *(share.T @ x.T).ravel(), *np.einsum("ni,an,bn->iab", share, x, x).ravel()]
+    assert np.allclose(got, want)
+    same = spark.createDataFrame([(None, 1.0)] * 5 + [(2, 1.0)], "id long, x double")
+    assert ML.gaussian_mixture(same, ["x"], "id", 2).count() == 6
+    assert ML.gaussian_mixture(same.limit(0), ["x"], "id", 2).count() == 0
