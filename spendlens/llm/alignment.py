@@ -1,7 +1,8 @@
 """Alignment of the tokens of two tokenizers on the same texts, by products of token-byte incidence matrices.
 
 The tokens of a text under tokenizer A are the rows of a sparse 0/1 matrix whose columns are the text's bytes; B likewise.
-Both are built by hand as compressed sparse rows, and a row-by-row (Gustavson) product A x B-transposed has a nonzero
+Both are built by hand as compressed sparse rows, with neighbouring bytes that no token of either side parts as one weighted
+column, and a row-by-row (Gustavson) product A x B-transposed has a nonzero
 element, the number of shared bytes, for every pair of tokens whose byte ranges overlap: the links.  Byte offsets where
 tokens of both end cut the text into groups; the product of the two token-group incidences links the tokens that share a
 group, and is returned as the groups themselves (their A and B ids), never as all pairs.
@@ -80,6 +81,19 @@ def bytes_of(lengths: np.ndarray) -> Csr:
     return Csr.incidence(starts, np.arange(starts[-1]), int(starts[-1]))
 
 
+def segments_of(a: np.ndarray, b: np.ndarray) -> tuple[Csr, Csr]:
+    """Token-byte incidences of two cuttings of the same bytes, with equal neighbouring columns joined into one: the segments
+    between ends of any token.  The values of the second are the segments' widths, so that products count bytes as before."""
+    ends = np.cumsum(a), np.cumsum(b)
+    closes = np.zeros(int(ends[0][-1]) + 1 if len(a) else 1, bool)
+    closes[ends[0]] = closes[ends[1]] = True
+    closes[0] = False  # tokens without bytes hold no segment
+    widths = np.diff(np.flatnonzero(closes), prepend=0).astype(np.int32)
+    before, columns = np.cumsum(closes), np.arange(len(widths))
+    left, right = (np.append(0, before[e]) for e in ends)
+    return Csr.incidence(left, columns, len(widths)), Csr(right, columns, widths, len(widths))
+
+
 def in_groups(first: np.ndarray) -> Csr:
     """Token-group incidence of consecutive tokens; group g holds the tokens from ``first[g]`` to ``first[g + 1]``."""
     sizes = np.diff(first)
@@ -99,7 +113,8 @@ def group_bounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def overlap_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of two cuttings of the same bytes, by their lengths: (A number, B number, shared bytes) of every overlap."""
-    product = bytes_of(a) @ bytes_of(b).transposed()
+    left, right = segments_of(a, b)
+    product = left @ right.transposed()
     return product.rows(), product.columns, product.values
 
 
@@ -135,7 +150,7 @@ class Aligner:
     """Two tokenizers, the bytes of their entries, and the alignment of packs of texts."""
 
     def __init__(self, byte_vocabulary: str, piece_model: str):
-        self.a, self.b = encoder(byte_vocabulary, special=False, cache=CACHE), piece_vocabulary(piece_model, CACHE)
+        self.a, self.b = encoder(byte_vocabulary, special=False, cache=CACHE), piece_vocabulary(piece_model, CACHE, own=False)
         with open(byte_vocabulary, encoding="utf-8") as f:
             entries = json.load(f)["model"]["vocab"]
         back = {c: bytes([n]) for n, c in _byte_alphabet().items()}

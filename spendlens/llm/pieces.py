@@ -7,7 +7,7 @@ spelled in byte entries, or become the unknown id where the vocabulary has none.
 
 No entry spans a place before a word mark that follows another character, nor one beside a line feed where no longer entry
 holds one, so joins on the two sides never meet: a text is cut there into units, each is worked out once per worker and
-remembered (up to ``CACHE_UNITS``; then the memory starts anew).  In every Arrow batch the units not met before
+remembered (about ``CACHE_UNITS`` of those met last).  In every Arrow batch the units not met before
 are also given to the library in one call and compared; ``agrees`` tells whether all of a text's units did.
 
 Defined results: a null text is empty, and an empty text has no ids and decodes to the empty text; texts of any length are
@@ -37,7 +37,7 @@ MARK = "▁"
 class Vocabulary:
     """The entries of a model file, its agenda and its decoder."""
 
-    def __init__(self, path: str, cache: int = 0):
+    def __init__(self, path: str, cache: int = 0, own: bool = True):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -53,6 +53,7 @@ class Vocabulary:
         if any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in model.pieces):
             raise ValueError(f"{path} has entries that users defined")
         self.cache = cache  # units to remember, CACHE_UNITS by default
+        self.own = own  # whether units are worked out here and compared; otherwise the library's ids are taken
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = len(model.pieces)
         self.id_of = {p.piece: k for k, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
@@ -73,6 +74,7 @@ class Vocabulary:
             alone = "".join(c for c in "\n\r\t" if c not in longer)
             self.cut = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else "")).findall
         self.known: dict[str, bytes] = {}  # ids of units, little-endian uint32
+        self.older: dict[str, bytes] = {}  # those before them
         self.doubtful: set[str] = set()  # units for which the library has other ids
         pairs = {(a, b): k for piece, k in self.id_of.items() for n in range(1, len(piece))
                  if (a := self.id_of.get(piece[:n])) is not None and (b := self.id_of.get(piece[n:])) is not None}
@@ -166,12 +168,20 @@ class Vocabulary:
         return ids
 
     def learn(self, units: Iterable[str]) -> None:
-        """Work out units not met before, and check them against the library in one call."""
-        if len(self.known) > (self.cache or CACHE_UNITS):
-            self.known.clear()
-        new = list({u for u in units if u not in self.known})
+        """Work out units not met before, and check them against the library in one call (or take the library's ids)."""
+        if len(self.known) > (self.cache or CACHE_UNITS) // 2:
+            self.known, self.older = {}, self.known
+        units = {u for u in units if u not in self.known}
+        self.known |= {u: self.older[u] for u in units if u in self.older}  # what is met again stays
+        new = [u for u in units if u not in self.older]
         # the library puts a mark in front itself; a unit without one is compared behind it
         asked = self.library.encode([u.removeprefix(MARK).replace(MARK, " ") for u in new], num_threads=1)
+        if not self.own:
+            bare = [k for k, u in enumerate(new) if u[0] != MARK or u == MARK]  # the library would see another text
+            for k, ids in zip(bare, self._spelled([new[k] for k in bare]), strict=True):
+                asked[k] = ids
+            self.known |= {u: array("I", ids).tobytes() for u, ids in zip(new, asked, strict=True)}
+            return
         for unit, ids, theirs in zip(new, self._spelled(new), asked, strict=True):
             self.known[unit] = array("I", ids).tobytes()
             if unit == MARK:  # the library sees the empty text
@@ -180,7 +190,7 @@ class Vocabulary:
                 self.doubtful.add(unit)
 
     def encode_all(self, texts: list[str | None]) -> Iterator[tuple[bytes, bool]]:
-        """The ids of each text (little-endian uint32), and whether all its units agree with the library's."""
+        """The ids of each text (little-endian uint32), and whether all its units agree with the library's (always, if taken from it)."""
         for lo in range(0, len(texts), 500):
             cut = [self.cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts[lo:lo + 500]]
             self.learn(u for units in cut for u in units)
@@ -226,14 +236,15 @@ def _utf8(run: bytes) -> str:
     return out
 
 
-_vocabularies: dict[tuple[str, int], Vocabulary] = {}
+_vocabularies: dict[tuple[str, int, bool], Vocabulary] = {}
 
 
-def vocabulary(path: str, cache: int = 0) -> Vocabulary:
+def vocabulary(path: str, cache: int = 0, own: bool = True) -> Vocabulary:
     """The worker's vocabulary of a model file; kept between tasks of one Python worker."""
-    if (path, cache) not in _vocabularies:
-        _vocabularies[path, cache] = Vocabulary(path, cache)
-    return _vocabularies[path, cache]
+    key = path, cache, own
+    if key not in _vocabularies:
+        _vocabularies[key] = Vocabulary(*key)
+    return _vocabularies[key]
 
 
 class _Text:

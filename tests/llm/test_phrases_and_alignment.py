@@ -178,6 +178,24 @@ def test_products_equal_dense_ones():
     assert list(zip(left.tolist(), right.tolist(), strict=True)) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 2), (3, 2)]
 
 
+def test_segments_stand_for_their_bytes():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        ends = [np.sort(np.append(rng.integers(0, 40, n), 40)) for n in (4, 7)]  # tokens without bytes among them
+        a, b = (np.diff(e, prepend=0) for e in ends)
+        left, right = alignment.segments_of(a, b)
+        assert left.width == right.width == len({*ends[0], *ends[1]} - {0}) and right.values.sum() == 40
+        whole = alignment.bytes_of(a) @ alignment.bytes_of(b).transposed()
+        for got, want in zip(alignment.overlap_links(a, b), (whole.rows(), whole.columns, whole.values), strict=True):
+            assert (got == want).all()
+
+
+def test_ids_taken_from_the_library_are_the_agendas():
+    texts = [*made_texts(200), None, "", "▁", "a▁b", "x\ny \n  z", "日本語 <s> text", " "]
+    own, taken = pieces.Vocabulary(model()), pieces.Vocabulary(model(), 40, own=False)
+    assert [ids for ids, _ in own.encode_all(texts)] == [ids for ids, _ in taken.encode_all(texts)]
+
+
 # ---- collocations
 
 

@@ -45,6 +45,11 @@ def test_ids_of_texts_whose_other_white_space_makes_up_for_runs():
     assert got[0] == [64, 197, 65, 197, 66, 628] and got == library_ids(texts)
 
 
+def test_marks_after_other_than_letters_are_found():
+    texts = [a + c + m + b for c in map(chr, range(0x250)) for m in ",.;" for a in ("", "x") for b in ("", " y,")]
+    assert [tokens._marked(t) for t in texts] == [bool(tokens._MARKS.search(t)) for t in texts]
+
+
 @pytest.mark.parametrize("n", [1, 63, 64, 129, 5000, 40_001])
 def test_range_coder_round_trip(n):
     rng = np.random.default_rng(n)
