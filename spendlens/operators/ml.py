@@ -110,11 +110,20 @@ def gaussian_mixture(df: DataFrame, cols: list[str], key: str, k: int = 4, seed:
     """M6: impute -> standardise -> Gaussian mixture by expectation maximisation; returns key, cluster (the likeliest
     component) and p0..p(k-1), the membership probabilities, which sum to 1.
 
-    As a run ends in the nearest local optimum, the likeliest of ``starts`` runs from different seeds is kept.  An iteration is
-    one distributed pass for all runs still going, which adds up k weighted moment sums of each; only those reach the driver.
-    With ``prepared`` the rows come from ``mixture_features``.
+    As a run ends in the nearest local optimum, the likeliest of ``starts`` runs from different seeds is kept.  Every iteration is
+    one distributed pass that adds up k weighted moment sums of a run; only those reach the driver.  Spark ML makes the runs one
+    by one; with ``prepared``, rows of ``mixture_features``, each pass serves all runs still going, from starts that lie apart.
     """
-    v = df if prepared else mixture_features(df, cols, key)
+    if not prepared:
+        from pyspark.ml.clustering import GaussianMixture
+        from pyspark.ml.functions import vector_to_array
+
+        v = _features(df, cols, key)
+        fits = (GaussianMixture(k=k, seed=seed + n, maxIter=max_iter, tol=tol, probabilityCol="probability").fit(v) for n in range(starts))
+        best = max(fits, key=lambda m: m.summary.logLikelihood)
+        p = best.transform(v).select(key, F.col("prediction").cast("int").alias("cluster"), vector_to_array("probability").alias("_p"))
+        return p.select(key, "cluster", *[F.col("_p")[i].alias(f"p{i}") for i in range(k)])
+    v = df
     runs = _mixtures(v, cols, k, [seed + n for n in range(starts)], max_iter, tol)
     if not runs:
         return v.select(key, F.lit(0).alias("cluster"), *[F.lit(0.0).alias(f"p{i}") for i in range(k)])  # no rows

@@ -65,5 +65,5 @@ def test_mixture_moments_equal_plain_ones(spark, planted, monkeypatch):
     want = [np.log(p.sum(1)).sum(), *share.sum(0), *(share.T @ x.T).ravel(), *np.einsum("ni,an,bn->iab", share, x, x).ravel()]
     assert np.allclose(got, want)
     same = spark.createDataFrame([(None, 1.0)] * 5 + [(2, 1.0)], "id long, x double")
-    assert ML.gaussian_mixture(same, ["x"], "id", 2).count() == 6
-    assert ML.gaussian_mixture(same.limit(0), ["x"], "id", 2).count() == 0
+    for rows, n in ((same, 6), (same.limit(0), 0)):
+        assert ML.gaussian_mixture(ML.mixture_features(rows, ["x"], "id"), ["x"], "id", 2, prepared=True).count() == n
