@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 from .tokens import encoder
 
 BLOCK, LANES = 1 << 20, 4096
+SOME = 4_000_000  # bytes of text tokenised at a time, at least one text
 _MAGIC = b"CMRC\x01"
 _W, _C0 = 12, 18  # bits of the mixture's weights and of order-0 frequencies: intervals are in units of 2**-30
 _LOW, _MASK = 1 << 32, (1 << 32) - 1
 _LIMIT = 1 << 14  # weight counts are halved beyond this
+#: Change of a confidence, first of 0 to 7 when wrong (half as sure; the new id if there was little), then when right (a step surer).
+_SURER = np.array([(t >> 1) - t for t in range(8)] + [int(t < 7) for t in range(8)], np.int32)
 
 
 class _Models:
@@ -46,7 +49,7 @@ class _Models:
         self.count = np.zeros(size, np.int64)
         self.recent: list[np.ndarray] = []
         self.step = 0
-        self.known = [np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int64)]  # last id << 3 | confidence
+        self.known = [np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32)]  # last id << 3 | confidence
         self.weight = np.ones((128, 3), np.int64) * np.array([1, 1, 4])
         self.learn()
         self.weigh()
@@ -71,19 +74,17 @@ class _Models:
     def predict(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
         """The guesses of order 2 and 1, and the shares of order 2, order 1 and order 0."""
         self.slot = [(last * 40503) & 0xFFFF, (last * 0x9E3779B1 + before * 0x85EBCA6B >> 7) & 0x3FFFF]
-        self.was = [k[s] for k, s in zip(self.known, self.slot, strict=True)]
+        self.was = [k.take(s) for k, s in zip(self.known, self.slot, strict=True)]
         c1, c2 = self.was[0] >> 3, self.was[1] >> 3
         self.trust = [self.was[0] & 7, self.was[1] & 7]
         self.state = (self.trust[1] << 4) + (self.trust[0] << 1) + (c1 == c2)
-        return c2, c1, self.w2[self.state], self.w1[self.state], self.w0[self.state]
+        return c2, c1, self.w2.take(self.state), self.w1.take(self.state), self.w0.take(self.state)
 
     def update(self, ids: np.ndarray, right2: np.ndarray, right1: np.ndarray, kind: np.ndarray) -> None:
+        fresh = ((ids << 3) + 1).astype(np.int32)
         for k, right in ((0, right1), (1, right2)):
-            # right: one step surer; wrong: half as sure, or the new id if there was little confidence
             trust = self.trust[k]
-            kept = (self.was[k] - trust) + (trust >> 1) + right * (trust - (trust >> 1) + (trust < 7))
-            swap = (trust <= 1) & ~right
-            self.known[k][self.slot[k]] = kept + swap * ((ids << 3) + 1 - kept)
+            self.known[k][self.slot[k]] = np.where((trust <= 1) & ~right, fresh, self.was[k] + _SURER.take(trust + 8 * right))
         self.recent.append(ids)
         self.step += 1
         if self.step % 4 == 0:  # the weights follow every fourth step
@@ -121,8 +122,8 @@ def encode_ids(ids: np.ndarray, size: int) -> bytes:
         second = right1 & ~right2
         miss = ~(right2 | right1)
         kind = miss * 2 + second
-        start = miss * ((w2 + w1 << _C0) + model.start[x] * w0) + second * (w2 << _C0)
-        freq = miss * (model.freq[x] * w0) + (second * w1 + right2 * w2 << _C0)
+        start = miss * ((w2 + w1 << _C0) + model.start.take(x) * w0) + second * (w2 << _C0)
+        freq = miss * (model.freq.take(x) * w0) + (second * w1 + right2 * w2 << _C0)
         unit = width[:live] >> _W + _C0
         low[:live] += unit * start
         width[:live] = unit * freq
@@ -164,19 +165,20 @@ def decode_ids(data: bytes, n: int, size: int) -> np.ndarray:
             last, before, code, width, at = last[:live], before[:live], code[:live], width[:live], at[:live]
         c2, c1, w2, w1, w0 = model.predict(last, before)
         if freq_of is not model.freq:  # the id that owns each unit of order 0
-            owner, freq_of = np.repeat(np.arange(size), model.freq), model.freq
+            owner, freq_of = np.repeat(np.arange(size, dtype=np.int32), model.freq), model.freq
         unit = width >> _W + _C0
-        value = np.minimum(code // unit, (1 << _W + _C0) - 1)
+        # quotients of whole numbers below 2**48 by ones below 2**18 are never rounded up to the next whole number
+        value = np.minimum((code / unit).astype(np.int64), (1 << _W + _C0) - 1)
         share = value >> _C0
         miss = share >= w2 + w1
         second = (share >= w2) & ~miss
         kind = miss * 2 + second
-        x = np.where(second, c1, c2)
+        x = np.where(second, c1, c2).astype(np.int64)
         out = np.flatnonzero(miss)
-        x[out] = owner[(value[out] - (w2[out] + w1[out] << _C0)) // w0[out]]
+        x[out] = owner.take(((value - (w2 + w1 << _C0)).take(out) / w0.take(out)).astype(np.int64))
         right2 = x == c2
-        start = miss * ((w2 + w1 << _C0) + model.start[x] * w0) + second * (w2 << _C0)
-        freq = miss * (model.freq[x] * w0) + (second * w1 + (kind == 0) * w2 << _C0)
+        start = miss * ((w2 + w1 << _C0) + model.start.take(x) * w0) + second * (w2 << _C0)
+        freq = miss * (model.freq.take(x) * w0) + (second * w1 + (kind == 0) * w2 << _C0)
         code = code - unit * start
         width = unit * freq
         for _ in range(2):
@@ -243,8 +245,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, size: in
                 "payload": pa.array([write_block(names, ids, size)], pa.binary())})
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 100):
-                some = batch.slice(lo, 100)
+            rows = max(1, min(2000, SOME * batch.num_rows // max(batch.nbytes, 1)))
+            for lo in range(0, batch.num_rows, rows):
+                some = batch.slice(lo, rows)
                 for doc_id, own in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
                     ids.append(own + end)
                     names.append(doc_id)

@@ -50,6 +50,30 @@ def test_marks_after_other_than_letters_are_found():
     assert [tokens._marked(t) for t in texts] == [bool(tokens._MARKS.search(t)) for t in texts]
 
 
+def test_ids_around_other_white_space_punctuation_and_accents():
+    rng = random.Random(6)
+    parts = ["a", "é", "ÿ", "à", "×", " ", "\n", "\u00a0", "\u2003", "\x1c", ".", ",", "!", "'s", "-", "%%", "(", "_", "²", "’", "слово", " naïve", " là"]
+    made = ["".join(rng.choice(parts) for _ in range(rng.randrange(20))) for _ in range(5000)]
+    texts = ["\u00e9a \u00a0,\t\n", " là là", "\nlà\nx", *made]
+    assert [np.frombuffer(b, "<u4").tolist() for b in tokens.encoder(vocabulary()).encode(texts)] == library_ids(texts)
+
+
+def test_new_words_share_calls_of_the_model():
+    encoder, calls = tokens.Encoder(vocabulary()), []
+
+    class Model:
+        def tokenize(self, text, model=encoder.model):
+            calls.append(text)
+            return model.tokenize(text)
+
+    encoder.model = Model()
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(12)) for _ in range(640)]
+    texts = [" " + " ".join(words[k:k + 64]) + "\n" + words[k] for k in range(0, 640, 64)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == library_ids(texts)
+    assert len(calls) <= 650 // 32 + 1
+
+
 @pytest.mark.parametrize("n", [1, 63, 64, 129, 5000, 40_001])
 def test_range_coder_round_trip(n):
     rng = np.random.default_rng(n)
