@@ -1,7 +1,9 @@
 """Phrase collocations per language: phrases of two to four words that hold together, by counts of all shorter phrases.
 
-Counting: every task puts the longest word sequence (up to four words) that starts at each word into a HAT-trie
-(``hat_trie``); a shorter phrase's count is the sum over the sequences that begin with it, that is over its subtree.  The
+Counting: no phrase is more frequent than a pair of words in it.  So all neighbouring pairs are counted first, by a 64-bit hash, and
+the hashes with enough occurrences go to the tasks as a bitmap, which may let rare pairs pass but never stops a frequent one.
+Then every task puts the longest word sequence (up to four words, ended before a pair the bitmap does not hold) that starts at each
+word into a HAT-trie (``hat_trie``); a shorter phrase's count is the sum over the sequences that begin with it, that is over its subtree.  The
 trie spills whole subtrees as sorted runs, and each run goes out as rows of (language, sequence, count), one-word
 subtrees as their sums.  Runs of all tasks are merged per prefix partition, hashed by the language and the first two words:
 there every sequence whose first two words are frequent adds its count to all its beginnings (no longer phrase is more frequent
@@ -23,10 +25,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,20 +39,12 @@ from .scratch import cut
 
 LIMIT = 600_000  # entries of all tries of a task
 BATCH = 1 << 18  # sequences given to a trie at a time
-PART = 100_000  # words of a text that are numbered at a time
+PART = 200_000  # words of a text that are numbered at a time
 PARTS = 4
 SALTS = 256
-
-
-class _Ids(dict):
-    """Word ids from 1 on in the order of arrival; line feed, put between pieces, is 0, the empty string -1."""
-
-    def __init__(self):
-        super().__init__({"\n": 0, "": -1})
-
-    def __missing__(self, word: str) -> int:
-        self[word] = k = len(self) - 1
-        return k
+SOME = 4_000_000  # bytes of text split at a time, at least one text
+PAIRS = 2_000_000  # pairs of a task that are counted at a time
+MOST_BITS = 28  # the bitmap of pairs takes 32 MB at most; a fuller one only lets more rare pairs pass
 
 
 def _split(texts: pa.Array) -> list[list[str]]:
@@ -58,37 +54,88 @@ def _split(texts: pa.Array) -> list[list[str]]:
     return [t.replace("\t", " ").split(" ") for t in low.to_pylist()]
 
 
-def _sequences(ids: np.ndarray) -> np.ndarray:
-    """The longest sequence of up to four words from each word, as rows; pieces are parted by 0."""
-    ids = ids[ids >= 0]
+def _words(texts: pa.Array) -> pa.Array:
+    """Lower-cased words of all texts in one row, with a line feed before, between and after pieces."""
+    low = pc.ascii_lower(pc.fill_null(texts, ""))
+    low = pc.replace_substring(pc.replace_substring_regex(low, r"[.,;:!?\x0A-\x0D]+", " \n "), "\t", " ")
+    return _filled(pc.split_pattern(pc.binary_join_element_wise("\n", low, " "), " ").flatten())
+
+
+def _filled(words: pa.Array) -> pa.Array:
+    return words.filter(pc.not_equal(words, ""))
+
+
+def _entries(words: pa.DictionaryArray) -> list[str]:
+    return words.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
+    """(language, words of its texts) of some rows at a time."""
+    rows = max(1, min(2000, SOME * batch.num_rows // max(batch.nbytes, 1)))
+    for lo in range(0, batch.num_rows, rows):
+        langs, texts = batch.column(0).slice(lo, rows), batch.column(1).slice(lo, rows)
+        for lang in pc.unique(langs).to_pylist():
+            yield lang, _words(texts.filter(pc.equal(langs, lang)))
+
+
+def _pairs(lang: str, words: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all pairs of neighbours (the last word is its own), and which of them are within one piece."""
+    entries, index = _entries(words), words.indices.to_numpy()
+    own = np.fromiter(map(crc32, map(str.encode, entries)), np.uint64, len(entries))[index]
+    word = np.array([w != "\n" for w in entries], bool)[index]
+    pairs = (own << np.uint64(32) | np.append(own[1:], own[-1:])) ^ np.uint64(crc32(lang.encode()) * 0x9E3779B1)
+    for factor in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+        pairs *= np.uint64(factor)
+        pairs ^= pairs >> np.uint64(32)
+    return pairs, word & np.append(word[1:], False)
+
+
+def _sequences(ids: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """The longest sequence of up to four words from each word, as rows; pieces are parted by 0, and no sequence goes on
+    where a word is not ``joined`` to the next."""
     padded = np.append(ids, np.zeros(3, ids.dtype))
-    rows = np.stack([padded[k:k + len(ids)] for k in range(4)], 1)
+    rows, joined = np.stack([padded[k:k + len(ids)] for k in range(4)], 1), np.append(joined, np.zeros(3, bool))
     for k in range(1, 4):
-        rows[:, k] *= rows[:, k - 1] > 0
+        rows[:, k] *= (rows[:, k - 1] > 0) & joined[k - 1:k - 1 + len(ids)]
     return rows[rows[:, 0] > 0]
 
 
 class _Counter:
     """One task's tries, one per language, over one numbering of words."""
 
-    def __init__(self, limit: int, hot: dict[str, list[tuple[str, str]]]):
-        self.limit, self.hot, self.ids, self.tries, self.held, self.spelled = limit, hot, _Ids(), {}, {}, None
+    def __init__(self, limit: int, hot: dict[str, list[tuple[str, str]]], likely: np.ndarray | None = None):
+        self.limit, self.hot, self.likely, self.tries, self.held = limit, hot, likely, {}, {}
+        self._renumber()
 
-    def add(self, lang: str, words: list[str]) -> Iterator[pa.RecordBatch]:
+    def _renumber(self) -> None:
+        """Word ids from 1 on in the order of arrival; line feed, put between pieces, is 0."""
+        self.ids, self.spelled = {"\n": 0}, None
+
+    def _joined(self, lang: str, words: pa.DictionaryArray) -> np.ndarray:
+        """Whether each word and the next may be a frequent pair."""
+        pairs, joined = _pairs(lang, words)
+        if self.likely is None:
+            return joined
+        at = pairs >> np.uint64(64 - (8 * len(self.likely)).bit_length() + 1)
+        return joined & (self.likely[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0)
+
+    def add(self, lang: str, words: list[str] | pa.Array) -> Iterator[pa.RecordBatch]:
         """Hold a text's sequences; whole batches go to the language's trie.  A long text goes in parts, each with the up to
         three words of its piece that follow it."""
+        words = _filled(pa.array(words, pa.string()) if isinstance(words, list) else words)
         for lo in range(0, len(words), PART):
-            own, after = words[lo:lo + PART], []
-            for word in words[lo + PART:]:
-                if word == "\n" or len(after) == 3:
-                    break
-                after += [word] * (word != "")
-            if len(self.ids) + len(own) > WORDS and len(self.ids) + len({*own, *after}.difference(self.ids)) > WORDS:
+            after = [*words.slice(lo + PART, 3).to_pylist(), "\n"].index("\n")
+            own = words.slice(lo, PART + after).dictionary_encode()
+            entries = _entries(own)
+            new = [w for w in entries if w not in self.ids]
+            if len(self.ids) + len(new) > WORDS:
                 yield from self.finish()  # numbers run out: all is spilled, and the numbering starts anew
-            numbers = np.fromiter(map(self.ids.__getitem__, own + after), np.int64, len(own) + len(after))
-            rows = _sequences(numbers)
+                new = [w for w in entries if w not in self.ids]
+            self.ids |= zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True)
+            numbers = np.fromiter(map(self.ids.__getitem__, entries), np.int64, len(entries))[own.indices.to_numpy()]
+            rows = _sequences(numbers, self._joined(lang, own))
             held = self.held.setdefault(lang, [])
-            held.append(rows[:len(rows) - len(after)])
+            held.append(rows[:len(rows) - after])
             if sum(map(len, held)) >= BATCH:
                 yield from self._count(lang)
 
@@ -113,12 +160,13 @@ class _Counter:
         for lang, trie in self.tries.items():
             for run in trie.spill():
                 yield from self._rows(lang, run)
-        self.ids, self.tries, self.spelled = _Ids(), {}, None
+        self.tries = {}
+        self._renumber()
 
     def _spelled(self) -> pa.Array:
         """The words by number, from 1 on."""
-        if self.spelled is None or len(self.spelled) != len(self.ids) - 2:
-            self.spelled = pa.array(list(self.ids)[2:], pa.string())
+        if self.spelled is None or len(self.spelled) != len(self.ids) - 1:
+            self.spelled = pa.array(list(self.ids)[1:], pa.string())
         return self.spelled
 
     def _rows(self, lang: str, run: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +220,7 @@ def hot_pairs(docs: DataFrame, rows: int = 2000, share: float = 0.002) -> dict[s
             yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in keys), pa.array(found.values(), pa.int64())],
                                              ["lang", "a", "b", "n"])
 
-    plain = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = cut(plain.sample(min(1.0, rows / max(docs.count(), 1)), 7).mapInArrow(pairs, "lang string, a string, b string, n long").groupBy(
+    counts = cut(_plain(docs).sample(min(1.0, rows / max(docs.count(), 1)), 7).mapInArrow(pairs, "lang string, a string, b string, n long").groupBy(
         "lang", "a", "b").agg(F.sum("n").alias("n")), "sampled-pairs")
     least = (counts.agg(F.sum("n")).first()[0] or 0) * share
     out: dict[str, list[tuple[str, str]]] = {}
@@ -182,22 +229,57 @@ def hot_pairs(docs: DataFrame, rows: int = 2000, share: float = 0.002) -> dict[s
     return out
 
 
-def runs(docs: DataFrame, limit: int = LIMIT, hot: dict[str, list[tuple[str, str]]] | None = None) -> DataFrame:
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
+
+
+def likely_pairs(docs: DataFrame, least: int) -> Broadcast:
+    """A bitmap of the hashes (their first bits) that at least ``least`` neighbouring pairs of words have, 16 bits or more a hash
+    up to ``MOST_BITS``.  It holds every pair with so many occurrences."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def counts() -> pa.RecordBatch:
+            pairs, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n, pa.int64())], ["pair", "n"])
+
+        for batch in batches:
+            for lang, words in _by_language(batch):
+                pairs, within = _pairs(lang, words.dictionary_encode())
+                held.append(pairs[within])
+                if sum(map(len, held)) >= PAIRS:
+                    yield counts()
+        if held:
+            yield counts()
+
+    counted = _plain(docs).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    found = cut(counted.where(F.col("n") >= least).select("pair"), "likely-pairs")
+    bits = min(MOST_BITS, max(15, (16 * found.count()).bit_length()))
+    at = F.shiftrightunsigned("pair", 64 - bits) + 1  # Spark's bitmaps count from 1 on
+    bitmap = np.zeros(1 << bits - 3, np.uint8)
+    blocks = found.groupBy(F.bitmap_bucket_number(at).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    for r in blocks.toLocalIterator():  # 4 KB each
+        lo = (r["block"] - 1) * len(r["bits"])
+        bitmap[lo:lo + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return docs.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def runs(docs: DataFrame, limit: int = LIMIT, hot: dict[str, list[tuple[str, str]]] | None = None, likely: Broadcast | None = None
+         ) -> DataFrame:
     """lang, phrase, least, n: what the tasks' tries spill.  A phrase's count goes to all its beginnings of ``least`` words or
     more: 1 for words, 2 for sequences, 3 for sequences under a ``hot`` pair, whose own count is a row with 2.
-    The empty phrase counts all words."""
+    The empty phrase counts all words.  Phrases with a pair that ``likely`` does not hold are left out or counted in part."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _Counter(limit, hot or {})
+        own = _Counter(limit, hot or {}, likely.value if likely else None)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
-                for lang, words in zip(some.column(0).to_pylist(), _split(some.column(1)), strict=True):
-                    yield from own.add(lang, words)
+            for lang, words in _by_language(batch):
+                yield from own.add(lang, words)
         yield from own.finish()
 
-    plain = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "lang string, phrase string, least byte, n long")
+    return _plain(docs).mapInArrow(run, "lang string, phrase string, least byte, n long")
 
 
 def frequent(spilled: DataFrame, least: int) -> DataFrame:
@@ -224,7 +306,7 @@ def _part(phrase: Column, first: Column, count: Column) -> Column:
 
 def collocations(docs: DataFrame, least: int = 30, share: int = 80, top: int = 2000, limit: int = LIMIT) -> DataFrame:
     """Each language's first ``top`` phrases: lang, rank, phrase, a, l, r, n, score."""
-    known = cut(frequent(runs(docs, limit, hot_pairs(docs)), least), "frequent-phrases")
+    known = cut(frequent(runs(docs, limit, hot_pairs(docs), likely_pairs(docs, least)), least), "frequent-phrases")
     long = known.where("size >= 2").select("lang", "phrase", "size", F.col("f").alias("a"))
     lookup = known.where("size > 0").select(F.col("lang").alias("_lang"), F.col("phrase").alias("_phrase"), "f")
     cuts = long.select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))

@@ -284,6 +284,23 @@ def test_hot_pairs_decide_only_where_rows_meet(spark, monkeypatch):
     assert sorted(map(tuple, collocations.collocations(documents(spark, rows), 3).collect())) == plain_collocations(rows, 3, 80, 2000)
 
 
+def test_only_likely_pairs_leave_their_task(spark):
+    rows = [(k, f"common words here, u{k} v{k} w{k} common words here x{k}", "en" if k % 2 else None, None, None) for k in range(400)]
+    docs = documents(spark, rows)
+    likely = collocations.likely_pairs(docs, 100)
+    got = collocations.runs(docs, likely=likely).collect()
+    long = [r for r in got if " " in r["phrase"]]
+    rare = sum(any(c.isdigit() for c in r["phrase"]) for r in long)
+    assert rare < 400  # all of some 2,400 different sequences with numbers without the bitmap, a sixteenth or so of their pairs with it
+    for lang in ("en", "und"):
+        for phrase in ("common words", "words here", "common words here"):
+            n = sum(r["n"] for r in long if r["lang"] == lang and (r["phrase"] + " ").startswith(phrase + " "))
+            assert n == 400
+        assert sum(r["n"] for r in got if r["lang"] == lang and r["phrase"] == "") == 200 * 10
+    found = {(r["lang"], r["phrase"], r["f"]) for r in collocations.frequent(collocations.runs(docs, likely=likely), 100).collect()}
+    assert found == {(r["lang"], r["phrase"], r["f"]) for r in collocations.frequent(collocations.runs(docs), 100).collect()}
+
+
 def test_collocations_of_awkward_and_empty_tables(spark):
     assert sorted(map(tuple, collocations.collocations(documents(spark), 2, 80, 2000).collect())) == plain_collocations(ROWS, 2, 80, 2000)
     assert collocations.collocations(empty(spark)).count() == 0
