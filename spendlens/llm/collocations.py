@@ -38,12 +38,14 @@ from .hat_trie import WORD_BITS, WORDS, HatTrie
 from .scratch import cut
 
 LIMIT = 600_000  # entries of all tries of a task
-BATCH = 1 << 18  # sequences given to a trie at a time
+BATCH = 1 << 16  # sequences given to a trie at a time
 PART = 200_000  # words of a text that are numbered at a time
 PARTS = 4
 SALTS = 256
-SOME = 4_000_000  # bytes of text split at a time, at least one text
+SOME = 1_000_000  # bytes of text split at a time, at least one text
 PAIRS = 2_000_000  # pairs of a task that are counted at a time
+ROWS = 50_000  # rows of a batch that leaves a task
+PAIR_PARTS = 2  # partitions of hashes for each of Spark's own
 MOST_BITS = 28  # the bitmap of pairs takes 32 MB at most; a fuller one only lets more rare pairs pass
 
 
@@ -90,6 +92,18 @@ def _pairs(lang: str, words: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray
     return pairs, word & np.append(word[1:], False)
 
 
+def _counts(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The hashes held, each once with its number, in small batches; nothing stays held."""
+    pairs = np.concatenate([np.empty(0, np.uint64), *held])
+    held.clear()
+    pairs.sort()
+    ends = np.flatnonzero(np.append(pairs[1:] != pairs[:-1], True)[:len(pairs)])
+    for lo in range(0, len(ends), ROWS):
+        own = ends[lo:lo + ROWS]
+        n = np.diff(own, prepend=ends[lo - 1] if lo else -1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[own].view(np.int64)), pa.array(n, pa.int64())], ["pair", "n"])
+
+
 def _sequences(ids: np.ndarray, joined: np.ndarray) -> np.ndarray:
     """The longest sequence of up to four words from each word, as rows; pieces are parted by 0, and no sequence goes on
     where a word is not ``joined`` to the next."""
@@ -185,13 +199,13 @@ class _Counter:
 
     def _batches(self, lang: str, words: np.ndarray, n: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
         spelled = self._spelled()
-        for lo in range(0, len(words), 50_000):
-            own = words[lo:lo + 50_000]
+        for lo in range(0, len(words), ROWS):
+            own = words[lo:lo + ROWS]
             size = int((own > 0).any(0).sum())
             parts = [spelled.take(pa.array(own[:, k] - 1, mask=own[:, k] == 0)) for k in range(size)]
             phrase = pc.binary_join_element_wise(*parts, " ", null_handling="skip") if size > 1 else parts[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(own), np.int32))), phrase,
-                                              pa.array(np.full(len(own), least, np.int8)), pa.array(n[lo:lo + 50_000])],
+                                              pa.array(np.full(len(own), least, np.int8)), pa.array(n[lo:lo + ROWS])],
                                              ["lang", "phrase", "least", "n"])
 
 
@@ -239,22 +253,18 @@ def likely_pairs(docs: DataFrame, least: int) -> Broadcast:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-
-        def counts() -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n, pa.int64())], ["pair", "n"])
-
         for batch in batches:
             for lang, words in _by_language(batch):
                 pairs, within = _pairs(lang, words.dictionary_encode())
                 held.append(pairs[within])
                 if sum(map(len, held)) >= PAIRS:
-                    yield counts()
-        if held:
-            yield counts()
+                    yield from _counts(held)
+        yield from _counts(held)
 
-    counted = _plain(docs).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    # most of a task's hashes are different already, so they meet first and are summed then: no table of all of them before the shuffle
+    parts = PAIR_PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = _plain(docs).mapInArrow(count, "pair long, n long").repartition(parts, "pair")
+    counted = met.groupBy("pair").agg(F.sum("n").alias("n"))
     found = cut(counted.where(F.col("n") >= least).select("pair"), "likely-pairs")
     bits = min(MOST_BITS, max(15, (16 * found.count()).bit_length()))
     at = F.shiftrightunsigned("pair", 64 - bits) + 1  # Spark's bitmaps count from 1 on

@@ -301,6 +301,32 @@ def test_only_likely_pairs_leave_their_task(spark):
     assert found == {(r["lang"], r["phrase"], r["f"]) for r in collocations.frequent(collocations.runs(docs), 100).collect()}
 
 
+def test_pair_hashes_leave_a_task_in_small_batches():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    for size in (0, 1, collocations.ROWS, 260_000):
+        held = [rng.integers(0, 200_000, size // 4 + k, dtype=np.uint64) << np.uint64(46) for k in range(4)]
+        want = Counter(np.concatenate(held).view(np.int64).tolist())
+        tracemalloc.start()
+        batches = list(collocations._counts(held))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert not held and all(0 < b.num_rows <= collocations.ROWS for b in batches)
+        assert [(k, n) for b in batches for k, n in zip(*(c.to_pylist() for c in b.columns), strict=True)] == sorted(
+            want.items(), key=lambda x: x[0] % 2**64)
+        assert peak < 32 * size + 500_000  # besides the hashes held: one copy, and the ends of equal ones
+    assert list(collocations._counts([])) == list(collocations._counts([np.empty(0, np.uint64)])) == []
+
+
+def test_pairs_meet_before_they_are_summed(spark, monkeypatch):
+    plans, cut = [], collocations.cut
+    monkeypatch.setattr(collocations, "cut", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, name))
+    collocations.likely_pairs(documents(spark, made_documents(40)), 3)
+    summed, met = plans[0].split("Exchange hashpartitioning(pair")
+    assert "Aggregate" in summed and "Aggregate" not in met  # no table of a task's own hashes
+
+
 def test_collocations_of_awkward_and_empty_tables(spark):
     assert sorted(map(tuple, collocations.collocations(documents(spark), 2, 80, 2000).collect())) == plain_collocations(ROWS, 2, 80, 2000)
     assert collocations.collocations(empty(spark)).count() == 0
